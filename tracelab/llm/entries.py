@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tracelab.llm import token_ids
+from tracelab.llm import line_dedup, mixing, token_ids
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": mixing.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
