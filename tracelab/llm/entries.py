@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tracelab.llm import line_dedup, mixing, token_ids
+from tracelab.llm import html_text, language_id, line_dedup, mixing, token_ids, warc
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_language_id": language_id.op4_language_id,
+    "op6_html_text": html_text.op6_html_text,
+    "op8_warc": warc.op8_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
