@@ -9,7 +9,6 @@ unpack any block, or the ids of any document, without the rest of the file.
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import zlib
@@ -28,7 +27,7 @@ MAGIC = b"TIDS0001"
 HEADER = struct.Struct("<8sIIQQQ")  # magic, bits, ids in a block, ids, documents, offset of the footer
 BLOCK = 4096
 NO_DOC = -(1 << 63)
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 
 # Letters of the Latin blocks; with ASCII they make up the texts for which the
 # memo of pieces applies. Any other character sends the text through the tokenizer whole.
@@ -134,20 +133,20 @@ class Encoder:
     as they are, as do all texts with another kind of tokenizer.
     """
 
-    GROUP, LONG = 1 << 20, 64  # bytes taken at once; a longer piece isn't kept
+    GROUP, LONG = 1 << 18, 64  # bytes taken at once; a longer piece isn't kept
     P = 0x9E3779B97F4A7C15
 
     def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-        self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type", "BPE") == "BPE" and not model.get("dropout")
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.by_piece = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex and isinstance(model, BPE) and not model.dropout
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         # byte-level alphabet: printable bytes stand for themselves, the rest for the code points from 256
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
