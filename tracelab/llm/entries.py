@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelab.llm import html_text, language_id, line_dedup, mixing, token_ids, warc
+from tracelab.llm import html_text, language_id, line_dedup, mixing, nearest, token_ids, warc
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op6_html_text": html_text.op6_html_text,
     "op8_warc": warc.op8_warc,
+    "op9_nearest": nearest.op9_nearest,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 

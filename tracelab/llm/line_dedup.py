@@ -145,7 +145,7 @@ def build_index(docs: DataFrame, path: str) -> int:
     shards = math.ceil(n / SHARD_KEYS)
     sharded = repeated.withColumn("shard", F.expr(f"cast(pmod(cast(h1 as decimal(20,0)) + if(h1 < 0, 18446744073709551616, 0), {shards}) as int)"))
 
-    def write(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _write_shard(f"{path}/shard-{key[0]:06d}.npz", *(rows[c].to_numpy() for c in ("h1", "h2", "n", "first")))
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)]})
 

@@ -136,7 +136,7 @@ def read_warc(index: DataFrame, payloads: bool = True, chunk: int = CHUNK) -> Da
     """The records of the given rows of an index: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked, payload."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
-    def read(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def read(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("offset")
         chosen, found, k = list(zip(rows["offset"].tolist(), rows["length"].tolist(), strict=True)), [], 0
         for offset, length, n in coalesced(chosen):
