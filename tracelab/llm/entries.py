@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracelab.llm import html_text, language_id, line_dedup, mixing, nearest, token_ids, warc
+from tracelab.llm import decontaminate, html_text, language_id, line_dedup, mixing, nearest, token_ids, warc
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_language_id": language_id.op4_language_id,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_html_text": html_text.op6_html_text,
     "op8_warc": warc.op8_warc,
     "op9_nearest": nearest.op9_nearest,
