@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelab.llm import decontaminate, html_text, language_id, line_dedup, mixing, nearest, token_ids, warc
+from tracelab.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dup, nearest, token_ids, warc
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_html_text": html_text.op6_html_text,
+    "op7_near_dup": near_dup.op7_near_dup,
     "op8_warc": warc.op8_warc,
     "op9_nearest": nearest.op9_nearest,
     "op10_line_dedup": line_dedup.op10_line_dedup,

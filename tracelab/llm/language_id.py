@@ -162,10 +162,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(*(f.name for f in kept)).mapInPandas(predict, schema)
 
 
-def without_unknown(docs: DataFrame, **names) -> DataFrame:
-    """``docs`` without the rows that have no language: null texts and texts without letters."""
-    model = train(docs, **names)
-    return identify(docs, model, names.get("text", "text")).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+def accepted(docs: DataFrame, **names) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: no letters, or two codewords as near as each other."""
+    found = identify(docs, train(docs, **names), names.get("text", "text"))
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
