@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracelab.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dup, nearest, token_ids, warc
+from tracelab.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dup, nearest, personal_data, token_ids, warc
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_personal_data": personal_data.op3_personal_data,
     "op4_language_id": language_id.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_html_text": html_text.op6_html_text,
