@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 METHODS = ("Adam", "AdaGrad", "RMSprop", "Momentum")
+MOST_BATCHES = 4096
 DECAY, BETA1, BETA2, EPS = 0.9, 0.9, 0.999, 1e-8
 
 
@@ -216,17 +217,14 @@ def cubic_descent(df: DataFrame, x: str = "x", y: str = "y", rate: float = 0.5,
 def cubic_minibatch(df: DataFrame, x: str = "x", y: str = "y", batch: int = 32, epochs: int = 150, rate: float = 0.5, seed: int = 0, start: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
     """Mini-batch Adam in shuffled order; the moments of all batches come from one aggregation.
 
-    A batch is a range of the shuffled order, in which rows stand by a hash. At
-    most a row of nine sums for each batch reaches the driver.
+    Rows are dealt to batches by a hash. There are at most ``MOST_BATCHES``, so
+    that their sums fit the driver: more rows than that many batches hold make
+    the batches larger.
     """
-    order = Window.orderBy(F.xxhash64(F.lit(seed), x, y), x, y)
-    n_batches = max(1, -(-df.count() // batch))
-    if n_batches > 4096:  # a global order isn't needed to deal many rows out evenly
-        dealt = df.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), x, y), F.lit(n_batches)))
-    else:
-        dealt = df.withColumn("b", F.floor((F.row_number().over(order) - 1) / batch))
+    n_batches = min(MOST_BATCHES, max(1, -(-df.count() // batch)))
+    dealt = df.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), x, y), F.lit(n_batches)))
     p = {f"x{k}": F.sum(F.pow(x, k)) for k in range(2, 7)} | {f"y{k}": F.sum(F.col(y) * F.pow(x, k)) for k in (1, 2, 3)}
-    moments = [r.asDict() for r in dealt.groupBy("b").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in p.items())).orderBy("b").toLocalIterator()]
+    moments = [r.asDict() for r in dealt.groupBy("b").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in p.items())).orderBy("b").collect()]
     at, first, second = np.array(start), np.zeros(3), np.zeros(3)
     rng, step = np.random.default_rng(seed), 0
     for epoch in range(epochs):
