@@ -180,7 +180,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
     block = write("queries", blocks, rows.filter(F.pmod("id", F.lit(every)) == 0))
     # One row for each shard and block of queries: file names, not vectors.
     pairs = held.select(F.col("path").alias("shard")).crossJoin(block.select(F.col("path").alias("block")))
-    work = pairs.repartition(shards * blocks, "shard", "block")
+    work = pairs.repartition(shards * blocks)  # in turn, so that each task gets one pair
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
