@@ -154,7 +154,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[Span]]
             else:
                 text += other()
             text += pick(" ", " ", ". ", ", ", "!! ", "\n")
-        out.append((text, spans))
+        out.append((text.rstrip(" .,!\n") if rng.random() < 0.3 else text, spans))
     return out
 
 
