@@ -226,7 +226,9 @@ def test_pages_equal_their_articles(spark, duck):
         assert got[page]["text"] == "\n\n".join(b for b in blocks if b) and got[page]["n_chars"] == len(got[page]["text"])
 
 
-def test_odd_pages(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_odd_pages(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", broadcast)
     rows = [(1, None, None, "t"), (2, "http://a.b/c", "", "t"), (3, "x", "<div>" * 5000 + "deep", "t"), (4, "http://u:p@A.b:80/", '<body><div id="main" title="a > b"><h2>T &amp; x</h2><p>Hello   world<p>Two<div class="comments">no</div><script>var x="<p>no</p>"</script></div><aside>no</aside></body>', "t"), (4, None, "plain &lt; text", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted((r["page_id"], r["text"]) for r in html_text.main_text(pages).collect())

@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelab.llm.common import small_batches, table
+from tracelab.llm.common import small_batches, stored, table
 
 VOTES = 3  #: containers of a page that vote
+BROADCAST_HOSTS = 200_000  #: paths of so many hosts (some 100 bytes each) are broadcast
+SALTS = 32  #: parts that each host's pages are dealt to where there are more hosts
 DEPTH = 150  #: elements nested deeper are taken as part of the one at this depth
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
@@ -231,8 +233,14 @@ def main_text(pages: DataFrame, url: str = "url", html_: str = "html") -> DataFr
     """
     small_batches(pages.sparkSession)
     kept = [f for f in pages.schema if f.name != "text"]
-    paths = host_paths(pages, url, html_).withColumnsRenamed({"host": "__host", "path": "__path"})
-    joined = pages.select(*(f.name for f in kept)).join(paths, host_of(url) == F.col("__host"), "left").drop("__host")
+    paths = stored(host_paths(pages, url, html_), "host-paths").withColumnsRenamed({"host": "__host", "path": "__path"})
+    own, same = pages.select(*(f.name for f in kept)), host_of(url) == F.col("__host")
+    if paths.count() <= BROADCAST_HOSTS:
+        joined = own.join(F.broadcast(paths), same, "left").drop("__host")
+    else:  # a host can have a large part of all pages
+        salted = paths.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(F.col(url), F.col(html_)), F.lit(SALTS)).cast("int")
+        joined = own.join(salted, same & (salt == F.col("__salt")), "left").drop("__host", "__salt")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
