@@ -265,27 +265,31 @@ def short_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Reshapes
 
-@query("SELECT idx, " + ", ".join(f"max(x) FILTER (trace_id = {i}) AS x_{i}" for i in range(1, 6)) + " FROM trace WHERE trace_id BETWEEN 1 AND 5 GROUP BY idx")
+STATES = ("click", "error", "purchase", "signup", "view")
+WIDE_SQL = "SELECT trace_id, " + ", ".join(f"{sq(f'avg(x) FILTER (from_state = {chr(39)}{i}{chr(39)})')} AS x_{i}" for i in STATES) + " FROM dwell GROUP BY trace_id"
+
+
+@query(WIDE_SQL)
 def pivot_bead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = model.traces(spark, sf_dir).filter(F.col("trace_id").between(1, 5))
-    return reshape.wide(few, "idx", "trace_id", "x", list(range(1, 6)), "x")
+    means = model.dwells(spark, sf_dir).groupBy("trace_id", "from_state").agg(q(F.avg("x")).alias("x"))
+    return reshape.wide(means, "trace_id", "from_state", "x", list(STATES), "x")
 
 
-@query("SELECT idx, 'x_' || trace_id AS trace_id, x FROM trace WHERE trace_id BETWEEN 1 AND 5")
+@query(f"SELECT trace_id, 'x_' || from_state AS state, {sq('avg(x)')} AS x FROM dwell GROUP BY trace_id, from_state")
 def unpivot_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.long(pivot_bead(spark, sf_dir), "idx")
+    return reshape.long(pivot_bead(spark, sf_dir), "trace_id", "state")
 
 
-@query("SELECT trace_id, idx, x, 'first' AS part, NULL::BIGINT AS more FROM trace WHERE idx < 5 UNION ALL SELECT trace_id, idx, x, NULL, trace_id FROM trace WHERE idx >= 60")
+@query("SELECT trace_id, idx, x, 'low' AS part, NULL::BIGINT AS more FROM trace WHERE x < 50 UNION ALL SELECT trace_id, idx, x, NULL, trace_id FROM trace WHERE x >= 50")
 def union_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = model.traces(spark, sf_dir)
-    return reshape.stacked([t.filter("idx < 5").withColumn("part", F.lit("first")), t.filter("idx >= 60").withColumn("more", F.col("trace_id"))])
+    return reshape.stacked([t.filter("x < 50").withColumn("part", F.lit("low")), t.filter("x >= 50").withColumn("more", F.col("trace_id"))])
 
 
-@query("SELECT idx, a.x AS a, b.x AS b FROM (SELECT idx, x FROM trace WHERE trace_id = 1) a FULL JOIN (SELECT idx, x FROM trace WHERE trace_id = 2) b USING (idx)")
+@query(f"SELECT idx, {sq('a.x')} AS a, {sq('b.x')} AS b FROM (SELECT idx, avg(x) AS x FROM trace WHERE x < 50 GROUP BY idx) a FULL JOIN (SELECT idx, avg(x) AS x FROM trace WHERE x >= 50 GROUP BY idx) b USING (idx)")
 def join_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = model.traces(spark, sf_dir)
-    one, two = (reshape.one_trace(t, "trace_id", i).select("idx", F.col("x").alias(n)) for i, n in ((1, "a"), (2, "b")))
+    one, two = (t.filter(c).groupBy("idx").agg(q(F.avg("x")).alias(n)) for c, n in (("x < 50", "a"), ("x >= 50", "b")))
     return reshape.side_by_side([one, two], "idx")
 
 
