@@ -7,6 +7,7 @@ session without that setting gets a temporary folder.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILE_ROWS, LEAST_FILES = 250_000, 6  #: rows in a file of a narrow table, where their number is known
 BATCH_ROWS = 256  #: rows in an Arrow batch, so that long texts stay bounded
 SPACE = r"\x20\x09-\x0D"
 
@@ -31,8 +33,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again, which cuts its lineage."""
+def stored(df: DataFrame, name: str, path: str | None = None, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again, which cuts its lineage.
+
+    ``rows``, a bound on the rows of a narrow table, keeps it from many small files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, math.ceil(rows / FILE_ROWS)))
     path = path or shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
