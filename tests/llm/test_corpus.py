@@ -245,6 +245,24 @@ def test_host_votes_correct_a_page():
     assert html_text.extract(odd, html_text.vote(usual)[0][0]) == "brief"
 
 
+def test_noise_words_leave_the_article():
+    body, own = "<p>" + "main text " * 40 + "</p>", "main text " * 39 + "main text"
+    for name in ("content has-sidebar", "layout-sidebar-right", "post comments-open", "elementor-widget elementor-widget-text-editor", "page no-ads", "sidebar-wrap", "story-share-wrap", "site-header"):
+        page = f"<body><div class='{name}'>{body}</div><div class='x'><p>small print</p></div></body>"
+        assert html_text.extract(page, None) == own, name
+    for name in ("sidebar", "widget", "elementor-widget-share-buttons", "comments", "cookie-notice", "related-posts"):
+        page = f"<body><div class='x'><article>{body}</article><div class='{name}'><article class='comment'><p>" + "other " * 200 + "</p></article></div></div></body>"
+        assert html_text.extract(page, None) == own, name
+    assert html_text.extract(f"<body><div class='story-menu'><main>{body}</main></div></body>", None) == own
+    assert html_text.extract("<body><div class='cookie-notice'><p>We use cookies.</p></div></body>", None) == ""
+    assert html_text.extract("<body><div class='ad'><p>short ad</p></div><div class='x'><p>Text</p><div class='comments'><p>" + "other " * 90 + "</p></div></div></body>", None) == "Text"
+
+
+def test_figures_keep_their_text():
+    page = "<body><article><p>before</p><figure><img src='a'><video>no</video><table><tr><td>1</td><td>2</td></tr></table><pre>code()</pre><figcaption>A caption</figcaption></figure><p>after</p></article></body>"
+    assert html_text.extract(page, None) == "before\n\n1 2\n\ncode()\n\nA caption\n\nafter"
+
+
 # 7 near duplicates
 
 def test_near_duplicates_equal_brute_force(spark):

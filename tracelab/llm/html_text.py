@@ -28,7 +28,7 @@ SALTS = 32  #: parts that each host's pages are dealt to where there are more ho
 DEPTH = 150  #: elements nested deeper are taken as part of the one at this depth
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
-SKIPPED = frozenset("head nav aside footer form button select menu dialog figure object canvas audio video".split()) | RAW
+SKIPPED = frozenset("head nav aside footer form button select menu dialog object canvas audio video".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 #: Tags whose open element ends where another of the group begins.
@@ -38,6 +38,14 @@ _WHOLE = re.compile(r"(?:[^\"']|\"[^\"]*\"|'[^']*')*")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|captcha|cookies?|consent|comments?|disqus|footer|gdpr|masthead|menus?|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[-_\s\d])", re.I)
 _HEADER = re.compile(r"(?:^|[-_\s])(?:header|site-?head|topbar)(?:$|[-_\s\d])", re.I)
+#: Words that also name wrappers of a whole page; the others name its parts.
+_LAYOUT = re.compile(r"(?:^|[-_])(?:banner|masthead|menus?|nav\w*|notices?|promo\w*|sidebar|social|toolbar|widgets?)(?:$|[-_\d])", re.I)
+#: What readers write can be far longer than a short article, so all text of a page has to be in it.
+_TALK = re.compile(r"(?:^|[-_])(?:comments?|disqus|repl(?:y|ies))(?:$|[-_\d])", re.I)
+#: Names that tell what a page has or how it is laid out, and a page builder's own prefix.
+_FLAG = re.compile(r"(?:^|[-_])(?:has|no|with|without|layout)(?:[-_]|$)|[-_](?:open|closed|enabled|disabled)$", re.I)
+_BUILDER = re.compile(r"^elementor(?:-widget)?(?:-|$)", re.I)
+LEAST_TEXT = 250  #: characters that make an element with a noise word the main text, where it isn't an article
 _SPACE = re.compile(r"\s+")
 
 
@@ -50,6 +58,11 @@ class Node:
     header: bool = False
     depth: int = 0
     score: float = 0.0
+    word: str = ""  # the noise word's name; without it noise comes from the tag or from being hidden
+    text: int = 0  # characters outside links and noise that isn't by word
+    longest: int = 0  # those of the longest article or main inside
+    articles: int = 0
+    main: bool = False
     parts: list = field(default_factory=list)  # text, None for a break, or a node
 
 
@@ -65,9 +78,43 @@ def _attributes(raw: str) -> tuple[str, str, bool]:
     return classes, names, hidden
 
 
+def _first(pattern: re.Pattern, names: str) -> str:
+    """The first of some names that holds a word of ``pattern`` and is no layout flag."""
+    for name in names.split():
+        if not _FLAG.search(name) and pattern.search(own := _BUILDER.sub("", name)):
+            return own
+    return ""
+
+
+def _weigh(x: Node) -> None:
+    for part in x.parts:
+        if isinstance(part, str):
+            x.text += len(part.strip())
+        elif part is not None and (part.word or not part.noise) and part.tag != "a":
+            _weigh(part)
+            x.text += part.text
+            x.longest, x.articles, x.main = max(x.longest, part.longest), x.articles + part.articles, x.main or part.main
+    if x.tag in ("article", "main") and not x.word and x.text:
+        x.longest, x.articles, x.main = max(x.longest, x.text), x.articles + 1, x.main or x.tag == "main"
+
+
+def _restore(x: Node, root: Node, around: int = 0) -> None:
+    """Takes back noise words of elements that hold the main text: a main, the article, or most of the text."""
+    around += x.tag in ("article", "main") and not x.word and x.text > 0
+    for part in x.parts:
+        if isinstance(part, Node) and part.tag != "a":
+            if part.noise and part.word or part.header and part.tag != "header":
+                alone = root.articles == around + part.articles and part.text >= LEAST_TEXT
+                share = 0.5 if part.header or _LAYOUT.search(part.word) else 0.999 if _TALK.search(part.word) else 0.9
+                if part.main or 2 * part.longest > root.text or alone and part.text > share * root.text:
+                    part.noise = part.header = False
+            if not part.noise:
+                _restore(part, root, around)
+
+
 def parse(page: str) -> Node:
     """The elements of a page with their texts; end tags may be left out, and odd ones are passed over."""
-    root = Node("", "", None, False)
+    root, doubt = Node("", "", None, False), False
     at, here, pos, size = 0, root, 0, page.rfind(">") + 1
     while True:
         m = _MARKUP.search(page, pos, size)
@@ -111,8 +158,11 @@ def parse(page: str) -> Node:
             continue
         classes, names, hidden = _attributes(inside) if inside else ("", "", False)
         step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes.split()})])
-        header = tag == "header" or bool(names and _HEADER.search(names))
-        node = Node(tag, f"{here.path}>{step}", here, tag in SKIPPED or hidden or bool(names and tag not in ("html", "body", "article", "main") and _NOISE.search(names)), header, here.depth + 1)
+        header = tag == "header" or bool(names and _first(_HEADER, names))
+        fixed = tag in SKIPPED or hidden
+        word = _first(_NOISE, names) if names and not fixed and tag not in ("html", "body") else ""
+        node = Node(tag, f"{here.path}>{step}", here, fixed or bool(word and tag not in ("article", "main")), header, here.depth + 1, word=word)
+        doubt |= node.noise and not fixed or header and tag != "header"
         here.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s>/])[^>]*>?", re.I).search(page, at)
@@ -120,6 +170,9 @@ def parse(page: str) -> Node:
             continue
         if not inside.endswith("/"):
             here = node
+    if doubt:
+        _weigh(root)
+        _restore(root, root)
     return root
 
 
