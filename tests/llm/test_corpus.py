@@ -263,6 +263,19 @@ def test_figures_keep_their_text():
     assert html_text.extract(page, None) == "before\n\n1 2\n\ncode()\n\nA caption\n\nafter"
 
 
+def test_nested_articles_are_whole(spark):
+    text, links = "<p>" + "body text " * 30 + "</p>", "<ul>" + "<li><a href='/'>a link to more</a></li>" * 9 + "</ul>"
+    lead, rest = "<div class='lead'><p>A lead that says what follows.</p></div>", f"<div class='body'>{text}</div><section class='end'><p>And so it all came to its end.</p></section>"
+    want = "\n\n".join(["Title", "A lead that says what follows.", ("body text " * 30).strip(), "And so it all came to its end."])
+    pages = [f"<body><div class='page'><article><h1>Title</h1>{lead}{rest}</article>{links}</div></body>"] * 3
+    hosts = ["a.b"] * 3 + ["c.d"] * 6
+    pages += [f"<body><div class='page'><div class='post'><h1>Title</h1>{lead}{rest}</div><div class='more'>{links}</div></div></body>"] * 2
+    pages += [f"<body><div class='page'><div class='post'><div class='body'>{text}</div></div><div class='more'>{links}</div></div></body>"] * 4
+    d = spark.createDataFrame([(f"http://{h}/{i}", p) for i, (h, p) in enumerate(zip(hosts, pages, strict=True))], "url string, html string")
+    got = {r["url"][-1]: r["text"] for r in html_text.main_text(d).collect()}
+    assert [got[str(i)] for i in range(9)] == [want] * 5 + [("body text " * 30).strip()] * 4
+
+
 # 7 near duplicates
 
 def test_near_duplicates_equal_brute_force(spark):

@@ -2,7 +2,8 @@
 
 First every page's containers are scored by the text of their own paragraphs,
 and the best ones vote for their generalised path of tags and classes. Spark
-adds up the votes per host. Then each page is read again and its text is taken
+adds up the votes per host. The winner is lifted to the article around it, or to
+an ancestor that adds headings or paragraphs. Then each page is read again and its text is taken
 from the elements on its host's winning path; a page without such an element,
 or without text in it, falls back to its own best container.
 """
@@ -45,6 +46,9 @@ _TALK = re.compile(r"(?:^|[-_])(?:comments?|disqus|repl(?:y|ies))(?:$|[-_\d])",
 #: Names that tell what a page has or how it is laid out, and a page builder's own prefix.
 _FLAG = re.compile(r"(?:^|[-_])(?:has|no|with|without|layout)(?:[-_]|$)|[-_](?:open|closed|enabled|disabled)$", re.I)
 _BUILDER = re.compile(r"^elementor(?:-widget)?(?:-|$)", re.I)
+PARAGRAPHS = frozenset("p pre blockquote li dd td figcaption h1 h2 h3 h4 h5 h6".split())
+LEAST_PARAGRAPH, LINKS = 25, 0.25  #: characters of paragraphs that lift a path, and the largest share of links beside them
+LIFTED = 0.1  #: share of a path's votes from pages where it is lifted as far, which lifts it for the host
 LEAST_TEXT = 250  #: characters that make an element with a noise word the main text, where it isn't an article
 _SPACE = re.compile(r"\s+")
 
@@ -231,11 +235,43 @@ def _score(root: Node) -> list[Node]:
     return sorted((x for x in found if x.score > 0), key=lambda x: -x.score)
 
 
-def vote(page: str) -> list[tuple[str, float]]:
-    """Paths that a page votes for, with shares that add up to 1."""
+def _lifted(node: Node) -> Node:
+    """The article around ``node``, else its furthest ancestor below the body that adds article text.
+
+    That is a headline, or paragraphs, and few links beside them.
+    """
+    best = below = node
+    plain = links = good = 0
+
+    def add(x: Node, link: bool, block: Node, article: bool) -> None:
+        nonlocal plain, links, good
+        for part in x.parts:
+            if isinstance(part, str):
+                n = len(part.strip())
+                if link:
+                    links += n
+                else:
+                    plain += n
+                    if block.tag in PARAGRAPHS:
+                        good += n if block.tag not in ("h1", "h2") else n and LEAST_PARAGRAPH
+            elif part is not None and part is not below and not part.noise and not (part.header and not article):
+                add(part, link or part.tag == "a", part if part.tag in BLOCKS else block, article or part.tag in ("article", "main"))
+
+    while below.tag not in ("article", "body", "html", "") and (up := below.parent) is not None and up.tag not in ("body", "html", ""):
+        add(up, False, up, up.tag in ("article", "main"))
+        if up.tag == "article":
+            return up
+        if good >= LEAST_PARAGRAPH and links <= LINKS * (plain + links):
+            best, plain, links, good = up, 0, 0, 0
+        below = up
+    return best
+
+
+def vote(page: str) -> list[tuple[str, float, str]]:
+    """Paths that a page votes for, with shares that add up to 1, and where each is lifted to."""
     best = _score(parse(page))[:VOTES]
     total = sum(x.score for x in best)
-    return [(x.path, x.score / total) for x in best]
+    return [(x.path, x.score / total, _lifted(x).path) for x in best]
 
 
 def extract(page: str, path: str | None) -> str:
@@ -254,7 +290,7 @@ def extract(page: str, path: str | None) -> str:
         find(root)
     if not blocks:
         best = _score(root)
-        blocks = _blocks(best[0]) if best else []
+        blocks = _blocks(_lifted(best[0])) if best else []
     return "\n\n".join(blocks)
 
 
@@ -263,18 +299,21 @@ def host_of(url: str = "url") -> Column:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html_: str = "html") -> DataFrame:
-    """host, path: the path with most votes of each host; ties go to the shorter, then the first path."""
+    """host, path: the path with most votes of each host, lifted; ties go to the shorter, then the first path."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, path, share) for h, page in zip(batch["host"], batch["html"], strict=True) for path, share in vote(page)]
-            yield pd.DataFrame(rows, columns=["host", "path", "share"])
+            rows = [(h, *v) for h, page in zip(batch["host"], batch["html"], strict=True) for v in vote(page)]
+            yield pd.DataFrame(rows, columns=["host", "path", "share", "lifted"])
 
-    voted = pages.select(host_of(url).alias("host"), F.coalesce(F.col(html_), F.lit("")).alias("html")).mapInPandas(score, "host string, path string, share double")
+    voted = pages.select(host_of(url).alias("host"), F.coalesce(F.col(html_), F.lit("")).alias("html")).mapInPandas(score, "host string, path string, share double, lifted string")
     # Sums of rounded shares don't depend on the order in which tasks end.
-    counted = voted.groupBy("host", "path").agg(F.sum(F.round(F.col("share") * 1e6).cast("long")).alias("votes"))
+    each = voted.groupBy("host", "path", "lifted").agg(F.sum(F.round(F.col("share") * 1e6).cast("long")).alias("n"))
+    each = each.withColumn("votes", F.sum("n").over(Window.partitionBy("host", "path")))
+    far = F.min(F.when(F.col("n") >= LIFTED * F.col("votes"), F.struct(F.length("lifted"), "lifted")))["lifted"]
+    counted = each.groupBy("host", "path", "votes").agg(F.coalesce(far, F.col("path")).alias("lifted"))
     first = Window.partitionBy("host").orderBy(F.desc("votes"), F.length("path"), "path")
-    return counted.withColumn("n", F.row_number().over(first)).filter("n = 1").select("host", "path")
+    return counted.withColumn("n", F.row_number().over(first)).filter("n = 1").select("host", F.col("lifted").alias("path"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html_: str = "html") -> DataFrame:
