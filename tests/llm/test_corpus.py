@@ -324,6 +324,38 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert [got[i] for i in range(14)] == want and len(set(want)) < 14
 
 
+def test_pairs_of_one_band_are_compared_in_large_buckets(spark, monkeypatch):
+    for name, value in (("LARGE", 3), ("CHUNK", 4), ("BLOCK", 5), ("LEAST_AGREE", near_dup.ROWS)):
+        monkeypatch.setattr(near_dup, name, value)
+    rng, texts, near = np.random.default_rng(12), [], 0
+    for _ in range(100):  # pairs of about 0.6; others share a passage
+        x = [f"w{i}" for i in range(50)] + [f"u{i}" for i in rng.integers(0, 10**6, 70)]
+        y = list(x)
+        for k in rng.choice(np.arange(52, 118), 6, replace=False):
+            y[k] = f"e{rng.integers(10**6)}"
+        texts += [" ".join(x), " ".join(y)]
+    d = docs(spark, texts)
+    idf = near_dup.frequencies(d)
+    sets = [np.sort(near_dup.shingles([t])[0]) for t in texts]
+    samples = {r["doc"]: np.array(r["samples"]) for r in near_dup.signatures(d.select(F.col("doc_id").alias("doc"), "text"), idf).collect()}
+    same = np.array([[(samples[i] == samples[j]).reshape(near_dup.BANDS, near_dup.ROWS).all(axis=1) for j in range(200)] for i in range(200)])
+    want = list(range(200))
+    for i, j in np.argwhere(np.tril(same.any(axis=2), -1)):
+        if near_dup.similarity(sets[i], sets[j], idf) >= 0.5:
+            want[i] = want[j] = min(want[i], want[j])
+            near += same[i, j].sum() == 1 and same[i][:, same[i, j]].sum() > 4
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(d, least=0.5).collect()}
+    assert near and [got[i] for i in range(200)] == want
+
+
+def test_rows_with_partners():
+    rng = np.random.default_rng(13)
+    samples, label = rng.integers(0, 3, (150, 30)), rng.integers(0, 60, 150)
+    agree = (samples[:, None] == samples[None]).sum(axis=2) >= 17
+    want = (agree & (label[:, None] != label[None])).any(axis=1)
+    assert (near_dup.partnered(samples, label, 17) == want).all() and 0 < want.sum() < 150
+
+
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(8)
     h = rng.integers(0, 2**32, 300, dtype=np.uint32)

@@ -14,8 +14,10 @@ with the first one. Pairs of a bucket that are still in different components
 after that are compared in groups of bounded size, of which only the links that
 join parts go on; so a bucket of a thousand copies of a text costs a thousand
 comparisons, and no link is lost.
-Buckets of more than ``LARGE`` documents, whose members mostly share just a
-common passage, are first split by agreement on a second band.
+Of buckets with more than ``LARGE`` documents, whose members mostly share just a
+common passage, all pairs' samples are compared first, and only documents that
+agree on enough samples with one of another component go on; where many do,
+they are compared with further members of the bucket before.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelab.llm.common import small_batches, stored, table, text_or_empty
 from tracelab.llm.components import components
@@ -38,7 +39,8 @@ BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
 FREQUENCY_BITS = 18  #: buckets of the table of document frequencies
 TABLE_BITS = 14  #: entries of the tables of random values for each sample
-LARGE, CHUNK = 4096, 256
+LARGE, CHUNK, BLOCK = 4096, 256, 2048
+ROUNDS = 3  #: further members that those of a large bucket are compared with
 BROADCAST_ROWS = 2_000_000  #: ids (8 bytes each) that are broadcast; more are joined by a shuffle
 #: Samples that have to agree for a comparison: 4 standard deviations below the mean at the threshold.
 LEAST_AGREE = math.floor(SAMPLES * SIMILARITY - 4 * math.sqrt(SAMPLES * SIMILARITY * (1 - SIMILARITY)))
@@ -240,19 +242,52 @@ def similar_pairs(sets: list[np.ndarray], idf: np.ndarray, least: float, columns
     return out
 
 
+def _dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """Members in groups (bucket, i, j) of two chunks each, or of one; ``chunks`` is the number of their bucket."""
+    cut = members.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return other.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "label", *columns)
+
+
+def _in_chunks(members: DataFrame, size: int) -> DataFrame:
+    """``members`` with the number of chunks of about ``size`` that their bucket is cut into."""
+    return members.join(members.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks")), "bucket")
+
+
+def partnered(samples: np.ndarray, label: np.ndarray, least: int, rows: int = 64) -> np.ndarray:
+    """Whether each row agrees on ``least`` samples or more with a row of another label; at most 32,767 rows."""
+    own = np.stack([np.unique(x, return_inverse=True)[1].astype(np.int16) for x in samples.T])
+    label, out = np.unique(label, return_inverse=True)[1].astype(np.int16), np.zeros(len(samples), bool)
+    for x in range(0, len(samples), rows):
+        agree = np.zeros((len(label[x : x + rows]), len(samples) - x), np.uint8)
+        for k in own:
+            agree += k[x : x + rows, None] == k[None, x:]
+        near = (agree >= least) & (label[x : x + rows, None] != label[None, x:])
+        out[x : x + rows] |= near.any(axis=1)
+        out[x:] |= near.any(axis=0)
+    return out
+
+
+def _partnered(members: DataFrame, signed: DataFrame, name: str, rows: int) -> DataFrame:
+    """The members (bucket, doc, label) that agree on enough samples with one of another component in their bucket."""
+
+    def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        good = partnered(np.stack(rows["samples"].to_numpy()), rows["label"].to_numpy(), LEAST_AGREE)
+        return rows.loc[good, ["bucket", "doc", "label"]]
+
+    dealt = _dealt(_in_chunks(members, BLOCK).join(signed, "doc"), "samples")
+    return stored(dealt.groupBy("bucket", "i", "j").applyInPandas(find, "bucket long, doc long, label long").distinct(), name, rows=rows)
+
+
 def _open_links(members: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """Links (a, b) between members of a bucket that are in different components.
 
-    ``members`` has bucket, doc, label, samples, shingles. A bucket is cut into
-    chunks of about ``CHUNK``, and every two chunks of it make a group. Pairs
-    that agree on enough samples are compared in full; of the links found, a
+    ``members`` has bucket, doc, label, chunks, samples, shingles. A bucket is cut
+    into its number of chunks, and every two chunks of it make a group. Pairs that agree on enough samples are compared in full; of the links found, a
     group gives those that join its parts, at most one less than its members.
     """
     sent = members.sparkSession.sparkContext.broadcast(idf)
-    sized = members.select("bucket", "doc", "label", "samples", "shingles", F.ceil(F.count("*").over(Window.partitionBy("bucket")) / CHUNK).cast("int").alias("chunks"))
-    cut = sized.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = other.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "label", "samples", "shingles")
+    dealt = _dealt(members, "samples", "shingles")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc")
@@ -315,9 +350,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed_buckets = stored(labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("n").alias("n")).filter("least <> most"), "open-buckets", rows=entry_rows)
     open_rows = stored(labelled.drop("n").join(mixed_buckets.select("bucket", "n"), "bucket"), "open-rows", rows=entry_rows)
     small = open_rows.filter(F.col("n") <= LARGE).select("bucket", "doc", "label")
-    second = open_rows.filter(F.col("n") > LARGE).join(entries.withColumnRenamed("bucket", "other"), "doc").filter("other <> bucket")
-    second = second.select(F.xxhash64("bucket", "other").alias("bucket"), "doc", "label")
-    members = stored(small.unionByName(second), "open-members", rows=entry_rows)
+    large = open_rows.filter(F.col("n") > LARGE).select("bucket", "doc", "label")
+    if not large.isEmpty():
+        large = _partnered(large, signed, "partnered", entry_rows)
+        for turn in range(ROUNDS):
+            pivots = large.groupBy("bucket").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot"), F.count("*").alias("n")).filter(F.col("n") > LARGE)
+            further = large.join(pivots, "bucket").filter("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+            if further.isEmpty():
+                break
+            links = links.unionByName(_linked(further, texts, idf, least, f"links-{turn}", entry_rows))
+            labels = components(links)
+            again = large.drop("label").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+            large = _partnered(again, signed, f"partnered-{turn}", entry_rows)
+    members = stored(_in_chunks(small, CHUNK).unionByName(_in_chunks(large, CHUNK)), "open-members", rows=entry_rows)
     own = _shingles_of(members.select("doc").distinct(), texts, "open-shingles", entry_rows)
     more = stored(_open_links(members.join(signed, "doc").join(own, "doc"), idf, least), "more-links")
     if not more.isEmpty():
