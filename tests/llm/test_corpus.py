@@ -123,6 +123,22 @@ def test_tagger_finds_held_out_examples():
     assert hit / total > 0.95 and extra <= 2
 
 
+def test_addresses_behind_a_digit():
+    net, address = personal_data.default_tagger(), "jane.miller (at) example-hosting (dot) com"
+    before, after = "and so we went on to see what they had in the other house that day when it was late " * 3, " and then the rest of it came"
+    texts = [f"{before} room 7 {before[:d]} {address}{after}" for d in range(70)]
+    for text in texts:
+        starts = personal_data.window_starts(text)
+        spots = {(m.start(), m.end()) for m in re.finditer(r"[0-9]|\(at\)", text)}
+        for a, b in spots:
+            covered = {i for s in starts for i in range(s, s + personal_data.WINDOW)}
+            assert set(range(max(0, a - 40), min(len(text), b + 40))) <= covered
+    x = texts[0].index(address)
+    alone = [t[1] for t in personal_data.find_all(texts, net)]
+    want = [[("email", t.index(address), t.index(address) + len(address))] for t in texts]
+    assert x and sum(w[0] in g for g, w in zip(alone, want, strict=True)) == len(texts)
+
+
 def test_tagger_gradients():
     net = personal_data.Tagger.new()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -29,7 +29,9 @@ from tracelab.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
-WINDOW, STEP, MARGIN = 80, 56, 12
+WINDOW, STEP = 80, 56
+STRIDE = 20  #: from window to window of a text, so that a span of 60 characters is whole in one
+REACH, FAR = 40, 64  #: characters decoded on both sides of a digit, and of an at sign
 CHARACTERS, EMBEDDING, HIDDEN = 130, 10, 16
 EXAMPLES, EPOCHS, BATCH, RATE, SEED = 1500, 6, 48, 0.02, 17
 
@@ -42,6 +44,7 @@ _DIGIT = re.compile(r"[0-9]")
 _AT = r"\s?[\[(]\s?at\s?[\])]\s?"
 _TRIGGER = re.compile(rf"[0-9@]|{_AT}", re.I)
 _DOT = re.compile(r"\s?[\[(]\s?dot\s?[\])]\s?", re.I)
+_OPEN = re.compile(rf"{_TRIGGER.pattern}|{_DOT.pattern}", re.I)
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 Span = tuple[str, int, int]
@@ -330,17 +333,25 @@ def default_tagger() -> Tagger:
 
 
 def window_starts(text: str) -> list[int]:
-    """Where windows begin: every ``STEP`` characters over the stretches that can hold a span."""
-    out, until = [], 0
-    for m in _TRIGGER.finditer(text):
-        if m.end() + MARGIN > until:
-            start = max(m.start() - WINDOW // 2, 0) if not out or m.start() - until > WINDOW else out[-1] + STEP
-            while True:
-                out.append(start)
-                until = start + WINDOW
-                if until >= m.end() + MARGIN:
-                    break
-                start += STEP
+    """Where windows begin: every ``STRIDE`` characters over the stretches that can hold a span.
+
+    A stretch goes ``REACH`` characters to both sides of a digit and ``FAR`` to
+    those of an at sign; a dot in words inside it takes it on.
+    """
+    out, until, stretch = [], 0, 0
+    for m in _OPEN.finditer(text):
+        digit, dot = m[0].isdigit(), not m[0].isdigit() and "@" not in m[0] and "dot" in m[0].lower()
+        reach = REACH if digit or dot else FAR
+        if dot and m.start() > stretch:
+            continue
+        stretch = max(stretch, m.end() + reach)
+        first = max(m.start() - reach, 0)
+        if not out or first > until:
+            out.append(first)
+            until = first + WINDOW
+        while until < min(stretch, len(text)):
+            out.append(out[-1] + STRIDE)
+            until = out[-1] + WINDOW
     return out
 
 
