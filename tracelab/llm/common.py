@@ -11,12 +11,14 @@ import math
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FILE_ROWS, LEAST_FILES = 250_000, 6  #: rows in a file of a narrow table, where their number is known
 BATCH_ROWS = 256  #: rows in an Arrow batch, so that long texts stay bounded
@@ -45,8 +47,79 @@ def stored(df: DataFrame, name: str, path: str | None = None, rows: int | None =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one run, deleted one by one when no later step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, shared_dir(spark, name), {}
+
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df`` stored under ``name``; an older table of that name goes once the new one is whole."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        out = stored(df, name, path, rows)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark._jvm
+        for path in filter(None, (self.paths.pop(n, None) for n in names)):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lowers the session's rows in an Arrow batch, for good: plans read the setting when they run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if not 0 < held <= rows:
+        spark.conf.set(name, str(rows))
+
+
+ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def batch_of(schema: str, columns: list) -> pa.RecordBatch:
+    """A batch of the columns of a schema such as "doc_id long, text string"; None is null."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(v, ARROW[k]) for v, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def appended(df: DataFrame, made: str, find: Callable, reads: list[str], without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns of ``made`` computed by ``find`` from Arrow arrays of the columns ``reads``.
+
+    All other columns pass through as Arrow arrays, so neither nulls nor large
+    integers change on the way. Columns named in ``made`` are replaced, those
+    named in ``without`` left out.
+    """
+    added = [c.split()[0] for c in made.split(", ")]
+    fields = [f for f in df.schema if f.name not in {*added, *without}]
+    kept = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = batch_of(made, find(*(batch.column(c) for c in reads)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new.columns], names=[*kept, *added])
+
+    return df.mapInArrow(run, StructType(fields + StructType.fromDDL(made).fields))
+
+
+HOT_KEYS = 50_000  #: keys at most that are taken out of a shuffle and broadcast
+
+
+def with_sizes(rows: DataFrame, key: str, n: str, total: str, many: int) -> DataFrame:
+    """``rows`` with the sum of ``n`` over all rows of the same ``key`` as ``total``.
+
+    Keys with more than ``many`` rows and more than 1/``HOT_KEYS`` of ``rows``,
+    of which there are at most ``HOT_KEYS``, get their sum by a broadcast; the
+    others are joined by a shuffle in which no key is large.
+    """
+    sums = rows.groupBy(key).agg(F.sum(n).alias(total), F.count("*").alias("__rows"))
+    limit = max(many, rows.count() // HOT_KEYS)
+    hot = sums.filter(F.col("__rows") > limit).select(key, total)
+    large = rows.join(F.broadcast(hot), key)
+    small = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sums.filter(F.col("__rows") <= limit).select(key, total), key)
+    return large.unionByName(small)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

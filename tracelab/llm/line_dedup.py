@@ -3,9 +3,10 @@
 Spark counts the documents of each distinct line hash. The repeated ones are
 dealt to shards of about ``SHARD_KEYS``; a task builds a minimal perfect hash
 for each shard and writes it as a file with three arrays in its order:
-fingerprints, counts and first documents. Tasks over the documents then probe
-these arrays by number; lines are never joined. A task holds a few shards at a
-time, whatever the size of the index.
+fingerprints, counts and first documents. The hashes of the documents' lines
+then go to the tasks of their shards and probe these arrays by number; lines
+are never joined. A task holds one shard at a time and opens it once, whatever
+the size of the index. What a document loses comes back to it as line numbers.
 
 A line is known by two 64-bit hashes of its key: the first places it, the
 second is its fingerprint, so a line that isn't in the index is told apart with
@@ -16,19 +17,19 @@ from __future__ import annotations
 
 import io
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import new_file, read_range, shared_dir, small_batches, stored, table, text_or_empty
+from tracelab.llm.common import Scratch, appended, batch_of, new_file, read_range, shared_dir, small_batches, stored, table, text_or_empty
 
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 17
-HELD_SHARDS = 8
+SPREAD = 8  #: tasks that the hashes of a shard are dealt to
 TRIMMED = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_DOC = (1 << 63) - 1  #: stands for a null doc_id, which is one document and the last
@@ -81,45 +82,51 @@ class PerfectHash:
         return out
 
 
-def _write_shard(path: str, h1: np.ndarray, h2: np.ndarray, count: np.ndarray, first: np.ndarray) -> None:
-    mph = PerfectHash.build(h1)
-    order = np.argsort(mph.index(h1))
-    data = io.BytesIO()
-    np.savez(data, sizes=mph.sizes, bits=np.packbits(mph.bits), n_bits=len(mph.bits), rest=mph.rest, fingerprint=h2[order].astype(np.uint64), count=count[order].astype(np.uint32), first=first[order].astype(np.int64))
-    with new_file(path) as out:
-        out.write(data.getvalue())
+class Shard:
+    """Perfect hash of a part of the repeated lines, and its arrays in the order of that hash.
 
+    Keys that share their first hash with another can't be told apart by the
+    perfect hash; all but one of them are kept beside it.
+    """
+
+    ARRAYS = ("fingerprint", "count", "first", "spare_h1", "spare_fingerprint", "spare_count", "spare_first")
 
-class Index:
-    """The shards of one index, read as they are needed; the last few stay in memory."""
+    def __init__(self, mph: PerfectHash, **arrays: np.ndarray):
+        self.mph, self.arrays = mph, arrays
 
-    def __init__(self, path: str, shards: int):
-        self.path, self.shards, self.held = path, shards, OrderedDict()
+    @classmethod
+    def build(cls, h1: np.ndarray, h2: np.ndarray, count: np.ndarray, first: np.ndarray) -> Shard:
+        by = np.lexsort((h2, h1))
+        h1, h2, count, first = (x[by] for x in (h1.astype(np.uint64), h2.astype(np.uint64), count.astype(np.int64), first.astype(np.int64)))
+        spare = np.append(False, h1[1:] == h1[:-1])[: len(h1)]
+        mph = PerfectHash.build(h1[~spare])
+        order = np.argsort(mph.index(h1[~spare]))
+        own = {n: x[~spare][order] for n, x in (("fingerprint", h2), ("count", count), ("first", first))}
+        return cls(mph, **own, **{f"spare_{n}": x[spare] for n, x in (("h1", h1), ("fingerprint", h2), ("count", count), ("first", first))})
+
+    def save(self, path: str) -> None:
+        data, m = io.BytesIO(), self.mph
+        np.savez(data, sizes=m.sizes, bits=np.packbits(m.bits), n_bits=len(m.bits), rest=m.rest, **self.arrays)
+        with new_file(path) as out:
+            out.write(data.getvalue())
 
-    def _shard(self, k: int):
-        if k not in self.held:
-            x = np.load(io.BytesIO(read_range(f"{self.path}/shard-{k:06d}.npz")))
-            mph = PerfectHash(x["sizes"], np.unpackbits(x["bits"], count=int(x["n_bits"])).astype(bool), x["rest"])
-            self.held[k] = mph, x["fingerprint"], x["count"], x["first"]
-            if len(self.held) > HELD_SHARDS:
-                self.held.popitem(last=False)
-        self.held.move_to_end(k)
-        return self.held[k]
+    @classmethod
+    def load(cls, path: str) -> Shard:
+        x = np.load(io.BytesIO(read_range(path)))
+        mph = PerfectHash(x["sizes"], np.unpackbits(x["bits"], count=int(x["n_bits"])).astype(bool), x["rest"])
+        return cls(mph, **{n: x[n] for n in cls.ARRAYS})
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each line: in how many rows it is (0: not repeated), and its first document."""
-        count, first = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64)
-        if not self.shards:
-            return count, first
-        shard = (h1.astype(np.uint64) % np.uint64(self.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        bound = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for k in np.flatnonzero(np.diff(bound)):
-            rows = order[bound[k] : bound[k + 1]]
-            mph, fingerprint, counts, firsts = self._shard(int(k))
-            at = mph.index(h1[rows])
-            hit = (at >= 0) & (fingerprint[at] == h2[rows].astype(np.uint64))
-            count[rows[hit]], first[rows[hit]] = counts[at[hit]], firsts[at[hit]]
+        count, first, a = np.zeros(len(h1), np.int64), np.zeros(len(h1), np.int64), self.arrays
+        h1, h2 = h1.astype(np.uint64), h2.astype(np.uint64)
+        at = self.mph.index(h1)
+        if len(a["fingerprint"]):
+            hit = (at >= 0) & (a["fingerprint"][at] == h2)
+            count[hit], first[hit] = a["count"][at[hit]], a["first"][at[hit]]
+        for k in range(len(a["spare_h1"])):
+            hit = (h1 == a["spare_h1"][k]) & (h2 == a["spare_fingerprint"][k])
+            count[hit], first[hit] = a["spare_count"][k], a["spare_first"][k]
         return count, first
 
 
@@ -132,27 +139,55 @@ def line_hashes(text: Column, min_chars: int = MIN_CHARS) -> tuple[Column, Colum
     return first, second
 
 
-def build_index(docs: DataFrame, path: str) -> int:
+def shard_of(h1: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), h1), F.lit(shards)).cast("int")
+
+
+def build_index(docs: DataFrame, path: str, tables: Scratch) -> int:
     """Writes the shards for the repeated lines of ``docs`` (doc, h1, h2); returns their number."""
     lines = docs.select("doc", F.explode(F.array_distinct(F.arrays_zip("h1", "h2"))).alias("line")).filter("line.h1 is not null")
     found = lines.groupBy(F.col("line.h1").alias("h1"), F.col("line.h2").alias("h2")).agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
-    repeated = stored(found.filter("first < last").select("h1", "h2", "n", "first"), "repeated-lines")
-    # Two keys with one first hash can't share a perfect hash; the chance is that of a 64-bit collision.
-    repeated = repeated.dropDuplicates(["h1"])
-    n = repeated.count()
-    if not n:
+    repeated = tables.keep(found.filter("first < last").select("h1", "h2", "n", "first"), "repeated")
+    shards = math.ceil(repeated.count() / SHARD_KEYS)
+    if not shards:
         return 0
-    shards = math.ceil(n / SHARD_KEYS)
-    sharded = repeated.withColumn("shard", F.expr(f"cast(pmod(cast(h1 as decimal(20,0)) + if(h1 < 0, 18446744073709551616, 0), {shards}) as int)"))
+    dealt = repeated.withColumn("shard", shard_of(F.col("h1"), shards)).repartition(shards, "shard")
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _write_shard(f"{path}/shard-{key[0]:06d}.npz", *(rows[c].to_numpy() for c in ("h1", "h2", "n", "first")))
+        Shard.build(*(rows[c].to_numpy() for c in ("h1", "h2", "n", "first"))).save(f"{path}/shard-{key[0]:06d}.npz")
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)]})
 
-    stored(sharded.groupBy("shard").applyInPandas(write, "shard int, n long"), "line-shards", f"{path}/shards")
+    stored(dealt.groupBy("shard").applyInPandas(write, "shard int, n long"), "line-shards", f"{path}/shards")
+    tables.drop("repeated")
     return shards
 
 
+def probed(lines: DataFrame, path: str, shards: int) -> DataFrame:
+    """The rows of ``lines`` (text_key, doc, n, h1, h2) that go: text_key, doc, n.
+
+    Hashes go to the task of their shard, which opens it once. A shard with
+    very common lines has its hashes dealt to several tasks by the text.
+    """
+    parts = F.pmod(F.col("text_key"), F.lit(SPREAD)).cast("int")
+    dealt = lines.withColumn("shard", shard_of(F.col("h1"), shards)).repartition(max(shards, 1) * SPREAD, "shard", parts).sortWithinPartitions("shard")
+    schema = "text_key long, doc long, n int"
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = -1, None
+        for batch in batches:
+            key, doc, n, h1, h2, part = (batch.column(c).to_numpy() for c in ("text_key", "doc", "n", "h1", "h2", "shard"))
+            for k in np.unique(part):
+                if k != held:
+                    held, shard = k, Shard.load(f"{path}/shard-{k:06d}.npz")
+                own = part == k
+                count, first = shard.probe(h1[own], h2[own])
+                gone = (count > 0) & (first != doc[own])
+                if gone.any():
+                    yield batch_of(schema, [key[own][gone], doc[own][gone], n[own][gone]])
+
+    return dealt.mapInArrow(probe, schema)
+
+
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without the lines that an earlier document has; adds n_lines and n_dropped.
 
@@ -164,35 +199,32 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    h1, h2 = line_hashes(text_or_empty(text), min_chars)
+    tables, whole = Scratch(spark, "line-dedup"), text_or_empty(text)
+    h1, h2 = line_hashes(whole, min_chars)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC))
+    hashed = docs.select(doc.alias("doc"), F.xxhash64(whole).alias("text_key"), h1.alias("h1"), h2.alias("h2"))
     path = shared_dir(spark, "line-index")
-    shards = build_index(docs.select(doc.alias("doc"), h1.alias("h1"), h2.alias("h2")), path)
-    index = Index(path, shards)
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            size = batch["__h1"].map(len).to_numpy(np.int64)
-            h1, h2 = (np.concatenate([np.zeros(0, np.int64), *batch[c]]) for c in ("__h1", "__h2"))
-            long = (h1 != 0) | (h2 != 0)
-            drop = np.zeros(len(h1), bool)
-            count, first = index.probe(h1[long], h2[long])
-            drop[long] = (count > 0) & (first != np.repeat(batch["__doc"].to_numpy(), size)[long])
-            end = np.cumsum(size)
-            dropped = np.append(0, np.cumsum(drop))
-            dropped = dropped[end] - dropped[end - size]
-            texts = batch[text].fillna("").tolist()
-            for i in np.flatnonzero(dropped):
-                gone = drop[end[i] - size[i] : end[i]]
-                texts[i] = "\n".join(line for line, x in zip(texts[i].split("\n"), gone, strict=True) if not x)
-            out = batch.drop(columns=["__doc", "__h1", "__h2"])
-            out[text], out["n_lines"], out["n_dropped"] = texts, size, dropped
-            yield out
-
-    fields = [f for f in docs.schema if f.name not in ("n_lines", "n_dropped")]
-    plain = docs.select(*(f.name for f in fields), doc.alias("__doc"), F.transform(h1, lambda x: F.coalesce(x, F.lit(0))).alias("__h1"), F.transform(h2, lambda x: F.coalesce(x, F.lit(0))).alias("__h2"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines long, n_dropped long"
-    return plain.mapInPandas(probe, schema)
+    shards = build_index(hashed, path, tables)
+    each = hashed.select("doc", "text_key", F.posexplode(F.arrays_zip("h1", "h2")).alias("n", "line")).filter("line.h1 is not null")
+    drops = probed(each.select("text_key", "doc", "n", "line.h1", "line.h2"), path, shards) if shards else spark.createDataFrame([], "text_key long, doc long, n int")
+    gone = tables.keep(drops.groupBy("text_key", "doc").agg(F.collect_set("n").alias("__gone")), "dropped-lines")
+
+    def cut(texts: pa.Array, dropped: pa.Array) -> list[list]:
+        out, sizes, n_dropped = [], [], []
+        for t, drop in zip(texts.to_pylist(), dropped.to_pylist(), strict=True):
+            t = t or ""
+            sizes.append(t.count("\n") + 1)
+            n_dropped.append(len(drop or ()))
+            if drop:
+                drop = set(drop)
+                t = "\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop)
+            out.append(t)
+        return [out, sizes, n_dropped]
+
+    marked = docs.withColumns({"__key": F.xxhash64(whole), "__doc": doc}).join(gone.withColumnsRenamed({"text_key": "__key", "doc": "__doc"}), ["__key", "__doc"], "left")
+    made = appended(marked.withColumn("__text", F.col(text)), "__kept string, n_lines long, n_dropped long", cut, ["__text", "__gone"], ("__key", "__doc", "__gone", "__text", text))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return made.select(*(F.col("__kept").alias(text) if c == text else c for c in kept), "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

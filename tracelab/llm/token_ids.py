@@ -3,8 +3,8 @@
 Each id takes the least number of bits that holds the vocabulary. A file holds
 the ids of a range of documents in ascending order of ``doc_id``: a header,
 blocks of ``BLOCK`` ids each packed into whole 64-bit words, the offset of each
-block, and an index of the documents (id, first id in the file). A reader can
-unpack any block, or the ids of any document, without the rest of the file.
+block, and an index of the documents (id, first id in the file). A reader takes
+the footer and then the blocks of the documents it wants, not the rest.
 """
 
 from __future__ import annotations
@@ -13,20 +13,22 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelab.llm.common import new_file, read_range, shared_dir, small_batches, stored, table, text_or_empty
+from tracelab.llm.common import batch_of, file_system, new_file, shared_dir, small_batches, stored, table, text_or_empty
 
-MAGIC = b"TIDS0001"
-HEADER = struct.Struct("<8sIIQQQ")  # magic, bits, ids in a block, ids, documents, offset of the footer
+MAGIC = b"TIDS0002"
+HEADER = struct.Struct("<8sIIQQQQ")  # magic, bits, ids in a block, ids, documents, those without id, offset of the footer
 BLOCK = 4096
-NO_DOC = -(1 << 63)
+FILE_IDS = 1 << 24  #: ids of a file; a longer document has one for itself
+FILES = "path string, part int, seq int, n_docs long, n_ids long"
 MEMO_ENTRIES = 500_000
 
 # Letters of the Latin blocks; with ASCII they make up the texts for which the
@@ -242,51 +244,62 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write_ids(path: str, docs: Iterator[tuple[int | None, np.ndarray]], bits: int) -> tuple[int, int]:
-    """Writes one file block by block; returns its numbers of documents and ids."""
-    doc_ids, starts, offsets = [], [], []
-    with new_file(path) as out:
-        out.write(HEADER.pack(MAGIC, bits, BLOCK, 0, 0, 0))
-        at, n_ids, held, kept = HEADER.size, 0, [], 0
-
-        def put(ids: np.ndarray) -> None:
-            nonlocal at
-            offsets.append(at)
-            at += out.write(pack(ids, bits))
-
-        for doc_id, ids in docs:
-            doc_ids.append(NO_DOC if doc_id is None else doc_id)
-            starts.append(n_ids)
-            n_ids += len(ids)
-            held.append(ids)
-            kept += len(ids)
-            if kept >= 64 * BLOCK:
-                ids = np.concatenate(held)
-                full = kept // BLOCK * BLOCK
-                for k in range(0, full, BLOCK):
-                    put(ids[k : k + BLOCK])
-                held, kept = [ids[full:]], kept - full
-        ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
+class IdWriter:
+    """Writes one file block by block; ``close`` gives its numbers of documents and ids."""
+
+    def __init__(self, out: BinaryIO, bits: int):
+        self.out, self.bits = out, bits
+        self.doc_ids, self.starts, self.offsets = [], [], []
+        self.nulls, self.n_ids, self.held, self.kept = 0, 0, [], 0
+        self.at = out.write(HEADER.pack(MAGIC, bits, BLOCK, 0, 0, 0, 0))
+
+    def _put(self, ids: np.ndarray) -> None:
         for k in range(0, len(ids), BLOCK):
-            put(ids[k : k + BLOCK])
-        for table_ in (np.array(offsets, "<u8"), np.array(doc_ids, "<i8"), np.array([*starts, n_ids], "<u8")):
-            out.write(table_.tobytes())
-        out.write(HEADER.pack(MAGIC, bits, BLOCK, n_ids, len(doc_ids), at))
-    return len(doc_ids), n_ids
+            self.offsets.append(self.at)
+            self.at += self.out.write(pack(ids[k : k + BLOCK], self.bits))
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """The next document; those with a null id come before all others."""
+        self.nulls += doc_id is None
+        self.doc_ids.append(doc_id or 0)
+        self.starts.append(self.n_ids)
+        self.n_ids += len(ids)
+        self.held.append(ids)
+        self.kept += len(ids)
+        if self.kept >= 64 * BLOCK:
+            ids = np.concatenate(self.held)
+            full = self.kept // BLOCK * BLOCK
+            self._put(ids[:full])
+            self.held, self.kept = [ids[full:]], self.kept - full
+
+    def close(self) -> tuple[int, int]:
+        self._put(np.concatenate([np.zeros(0, np.uint32), *self.held]))
+        for part in (np.array(self.offsets, "<u8"), np.array(self.doc_ids, "<i8"), np.array([*self.starts, self.n_ids], "<u8")):
+            self.out.write(part.tobytes())
+        self.out.write(HEADER.pack(MAGIC, self.bits, BLOCK, self.n_ids, len(self.doc_ids), self.nulls, self.at))
+        return len(self.doc_ids), self.n_ids
 
 
 class IdFile:
-    """Random access to one file; reads the footer once and blocks as they are asked for."""
+    """Random access to one file; reads the footer once, and then just the blocks that are asked for."""
 
     def __init__(self, path: str):
-        self.data = read_range(path)
-        magic, self.bits, self.block, self.n_ids, n_docs, footer = HEADER.unpack(self.data[-HEADER.size :])
+        system, at = file_system(path)
+        self.file = system.open_input_file(at)
+        size = self.file.size()
+        magic, self.bits, self.block, self.n_ids, n_docs, nulls, footer = HEADER.unpack(self.file.read_at(HEADER.size, size - HEADER.size))
         if magic != MAGIC:
             raise ValueError(f"{path} isn't a file of token ids")
-        n_blocks = -(-self.n_ids // self.block)
-        self.offsets = np.frombuffer(self.data, "<u8", n_blocks, footer)
-        self.doc_ids = np.frombuffer(self.data, "<i8", n_docs, footer + 8 * n_blocks)
-        self.starts = np.frombuffer(self.data, "<u8", n_docs + 1, footer + 8 * (n_blocks + n_docs)).astype(np.int64)
+        tables, n_blocks = self.file.read_at(size - HEADER.size - footer, footer), -(-self.n_ids // self.block)
+        self.offsets = np.frombuffer(tables, "<u8", n_blocks)
+        self.doc_ids = [None if k < nulls else d for k, d in enumerate(np.frombuffer(tables, "<i8", n_docs, 8 * n_blocks).tolist())]
+        self.starts = np.frombuffer(tables, "<u8", n_docs + 1, 8 * (n_blocks + n_docs)).astype(np.int64)
+
+    def __enter__(self) -> IdFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
 
     def ids(self, first: int, end: int) -> np.ndarray:
         """Ids ``first`` to ``end`` of the file, from the blocks that hold them."""
@@ -295,78 +308,84 @@ class IdFile:
         b0, b1 = first // self.block, -(-end // self.block)
         size = -(-self.block // 64) * self.bits * 8
         last = -(-(min(self.n_ids, b1 * self.block) - (b1 - 1) * self.block) // 64) * self.bits * 8
-        data = self.data[int(self.offsets[b0]) : int(self.offsets[b0]) + size * (b1 - b0 - 1) + last]
+        data = self.file.read_at(size * (b1 - b0 - 1) + last, int(self.offsets[b0]))
         ids = unpack(data, self.bits, min(self.n_ids, b1 * self.block) - b0 * self.block)
         return ids[first - b0 * self.block : end - b0 * self.block]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def each(self) -> Iterator[np.ndarray]:
+        """The ids of one document after the other; whole blocks are read, some at a time."""
+        got, lo, hi = np.zeros(0, np.uint32), 0, 0
+        for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
+            if b > hi:
+                lo, hi = a, min(self.n_ids, max(b, a + 256 * BLOCK))
+                got = self.ids(lo, hi)
+            yield got[a - lo : b - lo]
+
 
-def write_token_ids(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_ids(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of every text to files in ``out_dir``, in ascending order of ``doc_id``.
 
     Each text, null taken as empty, is followed by ``end_id``. Documents are
-    dealt to files by range of ``doc_id``; null ids come first, equal ids stay
-    in one file, ordered by text. Returns a row for each file: path, first_doc,
-    n_docs, n_ids. An empty table gives no file. Other columns are left out.
+    dealt to tasks by range of ``doc_id``, those with equal ids by the hash of
+    their text; a task begins a new file when one has ``file_ids`` ids. Null ids
+    come first. Returns a row for each file: path, part, seq, n_docs, n_ids. An
+    empty table gives no file. Other columns are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
     bits = bits_for(encoder(tokenizer).vocabulary)
-    ranged = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, seen = encoder(tokenizer), []
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, task = encoder(tokenizer), TaskContext.get()
 
         def encoded():
             for batch in batches:
-                texts = batch["text"].tolist()
+                docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for k in range(0, len(texts), 32):
-                    for d, ids in zip(batch["doc_id"].iloc[k : k + 32], code.encode(texts[k : k + 32]), strict=True):
-                        d = None if pd.isna(d) else int(d)
-                        if not seen:
-                            seen.append(d)
+                    for d, ids in zip(docs_[k : k + 32], code.encode(texts[k : k + 32]), strict=True):
                         yield d, np.append(ids, np.uint32(end_id))
 
         rows = encoded()
-        first = next(rows, None)
-        if first is None:
-            return
-        path = f"{out_dir}/part-{TaskContext.get().partitionId():06d}.ids"
-
-        def all_rows():
-            yield first
-            yield from rows
-
-        n_docs, n_ids = write_ids(path, all_rows(), bits)
-        yield pd.DataFrame({"path": [path], "first_doc": pd.array(seen, "Int64"), "n_docs": [n_docs], "n_ids": [n_ids]})
-
-    files = ranged.mapInPandas(write, "path string, first_doc long, n_docs long, n_ids long")
-    return stored(files, "token-index", f"{out_dir}/index")
+        following, seq = next(rows, None), 0
+        while following is not None:
+            # a task that runs again writes other files, and the index names those whose rows were kept
+            path = f"{out_dir}/part-{task.partitionId():06d}-{seq:06d}-{task.taskAttemptId()}.ids"
+            with new_file(path) as out:
+                file = IdWriter(out, bits)
+                while following is not None and (not file.n_ids or file.n_ids + len(following[1]) <= file_ids):
+                    file.add(*following)
+                    following = next(rows, None)
+                n_docs, n_ids = file.close()
+            yield batch_of(FILES, [[path], [task.partitionId()], [seq], [n_docs], [n_ids]])
+            seq += 1
+
+    return stored(ranged.mapInArrow(write, FILES), "token-index", f"{out_dir}/index")
 
 
 def read_token_ids(files: DataFrame) -> DataFrame:
-    """Reads the files again: per document doc_id, start, n_tokens and the crc32 of its ids."""
-    starts = F.coalesce(F.sum("n_ids").over(Window.orderBy(F.asc_nulls_first("first_doc"), "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    """Reads the files again: per document doc_id, start, n_tokens and the crc32 of its ids.
+
+    A file's first place is the sum of the ids of those before it; this runs
+    over a row for each file. A task reads a file's footer, then its blocks.
+    """
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.coalesce(F.sum("n_ids").over(before), F.lit(0))
     dealt = files.select("path", starts.cast("long").alias("before")).repartition(max(1, files.count()), "path")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, before in zip(batch["path"], batch["before"], strict=True):
-                f = IdFile(path)
-                doc = [None if d == NO_DOC else int(d) for d in f.doc_ids]
-                crc = []
-                step = 256 * BLOCK  # whole blocks at a time, documents cut out of them
-                got, lo, hi = np.zeros(0, np.uint32), 0, 0
-                for a, b in zip(f.starts[:-1], f.starts[1:], strict=True):
-                    if b > hi:
-                        lo, hi = int(a), min(f.n_ids, max(int(b), int(a) + step))
-                        got = f.ids(lo, hi)
-                    crc.append(zlib.crc32(got[a - lo : b - lo].astype("<u4", copy=False).tobytes()))
-                yield pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "start": before + f.starts[:-1], "n_tokens": np.diff(f.starts), "ids_crc32": np.array(crc, np.int64)})
-
-    return dealt.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                with IdFile(path) as f:
+                    crc = [zlib.crc32(ids.astype("<u4", copy=False).tobytes()) for ids in f.each()]
+                    yield batch_of(schema, [f.doc_ids, start + f.starts[:-1], np.diff(f.starts), np.array(crc, np.int64)])
+
+    return dealt.mapInArrow(read, schema)
 
 
 def default_tokenizer() -> str:

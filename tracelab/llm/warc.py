@@ -11,22 +11,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import new_file, read_range, shared_dir, small_batches, stored, table
+from tracelab.llm.common import batch_of, new_file, read_range, shared_dir, small_batches, stored, table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
-CHUNK = 8 << 20  #: records that begin in the same chunk of a file are read by one task
+CHUNK = 8 << 20  #: records that begin in the same chunk of a file are read by one task; bytes of one read at most
 GAP = 64 << 10  #: a smaller gap between chosen records is read over
 INDEX = "path string, offset long, length long, page_id long, url string, digest string, record_type string"
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def record_id(page_id: int | None) -> str:
@@ -93,62 +97,72 @@ def write_warc(pages: DataFrame, out_dir: str, page_id: str = "page_id", url: st
     full = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     full = full.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     joined = full.alias("p").join(plan.alias("q"), F.col("p.page_id").eqNullSafe(F.col("q.page_id")) & (F.col("p.sha1") == F.col("q.sha1")))
-    rows = joined.select("p.page_id", "p.url", F.when(~F.col("q.revisit"), F.col("p.html")).alias("html"), "p.sha1", "q.size", "q.refers_to", "q.revisit").sortWithinPartitions("page_id")
+    rows = joined.select("p.page_id", "p.url", F.when(~F.col("q.revisit"), F.col("p.html")).alias("html"), "p.sha1", "q.size", "q.refers_to", "q.revisit").sortWithinPartitions("page_id", "sha1", "url")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        path, offset = f"{out_dir}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0
-
-        def all_batches():
-            yield first
-            yield from batches
+        # a task that runs again writes another file, and the index names the one whose rows were kept
+        task = TaskContext.get()
+        path, offset = f"{out_dir}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", 0
 
         with new_file(path) as out:
-            for batch in all_batches():
+            for batch in chain([first], batches):
                 index = []
-                for r in batch.itertuples(index=False):
-                    page, refers = (None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to))
-                    digest = base64.b32encode(bytes.fromhex(r.sha1)).decode()
-                    data = make_record(page, r.url, b"" if r.revisit else r.html.encode(), r.size, digest, refers, r.revisit, date)
+                for page, address, page_html, sha1, size, refers, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    data = make_record(page, address, b"" if revisit else page_html.encode(), size, digest, refers, revisit, date)
                     out.write(data)
-                    index.append((path, offset, len(data), page, r.url, digest, "revisit" if r.revisit else "response"))
+                    index.append((path, offset, len(data), page, address, digest, "revisit" if revisit else "response"))
                     offset += len(data)
-                yield pd.DataFrame(index, columns=[x.split()[0] for x in INDEX.split(", ")]).astype({"page_id": "Int64"})
+                if index:
+                    yield batch_of(INDEX, list(zip(*index, strict=True)))
 
-    return stored(rows.mapInPandas(write, INDEX), "warc-index", f"{out_dir}/index")
+    return stored(rows.mapInArrow(write, INDEX), "warc-index", f"{out_dir}/index")
 
 
-def coalesced(ranges: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int, int]]:
-    """Sorted (offset, length) ranges merged where they lie close: (offset, length, how many)."""
-    out: list[list[int]] = []
+def coalesced(ranges: Iterable[tuple[int, int]], gap: int = GAP, most: int = CHUNK) -> Iterator[list[tuple[int, int]]]:
+    """Sorted (offset, length) ranges in runs that lie close; a run spans at most ``most`` bytes or is one range."""
+    run: list[tuple[int, int]] = []
     for offset, length in ranges:
-        if out and offset - (out[-1][0] + out[-1][1]) <= gap:
-            out[-1][1] = max(out[-1][1], offset + length - out[-1][0])
-            out[-1][2] += 1
-        else:
-            out.append([offset, length, 1])
-    return [tuple(x) for x in out]
+        if run and (offset - sum(run[-1]) > gap or offset + length - run[0][0] > most):
+            yield run
+            run = []
+        run.append((offset, length))
+    if run:
+        yield run
 
 
 def read_warc(index: DataFrame, payloads: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """The records of the given rows of an index: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked, payload."""
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-
-    def read(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset")
-        chosen, found, k = list(zip(rows["offset"].tolist(), rows["length"].tolist(), strict=True)), [], 0
-        for offset, length, n in coalesced(chosen):
-            data = read_range(key[0], offset, length)
-            for at, size in chosen[k : k + n]:
-                found.append(parse_record(data[at - offset : at - offset + size]))
-            k += n
-        out = pd.DataFrame(found).astype({"page_id": "Int64", "refers_to": "Int64"})
-        return out if payloads else out.drop(columns="payload")
-
-    near = F.floor(F.col("offset") / chunk).alias("chunk")
-    return index.select("path", "offset", "length", near).groupBy("path", "chunk").applyInPandas(read, schema)
+    """The records of the given rows of an index: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked, payload.
+
+    Chunks of the archives are dealt to as many tasks as their bytes ask for. A
+    task reads a run of close records at a time, opens one record after the
+    other, and holds no more payloads than a run's.
+    """
+    kept = f"{RECORD}, payload binary" if payloads else RECORD
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((p, o, n) for batch in batches for p, o, n in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True))
+        for path, own in groupby(rows, key=itemgetter(0)):
+            for run in coalesced(((o, n) for _, o, n in own), most=chunk):
+                start = run[0][0]
+                data, found, size = read_range(path, start, sum(run[-1]) - start), [], 0
+                for at, n in run:
+                    record = parse_record(data[at - start : at - start + n])
+                    found.append(tuple(record[c.split()[0]] for c in kept.split(", ")))
+                    size += len(record["payload"] or b"") if payloads else 0
+                    if size >= chunk:
+                        yield batch_of(kept, list(zip(*found, strict=True)))
+                        found, size = [], 0
+                if found:
+                    yield batch_of(kept, list(zip(*found, strict=True)))
+
+    held = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    near = F.floor(F.col("offset") / chunk)
+    dealt = index.select("path", "offset", "length").repartition(max(1, math.ceil(held / chunk)), "path", near)
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(read, kept)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
