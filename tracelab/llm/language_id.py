@@ -7,7 +7,7 @@ bit's classifier does, and the nearest codeword gives the language. A text whose
 two nearest codewords are almost as near as each other is flagged.
 
 Training takes at most ``PER_LANGUAGE`` labelled rows of each language, chosen
-by a hash of their id, whole texts; prediction takes every row.
+by a hash of their id and text, whole texts; prediction takes every row.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tracelab.llm.common import small_batches, table
+from tracelab.llm.common import appended, small_batches, table
 
 PER_LANGUAGE = 500
 DIMENSIONS = 1 << 13
@@ -114,14 +116,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model from labelled rows that aren't held out; without any, it knows no language."""
-    known = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # a row for each language
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(doc_id)), F.lit(SCALE))
+    """A model from labelled rows that aren't held out; without any, it knows no language.
+
+    Takes at most ``per_language`` rows of each language, those with the
+    smallest hash of id and text; rows equal in both count once.
+    """
+    known = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("language"), F.col(doc_id), F.col(text)).alias("at"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row for each language
     limit = F.lit(0)
-    for name, n in sorted(counts.items()):
-        limit = F.when(F.col(lang) == name, F.lit(min(SCALE, -(-SCALE * per_language // n)))).otherwise(limit)
-    chosen = known.filter(draw < limit).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("at"))
+    for name, n in sorted(counts.items()):  # some more than asked for, which the order by hash then cuts
+        limit = F.when(F.col("lang") == name, F.lit(min(SCALE, -(-SCALE * (per_language + 100) // n)))).otherwise(limit)
+    drawn = known.filter(F.pmod(F.col("at"), F.lit(SCALE)) < limit)
+    least = drawn.groupBy("lang", "at").agg(F.first("text").alias("text"))
+    chosen = least.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).filter(F.col("n") <= per_language)
 
     def featurised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,8 +137,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             at = [np.flatnonzero(v).astype(np.int32) for v in vectors]
             yield pd.DataFrame({"lang": batch["lang"].tolist(), "at": batch["at"].tolist(), "index": at, "value": [v[i] for v, i in zip(vectors, at, strict=True)]})
 
-    rows = chosen.mapInPandas(featurised, "lang string, at long, index array<int>, value array<float>").collect()
-    rows.sort(key=lambda r: (r["lang"], r["at"], r["index"][:9], r["value"][:9]))
+    rows = chosen.select("lang", "at", "text").mapInPandas(featurised, "lang string, at long, index array<int>, value array<float>").collect()
+    rows.sort(key=lambda r: (r["lang"], r["at"]))
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for k, r in enumerate(rows):
         x[k, r["index"]] = r["value"]
@@ -142,30 +149,35 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous added; only the text decides.
 
     A text that is null or has no letters gets ``und`` with score 0 and is
-    ambiguous, as does every text if the model knows no language. Columns with
-    the added names are replaced; an empty table gives no rows.
+    ambiguous, as does every text if the model knows no language. Texts are
+    read whole, however long; repeated rows get equal results; ties between
+    languages go to the first by name. Columns with the added names are
+    replaced; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array([*model.languages, UNKNOWN], object)
-        for batch in batches:
-            found, score, flag = np.full(len(batch), -1), np.zeros(len(batch)), np.ones(len(batch), bool)
-            texts = batch[text].tolist()
-            usable = np.array([i for i, t in enumerate(texts) if isinstance(t, str) and has_letter(t)], np.int64)
-            if len(usable) and model.languages:
-                found[usable], score[usable], flag[usable] = model.decode(np.stack([features(texts[i]) for i in usable]))
-            yield batch.assign(lang_pred=names[found], score=score, ambiguous=flag)
+    def predict(column: pa.Array) -> list:
+        names, texts = np.array([*model.languages, UNKNOWN], object), column.to_pylist()
+        found, score, flag = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), bool)
+        usable = np.array([i for i, t in enumerate(texts) if t and has_letter(t)], np.int64)
+        if len(usable) and model.languages:
+            found[usable], score[usable], flag[usable] = model.decode(np.stack([features(texts[i]) for i in usable]))
+        return [names[found].tolist(), score, flag]
 
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score", "ambiguous")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, ambiguous boolean"
-    return docs.select(*(f.name for f in kept)).mapInPandas(predict, schema)
+    return appended(docs, "lang_pred string, score double, ambiguous boolean", predict, [text])
 
 
 def accepted(docs: DataFrame, **names) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: no letters, or two codewords as near as each other."""
-    found = identify(docs, train(docs, **names), names.get("text", "text"))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    """``docs`` without the rows whose language can't be told: no letters, or two codewords as near as each other.
+
+    Null and empty texts go; repeated rows stay or go together. All columns
+    pass through, whatever their names. An empty table has no rows, and where
+    no row has a label all go, as no language is known.
+    """
+    model = train(docs, **names)
+    marked = docs.select(F.col(names.get("text", "text")).alias("text"), F.struct(*docs.columns).alias("row"))
+    found = identify(marked, model)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("row.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,8 +67,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, d
     named = _identified(docs.withColumn("__size", words), doc_id, source, text)
     sized = stored(named.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__hash").alias("text_hash"), F.col("__nth").alias("nth"), F.col("__size").alias("size")), "mix-sizes")
     n_rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-
     targets = _targets(sized, weights)
+    # At finish time 1 each source has its target, less a document at most. By
+    # `late` any source that still has copies has made up for all of these, so
+    # the budget is spent, or no copy is left; none of the later ones is taken.
+    room = targets.filter(F.col("target") < MAX_EPOCHS * F.col("source_size")).agg(F.min("target")).first()[0]
+    spare = sized.groupBy("source").agg(F.max("size").alias("largest")).agg(F.coalesce(F.sum("largest"), F.lit(0))).first()[0]
+    late = 1 + (spare + 1) / room if room else float("inf")
     known = sized.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
     known = known.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     full = known.filter("size > 0")
@@ -88,7 +93,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, d
     copies = stored(
         queue.withColumn("epoch", F.explode(F.array(*map(F.lit, range(MAX_EPOCHS)))))
         .withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target"))
-        .select("doc_id", "source", "text_hash", "nth", "size", "source_no", "source_size", "target", "key", "epoch", "finish", F.floor(F.col("finish") * slots).alias("slot")),
+        .select("doc_id", "source", "text_hash", "nth", "size", "source_no", "source_size", "target", "key", "epoch", "finish", F.floor(F.col("finish") * slots).alias("slot"))
+        .filter(F.col("finish") <= late),
         "mix-copies",
     )
     earlier = copies.groupBy("slot").agg(F.sum("size").alias("words")).select("slot", F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
@@ -97,12 +103,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, d
 
     kept = ["doc_id", "source", "text_hash", "nth", "size", "source_size", "target"]
     counted = placed.groupBy(*kept).agg(F.sum(F.col("taken").cast("int")).alias("copies"))
-    empty = known.filter("size = 0").select(*kept, F.lit(0).cast("long").alias("copies"))
-    return counted.unionByName(empty).withColumn("taken", F.col("copies") * F.col("size"))
+    # Rows without words, and those whose first copy already comes too late.
+    first = (F.col("upto").cast("double") / F.col("target"))
+    rest = known.filter("size = 0").select(*kept).unionByName(queue.filter(first > late).select(*kept))
+    return counted.unionByName(rest.withColumn("copies", F.lit(0).cast("long"))).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The rows of the mix with all their columns, a row for each copy taken."""
+    """The rows of the mix with all their columns, a row for each copy taken.
+
+    Null ids and sources are values as others, null and empty texts are never
+    taken, repeated rows are rows of their own; an empty table has no rows.
+    """
     counts = mix(docs, doc_id=doc_id, source=source, text=text, **options).filter("copies > 0").select(*(F.col(c).alias(f"__m_{c}") for c in (*IDENTITY, "copies")))
     marked = _identified(docs, doc_id, source, text)
     pairs = zip(("__id", "__source", "__hash", "__nth"), IDENTITY, strict=True)

@@ -2,38 +2,37 @@
 
 Base patterns find e-mail addresses, IP addresses, card numbers and phone
 numbers. A bidirectional LSTM over characters, with a CRF over its tags, finds
-more: addresses written with (at) and (dot), phone numbers without a plus, and
-the like. It is trained in numpy from labelled spans; ``examples`` makes a set
-of them with as many look-alikes (dates, versions, tokens, prices).
-
-A text is cut into overlapping windows, all windows of a batch are decoded
-together, and each character takes its tag from the window in which it is
-furthest from an edge. Every kind holds a digit or an at sign, so a window
-without either has no tag but O and isn't run. A span found this way is kept if
-it fits its kind's rules and touches no base span.
+more: addresses written with (at) and (dot), phone numbers without a plus,
+IP addresses with brackets around their dots, and the like. It is trained in
+numpy from labelled spans; ``examples`` makes a set of them with as many
+look-alikes (dates, versions, tokens, prices, article numbers).
+
+A text is cut into overlapping windows at fixed places, all windows of a batch
+are decoded together, and each character takes its tag from the window in which
+it is furthest from an edge. A span found this way is kept if it fits its
+kind's rules and touches no base span. What fits some kind's rules is part of a
+match of ``_CANDIDATE``, so windows without any of these can't give a span and
+aren't run; the spans are those of all windows, however long the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import small_batches, table
+from tracelab.llm.common import appended, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
-WINDOW, STEP = 80, 56
-STRIDE = 20  #: from window to window of a text, so that a span of 60 characters is whole in one
-REACH, FAR = 40, 64  #: characters decoded on both sides of a digit, and of an at sign
-CHARACTERS, EMBEDDING, HIDDEN = 130, 10, 16
-EXAMPLES, EPOCHS, BATCH, RATE, SEED = 1500, 6, 48, 0.02, 17
+WINDOW, STEP = 96, 24  #: characters of a window, and from one to the next
+CHARACTERS, EMBEDDING, HIDDEN = 130, 10, 20
+EXAMPLES, EPOCHS, BATCH, RATE, SEED = 2500, 7, 48, 0.02, 17
 
 _RIGHT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -41,11 +40,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_AT = r"\s?[\[(]\s?at\s?[\])]\s?"
-_TRIGGER = re.compile(rf"[0-9@]|{_AT}", re.I)
-_DOT = re.compile(r"\s?[\[(]\s?dot\s?[\])]\s?", re.I)
-_OPEN = re.compile(rf"{_TRIGGER.pattern}|{_DOT.pattern}", re.I)
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: What stands for @ and for a dot: bracketed, or words between spaces.
+_AT = r"(?:\s?[\[({<]\s?(?:[aA][tT]|@)\s?[\])}>]\s?|\s?@\s?|\s(?:at|AT)\s)"
+_DOT = r"(?:\s?[\[({<]\s?(?:[dD][oO][tT]|\.)\s?[\])}>]\s?|\.|\s(?:dot|DOT)\s)"
+_NAME, _LABEL = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
+_ADDRESS = re.compile(rf"{_NAME}(?:{_DOT}{_NAME})*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
+_BARE = re.compile(r"[A-Za-z0-9]\s(?:at|AT)\s[A-Za-z0-9]")
+_WORDED = re.compile(r"\s(?:dot|DOT)\s|[\[({<]\s?[dD][oO][tT]")
+_QUAD = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}")
+_NUMBER = re.compile(r"\+?\(?[0-9][\x20()./0-9_-]+[0-9]")
+_HOST = re.compile(rf"{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
+_DOT_BEFORE = re.compile(rf"{_DOT}$")
+_DIGITS = re.compile(rf"[0-9](?:{_DOT}|[\x20()./_-]*+[0-9])*")
 
 Span = tuple[str, int, int]
 
@@ -103,17 +109,47 @@ def listed(spans: list[Span]) -> str:
 def plausible(kind: str, s: str) -> bool:
     """The rules that a span found by the model has to fit."""
     if kind == "email":
-        return bool(_ADDRESS.fullmatch(_DOT.sub(".", re.sub(_AT, "@", s, flags=re.I))))
+        return bool(_ADDRESS.fullmatch(s)) and not (_BARE.search(s) and not _WORDED.search(s))
     if kind == "ip":
-        return s.count(".") == 3 and bool(_IP.fullmatch(s)) and _ip(s)
+        return bool(_QUAD.fullmatch(s)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", s))
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9](?:[\x20.-]?[0-9])+", s)) and _card(s)
+        return bool(re.fullmatch(r"[0-9](?:[\x20._-]?[0-9])+", s)) and _card(s)
     groups = re.findall(r"[0-9]+", s)
-    return bool(re.fullmatch(r"\+?\(?[0-9][\x20()./0-9-]+[0-9]", s)) and 9 <= len(_digits(s)) <= 15 and len(groups) >= 3 and max(map(len, groups)) <= 5
+    return bool(_NUMBER.fullmatch(s)) and 9 <= len(_digits(s)) <= 15 and len(groups) >= 3 and max(map(len, groups)) <= 5
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Stretches of a text outside which no span fits the rules, in order and apart from each other.
+
+    A number has nine digits or four groups of them; an address goes on from
+    its at sign over names and dots to both sides.
+    """
+    found = []
+    for m in _DIGITS.finditer(text):
+        if len(_digits(m[0])) >= 9 or len(re.findall(r"[0-9]+", m[0])) >= 4:
+            found.append((max(0, m.start() - 2), m.end()))
+    for m in _HOST.finditer(text):
+        at = m.start()
+        while True:
+            end = at
+            while at and text[at - 1].isascii() and (text[at - 1].isalnum() or text[at - 1] in "_%+-"):
+                at -= 1
+            dot = _DOT_BEFORE.search(text, max(0, at - 9), at) if at < end else None
+            if dot is None:
+                break
+            at = dot.start()
+        found.append((at, m.end()))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1] + 2:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[Span]]]:
-    """Made-up texts with their labelled spans."""
+    """Made-up texts with their labelled spans, and as many look-alikes without a label."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
     number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
@@ -121,34 +157,46 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[Span]]
 
     def word() -> str:
         w = letters(1, 11)
-        return pick(w, w, w, w.capitalize(), w + pick(",", ".", ";", "!!", "é"), w.upper(), pick("ß", "ó", "ê") + w)
+        known = pick("at", "the", "and", "dot", "call", "mail", "to", "der", "und", "que", "de", "le", "to:", "me")
+        return pick(w, w, w, known, w.capitalize(), w + pick(",", ".", ";", "!", "é"), w.upper(), pick("ß", "ó", "ê") + w)
 
     def card() -> str:
-        d = number(pick(15, 14, 12))
+        d = number(pick(15, 15, 14, 12))
         d += next(c for c in "0123456789" if luhn(d + c))
-        cut = pick("", "", " ", "-")
+        cut = pick("", " ", "-", ".", "_")
         return cut.join(d[i : i + 4] for i in range(0, len(d), 4))
 
     def email() -> str:
-        name = pick(letters(3, 9), letters(3, 7) + "." + letters(3, 8), letters(3, 7) + number(2), letters(3, 6) + "." + number(2))
-        host = pick(letters(3, 9), "mail" + number(1) + "." + letters(3, 8))
-        end = pick("com", "org", "net", "de", "fr", "es")
-        at, dot = pick(("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."))
-        return f"{name}{at}{host}{dot}{end}".replace(".." , ".")
+        name = pick(letters(3, 9), letters(3, 7) + "." + letters(3, 8), letters(3, 7) + number(2), letters(2, 6) + "_" + letters(2, 6), letters(1, 2) + "." + letters(4, 14), ".".join(letters(1, 7) for _ in range(4)))
+        host = pick(letters(3, 9), letters(5, 16), letters(3, 8) + "-" + letters(3, 12), "-".join(letters(2, 8) for _ in range(4)), "mail" + number(1) + "." + letters(3, 8), letters(3, 7) + "." + letters(3, 7))
+        end = pick("com", "org", "net", "de", "fr", "es", "co.uk", "edu")
+        at, dot = pick(("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" at ", " dot "), ("{at}", "{dot}"), (" AT ", " DOT "), (" @ ", "."), ("(@)", "."), ("[at]", " [dot] "), (" (at) ", "."))
+        spread = dot if pick(True, False) else "."
+        return f"{name.replace('.', spread)}{at}{host.replace('.', spread)}{dot}{end.replace('.', dot)}"
 
     def phone() -> str:
-        a, b, c = number(3), number(3), number(4)
-        return pick(f"+{number(1)} ({a}) {b}-{c}", f"+{number(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{number(1)}-{a}-{b}-{c}", f"{a}/{b}-{c}")
+        a, b, c, d = number(3), number(3), number(4), number(2)
+        return pick(f"+{number(1)} ({a}) {b}-{c}", f"+{d} {a} {b} {c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{number(1)}-{a}-{b}-{c}", f"{a}/{b}-{c}", f"0{number(2)} {number(4)} {number(4)}", f"00{d} {number(2)} {number(4)} {number(2)}", f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}", f"1-{a}-{b}-{c}")
 
-    def other() -> str:
-        return pick(f"{2000 + rng.integers(30)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"{number(1)}.{number(2)}.{number(1)}", f"${number(3)}.{number(2)}", number(rng.integers(1, 12)), f'token = "{"".join(pick(*"0123456789abcdef") for _ in range(40))}"', f"{letters(2, 5)}{number(3)}", f"({number(4)})", f"{number(2)}/{number(2)}", f"@{letters(3, 8)}", f"{number(1)}, {number(2)}, {number(2)}", f"{number(3)}-{number(2)}")
+    def ip() -> str:
+        dot = pick(".", "[.]", "(.)", " dot ", "[dot]", " (dot) ", "(dot)")
+        return dot.join(str(rng.integers(256)) for _ in range(4))
 
-    makers = {"email": email, "ip": lambda: ".".join(str(rng.integers(256)) for _ in range(4)), "card": card, "phone": phone}
+    def other() -> str:
+        a, b = number(2), number(3)
+        return pick(
+            f"{2000 + rng.integers(30)}-{a}-{number(2)}", f"{a}:{number(2)}", f"{number(1)}.{a}.{number(1)}", f"${b}.{a}", number(rng.integers(1, 12)), f'token = "{"".join(pick(*"0123456789abcdef") for _ in range(40))}"',
+            f"{letters(2, 5)}{b}", f"({number(4)})", f"{a}/{number(2)}", f"@{letters(3, 8)}", f"{number(1)}, {a}, {number(2)}", f"{b}-{a}", f"at {number(1)}.{a} dot", f"look at {letters(3, 8)}.{letters(2, 5)}", f"{letters(3, 8)} at {letters(3, 8)}.",
+            f"ISBN 978-{number(1)}-{b}-{number(5)}-{number(1)}", f"2{number(3)}-{a}-{number(2)} {number(2)}:{number(2)}:{number(2)}", f"{number(1)} {b} {number(3)} {number(3)}", f"{a}.{number(3)}.{number(3)},{number(2)}", f"{number(2)}.{number(2)}.{2000 + rng.integers(30)}", f"{a}-{number(2)}-{number(2)}",
+            f"1{number(3)}-1{number(3)}, 2{number(3)}-2{number(3)}", f"§ {a}.{number(1)}.{number(2)}.{number(1)}.{number(1)}", f"No. {number(4)}-{number(6)}-{number(2)}", f"{number(8)}-{number(4)}-4{number(3)}-{number(4)}-{number(12)}",
+        )
+
+    makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(rng.integers(1, 4)):
-            text += " ".join(word() for _ in range(rng.integers(1, 6))) + pick(" ", " ", "\n", " | ", "*** ")
+            text += " ".join(word() for _ in range(rng.integers(1, 6))) + pick(" ", " ", "\n", " | ", ": ", " (")
             if rng.random() < 0.55:
                 kind = pick(*KINDS)
                 s = makers[kind]()
@@ -156,7 +204,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[Span]]
                 text += s
             else:
                 text += other()
-            text += pick(" ", " ", ". ", ", ", "!! ", "\n")
+            text += pick(" ", " ", ". ", ", ", "! ", "\n", ") ")
         out.append((text.rstrip(" .,!\n") if rng.random() < 0.3 else text, spans))
     return out
 
@@ -304,7 +352,7 @@ def train(labelled: list[tuple[str, list[Span]]], epochs: int = EPOCHS, seed: in
         for kind, a, b in spans:
             tags[a:b] = 2 * KINDS.index(kind) + 2
             tags[a] -= 1
-        starts = list(range(0, max(1, len(text) - WINDOW + STEP), STEP))
+        starts = list(range(0, max(1, len(text) - STEP), WINDOW // 2))
         xs.append(windows_of(text, starts))
         ys.append(np.stack([tags[a : a + WINDOW] for a in starts], axis=1))
     x, y = np.concatenate(xs, axis=1), np.concatenate(ys, axis=1)
@@ -332,103 +380,81 @@ def default_tagger() -> Tagger:
     return train(examples())
 
 
-def window_starts(text: str) -> list[int]:
-    """Where windows begin: every ``STRIDE`` characters over the stretches that can hold a span.
+def n_windows(length: int) -> int:
+    return max(1, -(-(length - WINDOW) // STEP) + 1)
 
-    A stretch goes ``REACH`` characters to both sides of a digit and ``FAR`` to
-    those of an at sign; a dot in words inside it takes it on.
-    """
-    out, until, stretch = [], 0, 0
-    for m in _OPEN.finditer(text):
-        digit, dot = m[0].isdigit(), not m[0].isdigit() and "@" not in m[0] and "dot" in m[0].lower()
-        reach = REACH if digit or dot else FAR
-        if dot and m.start() > stretch:
-            continue
-        stretch = max(stretch, m.end() + reach)
-        first = max(m.start() - reach, 0)
-        if not out or first > until:
-            out.append(first)
-            until = first + WINDOW
-        while until < min(stretch, len(text)):
-            out.append(out[-1] + STRIDE)
-            until = out[-1] + WINDOW
-    return out
 
+def deciding(at: int, length: int) -> int:
+    """The number of the window in which a character is furthest from an edge."""
+    return min(max((at - (WINDOW - STEP) // 2) // STEP, 0), n_windows(length) - 1)
 
-def reconciled(length: int, starts: list[int], tags: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Stretches of a text with the tag of each character from the window where it is furthest from an edge."""
-    k = 0
-    while k < len(starts):
-        end = k + 1
-        while end < len(starts) and starts[end] < starts[end - 1] + WINDOW:
-            end += 1
-        a, b = starts[k], min(length, starts[end - 1] + WINDOW)
-        out, depth = np.zeros(b - a, np.int64), np.full(b - a, -1)
-        inside = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-        for j in range(k, end):
-            lo, n = starts[j] - a, min(WINDOW, b - starts[j])
-            own = inside[:n].copy()
-            if j == k:
-                own[: WINDOW // 2] = WINDOW
-            better = own > depth[lo : lo + n]
-            out[lo : lo + n][better], depth[lo : lo + n][better] = tags[:n, j][better], own[better]
-        yield a, out
-        k = end
-
-
-def added_spans(text: str, starts: list[int], tags: np.ndarray, base: list[Span]) -> list[Span]:
-    """Spans of decoded windows that fit their kind and touch neither base spans nor other letters and digits."""
+
+def stretches_of(text: str, gated: bool = True) -> list[tuple[int, int]]:
+    """Parts of a text whose tags are asked for: the candidates, a character more on both sides, or all of it."""
+    found = candidates(text) if gated else [(0, len(text))] if text else []
+    return [(max(0, a - 1), min(len(text), b + 1)) for a, b in found]
+
+
+def reconciled(a: int, b: int, length: int, tags: dict[int, np.ndarray]) -> np.ndarray:
+    """The tags of characters ``a`` to ``b``, each from its deciding window."""
+    return np.array([tags[k := deciding(i, length)][i - k * STEP] for i in range(a, b)], np.int64)
+
+
+def added_spans(text: str, stretches: list[tuple[int, int]], tags: dict[int, np.ndarray], base: list[Span]) -> list[Span]:
+    """Spans of decoded stretches that fit their kind and touch neither base spans nor other letters and digits."""
     out: list[Span] = []
-    for a, seq in reconciled(len(text), starts, tags):
+    for a, b in stretches:
+        seq = reconciled(a, b, len(text), tags)
         edge = np.flatnonzero((seq != 0) & ((seq % 2 == 1) | (np.append(0, seq[:-1]) == 0)))
         for s in edge.tolist():
             kind, e = (seq[s] - 1) // 2, s + 1
             while e < len(seq) and seq[e] == 2 * kind + 2:
                 e += 1
             x, y = a + s, a + e
+            if text[x:y].count(")") > text[x:y].count("(") and text[x - 1 : x] == "(":
+                x -= 1
+            elif text[x] == "(" and ")" not in text[x:y]:
+                x += 1
             free = not any(p < y and x < q for _, p, q in (*base, *out))
             if free and not (x and text[x - 1].isalnum()) and not (y < len(text) and text[y].isalnum()) and plausible(KINDS[kind], text[x:y]):
                 out.append((KINDS[kind], x, y))
     return out
 
 
-def find_all(texts: list[str | None], net: Tagger, together: int = 256) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and added spans of each text; windows of many texts are decoded at once."""
+def find_all(texts: list[str | None], net: Tagger, together: int = 256, gated: bool = True) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans and added spans of each text; windows of many texts are decoded at once.
+
+    ``gated`` leaves out the windows in which no span is possible; the spans are the same.
+    """
     texts = [t or "" for t in texts]
-    base, starts = [base_spans(t) for t in texts], [window_starts(t) for t in texts]
-    jobs = [(i, a) for i, ss in enumerate(starts) for a in ss]
-    tags = np.zeros((WINDOW, len(jobs)), np.int64)
-    for k in range(0, len(jobs), together):
-        x = np.concatenate([windows_of(texts[i], [a]) for i, a in jobs[k : k + together]], axis=1)
-        tags[:, k : k + together] = net.decode(x)
-    out, at = [], 0
-    for text, own, ss in zip(texts, base, starts, strict=True):
-        out.append((own, added_spans(text, ss, tags[:, at : at + len(ss)], own) if ss else []))
-        at += len(ss)
-    return out
+    base, asked = [base_spans(t) for t in texts], [stretches_of(t, gated) for t in texts]
+    jobs = sorted({(i, k) for i, own in enumerate(asked) for a, b in own for k in range(deciding(a, len(texts[i])), deciding(b - 1, len(texts[i])) + 1)})
+    tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    for n in range(0, len(jobs), together):
+        part = jobs[n : n + together]
+        got = net.decode(np.concatenate([windows_of(texts[i], [k * STEP]) for i, k in part], axis=1)).astype(np.int8)
+        for j, (i, k) in enumerate(part):
+            tags[i][k] = got[:, j]
+    return [(own, added_spans(t, s, g, own)) for t, own, s, g in zip(texts, base, asked, tags, strict=True)]
 
 
 def personal_data(docs: DataFrame, text: str = "text", net: Tagger | None = None) -> DataFrame:
     """``docs`` with n_email, n_ip, n_card, n_phone (base spans), n_added, base_spans and spans.
 
     Spans are listed as kind:start:end in code points, end exclusive, by start
-    and then kind, joined by commas. Null and empty texts have none. Columns
-    with the added names are replaced; an empty table gives no rows.
+    and then kind, joined by commas. Null and empty texts have none, long ones
+    are read whole, repeated rows have equal spans. Columns with the added
+    names are replaced; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     net = net or default_tagger()
-    added = [f"n_{k}" for k in (*KINDS, "added")] + ["base_spans", "spans"]
+    made = ", ".join([*(f"n_{k} long" for k in (*KINDS, "added")), "base_spans string", "spans string"])
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = find_all(batch[text].tolist(), net)
-            counts = {f"n_{k}": [sum(s[0] == k for s in b) for b, _ in found] for k in KINDS}
-            yield batch.assign(**counts, n_added=[len(m) for _, m in found], base_spans=[listed(b) for b, _ in found], spans=[listed(ordered(b + m)) for b, m in found])
+    def find(texts: pa.Array) -> list[list]:
+        found = find_all(texts.to_pylist(), net)
+        return [*([sum(s[0] == k for s in b) for b, _ in found] for k in KINDS), [len(m) for _, m in found], [listed(b) for b, _ in found], [listed(ordered(b + m)) for b, m in found]]
 
-    kept = [f for f in docs.schema if f.name not in added]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in added[:5]), *(f"{c} string" for c in added[5:])])
-    return docs.select(*(f.name for f in kept)).mapInPandas(find, schema)
+    return appended(docs, made, find, [text])
 
 
 def redacted(text: str, spans: list[Span]) -> str:
