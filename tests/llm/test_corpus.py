@@ -62,10 +62,39 @@ def test_files_hold_every_text(spark, duck):
         ids = np.append(code._whole([text or ""])[0], 0).astype("<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    f = token_ids.IdFile(files.first()["path"])
-    k = len(f.doc_ids) // 2
-    text = duck.execute("SELECT text FROM documents WHERE doc_id = ?", [int(f.doc_ids[k])]).fetchone()[0]
-    assert f.document(k).tolist() == [*code._whole([text])[0].tolist(), 0]
+    with token_ids.IdFile(files.first()["path"]) as f:
+        k = len(f.doc_ids) // 2
+        text = duck.execute("SELECT text FROM documents WHERE doc_id = ?", [f.doc_ids[k]]).fetchone()[0]
+        assert f.document(k).tolist() == [*code._whole([text])[0].tolist(), 0]
+    small = token_ids.write_token_ids(d, shared_dir(spark, "test-ids"), token_ids.default_tokenizer(), file_ids=5000)
+    assert small.count() > files.count() and small.agg(F.max("n_ids")).first()[0] <= 70_000
+    same_rows(token_ids.read_token_ids(small).toPandas(), got)
+
+
+class Watched:
+    """A file that keeps what was read of it."""
+
+    def __init__(self, file):
+        self.file, self.reads = file, []
+
+    def read_at(self, size, offset):
+        self.reads.append((offset, size))
+        return self.file.read_at(size, offset)
+
+
+def test_a_document_is_read_by_its_blocks(tmp_path):
+    path, ids = str(tmp_path / "x.ids"), np.arange(60_000, dtype=np.uint32) % 50_000
+    with open(path, "wb") as out:
+        w = token_ids.IdWriter(out, 16)
+        for k in range(0, 60_000, 6000):
+            w.add(None if k == 0 else 2**60 + k, ids[k : k + 6000])
+        assert w.close() == (10, 60_000)
+    f = token_ids.IdFile(path)
+    f.file = Watched(f.file)
+    assert (f.document(5) == ids[30_000:36_000]).all() and f.doc_ids[:2] == [None, 2**60 + 6000]
+    block = token_ids.BLOCK * 2
+    assert f.file.reads == [(token_ids.HEADER.size + 7 * block, 2 * block)]
+    assert (np.concatenate(list(f.each())) == ids).all()
 
 
 def test_token_ids_of_odd_texts(spark):
@@ -115,28 +144,80 @@ def test_base_spans_equal_the_patterns():
 
 
 def test_tagger_finds_held_out_examples():
-    net, hit, total, extra = personal_data.default_tagger(), 0, 0, 0
-    for text, spans in personal_data.examples(120, seed=99):
-        starts = personal_data.window_starts(text)
-        got = set(personal_data.added_spans(text, starts, net.decode(personal_data.windows_of(text, starts)), [])) if starts else set()
-        hit, total, extra = hit + len(got & set(spans)), total + len(spans), extra + len(got - set(spans))
-    assert hit / total > 0.95 and extra <= 2
+    net, made = personal_data.default_tagger(), personal_data.examples(120, seed=99)
+    hit = total = extra = 0
+    for (base, added), (text, spans) in zip(personal_data.find_all([t for t, _ in made], net), made, strict=True):
+        got = {*base, *added}
+        hit, total, extra = hit + len(got & set(spans)), total + len(spans), extra + len(set(added) - set(spans))
+    assert hit / total > 0.92 and extra <= 6
+
+
+def test_windows_without_candidates_give_nothing():
+    """Reading every window gives the spans that reading those around candidates does."""
+    net, rng = personal_data.default_tagger(), np.random.default_rng(21)
+    made = [t for t, _ in personal_data.examples(60, seed=5)]
+    parts = ["1", "23", ".", " ", " at ", "(at)", " dot ", "[.]", "x", "host.org", "-", "(", ")", "/", "é", "\n", "mail to joe", "555-123-4567", "@"]
+    texts = [" and on ".join(rng.choice(made, 6)) for _ in range(20)] + ["".join(rng.choice(parts, 60)) for _ in range(60)]
+    assert personal_data.find_all(texts, net) == personal_data.find_all(texts, net, gated=False)
+
+
+#: Labelled by hand: <kind|text> is a span.
+FOREIGN = """
+Please write to <email|anna.schmidt (at) uni-koeln (dot) de> or come by on 12.05.2021.
+Reach our office at <phone|(212) 555-0147> between 9:00 and 17:30.
+Server <ip|10[.]0[.]12[.]7> was down; see ticket 2020-11-345.
+The card <card|4539.5787.6362.1486> has been blocked since 2019-03-04 12:30:45.
+Contact: <email|mark at example dot org>. We look at everything.
+Für Fragen: <phone|030 1234 5678>, Zimmer 4.12, Haus 7.
+Escriba a <email|soporte[at]tienda[dot]es> antes del 31/12/2022.
+Mon numéro est le <phone|01 42 68 53 00>, merci.
+We met at noon. dot dot dot. The price was 1.299.000,00 in total.
+ISBN 978-3-540-76528-8 costs 45.90, order no. 1234-567890-12.
+Look at figure 3.14.15.9 and at table.one for details.
+Call <phone|555.867.5309> or mail <email|jenny_b (at) mail.example (dot) com>!
+My address is <email|kim @ startup.io>, not kim@startup or @kim.
+Ping <ip|192 dot 168 dot 0 dot 1> first, then restart version 10.4.3.
+Backup host: <ip|172(.)16(.)254(.)1>; port 8080.
+The sample IDs 100 200 300 400 were lost at sea.
+Meeting at 5 dot 30, room B-12, bring 2-3 copies.
+Dial <phone|00 49 30 123456-0>? No: <phone|0049 30 1234 56> is right.
+Write <email|lee{at}lab{dot}edu> and cc <email|pat.o (at) lab.edu>.
+On 1999-2003, 2005-2010 the index rose 3.4-5.6 points.
+Paid with <card|6011 0009 9013 9424> at the shop.
+Fax <phone|415/555-2671>, P.O. Box 12345-6789.
+<email|JOHN.DOE AT COMPANY DOT COM> was seen in the log at 10:15:22.
+Coordinates 52.5200, 13.4050; altitude 34 m; 7 000 000 visitors.
+"""
+
+
+def test_foreign_text():
+    """Precision and recall of the spans the network adds on text that its examples' maker didn't write."""
+    net, hit, total, found, wrong = personal_data.default_tagger(), 0, 0, 0, []
+    for line in FOREIGN.strip().split("\n"):
+        text, want = "", set()
+        for part in re.split(r"(<\w+\|[^>]*>)", line):
+            m = re.fullmatch(r"<(\w+)\|([^>]*)>", part)
+            if m:
+                want.add((m[1], len(text), len(text) + len(m[2])))
+            text += m[2] if m else part
+        base, added = personal_data.find_all([text], net)[0]
+        want -= set(base)
+        hit, total, found = hit + len(want & set(added)), total + len(want), found + len(added)
+        wrong += [(k, text[a:b]) for k, a, b in {*want} ^ {*added}]
+    print("recall", hit, "/", total, "precision", hit, "/", found, wrong)
+    assert hit / total >= 0.75 and hit / found >= 0.85, wrong
 
 
 def test_addresses_behind_a_digit():
     net, address = personal_data.default_tagger(), "jane.miller (at) example-hosting (dot) com"
     before, after = "and so we went on to see what they had in the other house that day when it was late " * 3, " and then the rest of it came"
     texts = [f"{before} room 7 {before[:d]} {address}{after}" for d in range(70)]
-    for text in texts:
-        starts = personal_data.window_starts(text)
-        spots = {(m.start(), m.end()) for m in re.finditer(r"[0-9]|\(at\)", text)}
-        for a, b in spots:
-            covered = {i for s in starts for i in range(s, s + personal_data.WINDOW)}
-            assert set(range(max(0, a - 40), min(len(text), b + 40))) <= covered
-    x = texts[0].index(address)
-    alone = [t[1] for t in personal_data.find_all(texts, net)]
-    want = [[("email", t.index(address), t.index(address) + len(address))] for t in texts]
-    assert x and sum(w[0] in g for g, w in zip(alone, want, strict=True)) == len(texts)
+    texts += ["Bitte schreiben an hans (at) eine-sehr-lange-domain-im-netz (dot) example (dot) org bis morgen", "x " * 40 + "someone.with.a.very.long.name.that.goes.on (at) a-host-with-a-name-of-some-length-that-goes-on-as-well-and-on (dot) example (dot) org now"]
+    right = []
+    for text, (base, added) in zip(texts, personal_data.find_all(texts, net), strict=True):
+        want = re.search(r"\S+ \(at\) \S+( \(dot\) \S+)+", text)
+        right.append(not base and added == [("email", want.start(), want.end())])
+    assert sum(right[:70]) >= 68 and right[70], right
 
 
 def test_tagger_gradients():
@@ -210,6 +291,21 @@ def test_leaks_equal_brute_force(spark, duck):
     assert got == want
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_repeated_words_and_shuffled_seeds(spark, monkeypatch, broadcast):
+    import time
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", broadcast)
+    bench = spark.createDataFrame([(1, "ho " * 40), (2, "tick tock " * 20), (None, "ho " * 40)], "item_id long, text string")
+    d = docs(spark, ["ho " * 1_000_000, "so " + "tock tick " * 50_000, "ho ho " * 6, "ho ho " * 7], doc_id=[1, 2, 3, None])
+    began = time.perf_counter()
+    got = {tuple(r) for r in decontaminate.leaks(d, bench).collect()}
+    assert got == {(1, 1, 0, 13, 13), (1, None, 0, 13, 13), (2, 2, 1, 13, 13), (None, 1, 0, 13, 13), (None, None, 0, 13, 13)}
+    assert time.perf_counter() - began < 60
+    assert [r["doc_id"] for r in decontaminate.decontaminated(d, bench).collect()] == [3]
+
+
 def test_masks_hit_every_window_with_two_substitutions():
     offsets = [[k for k, x in enumerate(m) if x == "1"] for m in decontaminate.MASKS]
     for a in range(13):
@@ -227,6 +323,8 @@ def test_substitutions_and_odd_texts(spark):
     kept = decontaminate.decontaminated(d, bench)
     assert kept.count() == len(texts) - 2 and kept.columns == d.columns
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0
+    again = {(r["doc_id"], r["item_id"], r["start"], r["n_words"], r["n_same"]) for r in decontaminate.leaks(d, bench).collect()}
+    assert again == {(6, 1, 1, 13, 11), (8, 3, 0, 5, 5)}
     assert decontaminate.leaks(d, bench.filter("false")).count() == 0 and decontaminate.decontaminated(d, bench.filter("false")).count() == len(texts)
 
 
@@ -418,8 +516,34 @@ def test_archives_round_trip(spark):
     assert warc.read_warc(warc.write_warc(pages.filter("false"), shared_dir(spark, "test-warc"))).count() == 0
 
 
+def test_large_ids_stay_whole(spark):
+    big = [2**60, 2**60 + 1, None]
+    html = ["<p>same</p>"] * 3
+    pages = spark.createDataFrame([(i, f"u{i}", h, 2**60 + 7) for i, h in zip(big, html, strict=True)] + [(2**60 + 2, "v", None, None)], "page_id long, url string, html string, other long")
+    rows = {r["page_id"]: r for r in warc.read_warc(warc.write_warc(pages, shared_dir(spark, "test-warc"))).collect()}
+    assert rows[2**60]["refers_to"] == 2**60 + 1 == rows[None]["refers_to"] and set(rows) == {*big, 2**60 + 2}
+    got = {(r["page_id"], r["other"]) for r in html_text.main_text(pages).collect()}
+    assert got == {(i, 2**60 + 7) for i in big} | {(2**60 + 2, None)}
+    line = "a line that is there in all of these"
+    d = docs(spark, [f"{line}\nmail a.b@c.de", line, f"{line} more words of it", line], doc_id=[2**60, 2**60 + 1, 2**60 + 2, None])
+    ids = [2**60, 2**60 + 1, 2**60 + 2, None]
+    assert {r["doc_id"] for r in line_dedup.drop_repeated_lines(d).collect()} == set(ids)
+    assert {r["doc_id"] for r in personal_data.personal_data(d).collect()} == set(ids)
+    assert {r["doc_id"] for r in language_id.identify(d, language_id.train(d)).collect()} == set(ids)
+    assert {r["doc_id"] for r in token_ids.token_ids(d).collect()} == set(ids)
+    assert {r["doc_id"] for r in mixing.mix(d).collect()} == set(ids)
+    bench = spark.createDataFrame([(2**60 + 1, line), (None, line)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, bench).collect()} == {(i, j) for i in ids for j in (2**60 + 1, None)}
+    assert decontaminate.decontaminated(d, bench).count() == 0 and decontaminate.decontaminated(d, bench.filter("false")).agg(F.max("doc_id")).first()[0] == 2**60 + 2
+    near = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(d).collect()}
+    assert near == {2**60: 2**60, 2**60 + 1: 2**60 + 1, 2**60 + 2: 2**60 + 2, None: 2**60 + 1}
+    v = spark.createDataFrame([(20 * 2**56, [1.0, 0.0]), (20 * 2**56 + 1, [0.5, 0.1])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in nearest.nearest(v).collect()] == [(20 * 2**56, 20 * 2**56 + 1)]
+
+
 def test_ranges_are_coalesced():
-    assert warc.coalesced([(0, 10), (10, 5), (20, 5), (500, 1)], gap=5) == [(0, 25, 3), (500, 1, 1)]
+    assert list(warc.coalesced([(0, 10), (10, 5), (20, 5), (500, 1)], gap=5)) == [[(0, 10), (10, 5), (20, 5)], [(500, 1)]]
+    assert list(warc.coalesced([(0, 10), (10, 5), (20, 50)], gap=5, most=20)) == [[(0, 10), (10, 5)], [(20, 50)]]
 
 
 def test_damaged_record_is_refused():
@@ -463,6 +587,13 @@ def test_perfect_hash():
     assert line_dedup.PerfectHash.build(keys[:0]).index(keys[:3]).tolist() == [-1, -1, -1]
 
 
+def test_lines_with_one_first_hash():
+    h1, h2 = np.array([5, 5, 5, 9]), np.array([1, 2, 3, 1])
+    shard = line_dedup.Shard.build(h1, h2, np.array([2, 3, 2**40, 4]), np.array([10, 20, 30, 40]))
+    count, first = shard.probe(np.array([5, 5, 5, 9, 9, 7]), np.array([3, 2, 1, 1, 2, 99]))
+    assert count.tolist() == [2**40, 3, 2, 4, 0, 0] and first.tolist()[:4] == [30, 20, 10, 40]
+
+
 def test_lines_of_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
     line, other = "A repeated line", "another one here"
