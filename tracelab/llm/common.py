@@ -107,19 +107,17 @@ def appended(df: DataFrame, made: str, find: Callable, reads: list[str], without
 HOT_KEYS = 50_000  #: keys at most that are taken out of a shuffle and broadcast
 
 
-def with_sizes(rows: DataFrame, key: str, n: str, total: str, many: int) -> DataFrame:
-    """``rows`` with the sum of ``n`` over all rows of the same ``key`` as ``total``.
+def joined_by(rows: DataFrame, other: DataFrame, key: str, n: str, total: int, many: int = 1000) -> DataFrame:
+    """``rows`` joined with ``other``, one row for each ``key``, of which ``n`` says how many of the ``total`` rows it meets.
 
-    Keys with more than ``many`` rows and more than 1/``HOT_KEYS`` of ``rows``,
-    of which there are at most ``HOT_KEYS``, get their sum by a broadcast; the
-    others are joined by a shuffle in which no key is large.
+    Keys with more than ``many`` rows and more than 1/``HOT_KEYS`` of all, of
+    which there are at most ``HOT_KEYS``, are broadcast; the others are joined
+    by a shuffle in which no key is large.
     """
-    sums = rows.groupBy(key).agg(F.sum(n).alias(total), F.count("*").alias("__rows"))
-    limit = max(many, rows.count() // HOT_KEYS)
-    hot = sums.filter(F.col("__rows") > limit).select(key, total)
+    limit = max(many, total // HOT_KEYS)
+    hot, usual = other.filter(F.col(n) > limit).drop(n), other.filter(F.col(n) <= limit).drop(n)
     large = rows.join(F.broadcast(hot), key)
-    small = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sums.filter(F.col("__rows") <= limit).select(key, total), key)
-    return large.unionByName(small)
+    return large.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(usual, key))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

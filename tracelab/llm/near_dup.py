@@ -1,49 +1,53 @@
 """Near-duplicate documents by consistent weighted sampling (operator 7).
 
 A document is a weighted set of shingles of ``SHINGLE`` words; a shingle weighs
-its number of occurrences times an inverse document frequency between 1 and
-about 1.5. Frequencies of all documents are counted in a hashed table of fixed
-size. Improved consistent weighted sampling draws ``BANDS`` x ``ROWS`` shingles
-from each document so that two documents draw the same one with the chance of
-their weighted Jaccard similarity; documents that agree on all rows of a band
-are candidates, and candidates with a similarity of ``SIMILARITY`` or more are
-linked. Classes are the connected components of links and exact copies.
+its number of occurrences times an inverse document frequency. Frequencies are
+counted shingle by shingle over all documents. Improved consistent weighted
+sampling draws ``BANDS`` x ``ROWS`` shingles from each document so that two
+documents draw the same one with the chance of their weighted Jaccard
+similarity; documents that agree on all rows of a band are candidates, and
+candidates with a similarity of ``SIMILARITY`` or more are linked. Classes are
+the connected components of links and exact copies.
 
 Exact copies are put together first. In a bucket each document is then compared
 with the first one. Pairs of a bucket that are still in different components
 after that are compared in groups of bounded size, of which only the links that
 join parts go on; so a bucket of a thousand copies of a text costs a thousand
 comparisons, and no link is lost.
-Of buckets with more than ``LARGE`` documents, whose members mostly share just a
-common passage, all pairs' samples are compared first, and only documents that
-agree on enough samples with one of another component go on; where many do,
-they are compared with further members of the bucket before.
+
+A similar pair always shares one of the first shingles of both, where these are
+put in one order, rare ones first, and a fifth of the weight is taken
+(``prefix``). Large buckets are cut into groups by these shingles, and inside
+groups they tell which pairs to compare. That loses no pair, so it makes no
+difference to the result by which groups a bucket's pairs are compared.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import small_batches, stored, table, text_or_empty
+from tracelab.llm.common import Scratch, batch_of, joined_by, small_batches, table, text_or_empty
 from tracelab.llm.components import components
 from tracelab.llm.words import grouped, mixed, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-FREQUENCY_BITS = 18  #: buckets of the table of document frequencies
+KNOWN = 1 << 21  #: shingles, the most frequent, whose frequencies are known; 12 bytes of a broadcast each
+SPAN = 0.5  #: by how much a shingle of one document outweighs one of all; more would tear large groups of near copies
+TOGETHER = 1 << 21  #: shingles counted together in a task
 TABLE_BITS = 14  #: entries of the tables of random values for each sample
-LARGE, CHUNK, BLOCK = 4096, 256, 2048
-ROUNDS = 3  #: further members that those of a large bucket are compared with
+CHUNK = 256  #: documents of a bucket that are compared with each other in one group
+ROUNDS = 3  #: further members that those of a large bucket are compared with first
 BROADCAST_ROWS = 2_000_000  #: ids (8 bytes each) that are broadcast; more are joined by a shuffle
-#: Samples that have to agree for a comparison: 4 standard deviations below the mean at the threshold.
-LEAST_AGREE = math.floor(SAMPLES * SIMILARITY - 4 * math.sqrt(SAMPLES * SIMILARITY * (1 - SIMILARITY)))
 NO_DOC = (1 << 63) - 1
 SEED = 20
 
@@ -74,32 +78,68 @@ def weighted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), times.astype(np.float64), (both >> np.uint64(32)).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse document frequency of each bucket of shingle hashes, from all documents.
+class Weights:
+    """Weight of every shingle: 1 where all documents have it, ``1 + SPAN`` where one does.
+
+    The frequencies of the most frequent shingles are known; all others have
+    fewer documents than any of them and share one weight.
+    """
+
+    def __init__(self, documents: int, known: np.ndarray, df: np.ndarray):
+        order = np.argsort(known)
+        self.known, top = known[order], math.log(max(2.0, (documents + 1) / 2))
+        rare = math.sqrt(max(1, int(df.min()) - 1)) if len(df) else 1.0
+
+        def weight(n):
+            return 1 + SPAN * np.log(np.maximum(1, (documents + 1) / (n + 1))) / top
+
+        self.weight, self.rest = weight(df[order].astype(np.float64)), float(weight(rare))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(h), self.rest)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, self.weight[at], self.rest)
+
 
-    A bucket's count is at least the frequency of each shingle in it, so a rare
-    shingle's value levels off at one that depends on the length of documents
-    and the size of the table, not on how many documents there are.
+def frequencies(docs: DataFrame, text: str = "text", tables: Scratch | None = None, known: int = KNOWN) -> Weights:
+    """Weights from the number of documents that have each shingle, counted shingle by shingle over all documents.
+
+    At most ``known`` of them, the most frequent, come to the driver.
     """
+    tables = tables or Scratch(docs.sparkSession, "shingle-frequencies")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return batch_of("shingle int, n long", [h.view(np.int32), n])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, n = np.zeros(1 << FREQUENCY_BITS, np.int64), 0
         for batch in batches:
-            texts = batch["text"].tolist()
-            n += len(texts)
+            texts = batch.column("text").to_pylist()
             for part in grouped(texts):
-                h, _, _ = weighted(texts[part])
-                seen += np.bincount(h >> np.uint32(32 - FREQUENCY_BITS), minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"bucket": np.append(at, -1).astype(np.int32), "n": np.append(seen[at], n)})
-
-    counted = docs.select(F.col(text).alias("text")).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    df = np.zeros(1 << FREQUENCY_BITS)
-    got = stored(counted, "shingle-frequencies").toPandas()  # at most one row for each bucket of the table
-    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-    total = max(1, int(n[bucket < 0].sum()))
-    df[bucket[bucket >= 0]] = n[bucket >= 0]
-    return (1 + np.log(np.maximum(1, (total + 1) / (df + 1))) / (FREQUENCY_BITS * math.log(2))).astype(np.float32)
+                held.append(weighted(texts[part])[0])
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    yield summed()
+                    held, size = [], 0
+        if size:
+            yield summed()
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    several = tables.keep(counted.filter("n > 1").withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "frequencies")
+    kept, least = 0, None
+    for level, n in sorted(((r["level"], r["count"]) for r in several.groupBy("level").count().collect()), reverse=True):  # at most 16 rows for each doubling
+        if kept + n > known:
+            break
+        kept, least = kept + n, level
+    got = several.filter(F.col("level") >= least).select("shingle", "n").toPandas() if kept else None
+    n_docs = docs.count()
+    tables.drop("frequencies")
+    if got is None:
+        return Weights(n_docs, np.zeros(0, np.uint32), np.zeros(0))
+    return Weights(n_docs, got["shingle"].to_numpy(np.int32).view(np.uint32), got["n"].to_numpy(np.int64))
 
 
 class Sampler:
@@ -130,68 +170,98 @@ class Sampler:
         return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, weights: Weights) -> float:
     """Weighted Jaccard similarity of two sorted arrays of shingle hashes, repeats included."""
     if not len(a) or not len(b):
         return 0.0
     (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    weight = idf.astype(np.float64)
-    shift = np.uint32(32 - FREQUENCY_BITS)
-    common = float((np.minimum(n[i], m[j]) * weight[both >> shift]).sum())
-    return common / (float((n * weight[x >> shift]).sum() + (m * weight[y >> shift]).sum()) - common)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    w, v = weights.of(x), weights.of(y)
+    common = float((np.minimum(n[i], m[j]) * w[i]).sum())
+    return common / (float((n * w).sum() + (m * v).sum()) - common)
 
 
-def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
     """doc, samples (a 64-bit value for each) for each (doc, text); texts without words are left out."""
-    sent = texts.sparkSession.sparkContext.broadcast(idf)
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            doc, all_texts = batch["doc"].to_numpy(), batch["text"].tolist()
+            doc, all_texts = batch.column("doc").to_numpy(), batch.column("text").to_pylist()
             for part in grouped(all_texts):
                 h, times, text = weighted(all_texts[part])
                 if len(h):
                     first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-                    codes = sampler.draw(h, times * sent.value[h >> np.uint32(32 - FREQUENCY_BITS)], first)
-                    yield pd.DataFrame({"doc": doc[part][text[first]], "samples": list(codes.view(np.int64))})
+                    codes = sampler.draw(h, times * sent.value.of(h), first).view(np.int64)
+                    samples = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, SAMPLES, dtype=np.int32), codes.ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[part][text[first]]), samples], names=["doc", "samples"])
 
-    return texts.mapInPandas(sign, "doc long, samples array<long>")
+    return texts.select("doc", "text").mapInArrow(sign, "doc long, samples array<long>")
+
+
+def prefix(h: np.ndarray, weights: Weights, least: float) -> np.ndarray:
+    """64-bit names of the first elements of a sorted array of shingle hashes, rare ones first.
+
+    Elements are shingles with the number of their repeat. They go on until
+    what follows weighs less than ``least`` of all, so two texts with a
+    similarity of ``least`` or more have at least one in common.
+    """
+    run = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    nth = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
+    w, code = weights.of(h), mixed(h.astype(np.uint64))
+    order = np.lexsort((nth, code, -w))
+    upto = np.cumsum(w[order])
+    taken = order[: int(np.searchsorted(upto, (1 - least + 1e-9) * upto[-1], "right")) + 1] if len(h) else order
+    return mixed(code[taken] + nth[taken].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingled(texts: DataFrame) -> DataFrame:
     """doc, shingles (sorted 32-bit hashes, repeats included) for each (doc, text)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of("doc long, shingles binary", [batch.column("doc"), [np.sort(shingles([t])[0]).tobytes() for t in batch.column("text").to_pylist()]])
+
+    return texts.select("doc", "text").mapInArrow(cut, "doc long, shingles binary")
+
+
+def prefixes(own: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """doc, tokens for each (doc, shingles)."""
+    sent = own.sparkSession.sparkContext.broadcast(weights)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.sort(shingles([t])[0]).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc": batch["doc"], "shingles": parts})
+            tokens = [prefix(np.frombuffer(s, np.uint32), sent.value, least).view(np.int64) for s in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "tokens"])
 
-    return texts.mapInPandas(cut, "doc long, shingles binary")
+    return own.mapInArrow(cut, "doc long, tokens array<long>")
 
 
-def _shingles_of(ids: DataFrame, texts: DataFrame, name: str, rows: int) -> DataFrame:
+def _shingles_of(ids: DataFrame, texts: DataFrame, tables: Scratch, name: str, rows: int) -> DataFrame:
     """doc, shingles of the given ids alone."""
-    asked = stored(ids, f"{name}-ids", rows=rows)
+    asked = tables.keep(ids, f"{name}-ids", rows)
     few = asked.count() <= BROADCAST_ROWS
-    return stored(shingled(texts.join(F.broadcast(asked) if few else asked, "doc", "left_semi")), name)
+    return tables.keep(shingled(texts.join(F.broadcast(asked) if few else asked, "doc", "left_semi")), name)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float, name: str, rows: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float, tables: Scratch, name: str, rows: int) -> DataFrame:
     """The pairs (a, b) whose similarity is ``least`` or more."""
-    sent = pairs.sparkSession.sparkContext.broadcast(idf)
-    pairs = stored(pairs, f"{name}-pairs", rows=rows)
-    own = _shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), texts, f"{name}-shingles", rows)
+    sent = pairs.sparkSession.sparkContext.broadcast(weights)
+    pairs = tables.keep(pairs, "pairs", rows)
+    own = _shingles_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), texts, tables, "pair-shingles", rows)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), sent.value) for x, y in zip(batch["x"], batch["y"], strict=True)])
-            yield batch.loc[got >= least, ["a", "b"]]
+            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            got = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), sent.value) >= least for x, y in both]
+            yield batch.select(["a", "b"]).filter(pa.array(got))
 
     one = pairs.join(own.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
     two = one.join(own.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
-    return stored(two.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), name)
+    out = tables.keep(two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), name)
+    tables.drop("pairs", "pair-shingles", "pair-shingles-ids")
+    return out
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -211,7 +281,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def similar_pairs(sets: list[np.ndarray], idf: np.ndarray, least: float, columns: int = 2048) -> np.ndarray:
+def similar_pairs(sets: list[np.ndarray], weights: Weights, least: float, columns: int = 2048) -> np.ndarray:
     """Whether each two of some sorted arrays of shingle hashes are similar, by sums over shared shingles.
 
     The sums of all pairs are one matrix product, taken over blocks of the
@@ -222,7 +292,7 @@ def similar_pairs(sets: list[np.ndarray], idf: np.ndarray, least: float, columns
     own, h = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
     run = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
     nth = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
-    weight = idf[h >> np.uint32(32 - FREQUENCY_BITS)].astype(np.float64)
+    weight = weights.of(h)
     total = np.bincount(own, weight, len(sets))
     key, count = np.unique((h.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64), return_inverse=True, return_counts=True)[1:]
     shared = np.flatnonzero(count > 1)
@@ -238,80 +308,85 @@ def similar_pairs(sets: list[np.ndarray], idf: np.ndarray, least: float, columns
     ratio = common / np.maximum(total[:, None] + total[None, :] - common, 1e-12)
     out = ratio >= least
     for i, j in np.argwhere(np.triu(np.abs(ratio - least) < 1e-5, 1)):
-        out[i, j] = out[j, i] = similarity(sets[i], sets[j], idf) >= least
+        out[i, j] = out[j, i] = similarity(sets[i], sets[j], weights) >= least
     return out
 
 
-def _dealt(members: DataFrame, *columns: str) -> DataFrame:
-    """Members in groups (bucket, i, j) of two chunks each, or of one; ``chunks`` is the number of their bucket."""
-    cut = members.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return other.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "label", *columns)
+def likely_pairs(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, weights: Weights, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (i < j) of different label that share an element of their prefixes, which all similar pairs do.
 
+    ``side`` is the chunk of each set; where there are two, pairs go from one to
+    the other. None if there are so many that all pairs are better compared.
+    """
+    tokens = [prefix(s, weights, least) for s in sets]
+    token, own = np.concatenate(tokens), np.repeat(np.arange(len(sets)), [len(t) for t in tokens])
+    order = np.lexsort((own, token))
+    token, own = token[order], own[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+    size = np.diff(np.append(first, len(token)))
+    if float((size.astype(float) ** 2).sum()) > 8 * len(token) + len(sets) ** 2:
+        return None
+    codes = [np.zeros(0, np.int64)]
+    for step in range(1, int(size.max(initial=1))):  # pairs of a token at each distance
+        at = np.flatnonzero(np.repeat(size, size) - (np.arange(len(token)) - np.repeat(first, size)) > step)
+        codes.append(np.unique(own[at] * len(sets) + own[at + step]))
+    code = np.unique(np.concatenate(codes))
+    i, j = code // len(sets), code % len(sets)
+    good = (label[i] != label[j]) & ((side[i] != side[j]) | bool((side == side[0]).all()))
+    return i[good], j[good]
+
+
+def links_in(docs: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], weights: Weights, least: float) -> list[tuple[int, int]]:
+    """Links between members of a group that are in different components, as many as join its parts."""
+    pairs = likely_pairs(sets, label, side, weights, least) if len(sets) > 8 else None
+    if pairs is None:
+        i, j = np.triu_indices(len(sets), 1)
+        apart = (label[i] != label[j]) & ((side[i] != side[j]) | bool((side == side[0]).all()))
+        pairs = i[apart], j[apart]
+    i, j = pairs
+    if len(i) <= 2 * len(sets):
+        good = np.array([similarity(sets[x], sets[y], weights) >= least for x, y in zip(i, j, strict=True)], bool)
+    else:
+        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        good = similar_pairs([sets[k] for k in used], weights, least)[place[: len(i)], place[len(i) :]]
+    return [(int(docs[x]), int(docs[y])) for x, y in _forest(len(docs), i[good], j[good])]
 
-def _in_chunks(members: DataFrame, size: int) -> DataFrame:
-    """``members`` with the number of chunks of about ``size`` that their bucket is cut into."""
-    return members.join(members.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks")), "bucket")
-
-
-def partnered(samples: np.ndarray, label: np.ndarray, least: int, rows: int = 64) -> np.ndarray:
-    """Whether each row agrees on ``least`` samples or more with a row of another label; at most 32,767 rows."""
-    own = np.stack([np.unique(x, return_inverse=True)[1].astype(np.int16) for x in samples.T])
-    label, out = np.unique(label, return_inverse=True)[1].astype(np.int16), np.zeros(len(samples), bool)
-    for x in range(0, len(samples), rows):
-        agree = np.zeros((len(label[x : x + rows]), len(samples) - x), np.uint8)
-        for k in own:
-            agree += k[x : x + rows, None] == k[None, x:]
-        near = (agree >= least) & (label[x : x + rows, None] != label[None, x:])
-        out[x : x + rows] |= near.any(axis=1)
-        out[x:] |= near.any(axis=0)
-    return out
 
+def _in_chunks(members: DataFrame, size: int) -> DataFrame:
+    """Members (bucket, doc, label) in groups (bucket, i, j) of two chunks of their bucket, or of one."""
+    counted = joined_by(members, members.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / size).cast("int")), "bucket", "n", members.count())
+    cut = counted.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return other.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "label")
 
-def _partnered(members: DataFrame, signed: DataFrame, name: str, rows: int) -> DataFrame:
-    """The members (bucket, doc, label) that agree on enough samples with one of another component in their bucket."""
 
-    def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        good = partnered(np.stack(rows["samples"].to_numpy()), rows["label"].to_numpy(), LEAST_AGREE)
-        return rows.loc[good, ["bucket", "doc", "label"]]
+def _open_links(dealt: DataFrame, own: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """Links (a, b) that join components, found inside the groups (bucket, i, j) of ``dealt``."""
+    sent = dealt.sparkSession.sparkContext.broadcast(weights)
+    group = ["bucket", "i", "j"]
+    rows = dealt.join(own, "doc").repartition(*group).sortWithinPartitions(*group, "doc")
 
-    dealt = _dealt(_in_chunks(members, BLOCK).join(signed, "doc"), "samples")
-    return stored(dealt.groupBy("bucket", "i", "j").applyInPandas(find, "bucket long, doc long, label long").distinct(), name, rows=rows)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in (*group, "doc", "label", "chunk", "shingles")), strict=True))
+        found: list[tuple[int, int]] = []
+        for _, members in groupby(each, key=itemgetter(0, 1, 2)):
+            *_, doc, label, chunk, sets = zip(*members, strict=True)
+            if len(set(label)) > 1:
+                found += links_in(np.array(doc), np.array(label), np.array(chunk), [np.frombuffer(s, np.uint32) for s in sets], sent.value, least)
+            if len(found) >= TOGETHER:
+                yield batch_of("a long, b long", list(zip(*found, strict=True)))
+                found = []
+        if found:
+            yield batch_of("a long, b long", list(zip(*found, strict=True)))
 
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
-def _open_links(members: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Links (a, b) between members of a bucket that are in different components.
 
-    ``members`` has bucket, doc, label, chunks, samples, shingles. A bucket is cut
-    into its number of chunks, and every two chunks of it make a group. Pairs that agree on enough samples are compared in full; of the links found, a
-    group gives those that join its parts, at most one less than its members.
-    """
-    sent = members.sparkSession.sparkContext.broadcast(idf)
-    dealt = _dealt(members, "samples", "shingles")
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc")
-        doc, label, chunk = rows["doc"].to_numpy(), rows["label"].to_numpy(), rows["chunk"].to_numpy()
-        samples, a, b = np.stack(rows["samples"].to_numpy()), [], []
-        for x in range(len(rows) - 1):
-            right = x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & ((chunk[x + 1 :] != chunk[x]) | (key[1] == key[2])))
-            right = right[(samples[right] == samples[x]).sum(axis=1) >= LEAST_AGREE]
-            a.append(np.full(len(right), x, np.int32))
-            b.append(right.astype(np.int32))
-        a, b = np.concatenate([np.zeros(0, np.int32), *a]), np.concatenate([np.zeros(0, np.int32), *b])
-        if len(a):
-            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-            sets = [np.frombuffer(rows["shingles"].iloc[i], np.uint32) for i in used]
-            if len(a) <= 2 * len(used):
-                good = np.array([similarity(sets[i], sets[j], sent.value) >= least for i, j in zip(place[: len(a)], place[len(a) :], strict=True)])
-            else:
-                good = similar_pairs(sets, sent.value, least)[place[: len(a)], place[len(a) :]]
-            pairs = _forest(len(rows), a[good], b[good])
-        else:
-            pairs = []
-        return pd.DataFrame({"a": [doc[x] for x, _ in pairs], "b": [doc[y] for _, y in pairs]}, dtype="int64")
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+def _open(entries: DataFrame, labels: DataFrame, tables: Scratch, rows: int) -> DataFrame:
+    """The entries (bucket, doc) of buckets that hold several components, with label and the bucket's number n."""
+    labelled = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    buckets = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least <> most").select("bucket", "n")
+    return tables.keep(labelled.join(tables.keep(buckets, "open-buckets", rows), "bucket"), "open-rows", rows)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -322,55 +397,62 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     only to equal ones. Rows with equal ids are one document with several
     texts, each of which counts in class_size. A null id counts as the largest. An empty table gives no rows; other columns are left out.
     """
-    small_batches(docs.sparkSession)
-    whole = text_or_empty(text)
+    spark = docs.sparkSession
+    small_batches(spark)
+    tables, whole = Scratch(spark, "near-dup"), text_or_empty(text)
     text_hash = F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("copy"), whole).alias("b"))
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("doc"), whole.alias("text"), text_hash.alias("text_hash"))
-    idf = frequencies(named)
-    keys = stored(named.select("doc", "text_hash"), "text-keys")
+    weights = frequencies(named, tables=tables)
+    keys = tables.keep(named.select("doc", "text_hash"), "keys")
     n_docs = keys.count()
-    entry_rows = BANDS * n_docs
-    copies = stored(keys.groupBy("text_hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "copies", rows=n_docs)
+    rows = BANDS * n_docs
+    copies = tables.keep(keys.groupBy("text_hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "copies", n_docs)
 
     # Every document is signed where it is read; of equal texts only the first goes on.
     texts = named.select("doc", "text")
-    signed = stored(signatures(texts, idf), "signatures")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("samples", i * ROWS + 1, ROWS)))
-    spread = signed.select("doc", F.posexplode(band).alias("i", "key")).select("doc", F.xxhash64("i", "key").alias("bucket"))
-    entries = stored(spread.join(copies.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi"), "band-entries", rows=entry_rows)
-
-    # First: each document against the first of its bucket.
-    heads = stored(entries.groupBy("bucket").agg(F.min("doc").alias("head"), F.count("*").alias("n")).filter("n > 1"), "buckets", rows=entry_rows)
-    star = entries.join(heads, "bucket").filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    links = _linked(star, texts, idf, least, "links", entry_rows)
-    labels = components(links)
-
-    # Then: buckets that still hold several components.
-    labelled = entries.join(heads, "bucket").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("label", "doc").alias("label"))
-    mixed_buckets = stored(labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("n").alias("n")).filter("least <> most"), "open-buckets", rows=entry_rows)
-    open_rows = stored(labelled.drop("n").join(mixed_buckets.select("bucket", "n"), "bucket"), "open-rows", rows=entry_rows)
-    small = open_rows.filter(F.col("n") <= LARGE).select("bucket", "doc", "label")
-    large = open_rows.filter(F.col("n") > LARGE).select("bucket", "doc", "label")
-    if not large.isEmpty():
-        large = _partnered(large, signed, "partnered", entry_rows)
-        for turn in range(ROUNDS):
-            pivots = large.groupBy("bucket").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot"), F.count("*").alias("n")).filter(F.col("n") > LARGE)
-            further = large.join(pivots, "bucket").filter("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-            if further.isEmpty():
-                break
-            links = links.unionByName(_linked(further, texts, idf, least, f"links-{turn}", entry_rows))
-            labels = components(links)
-            again = large.drop("label").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
-            large = _partnered(again, signed, f"partnered-{turn}", entry_rows)
-    members = stored(_in_chunks(small, CHUNK).unionByName(_in_chunks(large, CHUNK)), "open-members", rows=entry_rows)
-    own = _shingles_of(members.select("doc").distinct(), texts, "open-shingles", entry_rows)
-    more = stored(_open_links(members.join(signed, "doc").join(own, "doc"), idf, least), "more-links")
+    spread = signatures(texts, weights).select("doc", F.posexplode(band).alias("i", "key")).select("doc", F.xxhash64("i", "key").alias("bucket"))
+    entries = tables.keep(spread.join(copies.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").distinct(), "entries", rows)
+
+    # Each document against the first of its bucket. Then, in buckets that hold
+    # several components and many documents, against others of them.
+    heads = entries.groupBy("bucket").agg(F.min("doc").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    known = tables.keep(heads, "heads", rows)
+    star = joined_by(entries, known, "bucket", "n", rows).filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
+    links = _linked(star, texts, weights, least, tables, "links", rows)
+    shared = tables.keep(joined_by(entries, known.drop("head"), "bucket", "n", rows), "shared", rows)
+    labels = components(links, tables)
+    members = _open(shared, labels, tables, rows)
+    for turn in range(ROUNDS):
+        large = members.filter(F.col("n") > CHUNK)
+        pivots = large.groupBy("bucket").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot"), F.max("n").alias("n"))
+        further = joined_by(large.drop("n", "label"), pivots, "bucket", "n", rows).filter("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+        if further.isEmpty():
+            break
+        links = links.unionByName(_linked(further, texts, weights, least, tables, f"links-{turn}", rows))
+        labels = components(links, tables)
+        members = _open(shared, labels, tables, rows)
+
+    # All pairs of a bucket that are still apart: in groups of the whole bucket,
+    # and where it is large in groups of those that share a token of their prefixes.
+    own = _shingles_of(members.select("doc").distinct(), texts, tables, "open-shingles", rows)
+    large = members.filter(F.col("n") > CHUNK)
+    tokens = prefixes(own.join(large.select("doc").distinct(), "doc", "left_semi"), weights, least)
+    tokened = large.join(tokens, "doc").select("doc", "label", F.explode("tokens").alias("token"), "bucket").select(F.xxhash64("bucket", "token").alias("bucket"), "doc", "label")
+    tokened = tables.keep(tokened, "tokens")
+    apart = tokened.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least <> most").select("bucket", "n")
+    groups = members.filter(F.col("n") <= CHUNK).select("bucket", "doc", "label").unionByName(joined_by(tokened, apart, "bucket", "n", tokened.count()).select("bucket", "doc", "label"))
+    groups = tables.keep(groups, "groups")
+    more = tables.keep(_open_links(_in_chunks(groups, CHUNK), own, weights, least), "more-links")
     if not more.isEmpty():
-        labels = components(links.unionByName(more), "components-all")
-
-    classes = copies.join(labels.withColumnRenamed("node", "first"), "first", "left").select("text_hash", F.coalesce("label", "first").alias("class"), "n")
-    sizes = classes.groupBy("class").agg(F.sum("n").alias("class_size"))
-    known = keys.join(classes.select("text_hash", "class"), "text_hash").join(sizes, "class")
+        labels = components(links.unionByName(more), tables)
+    tables.drop("entries", "heads", "shared", "open-buckets", "open-rows", "open-shingles", "open-shingles-ids", "tokens", "groups", "links", *(f"links-{k}" for k in range(ROUNDS)), "more-links")
+
+    found = copies.join(labels.withColumnRenamed("node", "first"), "first", "left").select("text_hash", F.coalesce("label", "first").alias("class"), "n")
+    classes = tables.keep(found, "classes", n_docs)
+    sizes = classes.groupBy("class").agg(F.sum("n").alias("class_size"), F.count("*").alias("texts"))
+    sized = joined_by(classes, sizes, "class", "texts", n_docs)
+    known = joined_by(keys, sized, "text_hash", "n", n_docs)
     out_id = [F.nullif(F.col(c), F.lit(NO_DOC)).alias(o) for c, o in (("doc", "doc_id"), ("class", "class_id"))]
     return known.select(out_id[0], "text_hash", out_id[1], "class_size")
 
