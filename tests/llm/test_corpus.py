@@ -416,7 +416,6 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_large_buckets_are_split(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "LARGE", 3)
     monkeypatch.setattr(near_dup, "CHUNK", 2)
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in range(100)]
@@ -439,8 +438,7 @@ def test_large_buckets_are_split(spark, monkeypatch):
 
 
 def test_pairs_of_one_band_are_compared_in_large_buckets(spark, monkeypatch):
-    for name, value in (("LARGE", 3), ("CHUNK", 4), ("BLOCK", 5), ("LEAST_AGREE", near_dup.ROWS)):
-        monkeypatch.setattr(near_dup, name, value)
+    monkeypatch.setattr(near_dup, "CHUNK", 4)
     rng, texts, near = np.random.default_rng(12), [], 0
     for _ in range(100):  # pairs of about 0.6; others share a passage
         x = [f"w{i}" for i in range(50)] + [f"u{i}" for i in rng.integers(0, 10**6, 70)]
@@ -462,19 +460,53 @@ def test_pairs_of_one_band_are_compared_in_large_buckets(spark, monkeypatch):
     assert near and [got[i] for i in range(200)] == want
 
 
-def test_rows_with_partners():
+def test_prefixes_miss_no_pair():
     rng = np.random.default_rng(13)
-    samples, label = rng.integers(0, 3, (150, 30)), rng.integers(0, 60, 150)
-    agree = (samples[:, None] == samples[None]).sum(axis=2) >= 17
-    want = (agree & (label[:, None] != label[None])).any(axis=1)
-    assert (near_dup.partnered(samples, label, 17) == want).all() and 0 < want.sum() < 150
+    weights = near_dup.Weights(1000, np.arange(0, 400, 2, dtype=np.uint32), rng.integers(2, 1000, 200))
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 3000, 60)
+        for _ in range(4):
+            own = base.copy()
+            own[rng.integers(0, 60, rng.integers(0, 9))] = rng.integers(0, 3000, 1)
+            sets.append(np.sort(own).astype(np.uint32))
+    label, side = np.arange(240), np.zeros(240, int)
+    got = set(zip(*(x.tolist() for x in near_dup.likely_pairs(sets, label, side, weights, 0.8)), strict=True))
+    near = {(i, j) for j in range(240) for i in range(j) if near_dup.similarity(sets[i], sets[j], weights) >= 0.8}
+    assert near <= got and len(near) > 30 and len(got) < 9000
+    whole = near_dup.similar_pairs(sets, weights, 0.8)
+    assert near == {(i, j) for i, j in np.argwhere(np.triu(whole, 1)).tolist()}
+
+
+def test_a_bucket_of_lightly_related_texts(spark):
+    """A thousand texts of one bucket whose similarity is below the limit, but for some pairs."""
+    rng, texts = np.random.default_rng(3), []
+    for k in range(1200):
+        x = [f"w{i}" for i in range(80)] + [f"u{k}x{i}" for i in range(16)]
+        texts.append(" ".join(x))
+        if k % 60 == 0:
+            x[88] = f"e{k}"
+            texts.append(" ".join(x))
+    d = docs(spark, texts)
+    weights = near_dup.frequencies(d)
+    sets = [np.sort(near_dup.shingles([t])[0]) for t in texts]
+    near = near_dup.similar_pairs(sets, weights, 0.8)
+    samples = {r["doc"]: np.array(r["samples"]) for r in near_dup.signatures(d.select(F.col("doc_id").alias("doc"), "text"), weights).collect()}
+    bands = np.stack([samples[i] for i in range(len(texts))]).reshape(len(texts), near_dup.BANDS, near_dup.ROWS)
+    size = max(np.unique(bands[:, b], axis=0, return_counts=True)[1].max() for b in range(near_dup.BANDS))
+    want = list(range(len(texts)))
+    for i, j in np.argwhere(np.tril(near, -1)):
+        if (bands[i] == bands[j]).all(axis=1).any():
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(d).collect()}
+    assert size > near_dup.CHUNK and [got[i] for i in range(len(texts))] == want and len(set(want)) == 1200
 
 
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(8)
     h = rng.integers(0, 2**32, 300, dtype=np.uint32)
     a, b = np.sort(h[:260]), np.sort(h[40:])
-    w = np.ones(1 << near_dup.FREQUENCY_BITS, np.float32)
+    w = near_dup.Weights(1, np.zeros(0, np.uint32), np.zeros(0))
     s = near_dup.Sampler(2000)
     one, two = (s.draw(x, np.ones(len(x)), np.array([0]))[0] for x in (a, b))
     assert (one == two).mean() == pytest.approx(near_dup.similarity(a, b, w), abs=0.04)
