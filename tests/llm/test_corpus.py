@@ -601,13 +601,50 @@ def test_recall_and_ranks(spark, duck):
     assert got["query_id"].nunique() == (ids % 20 == 0).sum() and np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [40, 300])
+def test_recall_over_shards(spark, monkeypatch, rows):
+    """Clusters that the tree keeps together, many copies of one vector, and large components."""
+    monkeypatch.setattr(nearest, "SHARD_ROWS", rows)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 7)
+    rng = np.random.default_rng(31)
+    x = np.concatenate([rng.normal(0, 1, 12) * 4 + rng.normal(0, 1, (60, 12)) for _ in range(15)] + [np.repeat(rng.normal(0, 3, (1, 12)), 250, axis=0), rng.normal(0, 1e155, (3, 12))])
+    order = rng.permutation(len(x))
+    x = x[order]
+    got = nearest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    hit = total = 0
+    with np.errstate(over="ignore"):
+        for q in range(0, len(x), 20):
+            ip = (x * x[q]).sum(axis=1)
+            others = [v for v in np.lexsort((np.arange(len(x)), -ip)) if v != q][:20]
+            own = got[got["query_id"] == q].sort_values("rank")
+            assert own["rank"].tolist() == list(range(1, 21))
+            hit, total = hit + len(set(others) & set(own["vec_id"])), total + 20
+    assert hit / total >= 0.9
+
+
+def test_far_shards_are_left_out():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 1, (8, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    x = np.concatenate([c + rng.normal(0, 0.02, (100, 16)) for c in centres])
+    space = nearest.Space(nearest.lines(17), float(np.linalg.norm(x, axis=1).max()), 1.0)
+    shards = [nearest.Shard.build(np.arange(100 * k, 100 * k + 100), x[100 * k : 100 * k + 100], space) for k in range(8)]
+    low, high = (np.stack([s.sorted[:, e] for s in shards]) for e in (0, -1))
+    radius = shards[0].search(5, x[5], 20)[2]
+    assert space.reaches(x[5], radius, low, high).tolist() == [True] + [False] * 7
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0], 1), (20, [2.0, 1.0], 1), (21, [1.0, 0.0], 1), (22, [1.0, 0.0], 1), (23, None, 1), (40, [0.0, 0.0], 1), (60, [nan, 1.0], 1), (80, [None, 1.0], 1), (None, [1.0, 1.0], 1), (100, [1.0], 1), (25, [-5.0, 0.5], 1)]
+    rows = [(0, [1.0, 0.0], 1), (20, [2.0, 1.0], 1), (21, [1.0, 0.0], 1), (22, [1.0, 0.0], 1), (23, None, 1), (40, [0.0, 0.0], 1), (60, [nan, 1.0], 1), (80, [None, 1.0], 1), (None, [1.0, 1.0], 1), (25, [-5.0, 0.5], 1)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(v).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 2.0), (0, 2, 21, 1.0), (0, 3, 22, 1.0), (0, 4, 25, -5.0), (20, 1, 0, 2.0), (20, 2, 21, 2.0), (20, 3, 22, 2.0), (20, 4, 25, -9.5)]
     assert nearest.nearest(v.filter("false")).count() == 0 and nearest.nearest(v.filter("vec_id = 21")).count() == 0
+    again = spark.createDataFrame([(20, [2.0, 1.0]), (20, [1.0, 3.0]), (21, [1.0, 0.0]), (21, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in nearest.nearest(again).orderBy("rank").collect()] == [(20, 1, 21, 3.0), (20, 2, 21, 1.0)]
+    with pytest.raises(ValueError):
+        nearest.nearest(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"))
 
 
 # 10 lines
