@@ -340,9 +340,9 @@ def test_pages_equal_their_articles(spark, duck):
         assert got[page]["text"] == "\n\n".join(b for b in blocks if b) and got[page]["n_chars"] == len(got[page]["text"])
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("broadcast", [1 << 20, -1])
 def test_odd_pages(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", broadcast)
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", broadcast)
     rows = [(1, None, None, "t"), (2, "http://a.b/c", "", "t"), (3, "x", "<div>" * 5000 + "deep", "t"), (4, "http://u:p@A.b:80/", '<body><div id="main" title="a > b"><h2>T &amp; x</h2><p>Hello   world<p>Two<div class="comments">no</div><script>var x="<p>no</p>"</script></div><aside>no</aside></body>', "t"), (4, None, "plain &lt; text", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted((r["page_id"], r["text"]) for r in html_text.main_text(pages).collect())
@@ -351,6 +351,21 @@ def test_odd_pages(spark, monkeypatch, broadcast):
     assert html_text.main_text(pages.filter("false")).count() == 0
 
 
+def test_depth_makes_no_difference():
+    import time
+
+    menu, article = "<nav><ul><li><a href='/'>menu item</a></li></ul></nav>", "<article><h1>Title</h1><p>" + "main text " * 30 + "</p><dialog open>Said in it.</dialog><menu><li>One of a list</li></menu></article>"
+    want = "\n\n".join(["Title", ("main text " * 30).strip(), "Said in it.", "One of a list"])
+    began = time.perf_counter()
+    for n in (0, 10, 160, 5000):
+        page = "<body><menu><li>File</li></menu><dialog>Cookies</dialog>" + "<div>" * n + menu + article + "</div>" * n + "</body>"
+        votes = html_text.vote(page)
+        assert html_text.extract(page, None) == html_text.extract(page, votes[0][2]) == want, n
+    deep = "<body>" + "<b>" * 20_000 + "<p>some text" * 2000 + "</i>" * 20_000
+    html_text.extract(deep, html_text.vote(deep)[0][2])
+    assert time.perf_counter() - began < 30
+
+
 def test_host_votes_correct_a_page():
     body = "<body><div class='story'>{}</div><div class='other'>{}</div></body>"
     usual = body.format("<p>" + "long text " * 50 + "</p>", "<p>short</p>")
