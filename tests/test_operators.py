@@ -148,11 +148,34 @@ def test_coins(spark):
 
 def test_trace_loss_matches_plain_sums(noisy):
     x = noisy.orderBy("idx").toPandas()["x"].to_numpy()
+    short = np.array([1.0, np.nan, 2.0, 4.0, 5.0])
+    losses = changepoint.TraceLosses([x, short, x])
     for t1, t2 in ((400, 1000), (10, 11), (500, 1999)):
         c1, c2 = x[:t1].mean(), x[t2:].mean()
         want = ((x[:t1] - c1) ** 2).sum() + ((x[t2:] - c2) ** 2).sum() + ((x[t1:t2] - np.linspace(c1, c2, t2 - t1)) ** 2).sum()
-        assert changepoint.TraceLoss(x)(t1, t2) == pytest.approx(want)
-    assert math.isnan(changepoint.TraceLoss(x)(50, 40))
+        got = losses(np.array([t1 + 0.4, 2, 50.0]), np.array([t2 + 0.2, 4, 40.0]))
+        assert got[0] == pytest.approx(want) and got[1] == pytest.approx(2 * 0 + (2 - 1) ** 2 + (4 - 5) ** 2) and math.isnan(got[2])
+
+
+def test_moves_of_the_published_formulas():
+    g = [np.array([2.0]), np.array([-1.0]), np.array([3.0])]
+    a, r, m, s = (changepoint.mover(n, 0.1, True) for n in ("AdaGrad", "RMSprop", "Momentum", "Adam"))
+    squares = mean = speed = first = second = 0.0
+    for k, x in enumerate(g, 1):
+        squares, mean, speed = squares + x * x, 0.9 * mean + 0.1 * x * x, 0.9 * speed - 0.1 * x
+        first, second = 0.9 * first + 0.1 * x, 0.999 * second + 0.001 * x * x
+        want = -0.1 * x / np.sqrt(squares + 1e-8), -0.1 * x / np.sqrt(mean + 1e-8), speed, -0.1 * first / (1 - 0.9**k) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
+        np.testing.assert_allclose([float(y.move(x)[0]) for y in (a, r, m, s)], [float(w[0]) for w in want], rtol=1e-12)
+
+
+def test_all_pairs_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(changepoint, "STRETCH", 7)
+    x = np.random.default_rng(2).normal(size=40) + np.r_[np.zeros(15), np.arange(10), np.full(15, 10.0)]
+    loss = changepoint.TraceLosses([x])
+    pairs = [(a, b) for b in range(2, 40) for a in range(1, b)]
+    best = min(pairs, key=lambda t: float(loss(np.array([t[0]]), np.array([t[1]]))[0]))
+    got = changepoint.best_change_points(trace(spark, x)).first()
+    assert (got["t1"], got["t2"]) == best and changepoint.candidate_losses(trace(spark, x)).count() == len(pairs)
 
 
 def test_change_points_by_search_and_descent(spark, noisy):
@@ -168,7 +191,7 @@ def test_change_points_by_search_and_descent(spark, noisy):
 def test_crossed_change_points_are_null(spark, noisy):
     assert changepoint.fit_change_points(noisy, (900, 100)).first()["cp_1"] is None
     with pytest.raises(ValueError):
-        changepoint.descend(lambda a, b: 0.0, (1, 2), "Newton")
+        changepoint.descend(lambda a, b: a, np.ones((2, 1)), "Newton")
 
 
 def test_cubic_descents(spark):
@@ -180,6 +203,15 @@ def test_cubic_descents(spark):
     noisy_y = 10 * x + 3 * x**2 + x**3 + np.random.default_rng(0).normal(0, 30, 340)
     rows = spark.createDataFrame(list(zip(x.tolist(), noisy_y.tolist(), strict=True)), "x double, y double")
     np.testing.assert_allclose(changepoint.cubic_minibatch(rows), changepoint.cubic_exact(rows), atol=1.0)
+    p, _ = changepoint.cubic_descent(rows, standard=True, tolerance=1e-6)
+    np.testing.assert_allclose(p, changepoint.cubic_exact(rows), atol=0.01)
+
+
+def test_batches_stream_past_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i % 9), float(i)) for i in range(90)], "x double, y double")
+    want = changepoint.cubic_minibatch(rows, batch=8, epochs=3)
+    monkeypatch.setattr(changepoint, "HELD_BATCHES", 2)
+    np.testing.assert_allclose(changepoint.cubic_minibatch(rows, batch=8, epochs=3), want, rtol=1e-9)
 
 
 # Spectra

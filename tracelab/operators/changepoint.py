@@ -6,7 +6,8 @@ x^2 and i x give at once for any pair, so no candidate looks at a trace again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-METHODS = ("Adam", "AdaGrad", "RMSprop", "Momentum")
-MOST_BATCHES = 4096
 DECAY, BETA1, BETA2, EPS = 0.9, 0.9, 0.999, 1e-8
+STRETCH = 512  #: places of a trace whose pairs with those of another stretch are taken together
+TOGETHER, MOST_TRACES, HELD_BATCHES = 1 << 20, 512, 4096  #: rows and traces that a task fits at once, a longer trace by itself; sums of batches kept on the driver
 
 
 def prefix_sums(df: DataFrame, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
@@ -45,24 +46,30 @@ def pair_loss(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return level1 + ramp + level2
 
 
-def candidate_losses(df: DataFrame, candidates: int = 32, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
-    """Losses of all pairs of about ``candidates`` evenly spaced places of each trace: key, t1, t2, loss."""
-    sums = prefix_sums(df, key, idx, value)
-    spaced = sums.filter((F.col("at") < F.col("n")) & (F.col("at") % F.ceil(F.col("n") / candidates) == 0))
-    a, b = spaced.alias("a"), spaced.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.at") < F.col("b.at")))
+def candidate_losses(df: DataFrame, candidates: int | None = None, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
+    """Losses of all pairs of places of each trace, or of about ``candidates`` evenly spaced ones: key, t1, t2, loss.
+
+    Pairs are made stretch by stretch, so that a long trace is the work of many tasks.
+    """
+    sums = prefix_sums(df, key, idx, value).filter(F.col("at") < F.col("n"))
+    if candidates:
+        sums = sums.filter(F.col("at") % F.ceil(F.col("n") / candidates) == 0)
+    own = F.floor(F.col("at") / STRETCH)
+    a = sums.withColumn("met", F.explode(F.sequence(own, F.floor(F.col("n") / STRETCH)))).alias("a")
+    b = sums.withColumn("met", own).alias("b")
+    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.met") == F.col("b.met")) & (F.col("a.at") < F.col("b.at")))
     return pairs.select(F.col(f"a.{key}").alias(key), F.col("a.at").alias("t1"), F.col("b.at").alias("t2"), pair_loss(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("loss"))
 
 
-def best_change_points(df: DataFrame, candidates: int = 32, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
-    """The pair with the least loss among the candidates, the first of equals: key, t1, t2, loss."""
+def best_change_points(df: DataFrame, candidates: int | None = None, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
+    """The pair with the least loss of all, or among the candidates, the first of equals: key, t1, t2, loss."""
     losses = candidate_losses(df, candidates, key, idx, value)
     return losses.groupBy(key).agg(F.min(F.struct("loss", "t1", "t2")).alias("b")).select(key, "b.t1", "b.t2", "b.loss")
 
 
 def refined_change_points(df: DataFrame, candidates: int = 32, rounds: int = 3, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
     """The best pair, then the best within half of the spacing around it, with ever finer spacing."""
-    sums = prefix_sums(df, key, idx, value).cache()
+    sums = prefix_sums(df, key, idx, value)
     best = best_change_points(df, candidates, key, idx, value)
     n = sums.groupBy(key).agg(F.max("n").alias("n"))
     best = best.join(n, key).withColumn("gap", F.ceil(F.col("n") / candidates).cast("long"))
@@ -78,76 +85,142 @@ def refined_change_points(df: DataFrame, candidates: int = 32, rounds: int = 3,
     return best.select(key, "t1", "t2", "loss")
 
 
-class TraceLoss:
-    """The loss of one trace at whole-number change points, from its prefix sums; NaN values are left out."""
-
-    def __init__(self, x: np.ndarray):
-        ok, i = ~np.isnan(x), np.arange(len(x), dtype=float)
-        y = np.where(ok, x, 0.0)
-        self.n = len(x)
-        self.sums = np.concatenate([np.zeros((5, 1)), np.cumsum([ok, y, y * y, i * y, np.where(ok, i, 0)], axis=1)], axis=1)
-        self.squares = np.append(0, np.cumsum(np.where(ok, i * i, 0)))
-
-    def levels(self, t1: int, t2: int) -> tuple[float, float]:
-        n, s = self.sums[0], self.sums[1]
-        a = s[t1] / n[t1] if n[t1] else np.nan
-        b = (s[-1] - s[t2]) / (n[-1] - n[t2]) if n[-1] > n[t2] else np.nan
-        return float(a), float(b)
-
-    def __call__(self, t1: float, t2: float) -> float:
-        t1, t2 = int(t1), int(t2)
-        if not 0 < t1 < t2 < self.n:
-            return float("nan")
-        c1, c2 = self.levels(t1, t2)
-        n, x, xx, ix, i = self.sums
-        slope = (c2 - c1) / (t2 - t1 - 1) if t2 - t1 > 1 else 0.0
-        d = [v[t2] - v[t1] for v in (n, x, xx, ix, i, self.squares)]
-        base = c1 - slope * t1
-        ramp = d[2] - 2 * (base * d[1] + slope * d[3]) + base * base * d[0] + 2 * base * slope * d[4] + slope * slope * d[5]
-        return float(xx[t1] - c1 * c1 * n[t1] + ramp + (xx[-1] - xx[t2]) - c2 * c2 * (n[-1] - n[t2]))
-
-
-def descend(loss: Callable[[float, float], float], start: tuple[float, float], method: str = "Adam", rate: float = 0.18, tolerance: float = 1e-2, most: int = 1000, standard: bool = False) -> tuple[float, float, int]:
-    """Descent by forward differences of one place; gives the point and the number of rounds.
-
-    Adam here divides the moments by 1 - beta each time and steps before it
-    takes in the new gradient; ``standard`` uses the usual powers and order.
-    A point where the loss is undefined ends the descent with NaN.
+class TraceLosses:
+    """Losses of some traces at whole-number change points, from their prefix sums; NaN values are left out."""
+
+    def __init__(self, traces: list[np.ndarray]):
+        self.size = np.array([len(x) for x in traces])
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.sums = np.concatenate([self._prefix(x) for x in traces], axis=1)
+
+    @staticmethod
+    def _prefix(x: np.ndarray) -> np.ndarray:
+        known, i = ~np.isnan(x), np.arange(len(x), dtype=float)
+        y = np.where(known, x, 0.0)
+        return np.concatenate([np.zeros((6, 1)), np.cumsum([known, y, y * y, i * y, i * known, i * i * known], axis=1)], axis=1)
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Counts and sums of x, x^2, i x, i and i^2 over the places from a to b of each trace."""
+        return self.sums[:, self.start + b] - self.sums[:, self.start + a]
+
+    def levels(self, t1: np.ndarray, t2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean before t1 and from t2 on, for places that are in range."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            before, after = self.between(np.zeros_like(t1), t1), self.between(t2, self.size)
+            return before[1] / before[0], after[1] / after[0]
+
+    def inside(self, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+        """Whether both change points lie in their trace, one behind the other."""
+        with np.errstate(invalid="ignore"):
+            return (np.trunc(t1) > 0) & (np.trunc(t1) < np.trunc(t2)) & (np.trunc(t2) < self.size)
+
+    def __call__(self, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+        good = self.inside(t1, t2)
+        a, b = (np.where(good, t, d).astype(np.int64) for t, d in ((t1, 0), (t2, 0)))
+        c1, c2 = self.levels(a, b)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            head, ramp, tail = self.between(np.zeros_like(a), a), self.between(a, b), self.between(b, self.size)
+            slope = np.where(b - a > 1, (c2 - c1) / np.maximum(b - a - 1, 1), 0.0)
+            base = c1 - slope * a
+            n, x, xx, ix, i, ii = ramp
+            line = xx - 2 * (base * x + slope * ix) + base * base * n + 2 * base * slope * i + slope * slope * ii
+            return np.where(good, head[2] - c1 * c1 * head[0] + line + tail[2] - c2 * c2 * tail[0], np.nan)
+
+
+# Ways to move along gradients. Each keeps what it needs of the gradients so far.
+
+class Momentum:
+    """The last move goes on, turned by the gradient."""
+
+    def __init__(self, rate: float):
+        self.rate, self.last = rate, 0.0
+
+    def move(self, g: np.ndarray) -> np.ndarray:
+        self.last = DECAY * self.last - self.rate * g
+        return self.last
+
+
+class AdaGrad:
+    """Steps fall with the root of the sum of squared gradients."""
+
+    def __init__(self, rate: float):
+        self.rate, self.squares = rate, 0.0
+
+    def move(self, g: np.ndarray) -> np.ndarray:
+        self.squares = self.squares + g * g
+        return -self.rate * g / np.sqrt(self.squares + EPS)
+
+
+class RMSprop:
+    """Steps are measured by a fading mean of squared gradients."""
+
+    def __init__(self, rate: float):
+        self.rate, self.mean = rate, 0.0
+
+    def move(self, g: np.ndarray) -> np.ndarray:
+        self.mean = DECAY * self.mean + (1 - DECAY) * g * g
+        return -self.rate * g / np.sqrt(self.mean + EPS)
+
+
+class Adam:
+    """Fading means of gradients and of their squares, both corrected for their start at 0."""
+
+    def __init__(self, rate: float):
+        self.rate, self.first, self.second, self.moves = rate, 0.0, 0.0, 0
+
+    def take_in(self, g: np.ndarray) -> None:
+        self.first = BETA1 * self.first + (1 - BETA1) * g
+        self.second = BETA2 * self.second + (1 - BETA2) * g * g
+        self.moves += 1
+
+    def move(self, g: np.ndarray) -> np.ndarray:
+        self.take_in(g)
+        return self.step(1 - BETA1**self.moves, 1 - BETA2**self.moves)
+
+    def step(self, scale1: float, scale2: float) -> np.ndarray:
+        return -self.rate * (self.first / scale1) / (np.sqrt(self.second / scale2) + EPS)
+
+
+class LaggedAdam(Adam):
+    """Adam whose means are those before the gradient, with the first round's correction in all rounds."""
+
+    def move(self, g: np.ndarray) -> np.ndarray:
+        if not self.moves:
+            self.take_in(g)
+        step = self.step(1 - BETA1, 1 - BETA2)
+        self.take_in(g)
+        return step
+
+
+MOVERS = {"Adam": LaggedAdam, "AdaGrad": AdaGrad, "RMSprop": RMSprop, "Momentum": Momentum}
+
+
+def mover(method: str, rate: float, standard: bool = False) -> Momentum | AdaGrad | RMSprop | Adam:
+    """A way to move by name. Adam is the lagged form unless ``standard`` asks for the usual one."""
+    if method not in MOVERS:
+        raise ValueError(f"method is one of {', '.join(MOVERS)}, not {method!r}")
+    return Adam(rate) if standard and method == "Adam" else MOVERS[method](rate)
+
+
+def descend(loss: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, method: str = "Adam", rate: float = 0.18, tolerance: float = 1e-2, most: int = 1000, standard: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Descent of many losses at once by forward differences of one place: the points (2, n), and their rounds.
+
+    A point rests where its gradient is ``tolerance`` or less. One at which the
+    loss is undefined ends with NaN.
     """
-    if method not in METHODS:
-        raise ValueError(f"method is one of {', '.join(METHODS)}, not {method!r}")
-
-    def slope(p: np.ndarray) -> np.ndarray:
-        here = loss(*p)
-        return np.array([loss(p[0] + 1, p[1]) - here, loss(p[0], p[1] + 1) - here])
-
-    p = np.array(start, float)
-    g = slope(p)
-    first, second, speed = (1 - BETA1) * g, (1 - BETA2) * g * g, np.zeros(2)
-    total, root, rounds = g * g, np.sqrt((1 - DECAY) * g * g + EPS), 1
-    if standard:
-        first, second = np.zeros(2), np.zeros(2)
-    while np.linalg.norm(g) > tolerance and rounds < most:
-        g = slope(p)
-        if method == "AdaGrad":
-            total = total + g * g
-            p = p - rate * g / np.sqrt(total + EPS)
-        elif method == "RMSprop":
-            root = np.sqrt(DECAY * root * root + (1 - DECAY) * g * g + EPS)
-            p = p - rate * g / root
-        elif method == "Momentum":
-            speed = DECAY * speed - rate * g
-            p = p + speed
-        elif standard:
-            first, second = BETA1 * first + (1 - BETA1) * g, BETA2 * second + (1 - BETA2) * g * g
-            p = p - rate * (first / (1 - BETA1**rounds)) / (np.sqrt(second / (1 - BETA2**rounds)) + EPS)
-        else:
-            p = p - rate * (first / (1 - BETA1)) / (np.sqrt(second / (1 - BETA2)) + EPS)
-            first, second = BETA1 * first + (1 - BETA1) * g, BETA2 * second + (1 - BETA2) * g * g
-        rounds += 1
-        if not np.isfinite(g).all():
-            return float("nan"), float("nan"), rounds
-    return float(p[0]), float(p[1]), rounds
+    way, p = mover(method, rate, standard), np.array(start, float)
+    rounds, going = np.ones(p.shape[1], np.int64), np.ones(p.shape[1], bool)
+    for _ in range(1, most):
+        here = loss(p[0], p[1])
+        g = np.stack([loss(p[0] + 1, p[1]) - here, loss(p[0], p[1] + 1) - here])
+        lost = going & ~np.isfinite(g).all(axis=0)
+        p[:, lost] = np.nan
+        going &= ~lost & ~(np.hypot(g[0], g[1]) <= tolerance)
+        if not going.any():
+            break
+        p = p + np.where(going, way.move(np.where(going, g, 0.0)), 0.0)
+        rounds += going
+    return p, rounds
 
 
 def fit_change_points(df: DataFrame, start: tuple[float, float] | None = None, method: str = "Adam", rate: float = 0.18, tolerance: float = 1e-2, most: int = 1000, repeats: int = 1, fps: float = 1.0, standard: bool = False, key: str = "trace_id", idx: str = "idx", value: str = "x", fitted: str | None = None) -> DataFrame:
@@ -157,31 +230,58 @@ def fit_change_points(df: DataFrame, start: tuple[float, float] | None = None, m
     often their scores), levels come from ``value``. ``start`` is (t1, t2), by
     default a third and two thirds of a trace; each of the ``repeats`` begins
     where the one before ended. A trace whose change points cross or leave it
-    has nulls. One trace is one task's work.
+    has nulls. Traces are dealt to tasks whole; a task fits many of them at once.
     """
-    kind = dict(df.dtypes)[key]
-    on = fitted or value
+    mover(method, rate, standard)
+    on, kind = fitted or value, dict(df.dtypes)[key]
+    schema = f"`{key}` {kind}, cp_1 int, cp_2 int, bm_initial double, bm_final double, velocity double, velocity_per_min double, rounds int"
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(idx)
-        loss, levels = TraceLoss(rows[on].to_numpy(float)), TraceLoss(rows[value].to_numpy(float))
-        p, rounds = start or (len(rows) / 3, 2 * len(rows) / 3), 0
+    def fit(keys: list, scores: list[np.ndarray], values: list[np.ndarray]) -> pd.DataFrame:
+        loss, own = TraceLosses(scores), TraceLosses(values)
+        p = np.stack([np.full(len(keys), float(s)) for s in start]) if start else np.stack([own.size / 3, 2 * own.size / 3])
+        rounds = np.zeros(len(keys), np.int64)
         for _ in range(repeats):
-            a, b, n = descend(loss, p, method, rate, tolerance, most, standard)
+            p, n = descend(loss, p, method, rate, tolerance, most, standard)
             rounds += n
-            p = (a, b)
-            if np.isnan(a):
-                break
-        out = {key: rows[key].iloc[0], "rounds": rounds}
-        t1, t2 = (-1, -1) if np.isnan(p[0]) else (int(p[0]), int(p[1]))
-        ok = 0 < t1 < t2 < len(rows)
-        c1, c2 = levels.levels(t1, t2) if ok else (None, None)
-        v = (c2 - c1) / (t2 - t1) if ok else None
-        out |= {"cp_1": t1 if ok else None, "cp_2": t2 if ok else None, "bm_initial": c1, "bm_final": c2, "velocity": v, "velocity_per_min": v * fps * 60 if ok else None}
-        return pd.DataFrame([out]).astype({"cp_1": "Int32", "cp_2": "Int32"})
-
-    schema = f"`{key}` {kind}, cp_1 int, cp_2 int, bm_initial double, bm_final double, velocity double, velocity_per_min double, rounds int"
-    return df.select(*dict.fromkeys([key, idx, value, on])).groupBy(key).applyInPandas(lambda rows: fit(rows)[[c.split()[0].strip("`") for c in schema.split(", ")]], schema)
+        good = own.inside(p[0], p[1])
+        t1, t2 = (np.where(good, t, 0).astype(np.int64) for t in p)
+        c1, c2 = own.levels(t1, t2)
+        v = (c2 - c1) / np.where(good, t2 - t1, 1)
+        hidden = [pd.array(np.where(good, t, 0), "Int32") for t in (t1, t2)]
+        for column in hidden:
+            column[~good] = pd.NA
+        return pd.DataFrame(dict(zip(names, [keys, *hidden, *(np.where(good, x, np.nan) for x in (c1, c2, v, v * fps * 60)), rounds], strict=True)))
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """The traces of a task one by one; a batch may end inside of one."""
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            cuts = np.flatnonzero(np.append(True, batch[key].to_numpy()[1:] != batch[key].to_numpy()[:-1])[: len(batch)])
+            for a, b in zip(cuts, np.append(cuts[1:], len(batch)), strict=True):
+                piece = batch.iloc[a:b]
+                if held and held[0][key].iloc[0] != piece[key].iloc[0]:
+                    yield pd.concat(held)
+                    held = []
+                held.append(piece)
+        if held:
+            yield pd.concat(held)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, scores, values, rows = [], [], [], 0
+        for trace in whole(batches):
+            keys.append(trace[key].iloc[0])
+            scores.append(trace[on].to_numpy(float))
+            values.append(trace[value].to_numpy(float))
+            rows += len(trace)
+            if rows >= TOGETHER or len(keys) >= MOST_TRACES:
+                yield fit(keys, scores, values)
+                keys, scores, values, rows = [], [], [], 0
+        if keys:
+            yield fit(keys, scores, values)
+
+    dealt = df.select(*dict.fromkeys([key, idx, value, on])).repartition(key).sortWithinPartitions(key, idx)
+    return dealt.mapInPandas(run, schema)
 
 
 def cubic_moments(df: DataFrame, x: str = "x", y: str = "y") -> dict[str, float]:
@@ -196,43 +296,45 @@ def cubic_gradient(m: dict[str, float], p: np.ndarray) -> np.ndarray:
     return 2 * (a @ p - np.array([m["y1"], m["y2"], m["y3"]])) / m["n"]
 
 
-def cubic_descent(df: DataFrame, x: str = "x", y: str = "y", rate: float = 0.5, tolerance: float = 1e-3, least: int = 50, most: int = 5000, start: tuple[float, ...] = (1.0, 1.0, 1.0)) -> tuple[np.ndarray, int]:
-    """Batch Adam on the mean squared error; stops when no parameter moves by ``tolerance``.
+def cubic_descent(df: DataFrame, x: str = "x", y: str = "y", rate: float = 0.5, tolerance: float = 1e-3, least: int = 50, most: int = 5000, start: tuple[float, ...] = (1.0, 1.0, 1.0), standard: bool = False) -> tuple[np.ndarray, int]:
+    """Batch Adam on the mean squared error; stops when no parameter moves by ``tolerance``, after ``least`` rounds.
 
     The data are read once: the gradient at any point follows from their moments.
-    Each step uses the gradient of the point before.
     """
-    m, p = cubic_moments(df, x, y), np.array(start)
-    g = cubic_gradient(m, p)
-    first, second = (1 - BETA1) * g, (1 - BETA2) * g * g
+    m, p, way = cubic_moments(df, x, y), np.array(start), mover("Adam", rate, standard)
     for loop in range(1, most):
-        new = p - rate * (first / (1 - BETA1)) / (np.sqrt(second / (1 - BETA2)) + EPS)
-        moved, g = float(np.abs(new - p).max()), cubic_gradient(m, p)
-        first, second, p = BETA1 * first + (1 - BETA1) * g, BETA2 * second + (1 - BETA2) * g * g, new
-        if loop >= least and moved < tolerance:
+        move = way.move(cubic_gradient(m, p))
+        p = p + move
+        if loop >= least and np.abs(move).max() < tolerance:
             break
     return p, loop
 
 
 def cubic_minibatch(df: DataFrame, x: str = "x", y: str = "y", batch: int = 32, epochs: int = 150, rate: float = 0.5, seed: int = 0, start: tuple[float, ...] = (1.0, 1.0, 1.0)) -> np.ndarray:
-    """Mini-batch Adam in shuffled order; the moments of all batches come from one aggregation.
+    """Mini-batch Adam in shuffled order, with a rate that falls to 0; the moments of all batches come from one aggregation.
 
-    Rows are dealt to batches by a hash. There are at most ``MOST_BATCHES``, so
-    that their sums fit the driver: more rows than that many batches hold make
-    the batches larger.
+    Rows are dealt to batches by a hash of the values and of their place among
+    equal ones. Each epoch takes the batches by another turn of their numbers;
+    their sums stream past the driver, a part at a time.
     """
-    n_batches = min(MOST_BATCHES, max(1, -(-df.count() // batch)))
-    dealt = df.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), x, y), F.lit(n_batches)))
+    n_batches = max(1, -(-df.count() // batch))
+    prime = next(p for p in range(n_batches + 1, 2 * n_batches + 3) if all(p % q for q in range(2, math.isqrt(p) + 1)))
+    same = Window.partitionBy(x, y).orderBy(x)
+    dealt = df.withColumn("nth", F.row_number().over(same)).withColumn("b", F.pmod(F.xxhash64(F.lit(seed), x, y, "nth"), F.lit(n_batches)))
     p = {f"x{k}": F.sum(F.pow(x, k)) for k in range(2, 7)} | {f"y{k}": F.sum(F.col(y) * F.pow(x, k)) for k in (1, 2, 3)}
-    moments = [r.asDict() for r in dealt.groupBy("b").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in p.items())).orderBy("b").collect()]
-    at, first, second = np.array(start), np.zeros(3), np.zeros(3)
-    rng, step = np.random.default_rng(seed), 0
+    sums = dealt.groupBy("b").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in p.items())).persist()
+    few = [r.asDict() for r in sums.collect()] if n_batches <= HELD_BATCHES else None
+    at, way, rng = np.array(start), Adam(rate), np.random.default_rng(seed)
     for epoch in range(epochs):
-        for k in rng.permutation(len(moments)):
-            step += 1
-            g = cubic_gradient(moments[k], at)
-            first, second = BETA1 * first + (1 - BETA1) * g, BETA2 * second + (1 - BETA2) * g * g
-            at = at - rate * (1 - epoch / epochs) * (first / (1 - BETA1**step)) / (np.sqrt(second / (1 - BETA2**step)) + EPS)
+        turn, shift = int(rng.integers(1, prime)), int(rng.integers(prime))
+        if few is not None:
+            order = sorted(few, key=lambda m: (m["b"] * turn + shift) % prime)
+        else:
+            order = (r.asDict() for r in sums.orderBy((F.col("b") * turn + shift) % prime).toLocalIterator())
+        for m in order:
+            way.rate = rate * (1 - epoch / epochs)
+            at = at + way.move(cubic_gradient(m, at))
+    sums.unpersist()
     return at
 
 

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def keep(make):
         QUERIES[make.__name__] = make
         if sql:
-            ORACLE_SQL[make.__name__] = f"WITH {model.SQL}{sql}" if sql.lstrip().startswith(",") else f"WITH {model.SQL} {sql}"
+            ORACLE_SQL[make.__name__] = f"WITH RECURSIVE {model.SQL}{sql}" if sql.lstrip().startswith(",") else f"WITH {model.SQL} {sql}"
         return make
 
     return keep
@@ -265,6 +265,7 @@ def short_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Reshapes
 
+#: The states of the tables, which SQL has to name; the queries take them from the rows.
 STATES = ("click", "error", "purchase", "signup", "view")
 WIDE_SQL = "SELECT trace_id, " + ", ".join(f"{sq(f'avg(x) FILTER (from_state = {chr(39)}{i}{chr(39)})')} AS x_{i}" for i in STATES) + " FROM dwell GROUP BY trace_id"
 
@@ -272,7 +273,7 @@ WIDE_SQL = "SELECT trace_id, " + ", ".join(f"{sq(f'avg(x) FILTER (from_state = {
 @query(WIDE_SQL)
 def pivot_bead(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = model.dwells(spark, sf_dir).groupBy("trace_id", "from_state").agg(q(F.avg("x")).alias("x"))
-    return reshape.wide(means, "trace_id", "from_state", "x", list(STATES), "x")
+    return reshape.wide(means, "trace_id", "from_state", "x", prefix="x")
 
 
 @query(f"SELECT trace_id, 'x_' || from_state AS state, {sq('avg(x)')} AS x FROM dwell GROUP BY trace_id, from_state")
@@ -298,7 +299,7 @@ def transition_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.dwells(spark, sf_dir).filter("from_state <> to_state").select("trace_id", "from_state", "to_state", "t")
 
 
-@query(f"PIVOT (SELECT from_state, to_state, {sq('avg(t)')} AS tau FROM dwell GROUP BY ALL) ON to_state USING coalesce(max(tau), 0)")
+@query("SELECT from_state, " + ", ".join(f"coalesce({sq(f'avg(t) FILTER (to_state = {chr(39)}{i}{chr(39)})')}, 0) AS {i}" for i in STATES) + " FROM dwell WHERE to_state IS NOT NULL GROUP BY from_state")
 def fret_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     tau = model.dwells(spark, sf_dir).groupBy("from_state", "to_state").agg(q(F.avg("t")).alias("tau"))
     return reshape.padded(tau, "from_state", "to_state", "tau")
@@ -306,21 +307,23 @@ def fret_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Spectra and variance
 
-BIN_SQL = f", h AS ({WIDTH_SQL}), acf AS (SELECT b.bin - a.bin AS lag, sum(a.count * b.count)::DOUBLE AS acf FROM h a JOIN h b ON b.bin >= a.bin GROUP BY 1)"
+BIN_SQL = """, e AS (SELECT floor(min(x)) AS lo, ceil((max(x) + 25 - floor(min(x))) / 25 - 1e-12)::BIGINT - 1 AS bins FROM trace),
+h AS (SELECT bin, count(*) AS count FROM (SELECT least(floor((x - lo) / 25)::BIGINT, bins - 1) AS bin FROM trace, e WHERE x >= lo AND x <= lo + 25 * bins) GROUP BY bin),
+lags AS (SELECT unnest(range(bins)) AS lag, bins FROM e),
+acf AS (SELECT lag, any_value(bins) AS bins, coalesce(sum(a.count * b.count), 0)::DOUBLE AS acf FROM lags LEFT JOIN h a ON true LEFT JOIN h b ON b.bin = a.bin + lag GROUP BY lag)"""
 
 
 @query(f"{BIN_SQL} SELECT lag, {sq('lag / 0.04::DOUBLE')} AS distance, acf FROM acf")
 def spatial_acf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = stats.width_histogram(model.traces(spark, sf_dir), 25.0, 0.0, 400.0)
-    return spectral.autocorrelation(h, 0.04).select("lag", q("distance").alias("distance"), "acf")
+    return spectral.spatial_acf(model.traces(spark, sf_dir), 0.04).select("lag", q("distance").alias("distance"), "acf")
 
 
-@query(f"""{BIN_SQL} SELECT k.range AS k, {sq('0.04::DOUBLE * k.range / 15.0::DOUBLE')} AS freq,
-  {sq('sqrt(pow(sum(acf * cos(2 * pi() * ((k.range * lag) % 16) / 16)), 2) + pow(sum(acf * sin(2 * pi() * ((k.range * lag) % 16) / 16)), 2))', 1)} AS psd
-  FROM acf, range(16) k GROUP BY k.range""")
+@query(f"""{BIN_SQL} SELECT k.lag AS k, {sq('0.04::DOUBLE * k.lag / (k.bins - 1)::DOUBLE')} AS freq,
+  {sq('sqrt(pow(sum(acf * cos(2 * pi() * ((k.lag * a.lag) % k.bins) / k.bins)), 2) + pow(sum(acf * sin(2 * pi() * ((k.lag * a.lag) % k.bins) / k.bins)), 2))', 1)} AS psd
+  FROM acf a, lags k GROUP BY k.lag, k.bins""")
 def psd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = stats.width_histogram(model.traces(spark, sf_dir), 25.0, 0.0, 400.0)
-    return spectral.power_spectrum(spectral.autocorrelation(h, 0.04), 0.04).select("k", q("freq").alias("freq"), q("psd", 1).alias("psd"))
+    acf = spectral.spatial_acf(model.traces(spark, sf_dir), 0.04)
+    return spectral.power_spectrum(acf, 0.04).select("k", q("freq").alias("freq"), q("psd", 1).alias("psd"))
 
 
 VARIANCE_SQL = """, lagged AS (
@@ -356,7 +359,7 @@ LOSS_SQL = """, sums AS (
   SELECT trace_id, idx + 1 AS place, sum(x) OVER w AS sx, sum(x * x) OVER w AS sxx, sum(idx * x) OVER w AS six,
          count(*) OVER a AS n, sum(x) OVER a AS tx, sum(x * x) OVER a AS txx
   FROM trace WINDOW w AS (PARTITION BY trace_id ORDER BY idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY trace_id)
-), spaced AS (SELECT * FROM sums WHERE place < n AND place % ceil(n / 16.0)::BIGINT = 0),
+), spaced AS (SELECT * FROM sums WHERE place < n),
 pairs AS (
   SELECT a.trace_id, a.place AS t1, b.place AS t2, a.sx / a.place AS c1, (a.tx - b.sx) / (a.n - b.place) AS c2, a.n,
          a.sxx - a.sx * a.sx / a.place + (a.txx - b.sxx) - (a.tx - b.sx) * (a.tx - b.sx) / (a.n - b.place) AS levels
@@ -369,20 +372,84 @@ pairs AS (
 
 @query(f"{LOSS_SQL} SELECT trace_id, t1, t2, {sq('loss', 2)} AS loss FROM loss")
 def changepoint_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    losses = changepoint.candidate_losses(model.traces(spark, sf_dir), 16)
+    losses = changepoint.candidate_losses(model.traces(spark, sf_dir))
     return losses.select("trace_id", "t1", "t2", q("loss", 2).alias("loss"))
 
 
 @query(f"{LOSS_SQL} SELECT trace_id, b.t1 AS t1, b.t2 AS t2, {sq('b.loss', 2)} AS loss FROM (SELECT trace_id, min({{'loss': loss, 't1': t1, 't2': t2}}) AS b FROM loss GROUP BY trace_id)")
 def changepoint_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = changepoint.best_change_points(model.traces(spark, sf_dir), 16)
+    best = changepoint.best_change_points(model.traces(spark, sf_dir))
     return best.select("trace_id", "t1", "t2", q("loss", 2).alias("loss"))
 
 
-@query()
-def changepoint_gd(spark: SparkSession, sf_dir: str) -> DataFrame:
+def descent_sql(first: str, state: dict[str, str], move: str, most: int = 1000, tolerance: float = 1e-2) -> str:
+    """Descent of every trace's scores by forward differences; ``state`` maps what a way to move keeps to its next value.
+
+    ``{g}`` stands for a gradient, ``{k}`` for the number of its change point.
+    """
+    def loss(a: str, b: str) -> str:
+        c1, c2 = f"({a}.sx / {a}.place)", f"(({a}.tx - {b}.sx) / ({a}.n - {b}.place))"
+        m, s = f"({b}.place - {a}.place)", f"CASE WHEN {b}.place - {a}.place > 1 THEN ({c2} - {c1}) / ({b}.place - {a}.place - 1) ELSE 0 END"
+        x, xx = f"({b}.sx - {a}.sx)", f"({b}.sxx - {a}.sxx)"
+        ix = f"({b}.six - {a}.six - {a}.place * {x})"
+        ramp = f"{xx} - 2 * ({c1} * {x} + ({s}) * {ix}) + {c1} * {c1} * {m} + 2 * {c1} * ({s}) * {m} * ({m} - 1) / 2 + ({s}) * ({s}) * ({m} - 1) * {m} * (2 * {m} - 1) / 6"
+        return f"CASE WHEN {a}.place < {b}.place AND {b}.place < {a}.n THEN {a}.sxx - {a}.sx * {c1} + {ramp} + ({a}.txx - {b}.sxx) - ({a}.tx - {b}.sx) * {c2} END"
+
+    kept = ", ".join(f"{first} AS {n}{k}" for n in state for k in (1, 2))
+    names = ", ".join(f"{n}{k}" for n in state for k in (1, 2))
+    new = ", ".join(f"{v.format(g=f'g{k}', k=k)} AS {n}{k}" for n, v in state.items() for k in (1, 2))
+    old = ", ".join(f"{n}{k} AS old_{n}{k}" for n in state for k in (1, 2))
+    return f""", score AS (SELECT trace_id, idx, x, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM trace), sums AS (
+  SELECT trace_id, idx + 1 AS place, sum(z) OVER w AS sx, sum(z * z) OVER w AS sxx, sum(idx * z) OVER w AS six,
+         count(*) OVER a AS n, sum(z) OVER a AS tx, sum(z * z) OVER a AS txx, sum(x) OVER w AS ox, sum(x) OVER a AS otx
+  FROM score WINDOW w AS (PARTITION BY trace_id ORDER BY idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY trace_id)
+), way AS (
+  SELECT 0 AS loop, trace_id, count(*) / 3::DOUBLE AS t1, 2 * count(*) / 3::DOUBLE AS t2, {kept} FROM trace GROUP BY trace_id
+  UNION ALL
+  SELECT loop + 1, trace_id, CASE WHEN g1 IS NOT NULL AND g2 IS NOT NULL THEN t1 + {move.format(k=1)} END, CASE WHEN g1 IS NOT NULL AND g2 IS NOT NULL THEN t2 + {move.format(k=2)} END, {names}
+  FROM (SELECT loop, trace_id, t1, t2, g1, g2, {new}, {old} FROM (
+    SELECT w.*, {loss('a1', 'b0')} - {loss('a0', 'b0')} AS g1, {loss('a0', 'b1')} - {loss('a0', 'b0')} AS g2
+    FROM way w
+    LEFT JOIN sums a0 ON a0.trace_id = w.trace_id AND a0.place = trunc(w.t1)::BIGINT
+    LEFT JOIN sums a1 ON a1.trace_id = w.trace_id AND a1.place = trunc(w.t1 + 1)::BIGINT
+    LEFT JOIN sums b0 ON b0.trace_id = w.trace_id AND b0.place = trunc(w.t2)::BIGINT
+    LEFT JOIN sums b1 ON b1.trace_id = w.trace_id AND b1.place = trunc(w.t2 + 1)::BIGINT
+    WHERE w.loop < {most - 1} AND w.t1 IS NOT NULL))
+  WHERE g1 IS NULL OR g2 IS NULL OR sqrt(g1 * g1 + g2 * g2) > {tolerance}
+), ends AS (SELECT trace_id, arg_max({{'a': t1, 'b': t2}}, loop) AS p FROM way GROUP BY trace_id
+), found AS (
+  SELECT e.trace_id, a.place AS cp_1, b.place AS cp_2, a.ox / a.place AS c1, (a.otx - b.ox) / (a.n - b.place) AS c2
+  FROM ends e LEFT JOIN sums a ON a.trace_id = e.trace_id AND a.place = trunc(e.p.a)::BIGINT
+  LEFT JOIN sums b ON b.trace_id = e.trace_id AND b.place = trunc(e.p.b)::BIGINT AND a.place < b.place AND b.place < b.n
+) SELECT trace_id, CASE WHEN cp_2 IS NOT NULL THEN cp_1 END::INTEGER AS cp_1, cp_2::INTEGER AS cp_2, {sq('CASE WHEN cp_2 IS NOT NULL THEN c1 END', 4)} AS bm_initial,
+  {sq('CASE WHEN cp_2 IS NOT NULL THEN c2 END', 4)} AS bm_final, {sq('(c2 - c1) / (cp_2 - cp_1)', 6)} AS velocity FROM found"""
+
+
+def _descended(spark: SparkSession, sf_dir: str, method: str, rate: float, standard: bool = False) -> DataFrame:
     scored = stats.zscore(model.traces(spark, sf_dir), [], "x")
-    return changepoint.fit_change_points(scored, method="Momentum", rate=0.5, fitted="z", most=200)
+    found = changepoint.fit_change_points(scored, method=method, rate=rate, fitted="z", standard=standard)
+    return found.select("trace_id", "cp_1", "cp_2", q("bm_initial", 4).alias("bm_initial"), q("bm_final", 4).alias("bm_final"), q("velocity", 6).alias("velocity"))
+
+
+@query(descent_sql("0.0::DOUBLE", {"v": "0.9 * v{k} - 0.5 * {g}"}, "v{k}"))
+def changepoint_gd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _descended(spark, sf_dir, "Momentum", 0.5)
+
+
+@query(descent_sql("0.0::DOUBLE", {"s": "s{k} + {g} * {g}"}, "-5 * g{k} / sqrt(s{k} + 1e-8)"))
+def changepoint_adagrad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _descended(spark, sf_dir, "AdaGrad", 5.0)
+
+
+@query(descent_sql("0.0::DOUBLE", {"s": "0.9 * s{k} + (1 - 0.9::DOUBLE) * {g} * {g}"}, "-0.18 * g{k} / sqrt(s{k} + 1e-8)"))
+def changepoint_rmsprop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _descended(spark, sf_dir, "RMSprop", 0.18)
+
+
+@query(descent_sql("0.0::DOUBLE", {"m": "0.9 * m{k} + (1 - 0.9::DOUBLE) * {g}", "s": "0.999 * s{k} + (1 - 0.999::DOUBLE) * {g} * {g}"}, "-0.18 * (m{k} / (1 - pow(0.9::DOUBLE, loop + 1))) / (sqrt(s{k} / (1 - pow(0.999::DOUBLE, loop + 1))) + 1e-8)"))
+def changepoint_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adam in its usual form; the lagged one is tested by its own formula."""
+    return _descended(spark, sf_dir, "Adam", 0.18, True)
 
 
 @query(f"""SELECT {sq('2 * sum((p - l_extendedprice / 1000) * u) / count(*)', 4)} AS g1, {sq('2 * sum((p - l_extendedprice / 1000) * u * u) / count(*)', 4)} AS g2,
