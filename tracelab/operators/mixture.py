@@ -1,9 +1,10 @@
 """Mixtures fitted by expectation-maximisation.
 
-The data stay distributed: an iteration is one aggregation of weighted sums,
-of which a row for each group and model reaches the driver. Several models
-(numbers of components, restarts) are fitted in the same pass. Responsibilities
-are taken in the log domain with the largest term taken out.
+The data stay distributed: an iteration joins them with a small table of the
+parameters and sums by fit; a row for each fit reaches the driver. The fits of
+all groups, numbers of components and restarts share the rounds, and a row is
+compared with the fits of its own group alone. Responsibilities are taken in
+the log domain with the largest term taken out.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tracelab.functions import densities as D
 
 KINDS = {"gauss": ("f", "m", "s"), "exp": ("f", "tau"), "gauss_exp": ("f", "m", "s", "tau")}
 FREE = {"gauss": 3, "exp": 2, "gauss_exp": 4}  #: parameters of a component, one less over all
 TOLERANCE, LEAST_LOOPS, MOST_LOOPS, LEAST_SIGMA = 1e-2, 20, 500, 1.0
+BROADCAST_FITS = 50_000  #: rows of the parameter table, of some 200 bytes, that are broadcast; more are joined by a shuffle
 
 Params = dict[str, list[float]]
 
@@ -32,21 +37,6 @@ def ln_components(kind: str, params: Params, x: str = "x", t: str = "t") -> list
     return D.ln_gauss_exp_mixture(x, t, params["f"], params["m"], params["s"], params["tau"])
 
 
-def _array(columns: list[Column]) -> Column:
-    return F.array(*columns)
-
-
-def responsibilities(ln: Column) -> Column:
-    """Shares of the components, given the array of their log densities."""
-    e = F.transform(ln, lambda v: F.exp(v - F.array_max(ln)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-
-
-def ln_sum(ln: Column) -> Column:
-    top = F.array_max(ln)
-    return top + F.log(F.aggregate(ln, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
-
-
 @dataclass
 class Fit:
     """A model of a group, its way and whether it has settled."""
@@ -105,28 +95,76 @@ def starts(df: DataFrame, kind: str, ks: list[int], by: list[str], x: str, t: st
     return fits
 
 
-def _own(fit: Fit, by: list[str]) -> Column:
-    same = F.lit(True)
-    for name, value in zip(by, fit.group, strict=True):
-        same = same & F.col(name).eqNullSafe(F.lit(value))
-    return same
+def _table(fits: list[Fit], by: list[str], df: DataFrame) -> DataFrame:
+    """A row for each fit: its number, its group, and for every component what the log density needs.
+
+    That is a - (x - m)^2 c - t d with a, m, c and d of the component; components
+    that a fit doesn't have are null.
+    """
+    most, rows = max(f.k for f in fits), []
+    for i, fit in enumerate(fits):
+        p, cells = fit.params, []
+        for j in range(fit.k):
+            a = math.log(p["f"][j]) if p["f"][j] > 0 else -math.inf
+            m = c = d = 0.0
+            if "m" in p:
+                m, s = p["m"][j], p["s"][j]
+                a, c = a - math.log(s) - D.HALF_LN_2PI, 1 / (2 * s * s)
+            if "tau" in p:
+                a, d = a - (math.log(p["tau"][j]) if p["tau"][j] > 0 else -math.inf), 1 / p["tau"][j] if p["tau"][j] > 0 else math.inf
+            cells += [a, m, c, d]
+        rows.append((i, *fit.group, *cells, *[None] * (4 * (most - fit.k))))
+    # by Arrow the rows become a local relation, which needs no job
+    kinds = {f.name: f.dataType for f in df.schema}
+    schema = StructType([StructField("__fit", IntegerType()), *(StructField(f"__by_{b}", kinds[b]) for b in by), *(StructField(f"__{n}{j}", DoubleType()) for j in range(most) for n in "amcd")])
+    columns = list(zip(*rows, strict=True))
+    table = pa.Table.from_arrays([pa.array(list(c)) for c in columns], names=schema.fieldNames())
+    return df.sparkSession.createDataFrame(table, schema)
+
+
+def _scored(df: DataFrame, fits: list[Fit], by: list[str], x: str, t: str) -> tuple[DataFrame, list[Column], Column]:
+    """Rows beside the fits of their group, the log densities of the components, and the largest of them."""
+    table = _table(fits, by, df)
+    table = F.broadcast(table) if len(fits) <= BROADCAST_FITS else table
+    match = [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]
+    rows = df.join(table, match) if by else df.crossJoin(table)
+    kind = fits[0].kind
+    value = F.col(x)
+    time = F.col(t) if kind == "gauss_exp" else value
+    ln = []
+    for j in range(max(f.k for f in fits)):
+        part = F.col(f"__a{j}")
+        if kind != "exp":
+            part = part - (value - F.col(f"__m{j}")) * (value - F.col(f"__m{j}")) * F.col(f"__c{j}")
+        if kind != "gauss":
+            part = part - time * F.col(f"__d{j}")
+        ln.append(part)
+    return rows, ln, F.greatest(*ln) if len(ln) > 1 else ln[0]
 
 
 def _sums(df: DataFrame, fits: list[Fit], by: list[str], x: str, t: str) -> list[list[dict[str, float]]]:
-    """Weighted sums of all models from one aggregation."""
-    shares = df.withColumns({f"__r{i}": F.when(_own(fit, by), responsibilities(_array(ln_components(fit.kind, fit.params, x, t)))) for i, fit in enumerate(fits)})
+    """Weighted sums of all fits from one aggregation, whose plan is the same every round."""
+    rows, ln, top = _scored(df, fits, by, x, t)
+    e = rows.withColumns({f"__e{j}": F.coalesce(F.exp(part - top), F.lit(0.0)) for j, part in enumerate(ln)})
+    whole = reduce(Column.__add__, (F.col(f"__e{j}") for j in range(len(ln))))
     made = []
-    for i, fit in enumerate(fits):
-        for j in range(fit.k):
-            r = F.get(F.col(f"__r{i}"), F.lit(j))
-            parts = {"w": r, "x": r * F.col(x)}
-            if fit.kind != "exp":
-                parts["xx"] = r * F.col(x) * F.col(x)
-            if fit.kind == "gauss_exp":
-                parts["t"] = r * F.col(t)
-            made += [F.sum(c).alias(f"{i}_{j}_{n}") for n, c in parts.items()]
-    row = shares.agg(*made).first().asDict()
-    return [[{n: row[f"{i}_{j}_{n}"] for n in ("w", "x", "xx", "t") if f"{i}_{j}_{n}" in row} for j in range(fit.k)] for i, fit in enumerate(fits)]
+    for j in range(len(ln)):
+        r = F.col(f"__e{j}") / F.col("__whole")
+        parts = {"w": r, "x": r * F.col(x)}
+        if fits[0].kind != "exp":
+            parts["xx"] = r * F.col(x) * F.col(x)
+        if fits[0].kind == "gauss_exp":
+            parts["t"] = r * F.col(t)
+        made += [F.sum(c).alias(f"{n}{j}") for n, c in parts.items()]
+    got = {r["__fit"]: r.asDict() for r in e.withColumn("__whole", whole).groupBy("__fit").agg(*made).collect()}  # a row for each fit
+    return [[{n: got[i][f"{n}{j}"] for n in ("w", "x", "xx", "t") if f"{n}{j}" in got[i]} for j in range(fit.k)] for i, fit in enumerate(fits)]
+
+
+def _likelihoods(df: DataFrame, fits: list[Fit], by: list[str], x: str, t: str) -> list[float | None]:
+    rows, ln, top = _scored(df, fits, by, x, t)
+    whole = reduce(Column.__add__, (F.coalesce(F.exp(part - top), F.lit(0.0)) for part in ln))
+    got = dict(rows.groupBy("__fit").agg(F.sum(top + F.log(whole))).collect())
+    return [got.get(i) for i in range(len(fits))]
 
 
 def _step(fit: Fit, sums: list[dict[str, float]], least_sigma: float, rng: random.Random) -> None:
@@ -174,10 +212,8 @@ def fit_mixture(df: DataFrame, kind: str, ks: int | list[int], by: list[str] | N
             for fit, sums in zip(going, _sums(df, going, by, x, t), strict=True):
                 _step(fit, sums, least_sigma, rng)
                 fit.converged = _change(fit) < tolerance
-        made = [F.sum(F.when(_own(fit, by), ln_sum(_array(ln_components(fit.kind, fit.params, x, t))))).alias(str(i)) for i, fit in enumerate(fits)]
-        row = df.agg(*made).first() if fits else []
-        for i, fit in enumerate(fits):
-            fit.ln_likelihood = row[i]
+        for fit, ln in zip(fits, _likelihoods(df, fits, by, x, t) if fits else [], strict=True):
+            fit.ln_likelihood = ln
     finally:
         df.unpersist()
     return fits
@@ -212,7 +248,7 @@ def choose_components(df: DataFrame, kind: str, criterion: str = "BIC", most_com
 
 def predict(df: DataFrame, fit: Fit, x: str = "x", t: str = "t", name: str = "label") -> DataFrame:
     """Adds the number of the likeliest component from 0, the first of equals."""
-    ln = _array(ln_components(fit.kind, fit.params, x, t))
+    ln = F.array(*ln_components(fit.kind, fit.params, x, t))
     return df.withColumn("__ln", ln).withColumn(name, (F.array_position("__ln", F.array_max("__ln")) - 1).cast("int")).drop("__ln")
 
 

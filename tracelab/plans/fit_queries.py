@@ -10,10 +10,9 @@ from tracelab.functions.projections import quantised as q
 from tracelab.functions.projections import sql_quantised as sq
 from tracelab.operators import mixture
 
-LOOPS = 25
 QUERIES, ORACLE_SQL = {}, {}
 PINNED = [30.0, 120.0]
-FIXED = {"tolerance": 0.0, "least": LOOPS, "most": LOOPS, "least_sigma": 0.0}
+LEAST, MOST, TOLERANCE = mixture.LEAST_LOOPS, mixture.MOST_LOOPS, mixture.TOLERANCE
 
 
 def query(sql: str | None = None):
@@ -26,8 +25,8 @@ def query(sql: str | None = None):
     return keep
 
 
-def em_sql(kind: str, k: int = 2, loops: int = LOOPS, pinned: list[float] | None = None, by: str | None = None, rows: str = "dwell") -> str:
-    """The common table expressions of a fit: data, and state after every round."""
+def em_sql(kind: str, k: int = 2, pinned: list[float] | None = None, by: str | None = None, rows: str = "dwell", value: str = "x", name: str = "") -> str:
+    """The common table expressions of a fit by the library's rule of when to stop: data, state after every round, final."""
     names = mixture.KINDS[kind]
     t = "t" if kind == "gauss_exp" else "x"
     group = f"{by} AS g" if by else "0 AS g"
@@ -48,6 +47,7 @@ def em_sql(kind: str, k: int = 2, loops: int = LOOPS, pinned: list[float] | None
             part += f" - ln(p.tau{j}) - d.{t} / p.tau{j}"
         ln.append(part)
     shares = [f"1 / ({' + '.join(f'exp(({ln[i]}) - ({ln[j]}))' for i in range(k))}) AS r{j}" for j in range(k)]
+    columns = [f"{n}{j}" for j in range(k) for n in names]
     new = []
     for j in range(k):
         new.append(f"sum(r{j}) / count(*) AS f{j}")
@@ -55,60 +55,66 @@ def em_sql(kind: str, k: int = 2, loops: int = LOOPS, pinned: list[float] | None
             new += [f"{f'{pinned[j]}::DOUBLE' if pinned else f'sum(r{j} * x) / sum(r{j})'} AS m{j}", f"sqrt(sum(r{j} * x * x) / sum(r{j}) - pow(sum(r{j} * x) / sum(r{j}), 2)) AS s{j}"]
         if kind != "gauss":
             new.append(f"sum(r{j} * {t}) / sum(r{j}) AS tau{j}")
-    columns = [f"{n}{j}" for j in range(k) for n in names]
-    return f"""WITH RECURSIVE {model.SQL}, data AS (SELECT {group}, x, t FROM {rows}),
-state AS (
-  SELECT 0 AS loop, g, {', '.join(first)} FROM data GROUP BY g
+    old = ", ".join(f"any_value({c}) AS old_{c}" for c in columns)
+    moved = f"greatest({', '.join(f'abs({c} - old_{c})' for c in columns)})"
+    return f"""data{name} AS (SELECT {group}, {value} AS x, t FROM {rows}),
+state{name} AS (
+  SELECT 0 AS loop, g, 1e9::DOUBLE AS moved, {', '.join(first)} FROM data{name} GROUP BY g
   UNION ALL
-  SELECT loop + 1, g, {', '.join(new)} FROM (
-    SELECT p.loop, d.g, d.x, d.t, {', '.join(shares)} FROM state p JOIN data d ON d.g = p.g WHERE p.loop < {loops}) GROUP BY loop, g
-), final AS (SELECT g, {', '.join(columns)} FROM state WHERE loop = {loops})"""
+  SELECT loop + 1, g, {moved}, {', '.join(columns)} FROM (SELECT loop, g, {', '.join(new)}, {old} FROM (
+    SELECT p.loop, d.g, d.x, d.t, {', '.join(f'p.{c}' for c in columns)}, {', '.join(shares)} FROM state{name} p JOIN data{name} d ON d.g = p.g
+    WHERE p.loop < {LEAST} OR p.loop < {MOST} AND p.moved >= {TOLERANCE}) GROUP BY loop, g)
+), final{name} AS (SELECT g, moved < {TOLERANCE} AS converged, {', '.join(columns)} FROM (SELECT *, max(loop) OVER (PARTITION BY g) AS last FROM state{name}) WHERE loop = last)"""
 
 
 def components_sql(kind: str, k: int = 2, scale: int = 4) -> str:
     names = mixture.KINDS[kind]
-    rows = " UNION ALL ".join(f"SELECT g, {', '.join(f'{n}{j} AS {n}' for n in names)} FROM final" for j in range(k))
+    rows = " UNION ALL ".join(f"SELECT g, converged, {', '.join(f'{n}{j} AS {n}' for n in names)} FROM final" for j in range(k))
     order = "m" if "m" in names else "tau"
-    return f"""SELECT g, CAST(row_number() OVER (PARTITION BY g ORDER BY {order}) - 1 AS INTEGER) AS component, {', '.join(f'{sq(n, scale)} AS {n}' for n in names)} FROM ({rows})"""
+    return f""" SELECT g, converged, CAST(row_number() OVER (PARTITION BY g ORDER BY {order}) - 1 AS INTEGER) AS component, {', '.join(f'{sq(n, scale)} AS {n}' for n in names)} FROM ({rows})"""
+
+
+def fit_sql(kind: str, **options) -> str:
+    return f"WITH RECURSIVE {model.SQL}, {em_sql(kind, **options)}"
 
 
 def ungrouped(sql: str) -> str:
-    return f"SELECT * EXCLUDE (g) FROM ({sql})"
+    return f" SELECT * EXCLUDE (g) FROM ({sql})"
 
 
 def fitted_rows(fits: list[mixture.Fit], df: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
     rows = mixture.as_rows(fits, df, by)
-    return rows.select(*(F.col(b).alias("g") for b in by or []), "component", *(q(n, 4).alias(n) for n in mixture.KINDS[kind]))
+    return rows.select(*(F.col(b).alias("g") for b in by or []), "component", "converged", *(q(n, 4).alias(n) for n in mixture.KINDS[kind]))
 
 
-@query(em_sql("exp") + ungrouped(components_sql("exp")))
+@query(fit_sql("exp") + ungrouped(components_sql("exp")))
 def em_pem(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.dwells(spark, sf_dir)
-    return fitted_rows(mixture.fit_mixture(d, "exp", 2, **FIXED), d, "exp")
+    return fitted_rows(mixture.fit_mixture(d, "exp", 2), d, "exp")
 
 
-@query(em_sql("gauss") + ungrouped(components_sql("gauss")))
+@query(fit_sql("gauss") + ungrouped(components_sql("gauss")))
 def em_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.dwells(spark, sf_dir)
-    return fitted_rows(mixture.fit_mixture(d, "gauss", 2, **FIXED), d, "gauss")
+    return fitted_rows(mixture.fit_mixture(d, "gauss", 2), d, "gauss")
 
 
-@query(em_sql("gauss_exp") + ungrouped(components_sql("gauss_exp")))
+@query(fit_sql("gauss_exp") + ungrouped(components_sql("gauss_exp")))
 def em_gpem(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.dwells(spark, sf_dir)
-    return fitted_rows(mixture.fit_mixture(d, "gauss_exp", 2, **FIXED), d, "gauss_exp")
+    return fitted_rows(mixture.fit_mixture(d, "gauss_exp", 2), d, "gauss_exp")
 
 
-@query(em_sql("gauss_exp", pinned=PINNED) + ungrouped(components_sql("gauss_exp")))
+@query(fit_sql("gauss_exp", pinned=PINNED) + ungrouped(components_sql("gauss_exp")))
 def em_gpem_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.dwells(spark, sf_dir)
-    return fitted_rows(mixture.fit_mixture(d, "gauss_exp", 2, pinned=PINNED, **FIXED), d, "gauss_exp")
+    return fitted_rows(mixture.fit_mixture(d, "gauss_exp", 2, pinned=PINNED), d, "gauss_exp")
 
 
-@query(em_sql("exp", by="from_state") + components_sql("exp"))
+@query(fit_sql("exp", by="from_state") + components_sql("exp"))
 def em_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.dwells(spark, sf_dir)
-    return fitted_rows(mixture.fit_mixture(d, "exp", 2, by=["from_state"], **FIXED), d, "exp", ["from_state"])
+    return fitted_rows(mixture.fit_mixture(d, "exp", 2, by=["from_state"]), d, "exp", ["from_state"])
 
 
 @query(f"""WITH {model.SQL}, e AS (SELECT count(*) AS n, avg(x) AS tau FROM dwell)
@@ -138,9 +144,32 @@ def em_coin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a, b)], "p_a double, p_b double").select(q("p_a", 9).alias("p_a"), q("p_b", 9).alias("p_b"))
 
 
-@query()
+def choice_sql(most: int, criterion: str = "bic") -> str:
+    """Fits of 1 to ``most`` exponentials to the dwells, their scores, and which of them has the least."""
+    fits = ", ".join(em_sql("exp", k, value="t", name=f"_{k}") for k in range(1, most + 1))
+    each = []
+    for k in range(1, most + 1):
+        parts = [f"ln(p.f{j}) - ln(p.tau{j}) - d.x / p.tau{j}" for j in range(k)]
+        top = f"greatest({', '.join(parts)})" if k > 1 else parts[0]
+        each.append(f"SELECT {k} AS k, any_value(p.converged) AS converged, count(*) AS n, sum({top} + ln({' + '.join(f'exp(({x}) - ({top}))' for x in parts)})) AS ln_likelihood FROM final_{k} p JOIN data_{k} d ON d.g = p.g")
+    return f"""WITH RECURSIVE {model.SQL}, {fits}, score AS ({' UNION ALL '.join(each)}),
+scored AS (SELECT *, 2 * (2 * k - 1) - 2 * ln_likelihood AS aic, (2 * k - 1) * ln(n) - 2 * ln_likelihood AS bic FROM score)
+SELECT k::INTEGER AS k, converged, {sq('ln_likelihood', 2)} AS ln_likelihood, {sq('aic', 2)} AS aic, {sq('bic', 2)} AS bic, {criterion} = min({criterion}) OVER () AS chosen FROM scored"""
+
+
+@query(choice_sql(5))
 def em_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many components each criterion chooses, with the scores of all numbers."""
+    """How many components the criterion chooses, with the scores of all numbers."""
+    d = model.dwells(spark, sf_dir)
+    best, fits = mixture.choose_components(d, "exp", "BIC", 5, x="t")
+    scores = mixture.as_rows(fits, d).select("k", "converged", "ln_likelihood", "aic", "bic").distinct()
+    return scores.select("k", "converged", *(q(c, 2).alias(c) for c in ("ln_likelihood", "aic", "bic")), (F.col("k") == best).alias("chosen"))
+
+
+@query(choice_sql(5, "aic") + " ORDER BY aic LIMIT 1")
+def em_components_aic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of components with the least AIC."""
     d = model.dwells(spark, sf_dir)
-    best, fits = mixture.choose_components(d, "exp", "BIC", 4, x="t", most=60)
-    return mixture.as_rows(fits, d).withColumn("chosen", F.col("k") == best)
+    best, fits = mixture.choose_components(d, "exp", "AIC", 5, x="t")
+    scores = mixture.as_rows(fits, d).filter(F.col("k") == best).select("k", "converged", "ln_likelihood", "aic", "bic").distinct()
+    return scores.select("k", "converged", *(q(c, 2).alias(c) for c in ("ln_likelihood", "aic", "bic")), F.lit(True).alias("chosen"))
