@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.functions.projections import NM_PER_PIXEL, or_zero, ratio
-from tracelab.operators.windows import brownian_motion
+from tracelab.operators.windows import blocks, framed
 
 RATIOS = ("xy_ratio_sliding", "xy_ratio_fixing", "sx_over_sy_squared")
 RAW = ("amplitude", "sx", "sy", "x", "y", "theta_deg", "offset", "intensity", "intensity_integral", "ss_res")
@@ -21,14 +21,13 @@ RAW = ("amplitude", "sx", "sy", "x", "y", "theta_deg", "offset", "intensity", "i
 def bead_features(tracks: DataFrame, window: int = 20, factor: float = NM_PER_PIXEL, key: str = "aoi") -> DataFrame:
     """All analysed sheets as rows: sheet, aoi, idx, t, value."""
 
-    def spread(value: str, mode: str) -> DataFrame:
-        out = brownian_motion(tracks, window, factor, mode, key, "idx", value, "t")
-        return out if mode == "sliding" else out.withColumnRenamed("block", "idx")
-
     parts, at = [], [key, "idx", "t"]
-    for mode in ("sliding", "fixing"):
-        x, y = spread("x", mode).withColumnRenamed("bm", "bx"), spread("y", mode).select(key, "idx", F.col("bm").alias("by"))
-        both = x.join(y, [key, "idx"])
+    positive = {v: F.when(F.col(v) > 0, F.col(v)) for v in ("x", "y")}
+    made = {name: lambda w, v=v: F.stddev_samp(positive[v]).over(w) * factor for name, v in (("bx", "x"), ("by", "y"))}
+    made |= {"__full": lambda w: F.count("*").over(w), "__t": lambda w: F.avg("t").over(w)}
+    sliding = framed(tracks.select(*at, "x", "y"), 0, window - 1, made, key).filter(F.col("__full") == window).select(key, "idx", F.col("__t").alias("t"), "bx", "by")
+    fixing = blocks(tracks, window, [(F.stddev_samp(positive["x"]) * factor).alias("bx"), (F.stddev_samp(positive["y"]) * factor).alias("by"), F.avg("t").alias("t")], key).withColumnRenamed("block", "idx")
+    for mode, both in (("sliding", sliding), ("fixing", fixing)):
         cells = [(f"BMx_{mode}", F.col("bx")), (f"BMy_{mode}", F.col("by")), (f"xy_ratio_{mode}", ratio("bx", "by").cast("double"))]
         parts.append(both.select(*at, F.explode(F.array(*(F.struct(F.lit(n).alias("sheet"), c.alias("value")) for n, c in cells))).alias("c")))
     own = [("sx_sy", F.col("sx") * F.col("sy")), ("sx_over_sy_squared", ratio(F.col("sx") * F.col("sx"), F.col("sy") * F.col("sy")).cast("double"))]
@@ -75,6 +74,11 @@ def short_steps(events: DataFrame, limit: float = 15, step: str = "step") -> Dat
     return events.filter(F.col(step) < limit)
 
 
+def above(df: DataFrame, least: float = 0.1, value: str = "x") -> DataFrame:
+    """Rows whose value is larger than ``least``; missing values are left out."""
+    return df.filter(F.col(value) > least)
+
+
 def amplitude_between(spots: DataFrame, black: float | None = None, white: float | None = None, amplitude: str = "amplitude") -> DataFrame:
     """Spots that are neither darker than ``black`` nor brighter than ``white``."""
     if black is not None:

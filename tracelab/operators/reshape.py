@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.operators.generate import uniform
+
 
 def wide(df: DataFrame, at: str, key: str, value: str, keys: list | None = None, prefix: str | None = None) -> DataFrame:
     """One column for each key. Naming the keys spares a pass over the data."""
@@ -74,9 +76,9 @@ def removed(df: DataFrame, passing: DataFrame, key: str) -> DataFrame:
 def resampled(df: DataFrame, traces: DataFrame, draws: int, seed: int, key: str = "trace_id") -> DataFrame:
     """Bootstrap: ``draws`` traces drawn with replacement, in order of draw.
 
-    ``traces`` has a row for each trace with its number ``ordinal`` from 0. The
-    draw of number i is the hash of seed and i, so a rerun draws the same.
+    ``traces`` has a row for each trace with its number ``ordinal`` from 0. A
+    draw is a hash of the seed and its number, so a rerun draws the same.
     """
     n = traces.agg(F.count("*").alias("n"))
-    picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).select("draw", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.col("n")).alias("ordinal"))
+    picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(n)).select("draw", F.floor(uniform(seed, "draw", "draw") * F.col("n")).alias("ordinal"))
     return df.join(picks.join(traces, "ordinal").select("draw", key), key)

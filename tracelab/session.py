@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,16 @@ def build_session(app: str = "tracelab", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), f"tracelab-{os.getpid()}")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +50,118 @@ def write_table(df: DataFrame, path: str, run: str, name: str) -> str:
     to = f"{path}/{run}-{name}"
     df.write.mode("overwrite").parquet(to)
     return to
+
+
+def _store(path: str, data: bytes) -> None:
+    """One file, under its name once it is whole."""
+    system, at = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    part = f"{at.rpartition('/')[0]}/.{at.rpartition('/')[2]}.{TaskContext.get().taskAttemptId()}"
+    with system.open_output_stream(part) as out:
+        out.write(data)
+    system.move(part, at)
+
+
+_BOOK = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _column(n: int) -> str:
+    """Letters of a column from 0: A, B, ..., Z, AA, ..."""
+    out = ""
+    n += 1
+    while n:
+        n, k = divmod(n - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
+def workbook_bytes(sheets: dict[str, list[tuple[int, int, float]]]) -> bytes:
+    """A workbook of number cells (row, column, value), both from 0, of each sheet."""
+    data, names = io.BytesIO(), sorted(sheets)
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{name}" sheetId="{k}" r:id="rId{k}"/>' for k, name in enumerate(names, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_BOOK}" xmlns:r="{_OFFICE}"><sheets>{listed}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1)) + "</Relationships>")
+        for k, name in enumerate(names, 1):
+            rows: dict[int, list[str]] = {}
+            for r, c, v in sorted(sheets[name]):
+                rows.setdefault(r, []).append(f'<c r="{_column(c)}{r + 1}"><v>{v!r}</v></c>')
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{_BOOK}"><sheetData>' + "".join(f'<row r="{r + 1}">{"".join(cells)}</row>' for r, cells in rows.items()) + "</sheetData></worksheet>")
+    return data.getvalue()
+
+
+def write_workbooks(cells: DataFrame, path: str, run: str) -> DataFrame:
+    """A workbook for each ``book`` of number cells (book, sheet, row, col, value): book, path, cells.
+
+    A workbook holds a million rows at most and is made by one task.
+    """
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        to = f"{path}/{run}-{key[0]}.xlsx"
+        _store(to, workbook_bytes({s: list(zip(g["row"].tolist(), g["col"].tolist(), g["value"].tolist(), strict=True)) for s, g in rows.groupby("sheet")}))
+        return pd.DataFrame({"book": [str(key[0])], "path": [to], "cells": [len(rows)]})
+
+    kept = cells.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return kept.groupBy("book").applyInPandas(write, "book string, path string, cells long")
+
+
+def write_frames(frames: DataFrame, path: str, run: str, deep: bool = False) -> DataFrame:
+    """Frame containers of big-endian images, in order of ``frame_id``: file, path, size."""
+    kind = np.dtype(">i2" if deep else ">u1")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        images = [np.asarray(p).astype(kind).tobytes() for batch in batches for p in batch["pixels"]]
+        if images:
+            part = TaskContext.get().partitionId()
+            to = f"{path}/{run}-{part:06d}.glimpse"
+            _store(to, b"".join(images))
+            yield pd.DataFrame({"file": [part], "path": [to], "size": [sum(map(len, images))]})
+
+    return frames.repartitionByRange("frame_id").sortWithinPartitions("frame_id").select("pixels").mapInPandas(write, "file long, path string, size long")
+
+
+def mat_bytes(arrays: dict[str, np.ndarray | list]) -> bytes:
+    """A MAT file of level 5 of plain arrays, or of cell arrays given as lists of rows of arrays."""
+
+    def element(kind: int, raw: bytes) -> bytes:
+        return struct.pack("<II", kind, len(raw)) + raw + b"\0" * (-len(raw) % 8)
+
+    def matrix(name: str, a: np.ndarray | list) -> bytes:
+        cells = isinstance(a, list)
+        shape = (len(a), len(a[0])) if cells else a.shape
+        body = element(6, struct.pack("<II", 1 if cells else 6, 0)) + element(5, struct.pack("<ii", *shape)) + element(1, name.encode())
+        if cells:
+            body += b"".join(matrix("", a[r][c]) for c in range(shape[1]) for r in range(shape[0]))
+        else:
+            body += element(9, np.asarray(a, "<f8").tobytes(order="F"))
+        return element(14, body)
+
+    return b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H2s", 0x0100, b"IM") + b"".join(matrix(n, a) for n, a in arrays.items())
+
+
+def write_mats(arrays: DataFrame, path: str, run: str) -> DataFrame:
+    """A MAT file for each ``file`` of values (file, name, row, col, at, value): file, path.
+
+    Cells with more than one value, and all names with several cells, are cell
+    arrays; ``at`` is the place in a cell, or in a row of one.
+    """
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, np.ndarray | list] = {}
+        for name, g in rows.sort_values(["row", "col", "at"]).groupby("name"):
+            if g["row"].max() == 0 and g["col"].max() == 0:
+                out[name] = g["value"].to_numpy()[None, :]
+                continue
+            cells = {k: c["value"].to_numpy()[None, :] for k, c in g.groupby(["row", "col"])}
+            size = int(max(g["row"].max(), g["col"].max())) + 1
+            out[name] = [[cells.get((r, c), np.zeros((0, 0))) for c in range(size)] for r in range(size)]
+        to = f"{path}/{run}-{key[0]}.mat"
+        _store(to, mat_bytes(out))
+        return pd.DataFrame({"file": [str(key[0])], "path": [to]})
+
+    return arrays.groupBy("file").applyInPandas(write, "file string, path string")
