@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelab import model
 from tracelab.functions.projections import quantised as q
 from tracelab.functions.projections import sql_quantised as sq
-from tracelab.operators import clustering, generate, imaging, reshape, windows
+from tracelab.operators import clustering, imaging
 from tracelab.sources.frames import frame_layout
 from tracelab.streaming.blocks import time_blocks
 
@@ -88,16 +87,6 @@ def time_block_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_blocks(e).select("trace_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", q("mean").alias("mean"), q("bm").alias("bm"))
 
 
-@query()
-def bootstrap_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traces drawn with replacement and put end to end."""
-    t = model.traces(spark, sf_dir)
-    ids = t.select("trace_id").distinct()
-    numbered = ids.withColumn("ordinal", (F.row_number().over(Window.orderBy("trace_id")) - 1).cast("long"))
-    drawn = reshape.resampled(t, numbered, 20, 1).select(F.col("draw").alias("trace_id"), "idx", "x")
-    return windows.connected(drawn)
-
-
 @query()
 def track_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot parameters of two beads in made-up frames of 60 by 60."""
@@ -117,7 +106,3 @@ def pca_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     best, _ = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])), range(2, 5))
     return best.select("vec_id", "label")
 
-
-@query()
-def simulated_staircase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.staircase(spark, [(5.0, 1.0, 0.5), (10.0, 2.0, 1.0)], 50, 100.0, 0.5, seed=3)
