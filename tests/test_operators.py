@@ -273,6 +273,19 @@ def test_localize_and_points(spark):
     assert sorted(r[0] for r in imaging.spread_out(pts, 1.0).select("point_id").collect()) == [1, 3]
 
 
+def test_points_of_dense_spots(spark):
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.uniform(-30, 30, (200, 2)), rng.normal(0, 0.3, (100, 2)), np.repeat(rng.uniform(-20, 20, (3, 2)), 4, axis=0)])
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "point_id long, x double, y double")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    want = [i for i in range(len(xy)) if not ((d[i] > 0) & (d[i] <= 2.0)).any()]
+    assert sorted(r["point_id"] for r in imaging.far_apart(pts, 2.0).collect()) == want
+    whole = imaging.spread_out(pts, 4.0)
+    by_image = imaging.spread_out(pts.withColumn("image", F.lit(1)), 4.0, ["image"])
+    assert sorted(r["point_id"] for r in whole.collect()) == sorted(r["point_id"] for r in by_image.collect())
+    assert imaging.spread_out(pts.filter("false"), 4.0).count() == 0
+
+
 def test_tracking_marks_failures(spark):
     rows = spark.createDataFrame([(0, 30, 30, [5.0] * 900)], "frame_id long, h int, w int, pixels array<double>")
     beads = spark.createDataFrame([(0, 15.0, 15.0), (1, 2.0, 2.0)], "aoi int, x double, y double")

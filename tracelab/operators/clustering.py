@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -30,18 +31,27 @@ def projected(df: DataFrame, dimensions: int = 2) -> DataFrame:
 
 
 def clustered(df: DataFrame, ks: range = range(2, 10), seed: int = 1, features: str = "projection") -> tuple[DataFrame, list[dict]]:
-    """Rows with ``label`` from the mixture of the least BIC, and the scores of all numbers of clusters."""
-    df = df.cache()
-    n, scores, best = df.count(), [], None
-    d = len(df.select(vector_to_array(features).alias("v")).first()["v"])
-    for k in ks:
-        model = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="label", probabilityCol="__p").fit(df)
-        free = k - 1 + k * d + k * d * (d + 1) // 2
-        bic = free * math.log(n) - 2 * model.summary.logLikelihood
-        labelled = model.transform(df)
-        several = labelled.select("label").distinct().count() > 1
-        silhouette = ClusteringEvaluator(featuresCol=features, predictionCol="label").evaluate(labelled) if several else float("nan")
-        scores.append({"k": k, "bic": bic, "silhouette": silhouette})
-        if best is None or bic < best[0]:
-            best = bic, labelled.drop("__p")
-    return best[1], scores
+    """Rows with ``label`` from the mixture of the least BIC, and the scores of all numbers of clusters.
+
+    All numbers are fitted at the same time, as a fit's rounds are short jobs.
+    """
+    df = df.persist()
+    try:
+        n = df.count()
+        d = len(df.select(vector_to_array(features).alias("v")).first()["v"])
+
+        def fit(k: int) -> tuple[dict, DataFrame]:
+            model = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="label", probabilityCol="__p").fit(df)
+            free = k - 1 + k * d + k * d * (d + 1) // 2
+            labelled = model.transform(df).drop("__p")
+            sizes = model.summary.clusterSizes
+            several = sum(size > 0 for size in sizes) > 1
+            silhouette = ClusteringEvaluator(featuresCol=features, predictionCol="label").evaluate(labelled) if several else float("nan")
+            return {"k": k, "bic": free * math.log(n) - 2 * model.summary.logLikelihood, "silhouette": silhouette}, labelled
+
+        with ThreadPoolExecutor(len(ks)) as pool:
+            fits = list(pool.map(fit, ks))
+        best = min(fits, key=lambda f: f[0]["bic"])[1]
+        return best, [scores for scores, _ in fits]
+    finally:
+        df.unpersist()

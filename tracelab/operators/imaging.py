@@ -7,7 +7,9 @@ numpy arrays inside tasks, a batch of frames at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelab.session import shared_dir
+
+BEADS, BROADCAST_BEADS = 5000, 500_000  #: beads in one list, and those (of 24 bytes) that are broadcast
 SPOT = ("amplitude", "sx", "sy", "x", "y", "theta_deg", "offset")
 TRACK = "frame int, aoi int, " + ", ".join(f"{c} double" for c in (*SPOT, "intensity", "intensity_integral", "ss_res")) + ", fit_ok boolean"
 
@@ -69,28 +74,34 @@ def polygon_moments(points: DataFrame, key: str = "contour", order: str = "i", x
 def far_apart(points: DataFrame, distance: float, by: list[str] | None = None, x: str = "x", y: str = "y", point: str = "point_id") -> DataFrame:
     """Points with no other within ``distance``; points at the very same place don't count.
 
-    Points are matched by cells ``distance`` wide and their neighbours, so each
-    is compared with those around it alone.
+    Places are put in cells so small that two in one cell are always close.
+    Only a place that is alone in its cell is compared, with those of the 24
+    cells around it, so that a dense spot costs no more than its places.
     """
-    by = by or []
-    cell = [F.floor(F.col(c) / distance).cast("long") for c in (x, y)]
-    around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct((cell[0] + i).alias("u"), (cell[1] + j).alias("v"))))))
-    a = points.select(*by, point, x, y, cell[0].alias("u"), cell[1].alias("v"))
-    b = points.select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"), around.alias("c")).select(*by, "__x", "__y", "c.u", "c.v")
+    by, width = by or [], distance / math.sqrt(2) * (1 - 1e-9)
+    cell = [F.floor(F.col(c) / width).cast("long").alias(n) for c, n in ((x, "u"), (y, "v"))]
+    places = points.select(*by, x, y, *cell).distinct()
+    alone = places.groupBy(*by, "u", "v").agg(F.count("*").alias("__n"), F.min(x).alias("__x"), F.min(y).alias("__y")).filter("__n = 1").drop("__n")
+    steps = F.sequence(F.lit(-2), F.lit(2))
+    around = F.explode(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((F.col("u") + i).alias("u"), (F.col("v") + j).alias("v"))))))
+    spread = places.select(*by, x, y, around.alias("c")).select(*by, x, y, "c.u", "c.v")
     dx, dy = F.col(x) - F.col("__x"), F.col(y) - F.col("__y")
     d = F.sqrt(dx * dx + dy * dy)
-    close = a.join(b, [*by, "u", "v"]).filter((d > 0) & (d <= distance)).select(*by, point).distinct()
-    return points.join(close, [*by, point], "left_anti")
+    close = alone.join(spread, [*by, "u", "v"]).filter((d > 0) & (d <= distance)).select(*by, "u", "v").distinct()
+    kept = alone.join(close, [*by, "u", "v"], "left_anti").select(*by, F.col("__x").alias(x), F.col("__y").alias(y))
+    return points.join(kept, [*by, x, y], "left_semi")
 
 
 def spread_out(points: DataFrame, distance: float, by: list[str] | None = None, x: str = "x", y: str = "y", point: str = "point_id") -> DataFrame:
-    """Greedy choice by rising distance from the origin, then number: image, chosen points.
+    """Greedy choice by rising distance from the origin, then number: chosen points.
 
     A point is taken if it differs from every point taken before by ``distance``
-    in x, in y or in distance from the origin. One image is one task's work.
+    in x, in y or in distance from the origin. With ``by`` each image is one
+    task's work; without, all points are one image, which is worked off in
+    rounds of joins between neighbouring cells.
     """
-    by, one = by or [], not by
-    rows = points.withColumn("__all", F.lit(0)) if one else points
+    if not by:
+        return _spread_in_rounds(points.select(point, x, y), distance, x, y, point)
     schema = points.select(*by, point, x, y).schema
 
     def choose(image: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +115,35 @@ def spread_out(points: DataFrame, distance: float, by: list[str] | None = None,
                 taken.append(i)
         return image.iloc[taken][[*by, point, x, y]]
 
-    return rows.groupBy(*(["__all"] if one else by)).applyInPandas(choose, schema)
+    return points.groupBy(*by).applyInPandas(choose, schema)
+
+
+def _spread_in_rounds(points: DataFrame, distance: float, x: str, y: str, point: str) -> DataFrame:
+    """Each round takes the first point of every cell that no earlier one is in the way of, and drops those it is in the way of."""
+    spark, path = points.sparkSession, shared_dir(points.sparkSession, "spread-out")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    cell = [F.floor(F.col(c) / distance).cast("long").alias(n) for c, n in ((x, "u"), (y, "v"))]
+    open_ = kept(points.select(F.struct(F.hypot(x, y).alias("r"), F.col(point).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("q"), *cell), "points")
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    around = F.explode(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((F.col("u") + i).alias("u"), (F.col("v") + j).alias("v"))))))
+    near = reduce(Column.__and__, (F.abs(F.col(f"q.{c}") - F.col(f"c.{c}")) < distance for c in ("x", "y", "r")))
+    taken, turn = [], 0
+    while not open_.isEmpty():
+        first = open_.groupBy("u", "v").agg(F.min("q").alias("c")).select("c", around.alias("w")).select("c", "w.u", "w.v")
+        met = kept(open_.join(first, ["u", "v"]).filter(near).select("q", "c"), f"met-{turn}")
+        free = met.groupBy("c").agg(F.min("q").alias("least")).filter("least = c").select("c")
+        taken.append(kept(free, f"taken-{turn}"))
+        gone = met.join(taken[-1], "c", "left_semi").select("q").distinct()
+        open_ = kept(open_.join(gone, "q", "left_anti"), f"open-{turn}")
+        turn += 1
+    if not taken:
+        return points
+    chosen = reduce(DataFrame.unionByName, taken).select(F.col("c.p").alias(point))
+    return points.join(chosen, point, "left_semi")
 
 
 # Kernels on numpy arrays
@@ -232,12 +271,17 @@ def localize(images: DataFrame, contrast: float = 1.0, low: float = 30, high: fl
 def track(frames: DataFrame, beads: DataFrame, size: int = 20, background: float = 0.0, contrast: float | None = None) -> DataFrame:
     """Spot parameters of every bead in every frame (the ``TRACK`` columns).
 
-    Frames (frame_id, h, w, pixels) and beads (aoi, x, y) are few columns wide:
-    beads go to all tasks as a list on each frame, and frames are fitted where
-    they are read. A failed fit has zeros and fit_ok false. The guess of each
-    fit is its own frame's, so frames don't depend on each other.
+    Beads (aoi, x, y) go to the frames (frame_id, h, w, pixels) in lists of at
+    most ``BEADS``, which are broadcast up to ``BROADCAST_BEADS`` beads. A failed
+    fit has zeros and fit_ok false. The guess of each fit is its own frame's, so
+    frames don't depend on each other.
     """
-    listed = beads.agg(F.array_sort(F.collect_list(F.struct(F.col("aoi").cast("int").alias("aoi"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("beads"))
+    n = beads.count()
+    own = F.struct(F.col("aoi").cast("int").alias("aoi"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    part = F.pmod(F.xxhash64("aoi"), F.lit(max(1, -(-n // BEADS))))
+    listed = beads.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(own)).alias("beads")).select("beads")
+    if n <= BROADCAST_BEADS:
+        listed = F.broadcast(listed)
     names = [c.split()[0] for c in TRACK.split(", ")]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,4 +300,4 @@ def track(frames: DataFrame, beads: DataFrame, size: int = 20, background: float
                     rows.append((int(r.frame_id), int(b["aoi"]), *p, float(area.sum()) if ok else 0.0, volume, ss, ok))
             yield pd.DataFrame(rows, columns=names)
 
-    return frames.select("frame_id", "h", "w", "pixels").crossJoin(F.broadcast(listed)).mapInPandas(fit, TRACK)
+    return frames.select("frame_id", "h", "w", "pixels").crossJoin(listed).mapInPandas(fit, TRACK)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+RANGES = 200  #: parts of a running sum over values
+
 
 def summary(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Median, mean and sample deviation of each value column: by, attr, med, avg, std."""
@@ -61,12 +63,12 @@ def survival(df: DataFrame, value: str = "x") -> DataFrame:
     """Kaplan-Meier curve with every event observed: value, survival, a row for each distinct value.
 
     Counts of distinct values come first, so ties don't multiply; the running
-    sum goes over equal-width ranges of values and then inside each.
+    sum goes over ranges with about as many distinct values each, and then
+    inside each.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("c"))
-    ends = counts.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))
-    slot = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * 1024), F.lit(0))
-    placed = counts.crossJoin(F.broadcast(ends)).withColumn("slot", slot)
+    ends = counts.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("cuts"), F.sum("c").alias("n"))
+    placed = counts.crossJoin(F.broadcast(ends)).withColumn("slot", F.size(F.filter("cuts", lambda cut: cut < F.col("value")))).drop("cuts")
     before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("slot").agg(F.sum("c").alias("s")).select("slot", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("earlier"))
     inside = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)

@@ -64,6 +64,19 @@ def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.spread_out(model.points(spark, sf_dir), 10.0).select("point_id", q("x").alias("x"), q("y").alias("y"))
 
 
+@query(f""", o AS (SELECT p.*, e.label, sqrt(x * x + y * y) AS r, row_number() OVER (PARTITION BY label ORDER BY sqrt(x * x + y * y), point_id) AS i FROM point p JOIN embeddings e ON e.vec_id = p.point_id),
+g AS (
+  SELECT label, 0::BIGINT AS i, []::STRUCT(p BIGINT, x DOUBLE, y DOUBLE, r DOUBLE)[] AS kept FROM (SELECT DISTINCT label FROM o)
+  UNION ALL
+  SELECT o.label, o.i, CASE WHEN len(list_filter(kept, lambda k: NOT (abs(k.x - o.x) >= 10 OR abs(k.y - o.y) >= 10 OR abs(k.r - o.r) >= 10))) = 0
+    THEN list_append(kept, {{'p': point_id, 'x': o.x, 'y': o.y, 'r': o.r}}) ELSE kept END
+  FROM g JOIN o ON o.i = g.i + 1 AND o.label = g.label
+) SELECT label, k.p AS point_id, {sq('k.x')} AS x, {sq('k.y')} AS y FROM (SELECT label, unnest(arg_max(kept, i)) AS k FROM g GROUP BY label)""")
+def greedy_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "label")
+    return imaging.spread_out(model.points(spark, sf_dir).join(labels, "point_id"), 10.0, ["label"]).select("label", "point_id", q("x").alias("x"), q("y").alias("y"))
+
+
 @query(f""", p AS (SELECT label AS contour, vec_id AS i, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
 e AS (SELECT contour, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM p WINDOW w AS (PARTITION BY contour ORDER BY i)),
 s AS (SELECT contour, sum(sqrt(pow(x2 - x, 2) + pow(y2 - y, 2))) AS perimeter, sum(x * y2 - x2 * y) / 2 AS a, sum((x + x2) * (x * y2 - x2 * y)) AS mx, sum((y + y2) * (x * y2 - x2 * y)) AS my FROM e GROUP BY contour)
@@ -103,6 +116,6 @@ def track_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings standardised, projected to two components and clustered by the least BIC."""
     v = model.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
-    best, _ = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])), range(2, 5))
+    best, _ = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])))
     return best.select("vec_id", "label")
 
