@@ -37,6 +37,19 @@ def test_stretches_don_t_show(spark):
     np.testing.assert_allclose(ahead["m"], [x[i : i + 6].sum() for i in range(200)])
 
 
+def test_running_values_are_carried_over_stretches(spark):
+    x = np.random.default_rng(1).normal(size=60)
+    x[20:45] = 9.0
+    got = windows.running_sums(trace(spark, x), {"s": F.col("x"), "q": F.col("x") * F.col("x")}, stretch=7).orderBy("idx").toPandas()
+    np.testing.assert_allclose(got["s"], np.cumsum(x), atol=1e-12)
+    np.testing.assert_allclose(got["q"], np.cumsum(x * x), atol=1e-12)
+    fixed = windows.repaired(trace(spark, x), -5, 5, stretch=7).orderBy("idx").toPandas()["x"]
+    np.testing.assert_allclose(fixed, np.r_[x[:20], np.full(25, x[19]), x[45:]])
+    assert windows.repaired(trace(spark, [9, 1, 9]), 0, 5, stretch=1).orderBy("idx").toPandas()["x"].fillna(-1).tolist() == [-1, 1, 1]
+    rows = trace(spark, x).withColumn("day", F.floor(F.col("idx") / 11))
+    assert windows.indexed(rows, "trace_id", ["idx"], "no", F.col("day")).filter("no <> idx").isEmpty()
+
+
 def test_unknown_mode_is_refused(spark):
     with pytest.raises(ValueError):
         windows.moving_average(trace(spark, [1]), 2, "silding")

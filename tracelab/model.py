@@ -4,35 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tracelab.operators.windows import framed, indexed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace_id, idx, ts, event_type, x: each user's events, numbered month by month in order of time."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), "ts", "event_id", "event_type", F.col("value").alias("x"))
+    return indexed(e, "trace_id", ["ts", "event_id"], bucket=F.trunc("ts", "month"))
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace_id, idx, x: the values of each user's events in order of time."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), "ts", "event_id", F.col("value").alias("x"))
-    at = F.row_number().over(Window.partitionBy("trace_id").orderBy("ts", "event_id")) - 1
-    return e.select("trace_id", at.cast("long").alias("idx"), "x")
+    return _events(spark, sf_dir).select("trace_id", "idx", "x")
 
 
 def tracks(spark: SparkSession, sf_dir: str, fps: float = 10.0) -> DataFrame:
     """Bead tracks: x is the value, y the value of the next event (the last row repeats), sx and sy from both."""
-    rows = traces(spark, sf_dir)
-    after = F.coalesce(F.lead("x").over(Window.partitionBy("trace_id").orderBy("idx")), F.col("x"))
-    both = rows.select(F.col("trace_id").alias("aoi"), "idx", (F.col("idx") / F.lit(fps)).alias("t"), "x", after.alias("y"))
+    rows = traces(spark, sf_dir).select(F.col("trace_id").alias("aoi"), "idx", (F.col("idx") / F.lit(fps)).alias("t"), "x")
+    both = framed(rows, 0, 1, {"y": lambda w: F.last("x").over(w)}, "aoi")
     return both.withColumns({"sx": F.col("x") / 100 + 1, "sy": F.col("y") / 100 + 1})
 
 
 def dwells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trace_id, from_state, to_state, x (the value), t (hours until the next event)."""
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(3.6e9)
-    out = e.select(F.col("user_id").alias("trace_id"), F.col("event_type").alias("from_state"), F.lead("event_type").over(w).alias("to_state"), F.col("value").alias("x"), gap.alias("t"))
-    return out.filter(F.col("t") > 0)
+    after = {"to_state": lambda w: F.last("event_type").over(w), "__ts": lambda w: F.last("ts").over(w), "__n": lambda w: F.count("*").over(w)}
+    e = framed(_events(spark, sf_dir), 0, 1, after).filter("__n = 2")
+    gap = (F.unix_micros(F.col("__ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / F.lit(3.6e9)
+    return e.select("trace_id", F.col("event_type").alias("from_state"), "to_state", "x", gap.alias("t")).filter(F.col("t") > 0)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelab.operators.windows import running_sums
+
 DECAY, BETA1, BETA2, EPS = 0.9, 0.9, 0.999, 1e-8
 STRETCH = 512  #: places of a trace whose pairs with those of another stretch are taken together
 TOGETHER, MOST_TRACES, HELD_BATCHES = 1 << 20, 512, 4096  #: rows and traces that a task fits at once, a longer trace by itself; sums of batches kept on the driver
@@ -25,11 +27,12 @@ def prefix_sums(df: DataFrame, key: str = "trace_id", idx: str = "idx", value: s
 
     There is a row for the end of each trace as well.
     """
-    w = Window.partitionBy(key).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy(key)
-    x, i = F.col(value), F.col(idx).cast("double")
-    upto = df.select(key, (F.col(idx) + 1).alias("at"), F.sum(x).over(w).alias("sx"), F.sum(x * x).over(w).alias("sxx"), F.sum(i * x).over(w).alias("six"), F.count("*").over(all_rows).alias("n"), F.sum(x).over(all_rows).alias("tx"), F.sum(x * x).over(all_rows).alias("txx"))
-    return upto
+    x, i = F.col(value).cast("double"), F.col(idx).cast("double")
+    rows = df.select(key, idx, F.col(value).alias("__x"))
+    totals = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(x).alias("tx"), F.sum(x * x).alias("txx"))
+    y = F.col("__x").cast("double")
+    upto = running_sums(rows, {"sx": y, "sxx": y * y, "six": i * y}, key, idx)
+    return upto.select(key, (F.col(idx) + 1).alias("at"), "sx", "sxx", "six").join(totals, key)
 
 
 def pair_loss(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:

@@ -1,8 +1,9 @@
 """Running and block operators along traces.
 
-A trace is rows (key, idx, x) with idx 0, 1, 2, ... Frames of a bounded width
-don't need a whole trace in one task: rows are dealt by stretches of
-``STRETCH`` places, and the rows near a border go to both sides of it.
+A trace is rows (key, idx, x) with idx 0, 1, 2, ... No operator needs a whole
+trace in one task: rows are dealt by stretches of ``STRETCH`` places. For frames
+of a bounded width the rows near a border go to both sides of it; running values
+are taken inside stretches and carried from one to the next.
 """
 
 from __future__ import annotations
@@ -14,9 +15,33 @@ from pyspark.sql.window import Window
 STRETCH = 100_000
 
 
-def indexed(df: DataFrame, key: str, order: list[str], idx: str = "idx") -> DataFrame:
-    """Numbers the rows of each trace from 0 in the given order."""
-    return df.withColumn(idx, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+def indexed(df: DataFrame, key: str, order: list[str], idx: str = "idx", bucket: Column | None = None) -> DataFrame:
+    """Numbers the rows of each trace from 0 in the given order.
+
+    ``bucket`` cuts a trace in parts that follow each other in that order (such
+    as the day of a time stamp); then each part is numbered by itself and moved
+    by the size of the parts before, so that a very long trace isn't one task.
+    """
+    if bucket is None:
+        return df.withColumn(idx, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+    cut = df.withColumn("__bucket", bucket)
+    sizes = cut.groupBy(key, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(key).alias("__key"), F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(key, "__bucket").orderBy(*order)) - 1
+    joined = cut.join(offsets, F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__of")))
+    return joined.withColumn(idx, (own + F.col("__before")).cast("long")).drop("__bucket", "__key", "__of", "__before")
+
+
+def running_sums(df: DataFrame, columns: dict[str, Column], key: str = "trace_id", idx: str = "idx", stretch: int = STRETCH) -> DataFrame:
+    """Adds the sums of all rows of a trace up to each: inside its stretch, and over the stretches before."""
+    cut = df.withColumns({"__part": F.floor(F.col(idx) / stretch)} | {f"__v_{n}": c for n, c in columns.items()})
+    totals = cut.groupBy(key, "__part").agg(*(F.sum(f"__v_{n}").alias(f"__s_{n}") for n in columns))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(key, "__part", *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0.0)).alias(f"__s_{n}") for n in columns))
+    own = Window.partitionBy(key, "__part").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(carried, [key, "__part"]).withColumns({n: F.sum(f"__v_{n}").over(own) + F.col(f"__s_{n}") for n in columns})
+    return out.drop("__part", *(f"__{k}_{n}" for n in columns for k in "vs"))
 
 
 def framed(df: DataFrame, before: int, after: int, columns: dict[str, callable], key: str = "trace_id", idx: str = "idx", stretch: int = STRETCH) -> DataFrame:
@@ -99,11 +124,15 @@ def lag_differences(df: DataFrame, m: int, key: str = "trace_id", idx: str = "id
     return out.filter(F.col("__count") == m + 1).join(n, key).filter(F.col(idx) < F.floor(F.col("n") / m) * m).select(key, idx, (F.col(value) - F.col("__first")).alias("dx"))
 
 
-def repaired(df: DataFrame, low: float, high: float, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
+def repaired(df: DataFrame, low: float, high: float, key: str = "trace_id", idx: str = "idx", value: str = "x", stretch: int = STRETCH) -> DataFrame:
     """Values out of (low, high) replaced by the last one inside; nothing before the first."""
-    ok = F.when((F.col(value) > low) & (F.col(value) < high), F.col(value))
-    w = Window.partitionBy(key).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(ok, ignorenulls=True).over(w))
+    cut = df.withColumns({"__part": F.floor(F.col(idx) / stretch), "__ok": F.when((F.col(value) > low) & (F.col(value) < high), F.col(value))})
+    lasts = cut.groupBy(key, "__part").agg(F.max(F.when(F.col("__ok").isNotNull(), F.struct(idx, "__ok")))["__ok"].alias("__last"))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(key, "__part", F.last("__last", ignorenulls=True).over(before).alias("__last"))
+    own = Window.partitionBy(key, "__part").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last("__ok", ignorenulls=True).over(own), F.col("__last"))
+    return cut.join(carried, [key, "__part"]).withColumn(value, filled).drop("__part", "__ok", "__last")
 
 
 def connected(df: DataFrame, tail: int = 20, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
@@ -124,7 +153,6 @@ def expanding_spread(df: DataFrame, order: str, value: str, name: str, key: str
     return df.withColumn(name, F.stddev_samp(value).over(w))
 
 
-def positions(events: DataFrame, order: list[str], step: str = "step", key: str = "trace_id") -> DataFrame:
-    """Cumulative position after each step."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("position", F.sum(step).over(w))
+def positions(events: DataFrame, order: str = "idx", step: str = "step", key: str = "trace_id") -> DataFrame:
+    """Cumulative position after each step; ``order`` is the events' number in their trace."""
+    return running_sums(events, {"position": F.col(step)}, key, order)

@@ -135,7 +135,7 @@ def connect_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT trace_id, idx, {sq('sum(x) OVER (PARTITION BY trace_id ORDER BY idx ROWS UNBOUNDED PRECEDING)', 4)} AS position FROM trace")
 def step_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.positions(model.traces(spark, sf_dir), ["idx"], "x").select("trace_id", "idx", q("position", 4).alias("position"))
+    return windows.positions(model.traces(spark, sf_dir), "idx", "x").select("trace_id", "idx", q("position", 4).alias("position"))
 
 
 # Statistics
