@@ -220,6 +220,14 @@ def test_addresses_behind_a_digit():
     assert sum(right[:70]) >= 68 and right[70], right
 
 
+def test_spans_of_the_query_equal_the_patterns(spark, duck):
+    got = {r["doc_id"]: r for r in personal_data.op3_personal_data(spark, SF).collect()}
+    for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall():
+        want = plain_spans(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(personal_data.listed(want).encode()).hexdigest() and got[i]["n_ip"] == sum(k == "ip" for k, _, _ in want)
+        assert set(personal_data.listed(want).split(",")) <= set(got[i]["spans"].split(","))
+
+
 def test_tagger_gradients():
     net = personal_data.Tagger.new()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -273,22 +281,26 @@ def test_codewords_differ(n):
 
 # 5 decontamination
 
-def test_leaks_equal_brute_force(spark, duck):
-    bench, rows = (duck.execute(f"SELECT {c}, text FROM {t}").fetchall() for c, t in (("item_id", "benchmark"), ("doc_id", "documents")))
-    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
-    items = {i: cut(t) for i, t in bench}
-    want = set()
+def plain_leaks(rows, bench):
+    """Pairs of document and item with a passage in common, by comparing words."""
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items, found = {i: cut(t) for i, t in bench}, set()
     for d, t in rows:
         w = cut(t)
+        places = {}
+        for a, x in enumerate(w):
+            places.setdefault(x, []).append(a)
         for i, v in items.items():
             n = min(13, len(v))
-            grams = {}
-            for a in range(len(w) - n + 1):
-                grams.setdefault(w[a], []).append(a)
-            if len(v) >= 5 and any(sum(x == y for x, y in zip(w[a : a + n], v[b : b + n], strict=True)) >= (11 if n == 13 else n) for b in range(len(v) - n + 1) for k in range(3) if b + k < len(v) for a in [p - k for p in grams.get(v[b + k], []) if p - k >= 0] if a + n <= len(w)):
-                want.add((d, i))
+            if len(v) >= 5 and any(sum(x == y for x, y in zip(w[a : a + n], v[b : b + n], strict=True)) >= (11 if n == 13 else n) for b in range(len(v) - n + 1) for k in range(3) if b + k < len(v) for a in [p - k for p in places.get(v[b + k], []) if p - k >= 0] if a + n <= len(w)):
+                found.add((d, i))
+    return found
+
+
+def test_leaks_equal_brute_force(spark, duck):
+    bench, rows = (duck.execute(f"SELECT {c}, text FROM {t}").fetchall() for c, t in (("item_id", "benchmark"), ("doc_id", "documents")))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op5_decontaminate(spark, SF).collect()}
-    assert got == want
+    assert got == plain_leaks(rows, bench) and got
 
 
 @pytest.mark.parametrize("broadcast", [200_000, 0])
@@ -689,6 +701,56 @@ def test_lines_of_odd_texts(spark, monkeypatch):
 
 # Pipeline
 
+def test_pipeline_equals_brute_force(spark, duck):
+    """All five stages against plain loops, the SQL of the mix and the tokenizers library."""
+    import corpus_pipeline as pipeline
+
+    d = table(spark, SF, "documents")
+    rows = duck.execute("SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id").fetchall()
+    model = language_id.train(d)
+    rows = [r for r in rows if r[1] and language_id.has_letter(r[1]) and not model.decode(language_id.features(r[1])[None])[2][0]]
+    kept = spark.createDataFrame(rows, d.schema)
+    weights, texts, n = near_dup.frequencies(kept), [r[1] for r in rows], len(rows)
+    sets = [np.sort(near_dup.shingles([t])[0]) for t in texts]
+    bands = {r["doc"]: np.array(r["samples"]).reshape(near_dup.BANDS, near_dup.ROWS) for r in near_dup.signatures(kept.select(F.col("doc_id").alias("doc"), "text"), weights).collect()}
+    label = list(range(n))
+    for _ in range(3):
+        for i in range(n):
+            for j in range(i):
+                met = texts[i] == texts[j] or rows[i][0] in bands and rows[j][0] in bands and (bands[rows[i][0]] == bands[rows[j][0]]).all(axis=1).any() and near_dup.similarity(sets[i], sets[j], weights) >= 0.8
+                if met:
+                    label[i] = label[j] = min(label[i], label[j])
+    rows = [r for i, r in enumerate(rows) if label[i] == i]
+    leaked = {x for x, _ in plain_leaks([(r[0], r[1]) for r in rows], duck.execute("SELECT item_id, text FROM benchmark").fetchall())}
+    rows = [r for r in rows if r[0] not in leaked]
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]))
+    copies = {r[0]: r[4] // r[1] if r[1] else 0 for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})").fetchall()}
+    code, want, start = token_ids.Encoder(token_ids.default_tokenizer()), [], 0
+    for r in sorted(rows):
+        ids = np.append(code._whole([r[1]])[0], 0).astype("<u4")
+        for _ in range(copies[r[0]]):
+            want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in pipeline.run(spark, SF).collect())
+    assert got == want and 0 < len(rows) < 200
+
+
+@pytest.mark.parametrize("texts", [[], ODD])
+def test_pipeline_of_odd_tables(spark, tmp_path, texts):
+    import corpus_pipeline as pipeline
+
+    bench = spark.createDataFrame([(1, "just five words right here")], "item_id long, text string")
+    d = docs(spark, [*texts, *["many words that make up a text of some length here"] * bool(texts)])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = pipeline.run(spark, str(tmp_path))
+    assert got.count() <= 3 * len(texts) and {"doc_id", "start", "n_tokens"} <= set(got.columns)
+
+
 def test_pipeline_stages(spark, duck):
     import corpus_pipeline as pipeline
 
