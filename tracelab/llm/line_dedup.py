@@ -29,7 +29,7 @@ from tracelab.llm.common import Scratch, appended, batch_of, new_file, read_rang
 
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 17
-SPREAD = 8  #: tasks that the hashes of a shard are dealt to
+SPREAD = 64  #: parts that the hashes of a shard are dealt to tasks in
 TRIMMED = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_DOC = (1 << 63) - 1  #: stands for a null doc_id, which is one document and the last
@@ -165,11 +165,12 @@ def build_index(docs: DataFrame, path: str, tables: Scratch) -> int:
 def probed(lines: DataFrame, path: str, shards: int) -> DataFrame:
     """The rows of ``lines`` (text_key, doc, n, h1, h2) that go: text_key, doc, n.
 
-    Hashes go to the task of their shard, which opens it once. A shard with
-    very common lines has its hashes dealt to several tasks by the text.
+    Hashes go to the tasks of their shard, which open it once each; those of a
+    shard are dealt out by the text, so that a very common line isn't one
+    task's work.
     """
     parts = F.pmod(F.col("text_key"), F.lit(SPREAD)).cast("int")
-    dealt = lines.withColumn("shard", shard_of(F.col("h1"), shards)).repartition(max(shards, 1) * SPREAD, "shard", parts).sortWithinPartitions("shard")
+    dealt = lines.withColumn("shard", shard_of(F.col("h1"), shards)).repartition("shard", parts).sortWithinPartitions("shard")
     schema = "text_key long, doc long, n int"
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
