@@ -33,7 +33,7 @@ from tracelab.llm.words import grouped, mixed, window_hashes, word_hashes
 MASKS = ("11110111", "11001001111", "11111101")
 WORDS, SIMILARITY, LEAST_WORDS = 13, 0.8, 5
 LEAST_SAME = math.ceil(SIMILARITY * WORDS)
-LEAST_BITS, MOST_BITS = 16, 28  #: size of the bitmap: 32 bits a seed, 32 MB at most
+LEAST_BITS, MOST_BITS = 16, 28  #: size of the bitmap: 64 to 128 bits a seed, 32 MB at most
 BROADCAST_SEEDS, BROADCAST_KEYS = 200_000, 2_000_000  #: rows (of 250, and of 16 bytes) that are broadcast at most
 TOGETHER = 1 << 16  #: windows whose surroundings are held at once
 SEED = "seed long, kind int, owner long, place long, around binary"
@@ -59,9 +59,11 @@ def _seeds(texts: list[str | None], kinds: list, items: bool, bitmap: np.ndarray
     for kind, offsets, before, length in kinds:
         h, at = window_hashes(words, begin, offsets)
         if bitmap is not None and len(h):
-            bit = h >> np.uint64(64 - (len(bitmap).bit_length() + 5))
-            maybe = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            h, at = h[maybe], at[maybe]
+            bits = len(bitmap).bit_length() + 5
+            for leading in (True, False):
+                bit = h >> np.uint64(64 - bits) if leading else h & np.uint64((1 << bits) - 1)
+                maybe = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                h, at = h[maybe], at[maybe]
         text = np.searchsorted(begin, at, "right") - 1
         if items:
             own = size[text] == -kind if kind < 0 else size[text] >= WORDS
@@ -87,10 +89,10 @@ def _emitted(texts: list, owners: list, kinds: list, items: bool, bitmap: np.nda
 
 
 def _bitmap(seeds: DataFrame, n: int) -> np.ndarray:
-    """A bit for the leading bits of each seed's hash; its size follows their number, up to ``MOST_BITS``."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (32 * n).bit_length()))
-    bit = F.shiftrightunsigned("seed", 64 - bits)
-    each = seeds.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))")).alias("flags"))
+    """Bits for the leading and the last bits of each seed's hash; the size follows their number, up to ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
+    both = F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND(F.lit((1 << bits) - 1)))
+    each = seeds.select(F.explode(both).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("flags"))
     got = each.toPandas()  # at most a row for each word of the bitmap
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[got["word"].to_numpy(np.int64)] = got["flags"].to_numpy(np.int64).view(np.uint64)
