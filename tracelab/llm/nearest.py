@@ -39,11 +39,11 @@ from tracelab.llm.common import new_file, read_range, shared_dir, stored, table
 PROJECTIONS = 32
 WIDTH = 1.35  #: half a window, in standard deviations of a projected distance at the radius
 SLACK = 1.0  #: standard deviations by which a count at the radius may fall short of its mean
-GROWTH = 1.06
+GROWTH = 1.12
 SHARD_ROWS, BLOCK_QUERIES = 16384, 128
 SAMPLE_ROWS = 65_536  #: vectors, chosen by hash, that the tree of shards is fitted to; all are indexed
 LEAST_LEAF = 16  #: sampled vectors of a leaf, which bounds the tree; larger leaves are cut by hash
-PAIRS = 64  #: blocks that a task searches in one shard after the other
+PAIRS, BLOCKS = 16, 2  #: pairs of shard and block, and blocks in their own shard, that are a task's work
 K, EVERY, SEED = 20, 20, 11
 
 
@@ -282,22 +282,28 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
             for r in batch.sort_values("leaf").itertuples(index=False):
                 q, home = np.load(io.BytesIO(read_range(r.path))), np.flatnonzero(ends["leaf"] == r.leaf)
                 shard = _open(str(ends["shard"][home[0]]), space)
-                radius = np.array([shard.search(i, v, k)[2] for i, v in zip(q["ids"], q["vectors"], strict=True)])
+                own = [shard.search(i, v, k) for i, v in zip(q["ids"], q["vectors"], strict=True)]
+                radius = np.array([x[2] for x in own])
                 needed = np.zeros(len(ends["shard"]), bool)
                 for v, x in zip(q["vectors"], radius, strict=True):
                     needed |= space.reaches(v, x, ends["low"], ends["high"])
                 at = r.path.replace("queries-", "asked-")
-                _save(at, ids=q["ids"], vectors=q["vectors"], radius=radius)
+                needed[home[0]] = True
+                _save(at, ids=q["ids"], vectors=q["vectors"], radius=radius, home=str(ends["shard"][home[0]]), n=[len(x[0]) for x in own], found=np.concatenate([x[0] for x in own]), scores=np.concatenate([x[1] for x in own]))
                 yield pd.DataFrame({"shard": ends["shard"][needed], "block": at})
 
     n_blocks = blocks.count()
-    pairs = stored(blocks.repartitionByRange(max(1, math.ceil(n_blocks / 8)), "leaf", "path").mapInPandas(route, "shard string, block string"), "routes")
+    pairs = stored(blocks.repartitionByRange(max(1, math.ceil(n_blocks / BLOCKS)), "leaf", "path").mapInPandas(route, "shard string, block string"), "routes")
     work = pairs.repartitionByRange(max(1, math.ceil(pairs.count() / PAIRS)), "shard", "block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.sort_values(["shard", "block"]).itertuples(index=False):
-                shard, q = _open(r.shard, space), np.load(io.BytesIO(read_range(r.block)))
+                q = np.load(io.BytesIO(read_range(r.block)))
+                if r.shard == str(q["home"]):  # searched already
+                    yield pd.DataFrame({"query_id": np.repeat(q["ids"], q["n"]), "vec_id": q["found"], "score": q["scores"]})
+                    continue
+                shard = _open(r.shard, space)
                 low, high = shard.sorted[None, :, 0], shard.sorted[None, :, -1]
                 found = [(int(i), *shard.search(i, v, k, x if math.isfinite(x) else None)[:2]) for i, v, x in zip(q["ids"], q["vectors"], q["radius"], strict=True) if space.reaches(v, x, low, high)[0]]
                 if found:
