@@ -41,11 +41,11 @@ from tracelab.llm.words import grouped, mixed, window_hashes, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-KNOWN = 1 << 21  #: shingles, the most frequent, whose frequencies are known; 12 bytes of a broadcast each
+KNOWN = 1 << 18  #: shingles, the most frequent, whose frequencies are known; 12 bytes of a broadcast each
 SPAN = 0.5  #: by how much a shingle of one document outweighs one of all; more would tear large groups of near copies
 TOGETHER = 1 << 21  #: shingles counted together in a task
 TABLE_BITS = 14  #: entries of the tables of random values for each sample
-CHUNK = 256  #: documents of a bucket that are compared with each other in one group
+CHUNK = 512  #: documents of a bucket that are compared with each other in one group
 ROUNDS = 3  #: further members that those of a large bucket are compared with first
 BROADCAST_ROWS = 2_000_000  #: ids (8 bytes each) that are broadcast; more are joined by a shuffle
 NO_DOC = (1 << 63) - 1
@@ -127,7 +127,9 @@ def frequencies(docs: DataFrame, text: str = "text", tables: Scratch | None = No
         if size:
             yield summed()
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    # Counts of a task are added up before they are dealt out; most shingles are rare, so there is no more to gain.
+    dealt = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle int, n long").repartition("shingle")
+    counted = dealt.groupBy("shingle").agg(F.sum("n").alias("n"))
     several = tables.keep(counted.filter("n > 1").withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "frequencies")
     kept, least = 0, None
     for level, n in sorted(((r["level"], r["count"]) for r in several.groupBy("level").count().collect()), reverse=True):  # at most 16 rows for each doubling
@@ -336,14 +338,26 @@ def likely_pairs(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, we
     return i[good], j[good]
 
 
-def links_in(docs: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], weights: Weights, least: float) -> list[tuple[int, int]]:
-    """Links between members of a group that are in different components, as many as join its parts."""
+def sharing(buckets: list[list[int]], i: np.ndarray, j: np.ndarray, together: int = 1 << 15) -> np.ndarray:
+    """Whether the members i and j of each pair have a bucket in common."""
+    if len({tuple(b) for b in buckets}) == 1:
+        return np.ones(len(i), bool)
+    most = max(map(len, buckets))
+    own = np.array([[*b, *[b[0]] * (most - len(b))] for b in buckets], np.int64)
+    parts = [(own[i[k : k + together], :, None] == own[j[k : k + together], None, :]).any(axis=(1, 2)) for k in range(0, len(i), together)]
+    return np.concatenate([np.zeros(0, bool), *parts])
+
+
+def links_in(docs: np.ndarray, label: np.ndarray, side: np.ndarray, buckets: list[list[int]], sets: list[np.ndarray], weights: Weights, least: float) -> list[tuple[int, int]]:
+    """Links between members of a group that share a bucket and are in different components, as many as join its parts."""
     pairs = likely_pairs(sets, label, side, weights, least) if len(sets) > 8 else None
     if pairs is None:
         i, j = np.triu_indices(len(sets), 1)
         apart = (label[i] != label[j]) & ((side[i] != side[j]) | bool((side == side[0]).all()))
         pairs = i[apart], j[apart]
     i, j = pairs
+    met = sharing(buckets, i, j)
+    i, j = i[met], j[met]
     if len(i) <= 2 * len(sets):
         good = np.array([similarity(sets[x], sets[y], weights) >= least for x, y in zip(i, j, strict=True)], bool)
     else:
@@ -352,27 +366,42 @@ def links_in(docs: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[n
     return [(int(docs[x]), int(docs[y])) for x, y in _forest(len(docs), i[good], j[good])]
 
 
-def _in_chunks(members: DataFrame, size: int) -> DataFrame:
-    """Members (bucket, doc, label) in groups (bucket, i, j) of two chunks of their bucket, or of one."""
-    counted = joined_by(members, members.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / size).cast("int")), "bucket", "n", members.count())
-    cut = counted.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    other = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return other.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc", "label")
+def _in_groups(members: DataFrame, size: int) -> DataFrame:
+    """Members (bucket, doc, label, buckets) in groups (bucket, kind, i, j) that hold all pairs of different components.
+
+    A bucket of at most ``size`` members is one group. Of a larger one only the
+    largest component goes without pairs among itself: the others are cut into
+    chunks, and each of these meets the chunks of the largest (kind 0) and of
+    the others (kind 1). ``side`` tells the chunks of a group apart.
+    """
+    parts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select("bucket", "n", F.col("n").alias("all"), F.col("top.label").alias("main"), F.ceil(F.col("top.n") / size).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("top.n")) / size).cast("int").alias("others"))
+    known = joined_by(members, tops, "bucket", "n", members.count())
+    turn = lambda of: F.pmod(F.xxhash64("doc"), F.greatest(F.col(of), F.lit(1))).cast("int")
+    group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    of_main = F.transform(upto("others"), lambda i: group(0, i, turn("mains")))
+    of_others = F.concat(F.transform(upto("mains"), lambda j: group(0, turn("others"), j)), F.transform(upto("others"), lambda j: group(1, F.least(turn("others"), j), F.greatest(turn("others"), j))))
+    whole = F.array(group(2, F.lit(0), F.lit(0)))
+    few, main = F.col("all") <= size, F.col("label") == F.col("main")
+    groups = F.when(few, whole).when(main, of_main).otherwise(of_others)
+    side = F.when(few, F.lit(0)).when(main, F.lit(-1)).otherwise(turn("others"))
+    return known.select("bucket", "doc", "label", "buckets", side.alias("side"), F.explode(groups).alias("g")).select("bucket", "g.kind", "g.i", "g.j", "side", "doc", "label", "buckets")
 
 
 def _open_links(dealt: DataFrame, own: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """Links (a, b) that join components, found inside the groups (bucket, i, j) of ``dealt``."""
+    """Links (a, b) that join components, found inside the groups (bucket, kind, i, j) of ``dealt``."""
     sent = dealt.sparkSession.sparkContext.broadcast(weights)
-    group = ["bucket", "i", "j"]
+    group = ["bucket", "kind", "i", "j"]
     rows = dealt.join(own, "doc").repartition(*group).sortWithinPartitions(*group, "doc")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in (*group, "doc", "label", "chunk", "shingles")), strict=True))
+        each = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in (*group, "doc", "label", "side", "buckets", "shingles")), strict=True))
         found: list[tuple[int, int]] = []
-        for _, members in groupby(each, key=itemgetter(0, 1, 2)):
-            *_, doc, label, chunk, sets = zip(*members, strict=True)
+        for _, members in groupby(each, key=itemgetter(0, 1, 2, 3)):
+            *_, doc, label, side, buckets, sets = zip(*members, strict=True)
             if len(set(label)) > 1:
-                found += links_in(np.array(doc), np.array(label), np.array(chunk), [np.frombuffer(s, np.uint32) for s in sets], sent.value, least)
+                found += links_in(np.array(doc), np.array(label), np.array(side), list(buckets), [np.frombuffer(s, np.uint32) for s in sets], sent.value, least)
             if len(found) >= TOGETHER:
                 yield batch_of("a long, b long", list(zip(*found, strict=True)))
                 found = []
@@ -420,33 +449,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = tables.keep(heads, "heads", rows)
     star = joined_by(entries, known, "bucket", "n", rows).filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
     links = _linked(star, texts, weights, least, tables, "links", rows)
-    shared = tables.keep(joined_by(entries, known.drop("head"), "bucket", "n", rows), "shared", rows)
+    shared = tables.keep(joined_by(entries, known.select("bucket", "n", F.col("n").alias("size")), "bucket", "n", rows).withColumnRenamed("size", "n"), "shared", rows)
     labels = components(links, tables)
     members = _open(shared, labels, tables, rows)
+    # Further members are those that meet most others in all of their buckets, as what others were copied from does.
+    degree = shared.groupBy("doc").agg(F.sum("n").alias("met"))
+    large = tables.keep(members.filter(F.col("n") > CHUNK).join(degree, "doc").select("bucket", "doc", F.struct("met", "doc").alias("rank")), "large", rows)
     for turn in range(ROUNDS):
-        large = members.filter(F.col("n") > CHUNK)
-        pivots = large.groupBy("bucket").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot"), F.max("n").alias("n"))
-        further = joined_by(large.drop("n", "label"), pivots, "bucket", "n", rows).filter("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+        pivots = tables.keep(large.groupBy("bucket").agg(F.max("rank").alias("pivot"), F.count("*").alias("n")), "pivots", rows)
+        met = joined_by(large, pivots, "bucket", "n", rows)
+        further = met.filter(F.col("doc") != F.col("pivot.doc")).select(F.least("doc", "pivot.doc").alias("a"), F.greatest("doc", "pivot.doc").alias("b")).distinct()
         if further.isEmpty():
             break
         links = links.unionByName(_linked(further, texts, weights, least, tables, f"links-{turn}", rows))
-        labels = components(links, tables)
-        members = _open(shared, labels, tables, rows)
+        large = tables.keep(met.filter(F.col("rank") < F.col("pivot")).select("bucket", "doc", "rank"), "large", rows)
+    labels = components(links, tables)
+    members = _open(members.select("bucket", "doc"), labels, tables, rows)
 
-    # All pairs of a bucket that are still apart: in groups of the whole bucket,
-    # and where it is large in groups of those that share a token of their prefixes.
+    # All pairs of a bucket that are still apart: in groups of the whole bucket, and where it is
+    # large in groups of those that share a token of their prefixes, whatever their large buckets.
     own = _shingles_of(members.select("doc").distinct(), texts, tables, "open-shingles", rows)
     large = members.filter(F.col("n") > CHUNK)
-    tokens = prefixes(own.join(large.select("doc").distinct(), "doc", "left_semi"), weights, least)
-    tokened = large.join(tokens, "doc").select("doc", "label", F.explode("tokens").alias("token"), "bucket").select(F.xxhash64("bucket", "token").alias("bucket"), "doc", "label")
-    tokened = tables.keep(tokened, "tokens")
+    held = large.groupBy("doc").agg(F.first("label").alias("label"), F.sort_array(F.collect_set("bucket")).alias("buckets"))  # at most ``BANDS`` of each
+    tokens = prefixes(own.join(held.select("doc"), "doc", "left_semi"), weights, least)
+    tokened = tables.keep(held.join(tokens, "doc").select(F.explode("tokens").alias("bucket"), "doc", "label", "buckets"), "tokens")
     apart = tokened.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least <> most").select("bucket", "n")
-    groups = members.filter(F.col("n") <= CHUNK).select("bucket", "doc", "label").unionByName(joined_by(tokened, apart, "bucket", "n", tokened.count()).select("bucket", "doc", "label"))
+    small = members.filter(F.col("n") <= CHUNK).select("bucket", "doc", "label", F.array("bucket").alias("buckets"))
+    groups = small.unionByName(joined_by(tokened, apart, "bucket", "n", tokened.count()).select("bucket", "doc", "label", "buckets"))
     groups = tables.keep(groups, "groups")
-    more = tables.keep(_open_links(_in_chunks(groups, CHUNK), own, weights, least), "more-links")
+    more = tables.keep(_open_links(_in_groups(groups, CHUNK), own, weights, least), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more), tables)
-    tables.drop("entries", "heads", "shared", "open-buckets", "open-rows", "open-shingles", "open-shingles-ids", "tokens", "groups", "links", *(f"links-{k}" for k in range(ROUNDS)), "more-links")
+    tables.drop("entries", "heads", "shared", "large", "pivots", "open-buckets", "open-rows", "open-shingles", "open-shingles-ids", "tokens", "groups", "links", *(f"links-{k}" for k in range(ROUNDS)), "more-links")
 
     found = copies.join(labels.withColumnRenamed("node", "first"), "first", "left").select("text_hash", F.coalesce("label", "first").alias("class"), "n")
     classes = tables.keep(found, "classes", n_docs)
