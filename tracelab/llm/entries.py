@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelab.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dup, nearest, personal_data, token_ids, warc
+from tracelab.llm import decontaminate, html_text, importance, language_id, licenses, line_dedup, mixing, near_dup, nearest, personal_data, prefix_trie, token_ids, warc
 
 QUERIES = {
     "op1_token_ids": token_ids.op1_token_ids,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_nearest": nearest.op9_nearest,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_importance": importance.op11_importance,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_licenses": licenses.ORACLE,
 }
