@@ -32,13 +32,17 @@ def histogram(df: DataFrame, bins: int, value: str = "x") -> DataFrame:
     return full.select("bin", (F.col("lo") + width * (F.col("bin") + 0.5)).alias("center"), "count", share.alias("share"), F.try_divide(share, width).alias("density"))
 
 
+def width_bins(width: float, start: float, end: float) -> int:
+    """How many bins ``width_histogram`` has."""
+    return max(0, math.ceil((end + width - start) / width - 1e-12) - 1) if end > start else 0
+
+
 def width_histogram(df: DataFrame, width: float, start: float, end: float, value: str = "x") -> DataFrame:
     """Bins of a fixed width with edges start, start + width, ... below end + width: bin, center, count.
 
     Values before the first or past the last edge are left out; the last bin is closed.
     """
-    edges = math.ceil((end + width - start) / width - 1e-12) if end > start else 1
-    bins = max(0, edges - 1)
+    bins = width_bins(width, start, end)
     last = start + bins * width
     inside = df.filter((F.col(value) >= start) & (F.col(value) <= last))
     counts = inside.groupBy(F.least(F.floor((F.col(value) - start) / width), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("count"))

@@ -307,29 +307,40 @@ def fret_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Spectra and variance
 
-BIN_SQL = """, e AS (SELECT floor(min(x)) AS lo, ceil((max(x) + 25 - floor(min(x))) / 25 - 1e-12)::BIGINT - 1 AS bins FROM trace),
-h AS (SELECT bin, count(*) AS count FROM (SELECT least(floor((x - lo) / 25)::BIGINT, bins - 1) AS bin FROM trace, e WHERE x >= lo AND x <= lo + 25 * bins) GROUP BY bin),
+def bin_sql(width: str) -> str:
+    return f""", e AS (SELECT floor(min(x)) AS lo, ceil((max(x) + {width} - floor(min(x))) / {width} - 1e-12)::BIGINT - 1 AS bins FROM trace),
+h AS (SELECT bin, count(*) AS count FROM (SELECT least(floor((x - lo) / {width})::BIGINT, bins - 1) AS bin FROM trace, e WHERE x >= lo AND x <= lo + {width} * bins) GROUP BY bin),
 lags AS (SELECT unnest(range(bins)) AS lag, bins FROM e),
 acf AS (SELECT lag, any_value(bins) AS bins, coalesce(sum(a.count * b.count), 0)::DOUBLE AS acf FROM lags LEFT JOIN h a ON true LEFT JOIN h b ON b.bin = a.bin + lag GROUP BY lag)"""
 
 
-@query(f"{BIN_SQL} SELECT lag, {sq('lag / 0.04::DOUBLE')} AS distance, acf FROM acf")
+def spectrum_sql(rate: str) -> str:
+    return f"""SELECT k.lag AS k, {sq(f'{rate}::DOUBLE * k.lag / (k.bins - 1)::DOUBLE')} AS freq,
+  {sq('sqrt(pow(sum(acf * cos(2 * pi() * ((k.lag * a.lag) % k.bins) / k.bins)), 2) + pow(sum(acf * sin(2 * pi() * ((k.lag * a.lag) % k.bins) / k.bins)), 2))', 1)} AS psd
+  FROM acf a, lags k GROUP BY k.lag, k.bins"""
+
+
+@query(f"{bin_sql('25')} SELECT lag, {sq('lag / 0.04::DOUBLE')} AS distance, acf FROM acf")
 def spatial_acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.spatial_acf(model.traces(spark, sf_dir), 0.04).select("lag", q("distance").alias("distance"), "acf")
 
 
-@query(f"""{BIN_SQL} SELECT k.lag AS k, {sq('0.04::DOUBLE * k.lag / (k.bins - 1)::DOUBLE')} AS freq,
-  {sq('sqrt(pow(sum(acf * cos(2 * pi() * ((k.lag * a.lag) % k.bins) / k.bins)), 2) + pow(sum(acf * sin(2 * pi() * ((k.lag * a.lag) % k.bins) / k.bins)), 2))', 1)} AS psd
-  FROM acf a, lags k GROUP BY k.lag, k.bins""")
+@query(f"{bin_sql('25')} {spectrum_sql('0.04')}")
 def psd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acf = spectral.spatial_acf(model.traces(spark, sf_dir), 0.04)
-    return spectral.power_spectrum(acf, 0.04).select("k", q("freq").alias("freq"), q("psd", 1).alias("psd"))
+    return spectral.position_spectrum(model.traces(spark, sf_dir), 0.04).select("k", q("freq").alias("freq"), q("psd", 1).alias("psd"))
+
+
+@query(f"{bin_sql('0.125::DOUBLE')} {spectrum_sql('8')}")
+def psd_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins so fine that the transform is cut in rows and columns."""
+    return spectral.position_spectrum(model.traces(spark, sf_dir), 8.0).select("k", q("freq").alias("freq"), q("psd", 1).alias("psd"))
 
 
-VARIANCE_SQL = """, lagged AS (
+def variance_sql(lags: str) -> str:
+    return f""", lagged AS (
   SELECT a.trace_id, m.range AS m, a.x - b.x AS dx
   FROM (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n FROM trace) a
-  JOIN range(1, 21) m ON a.idx >= m.range AND a.idx < a.n // m.range * m.range
+  JOIN {lags} AND a.idx >= m.range AND a.idx < a.n // m.range * m.range
   JOIN trace b ON b.trace_id = a.trace_id AND b.idx = a.idx - m.range
 ), curve AS (
   SELECT *, stddev_samp(var_x) OVER (PARTITION BY trace_id ORDER BY m ROWS UNBOUNDED PRECEDING) AS sem_x
@@ -337,6 +348,15 @@ VARIANCE_SQL = """, lagged AS (
 )"""
 
 
+VARIANCE_SQL = variance_sql("range(1, 21) m ON true")
+
+
+@query(f"{variance_sql('(SELECT unnest(range(1, (SELECT count(*) FROM trace))) AS range) m ON 2 * m.range <= a.n')} SELECT trace_id, m, {sq('var_x', 3)} AS var_x, {sq('mean_x')} AS mean_x, {sq('sem_x', 3)} AS sem_x FROM curve")
+def lag_variance_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spectral.lag_variance_full(model.traces(spark, sf_dir))
+    return c.select("trace_id", "m", q("var_x", 3).alias("var_x"), q("mean_x").alias("mean_x"), q("sem_x", 3).alias("sem_x"))
+
+
 @query(f"{VARIANCE_SQL} SELECT trace_id, m, {sq('var_x', 3)} AS var_x, {sq('mean_x')} AS mean_x, {sq('sem_x', 3)} AS sem_x FROM curve")
 def lag_variance_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spectral.lag_variance(model.traces(spark, sf_dir), LAGS)
