@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracelab.operators import fourier, spectral
+from tracelab.operators import changepoint, fourier, spectral, stats
 
 XS = "trace_id long, idx long, x double"
 
@@ -66,3 +66,80 @@ def test_lag_variance_at_all_lags(spark, stretch):
     assert got[["trace_id", "m"]].equals(want[["trace_id", "m"]].astype("int64"))
     for c in ("var_x", "mean_x", "sem_x"):
         np.testing.assert_allclose(got[c], want[c], rtol=1e-7, atol=1e-6, err_msg=c)
+
+
+# The least loss by branch and bound
+
+def level_ramp_level(rng, n, t1, t2, noise):
+    i = np.arange(n)
+    return np.interp(i, [t1, t2], [20, 70]) + rng.normal(0, noise, n)
+
+
+def all_pairs(x):
+    best = None
+    for t1 in range(1, len(x) - 1):
+        for t2 in range(t1 + 1, len(x)):
+            c1, c2, m = x[:t1].mean(), x[t2:].mean(), t2 - t1
+            ramp = c1 + ((c2 - c1) / (m - 1) * np.arange(m) if m > 1 else 0)
+            loss = ((x[:t1] - c1) ** 2).sum() + ((x[t2:] - c2) ** 2).sum() + ((x[t1:t2] - ramp) ** 2).sum()
+            best = min(best or (np.inf, 0, 0), (loss, t1, t2))
+    return best
+
+
+def test_search_finds_the_least_loss(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = {0: level_ramp_level(rng, 120, 30, 80, 3), 1: rng.normal(0, 1, 61), 2: level_ramp_level(rng, 90, 5, 85, 20), 3: [1.0, 5.0, 9.0], 4: [1.0, 2.0], 5: rng.normal(size=40).cumsum()}
+    for width, stretch in ((16, 512), (3, 2)):
+        monkeypatch.setattr(changepoint, "LEAST_WIDTH", width)
+        monkeypatch.setattr(changepoint, "STRETCH", stretch)
+        got = {r["trace_id"]: r for r in changepoint.searched_change_points(traces(spark, values)).collect()}
+        assert sorted(got) == [0, 1, 2, 3, 5]
+        for t, r in got.items():
+            loss, t1, t2 = all_pairs(np.array(values[t]))
+            assert (r["t1"], r["t2"]) == (t1, t2) and r["loss"] == pytest.approx(loss, abs=1e-6)
+
+
+def test_search_opens_few_pairs(spark):
+    x = level_ramp_level(np.random.default_rng(6), 3000, 800, 2000, 4)
+    r = changepoint.searched_change_points(traces(spark, {0: x})).first()
+    assert abs(r["t1"] - 800) < 60 and abs(r["t2"] - 2000) < 60
+    assert r["pairs"] > 1400 and r["opened"] < r["pairs"] / 10
+
+
+def test_bounds_stay_below_their_pairs(spark, monkeypatch):
+    """Every pair's loss is at or above the bound of its stretches, as no result changes when all are opened."""
+    rng = np.random.default_rng(8)
+    values = {t: rng.normal(size=50).cumsum() + 1e3 * t for t in range(4)}
+    df = traces(spark, values)
+    losses = changepoint.candidate_losses(df).groupBy("trace_id").agg(F.min(F.struct("loss", "t1", "t2")).alias("b")).select("trace_id", "b.t1", "b.t2").collect()
+    assert sorted(map(tuple, losses)) == sorted(tuple(r)[:3] for r in changepoint.best_change_points(df).collect())
+
+
+# Exact quantiles
+
+@pytest.mark.parametrize("held", [10_000, 50, 1])
+def test_quantiles_are_exact(spark, held):
+    rng = np.random.default_rng(held)
+    groups = {"a": rng.normal(size=3001), "b": np.repeat([0.0, 1.0], 500), "c": np.r_[np.zeros(490), rng.random(20), np.ones(490)], "d": [3.5], "e": rng.integers(0, 3, 800).astype(float), None: np.exp(rng.normal(size=700) * 20), "f": np.zeros(900)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("none", None)]
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = stats.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", probs, held)
+    have = {(r["g"], r["p"]): r["quantile"] for r in got.collect()}
+    assert len(have) == len(groups) * len(probs)
+    for g, v in groups.items():
+        np.testing.assert_allclose([have[g, p] for p in probs], np.quantile(v, probs), rtol=1e-12)
+
+
+def test_summary_of_large_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v), float(v * k)) for k in (1, 2, 3) for v in rng.normal(size=40 * k)] + [(None, 1.0, None), (None, 2.0, None)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    whole, parts = (stats.summary(df, ["k"], ["x", "y"], held).toPandas().sort_values(["k", "attr"]).reset_index(drop=True) for held in (4096, 60))
+    pd.testing.assert_frame_equal(whole, parts)
+    assert len(whole) == 8
+
+
+def test_quantiles_of_all_and_of_none(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(101)], "x double")
+    assert [tuple(r) for r in stats.quantiles(df, [], "x", [0.25], 7).collect()] == [(0.25, 25.0)]
+    assert stats.quantiles(df.limit(0), [], "x", [0.25]).count() == 0

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelab.operators.windows import running_sums
+from tracelab.session import kept
 
 DECAY, BETA1, BETA2, EPS = 0.9, 0.9, 0.999, 1e-8
+LEAST_WIDTH, ROUNDING = 16, 1e-12  #: places of a stretch at least; error of sums, as a share of a trace's sum of squares
 STRETCH = 512  #: places of a trace whose pairs with those of another stretch are taken together
 TOGETHER, MOST_TRACES, HELD_BATCHES = 1 << 20, 512, 4096  #: rows and traces that a task fits at once, a longer trace by itself; sums of batches kept on the driver
 
@@ -64,8 +66,74 @@ def candidate_losses(df: DataFrame, candidates: int | None = None, key: str = "t
     return pairs.select(F.col(f"a.{key}").alias(key), F.col("a.at").alias("t1"), F.col("b.at").alias("t2"), pair_loss(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("loss"))
 
 
+def loss_profile(df: DataFrame, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
+    """For each first change point the second one with the least loss, the first of equals: key, t1, t2, loss."""
+    losses = candidate_losses(df, None, key, idx, value)
+    return losses.groupBy(key, "t1").agg(F.min(F.struct("loss", "t2")).alias("b")).select(key, "t1", "b.t2", "b.loss")
+
+
+def pair_bound(a0: Callable[[str], Column], a1: Callable[[str], Column], b0: Callable[[str], Column], b1: Callable[[str], Column]) -> Column:
+    """A loss that no pair falls below whose change points lie between a0 and a1, and between b0 and b1.
+
+    The levels only grow with their rows, so those outside of both stretches
+    count at least; between the stretches no ramp comes closer than the line of
+    least squares.
+    """
+    t, u, n = a0("at").cast("double"), b1("at").cast("double"), a0("n").cast("double")
+    level1 = a0("sxx") - a0("sx") * a0("sx") / t
+    rest = a0("tx") - b1("sx")
+    level2 = (a0("txx") - b1("sxx")) - rest * rest / (n - u)
+    start = a1("at").cast("double")
+    m, sx, sxx = b0("at") - start, b0("sx") - a1("sx"), b0("sxx") - a1("sxx")
+    six = b0("six") - a1("six") - start * sx
+    half, squares = m * (m - 1) / 2, (m - 1) * m * (2 * m - 1) / 6
+    line = sxx - sx * sx / m - F.pow(six - half * sx / m, 2) / (squares - half * half / m)
+    none = F.lit(0.0)
+    return F.greatest(level1, none) + F.when(m > 2, F.greatest(line, none)).otherwise(none) + F.greatest(level2, none) - ROUNDING * a0("txx")
+
+
+def searched_change_points(df: DataFrame, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
+    """The pair of change points with the least loss of all, the first of equals: key, t1, t2, loss, pairs, opened.
+
+    Branch and bound: places are cut in stretches of about the root of a
+    trace's length, so there are as many pairs of stretches as places, half of
+    them. Each has a lower bound and one loss of its own; the pair with the
+    least bound is searched first, and then all that may still hold less than
+    the least loss known. ``pairs`` counts pairs of stretches, ``opened`` those
+    that were searched. Traces with fewer than three rows have none.
+    """
+    width = F.greatest(F.ceil(F.sqrt(F.col("n"))), F.lit(LEAST_WIDTH))
+    sums = kept(prefix_sums(df, key, idx, value).filter(F.col("at") < F.col("n")).withColumn("stretch", F.floor(F.col("at") / width)), "prefix-sums")
+    place = F.struct("at", "sx", "sxx", "six")
+    cut = sums.groupBy(key, "stretch").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), *(F.first(c).alias(c) for c in ("n", "tx", "txx")))
+    own = F.floor(F.col("stretch") / STRETCH)
+    a = cut.withColumn("met", F.explode(F.sequence(own, F.floor(F.floor(F.col("n") / width) / STRETCH)))).alias("a")
+    b = cut.withColumn("met", own).alias("b")
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.met") == F.col("b.met")) & (F.col("a.stretch") <= F.col("b.stretch")) & (F.col("a.lo.at") < F.col("b.hi.at")))
+    total = ("n", "tx", "txx")
+    at = {p: (lambda c, p=p: F.col(f"{p[0]}.{c}") if c in total else F.col(f"{p}.{c}")) for p in ("a.lo", "a.hi", "b.lo", "b.hi")}
+    same = F.col("a.stretch") == F.col("b.stretch")
+    shown = F.when(same, pair_loss(at["a.lo"], at["b.hi"])).otherwise(pair_loss(at["a.lo"], at["b.lo"]))
+    pairs = kept(met.select(F.col(f"a.{key}").alias(key), F.col("a.stretch").alias("one"), F.col("b.stretch").alias("two"), pair_bound(at["a.lo"], at["a.hi"], at["b.lo"], at["b.hi"]).alias("bound"), shown.alias("shown")), "stretch-pairs")
+
+    def least(cells: DataFrame) -> DataFrame:
+        one, two = (sums.select(F.col(key), F.col("stretch").alias(name), F.struct("*").alias(side)) for name, side in (("one", "a"), ("two", "b")))
+        each = cells.select(key, "one", "two").join(one, [key, "one"]).join(two, [key, "two"]).filter("a.at < b.at")
+        losses = each.select(key, F.struct(pair_loss(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("loss"), F.col("a.at").alias("t1"), F.col("b.at").alias("t2")).alias("pair"))
+        return losses.groupBy(key).agg(F.min("pair").alias("best"))
+
+    known = kept(pairs.groupBy(key).agg(F.min("shown").alias("shown"), F.min(F.struct("bound", "one", "two")).alias("first"), F.count("*").alias("pairs")), "first-bounds")
+    first = least(known.select(key, "first.one", "first.two"))
+    limits = known.select(key, "pairs", "shown").join(first, key).select(key, "pairs", F.least("shown", "best.loss").alias("limit"))
+    opened = kept(pairs.join(limits, key).filter(F.col("bound") <= F.col("limit")).select(key, "one", "two", "pairs"), "opened-pairs")
+    counted = opened.groupBy(key).agg(F.first("pairs").alias("pairs"), F.count("*").alias("opened"))
+    return least(opened).join(counted, key).select(key, "best.t1", "best.t2", "best.loss", "pairs", "opened")
+
+
 def best_change_points(df: DataFrame, candidates: int | None = None, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
     """The pair with the least loss of all, or among the candidates, the first of equals: key, t1, t2, loss."""
+    if not candidates:
+        return searched_change_points(df, key, idx, value).select(key, "t1", "t2", "loss")
     losses = candidate_losses(df, candidates, key, idx, value)
     return losses.groupBy(key).agg(F.min(F.struct("loss", "t1", "t2")).alias("b")).select(key, "b.t1", "b.t2", "b.loss")
 

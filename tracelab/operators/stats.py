@@ -8,13 +8,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 200  #: parts of a running sum over values
-
+from tracelab.session import kept
 
-def summary(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """Median, mean and sample deviation of each value column: by, attr, med, avg, std."""
-    long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(v).alias("attr"), F.col(v).cast("double").alias("v")) for v in values))).alias("a")).select(*by, "a.attr", "a.v")
-    return long.groupBy(*by, "attr").agg(F.median("v").alias("med"), F.avg("v").alias("avg"), F.stddev_samp("v").alias("std"))
+RANGES = 200  #: parts of a running sum over values
+CUTS, HELD = 200, 4096  #: parts that a bracket of quantiles is cut in, and values of a group that are gathered at most
+
+
+def _refined(rows: DataFrame, open_: DataFrame, by: list[str]) -> DataFrame:
+    """The brackets (by, rank, a, b, below, inside) of ranks, narrower; ``found`` where a bracket's end is the value."""
+    v = F.col("__v")
+    inside = (v > F.col("a")) & (v < F.col("b"))
+    cuts = rows.join(open_, by).filter(inside).groupBy(*by, "rank").agg(F.percentile_approx("__v", [i / CUTS for i in range(CUTS + 1)], 50 * CUTS).alias("cuts"))
+    share = F.floor((F.col("rank") - F.col("below")) * CUTS / F.col("inside")).cast("int")
+    narrow = open_.join(cuts, [*by, "rank"]).withColumns({"low": F.get("cuts", F.greatest(share - 1, F.lit(0))), "high": F.get("cuts", F.least(share + 2, F.lit(CUTS)))}).drop("cuts")
+    counts = {"under": v < F.col("low"), "first": v == F.col("low"), "between": (v > F.col("low")) & (v < F.col("high"))}
+    counted = rows.join(narrow, by).filter(inside).groupBy(*by, "rank").agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+    known = narrow.join(counted, [*by, "rank"])
+    start = F.col("below") + F.col("under") + F.col("first")
+    found = F.when(F.col("rank") < start, F.col("low")).when(F.col("rank") >= start + F.col("between"), F.col("high"))
+    return known.select(*by, "rank", F.col("low").alias("a"), F.col("high").alias("b"), start.alias("below"), F.col("between").alias("inside"), found.alias("found"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], held: int = HELD) -> DataFrame:
+    """Exact quantiles of every group, between neighbouring values by their distance: by, p, quantile.
+
+    The ranks of all groups are bracketed at once by sketches of the values in
+    the last bracket, each some hundredth as wide; an end of a bracket takes all
+    its equals along. Brackets with at most ``held`` values are gathered, no
+    others. Nulls don't count, values are finite, groups without values have no
+    rows; a null in ``by`` is a group like any other.
+    """
+    own = [f"__g{i}" for i in range(len(by))] or ["__all"]
+    groups = [F.struct(F.col(b).isNull().alias("none"), F.col(b).alias("it")).alias(g) for b, g in zip(by, own, strict=False)] or [F.lit(0).alias("__all")]
+    rows = df.select(*groups, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    sizes = kept(rows.groupBy(*own).agg(F.count("*").alias("n")).withColumn("p", F.explode(F.array(*map(F.lit, probs)).cast("array<double>"))).withColumn("at", F.col("p") * (F.col("n") - 1)), "ranks")
+    ranks = sizes.select(*own, "n", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank")).distinct()
+    end = F.lit(float("inf"))
+    state = kept(ranks.select(*own, "rank", (-end).alias("a"), end.alias("b"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.lit(None).cast("double").alias("found")), "brackets")
+    wide = F.col("found").isNull() & (F.col("inside") > held)
+    settled, left = state.filter(~wide), state.filter(wide)
+    while not left.isEmpty():
+        state = kept(_refined(rows, left.drop("found"), own), "brackets")
+        settled, left = settled.unionByName(state.filter(~wide)), state.filter(wide)
+    near = rows.join(settled.filter("found is null"), own).filter((F.col("__v") > F.col("a")) & (F.col("__v") < F.col("b")))
+    gathered = near.groupBy(*own, "rank").agg(F.sort_array(F.collect_list("__v")).alias("values"))
+    values = settled.join(gathered, [*own, "rank"], "left").select(*own, "rank", F.coalesce("found", F.get("values", (F.col("rank") - F.col("below")).cast("int"))).alias("v"))
+    low, high = (values.select(*own, F.col("rank").alias(f"{n}_rank"), F.col("v").alias(n)) for n in ("low", "high"))
+    both = sizes.withColumns({"low_rank": F.floor("at"), "high_rank": F.ceil("at")}).join(low, [*own, "low_rank"]).join(high, [*own, "high_rank"])
+    exact = F.when(F.col("low_rank") == F.col("high_rank"), F.col("low")).otherwise((F.col("high_rank") - F.col("at")) * F.col("low") + (F.col("at") - F.col("low_rank")) * F.col("high"))
+    return both.select(*(F.col(g)["it"].alias(b) for g, b in zip(own, by, strict=False)), "p", exact.alias("quantile"))
+
+
+def summary(df: DataFrame, by: list[str], values: list[str], held: int = HELD) -> DataFrame:
+    """Median, mean and sample deviation of each value column: by, attr, med, avg, std.
+
+    Medians are exact; a group with more than ``held`` values has its median by ``quantiles``.
+    """
+    long = kept(df.select(*by, F.explode(F.array(*(F.struct(F.lit(v).alias("attr"), F.col(v).cast("double").alias("v")) for v in values))).alias("a")).select(*by, "a.attr", "a.v"), "summary-values")
+    moments = [F.avg("v").alias("avg"), F.stddev_samp("v").alias("std")]
+    keys = [*by, "attr"]
+    large = long.groupBy(*keys).agg(F.count("v").alias("n")).filter(F.col("n") > held).select(*(F.col(k).alias(f"__{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    if large.isEmpty():
+        return long.groupBy(*keys).agg(F.median("v").alias("med"), *moments)
+    few = long.join(large, same, "left_anti").groupBy(*keys).agg(F.median("v").alias("med"), *moments)
+    many = long.join(large, same, "left_semi")
+    halves = quantiles(many, keys, "v", [0.5], held).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("quantile").alias("med"))
+    return few.unionByName(many.groupBy(*keys).agg(*moments).join(halves, same).select(*keys, "med", "avg", "std"))
 
 
 def histogram(df: DataFrame, bins: int, value: str = "x") -> DataFrame:
