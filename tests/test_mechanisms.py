@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracelab.operators import changepoint, fourier, spectral, stats
+from tracelab.operators import changepoint, fourier, kmeans, mixture, spectral, stats
 
 XS = "trace_id long, idx long, x double"
 
@@ -143,3 +143,32 @@ def test_quantiles_of_all_and_of_none(spark):
     df = spark.createDataFrame([(float(x),) for x in range(101)], "x double")
     assert [tuple(r) for r in stats.quantiles(df, [], "x", [0.25], 7).collect()] == [(0.25, 25.0)]
     assert stats.quantiles(df.limit(0), [], "x", [0.25]).count() == 0
+
+
+# k-means
+
+def test_kmeans_of_groups(spark):
+    rng = np.random.default_rng(3)
+    groups = {"a": np.r_[rng.normal(0, 1, 200), rng.normal(50, 2, 100), rng.normal(90, 1, 50)], None: np.r_[rng.normal(-5, 0.1, 30), rng.normal(5, 0.1, 70), rng.normal(20, 0.1, 20)], "few": [1.0, 1.0, 2.0], "one": [4.0] * 9}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("a", None)], "g string, x double")
+    got = {}
+    for r in kmeans.kmeans(df, 3, ["g"]).orderBy("m").collect():
+        got.setdefault(r["g"], []).append((r["n"], r["m"], r["s"], r["f"]))
+    assert [n for n, *_ in got["a"]] == [200, 100, 50] and [n for n, *_ in got[None]] == [30, 70, 20]
+    assert [x[:2] for x in got["few"]] == [(2, 1.0), (1, 2.0)] and got["one"] == [(9, 4.0, 0.0, 1.0)]
+    a = groups["a"][:200]
+    assert got["a"][0][1:3] == pytest.approx((a.mean(), a.std())) and sum(x[3] for x in got["a"]) == pytest.approx(1)
+
+
+def test_means_are_settled(spark):
+    x = np.random.default_rng(9).gamma(2, 30, 2000)
+    m = [r["m"] for r in kmeans.kmeans(spark.createDataFrame([(float(v),) for v in x], "x double"), 5).orderBy("m").collect()]
+    near = np.abs(x[:, None] - np.array(m)).argmin(axis=1)
+    np.testing.assert_allclose(m, [x[near == j].mean() for j in range(5)], rtol=1e-6)
+
+
+def test_mixture_from_kmeans(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(v),) for v in np.r_[rng.normal(10, 2, 600), rng.normal(30, 3, 400)]], "x double")
+    fit = mixture.fit_mixture(df, "gauss", 2, first=mixture.kmeans_starts(df, 2))[0]
+    assert fit.ordered()["m"] == pytest.approx([10, 30], abs=0.5) and fit.n == 1000

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tracelab.functions import densities as D
+from tracelab.operators import kmeans, stats
 
 KINDS = {"gauss": ("f", "m", "s"), "exp": ("f", "tau"), "gauss_exp": ("f", "m", "s", "tau")}
 FREE = {"gauss": 3, "exp": 2, "gauss_exp": 4}  #: parameters of a component, one less over all
@@ -81,20 +82,34 @@ def starts(df: DataFrame, kind: str, ks: list[int], by: list[str], x: str, t: st
     tau = t if kind == "gauss_exp" else x
     probs = sorted({(i + 0.5) / k for k in ks for i in range(k)})
     made = [F.count("*").alias("n"), F.avg(tau).alias("tm"), F.stddev_pop(tau).alias("ts"), F.stddev_pop(x).alias("xs")]
-    if kind != "exp":
-        made.append(F.percentile(x, probs).alias("q"))
+    middle: dict[tuple, dict[float, float]] = {}
+    for row in stats.quantiles(df, by, x, probs).collect() if kind != "exp" else []:  # some rows for each group
+        middle.setdefault(tuple(row[b] for b in by), {})[row["p"]] = row["quantile"]
     fits = []
     for row in (df.groupBy(*by).agg(*made) if by else df.agg(*made)).collect():  # a row for each group
+        group = tuple(row[b] for b in by)
         for k in ks:
             params: Params = {}
             if kind != "exp":
-                params |= start_gauss([row["q"][probs.index((i + 0.5) / k)] for i in range(k)], row["xs"], k)
+                params |= start_gauss([middle[group][(i + 0.5) / k] for i in range(k)], row["xs"], k)
             if kind != "gauss":
                 params |= {n: v for n, v in start_exp(row["tm"], row["ts"], k).items() if n not in params}
-            fits.append(Fit(kind, {n: params[n] for n in KINDS[kind]}, tuple(row[b] for b in by), n=row["n"]))
+            fits.append(Fit(kind, {n: params[n] for n in KINDS[kind]}, group, n=row["n"]))
     return fits
 
 
+def kmeans_starts(df: DataFrame, ks: int | list[int], by: list[str] | None = None, x: str = "x", seed: int = 0) -> list[Fit]:
+    """First parameters of Gaussian mixtures from the clusters of k-means, for ``fit_mixture(..., first=...)``."""
+    by, fits = by or [], {}
+    for k in [ks] if isinstance(ks, int) else ks:
+        for row in kmeans.kmeans(df, k, by, x, seed).orderBy("m").collect():  # k rows for each group
+            fit = fits.setdefault((k, *(row[b] for b in by)), Fit("gauss", {n: [] for n in KINDS["gauss"]}, tuple(row[b] for b in by)))
+            for name in KINDS["gauss"]:
+                fit.params[name].append(max(row[name], 1e-9) if name == "s" else row[name])
+            fit.n += row["n"]
+    return list(fits.values())
+
+
 def _table(fits: list[Fit], by: list[str], df: DataFrame) -> DataFrame:
     """A row for each fit: its number, its group, and for every component what the log density needs.
 

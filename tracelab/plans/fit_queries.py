@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelab import model
 from tracelab.functions.projections import quantised as q
 from tracelab.functions.projections import sql_quantised as sq
-from tracelab.operators import mixture
+from tracelab.operators import kmeans, mixture
 
 QUERIES, ORACLE_SQL = {}, {}
 PINNED = [30.0, 120.0]
@@ -173,3 +173,10 @@ def em_components_aic(spark: SparkSession, sf_dir: str) -> DataFrame:
     best, fits = mixture.choose_components(d, "exp", "AIC", 5, x="t")
     scores = mixture.as_rows(fits, d).filter(F.col("k") == best).select("k", "converged", "ln_likelihood", "aic", "bic").distinct()
     return scores.select("k", "converged", *(q(c, 2).alias(c) for c in ("ln_likelihood", "aic", "bic")), F.lit(True).alias("chosen"))
+
+
+@query(f"WITH RECURSIVE {model.SQL}, {kmeans.kmeans_sql('dwell', 3, 'from_state')} SELECT g AS from_state, component::INTEGER AS component, {sq('f')} AS f, {sq('m', 4)} AS m, {sq('s', 4)} AS s, n::BIGINT AS n FROM clusters")
+def kmeans_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the values of each state, from which Gaussian mixtures can start."""
+    found = kmeans.kmeans(model.dwells(spark, sf_dir), 3, ["from_state"])
+    return found.select("from_state", "component", q("f").alias("f"), q("m", 4).alias("m"), q("s", 4).alias("s"), "n")
