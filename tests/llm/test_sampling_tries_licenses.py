@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import same_rows
-from tracelab.llm import importance, licenses, prefix_trie
+from tracelab.llm import decontaminate, html_text, importance, licenses, line_dedup, mixing, near_dup, prefix_trie
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -224,3 +224,30 @@ def test_license_blocks_and_empty_table(spark):
 def test_no_python_in_the_license_plan(spark):
     plan = licenses.scanned(docs(spark, MORE), licenses.TEMPLATES, licenses.PHRASES, 80)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# Columns with names that operators use themselves
+
+NAMES = ("row", "text_hash", "here", "gone", "id", "key", "text_key", "doc", "item_id", "__doc", "__key", "__id", "__hash", "__nth", "__copy", "__size", "__gone", "__path", "path", "host", "label", "kept", "class_id")
+
+
+def test_columns_of_any_name_pass_through(spark):
+    texts = ["one two three four five six seven\nand a line that comes again", "other words here and there\nand a line that comes again", None, "the answer to this question is hidden in a long text of words"]
+    rows = [(i, t, "s", *(f"{n}-{i}" for n in NAMES)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in NAMES))
+    bench = spark.createDataFrame([(1, "the answer to this question is hidden in a long text of words", "x")], "item_id long, text string, doc_id string")
+
+    def held(df, ids):
+        assert df.columns[: len(d.columns)] == d.columns
+        got = {r["doc_id"]: r for r in df.collect()}
+        assert set(got) == set(ids) and all(r[n] == f"{n}-{i}" for i, r in got.items() for n in NAMES)
+        return got
+
+    held(near_dup.one_of_each(d), range(4))
+    held(decontaminate.decontaminated(d, bench), [0, 1, 2])
+    held(mixing.mixed_documents(d), [0, 1, 3])
+    held(importance.resampled(d, bench, share=100, least_words=0), range(4))
+    assert held(line_dedup.drop_repeated_lines(d), range(4))[1]["text"] == "other words here and there"
+    pages = d.select(F.lit("http://a.b/c").alias("url"), F.concat(F.lit("<body><article><p>"), "text", F.lit("</p></article></body>")).alias("html"), *d.columns)
+    got = {r["doc_id"]: r for r in html_text.main_text(pages).collect()}
+    assert all(r[n] == f"{n}-{i}" for i, r in got.items() for n in NAMES) and got[3]["text"] == texts[3] and got[3]["html"].startswith("<body>")

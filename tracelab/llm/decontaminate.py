@@ -184,16 +184,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` without the rows that hold a passage of the benchmark; all columns pass through.
+    """``docs`` without the rows that hold a passage of the benchmark; all columns pass through, whatever their names.
 
     Rows are told by id and text, so nulls, repeated ids and repeated rows are
     as in ``leaks``. An empty benchmark leaves all rows, an empty table has none.
     """
     tables = Scratch(docs.sparkSession, "decontaminated")
-    bad = tables.keep(_found(docs, benchmark, doc_id, text, item_id, item_text, least_words).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct(), "contaminated")
+    bad = tables.keep(_found(docs, benchmark, doc_id, text, item_id, item_text, least_words).select("doc_id", "text_key").distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_or_empty(text)) == F.col("__key"))
-    return docs.join(bad, same, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_or_empty(text)).alias("key"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_anti").select("row.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -376,20 +376,22 @@ def main_text(pages: DataFrame, url: str = "url", html_: str = "html") -> DataFr
     Null or empty html, and pages of boilerplate alone, give an empty text. A
     null URL is a host of its own. Pages are read whole, however long or deeply
     nested; repeated rows get equal texts. A column named text is replaced; all
-    others pass through. An empty table gives no rows.
+    others pass through, whatever their names. An empty table gives no rows.
     """
     small_batches(pages.sparkSession)
-    kept = [f.name for f in pages.schema if f.name != "text"]
-    paths = stored(host_paths(pages, url, html_), "host-paths").withColumnsRenamed({"host": "__host", "path": "__path"})
-    size = paths.agg(F.coalesce(F.sum(F.octet_length("__host") + F.octet_length("__path") + 16), F.lit(0))).first()[0]
+    kept = [c for c in pages.columns if c != "text"]
+    paths = stored(host_paths(pages, url, html_), "host-paths")
+    size = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 16), F.lit(0))).first()[0]
     # Beyond that size pages are joined by host; AQE splits the partitions of hosts with very many pages.
     few = F.broadcast(paths) if size <= BROADCAST_BYTES else paths
-    joined = pages.select(*kept).join(few, host_of(url) == F.col("__host"), "left").drop("__host")
+    rows = pages.select(F.struct(F.lit(0), *(c for c in kept if c != html_)).alias("row"), host_of(url).alias("host"), F.col(html_).alias("html"))
+    joined = rows.join(few, "host", "left").select("row", "html", "path")
 
     def read(page: pa.Array, path: pa.Array) -> list:
         return [[extract(p or "", at) for p, at in zip(page.to_pylist(), path.to_pylist(), strict=True)]]
 
-    return appended(joined, "text string", read, [html_, "__path"], ("__path",))
+    made = appended(joined, "text string", read, ["html", "path"], ("path",))
+    return made.select(*(F.col("html").alias(c) if c == html_ else F.col("row").getField(c).alias(c) for c in kept), "text")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,7 +196,8 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     of ``min_chars`` code points or more that are in two documents or more stay
     only in that with the smallest id, repeats inside it included; rows with
     equal ids are one document, null ids come last. Null or empty text is one
-    empty line. All other columns pass through; an empty table gives no rows.
+    empty line. All other columns pass through, whatever their names; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -222,10 +223,13 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             out.append(t)
         return [out, sizes, n_dropped]
 
-    marked = docs.withColumns({"__key": F.xxhash64(whole), "__doc": doc}).join(gone.withColumnsRenamed({"text_key": "__key", "doc": "__doc"}), ["__key", "__doc"], "left")
-    made = appended(marked.withColumn("__text", F.col(text)), "__kept string, n_lines long, n_dropped long", cut, ["__text", "__gone"], ("__key", "__doc", "__gone", "__text", text))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return made.select(*(F.col("__kept").alias(text) if c == text else c for c in kept), "n_lines", "n_dropped")
+    others = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+    rows = docs.select(F.struct(F.lit(0), *others).alias("row"), F.col(text).alias("text"), F.xxhash64(whole).alias("text_key"), doc.alias("doc"))
+    marked = rows.join(gone, ["text_key", "doc"], "left").select("row", "text", "__gone")
+    made = appended(marked, "kept string, n_lines long, n_dropped long", cut, ["text", "__gone"], ("text", "__gone"))
+    row = F.col("row")
+    kept = [F.col("kept").alias(c) if c == text else row.getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return made.select(*kept, "n_lines", "n_dropped")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ IDENTITY = ("doc_id", "source", "text_hash", "nth")
 
 
 def _identified(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """Adds what tells rows apart: ids may repeat, and so may whole rows."""
-    plain = docs.withColumns({"__id": F.col(doc_id), "__source": F.col(source), "__hash": F.xxhash64(text_or_empty(text))})
+    """The rows as structs, their sizes, and what tells them apart: ids may repeat, and so may whole rows."""
+    words = F.regexp_count(text_or_empty(text), F.lit(f"[^{SPACE}]+")).cast("long")
+    plain = docs.select(F.struct("*").alias("row"), words.alias("__size"), F.col(doc_id).alias("__id"), F.col(source).alias("__source"), F.xxhash64(text_or_empty(text)).alias("__hash"))
     return plain.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__source", "__hash").orderBy("__hash")))
 
 
@@ -63,8 +64,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, d
     taken (copies times size). Rows without words are never taken. An empty
     table gives no rows; repeated rows are rows of their own.
     """
-    words = F.regexp_count(text_or_empty(text), F.lit(f"[^{SPACE}]+")).cast("long")
-    named = _identified(docs.withColumn("__size", words), doc_id, source, text)
+    named = _identified(docs, doc_id, source, text)
     sized = stored(named.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__hash").alias("text_hash"), F.col("__nth").alias("nth"), F.col("__size").alias("size")), "mix-sizes")
     n_rows, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = _targets(sized, weights)
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, d
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The rows of the mix with all their columns, a row for each copy taken.
+    """The rows of the mix with all their columns, whatever their names, a row for each copy taken.
 
     Null ids and sources are values as others, null and empty texts are never
     taken, repeated rows are rows of their own; an empty table has no rows.
@@ -119,7 +119,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sour
     marked = _identified(docs, doc_id, source, text)
     pairs = zip(("__id", "__source", "__hash", "__nth"), IDENTITY, strict=True)
     match = [F.col(a).eqNullSafe(F.col(f"__m_{b}")) for a, b in pairs]
-    return marked.join(counts, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__m_copies").cast("int")))).select(*docs.columns)
+    return marked.join(counts, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__m_copies").cast("int")))).select("row.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

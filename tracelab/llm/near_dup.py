@@ -492,11 +492,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the first document of each class; rows equal in id and text stay together."""
+    """``docs`` with the first document of each class; rows equal in id and text stay together. Columns may have any names."""
     whole = text_or_empty(text)
-    gone = near_duplicates(docs, doc_id, text, least).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__doc"), "text_hash").distinct()
+    gone = near_duplicates(docs, doc_id, text, least).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone"), "text_hash").distinct()
     here = F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("copy"), whole).alias("b"))
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (here == F.col("text_hash")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), here.alias("here"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("here") == F.col("text_hash")), "left_anti").select("row.*")
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
