@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tracelab.operators import changepoint, fourier, kmeans, mixture, spectral, stats
+from tracelab.operators import changepoint, clustering, fourier, kmeans, mixture, spectral, stats, windows
 
 XS = "trace_id long, idx long, x double"
 
@@ -172,3 +172,47 @@ def test_mixture_from_kmeans(spark):
     df = spark.createDataFrame([(float(v),) for v in np.r_[rng.normal(10, 2, 600), rng.normal(30, 3, 400)]], "x double")
     fit = mixture.fit_mixture(df, "gauss", 2, first=mixture.kmeans_starts(df, 2))[0]
     assert fit.ordered()["m"] == pytest.approx([10, 30], abs=0.5) and fit.n == 1000
+
+
+# Sums and numbers over ranges
+
+def test_sums_of_earlier_rows(spark):
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 9, 300)
+    df = spark.createDataFrame([(int(i), int(x), i % 7) for i, x in enumerate(v)], "id long, v long, tie int").repartition(9)
+    got = windows.earlier_sum(df, ["tie", "id"], F.col("v"), "before").toPandas().sort_values(["tie", "id"])
+    assert got["before"].tolist() == [0, *got["v"].cumsum().tolist()[:-1]]
+    assert windows.numbered(df, ["id"], "n").filter("n <> id").count() == 0
+    assert windows.numbered(df.limit(0), ["id"], "n").count() == 0
+    some = windows.earlier_sum(df.limit(1).select("id", F.lit(None).cast("double").alias("x")), ["id"], F.col("x"), "before").first()
+    assert some["before"] == 0
+
+
+# Principal axes
+
+@pytest.mark.parametrize("n", [1, 2, 5, 30])
+def test_axes_of_symmetric_matrices(n):
+    m = np.random.default_rng(n).normal(size=(n, n))
+    for a in (m @ m.T, m + m.T, np.eye(n), np.zeros((n, n)), np.ones((n, n))):
+        values, axes = clustering.symmetric_axes(a)
+        np.testing.assert_allclose(values, np.sort(np.linalg.eigvalsh(a))[::-1], atol=1e-9)
+        np.testing.assert_allclose(axes.T @ axes, np.eye(n), atol=1e-9)
+        np.testing.assert_allclose(a @ axes, axes * values, atol=1e-8)
+
+
+def test_principal_axes_of_rows(spark):
+    x = np.random.default_rng(7).normal(size=(400, 3)) @ np.array([[3.0, 1, 0], [0, 1, 0], [0, 0, 0.2]])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")))
+    got = clustering.principal_axes(clustering.standardised(df, list("abc"))).orderBy("component").toPandas()
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    np.testing.assert_allclose(got["variance"], np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1], atol=1e-9)
+    assert got["share"].sum() == pytest.approx(1) and got["residual"].max() < 1e-9
+    p = np.array([r["projection"].toArray() for r in clustering.projected(clustering.standardised(df, list("abc"))).collect()])
+    np.testing.assert_allclose(np.cov(p.T), np.diag(got["variance"][:2]), atol=1e-9)
+
+
+def test_minibatch_nears_the_exact_fit(spark):
+    rng = np.random.default_rng(11)
+    x = rng.uniform(-3, 3, 600)
+    df = spark.createDataFrame([(float(a), float(10 * a + 3 * a**2 + a**3 + e)) for a, e in zip(x, rng.normal(0, 1, 600), strict=True)], "x double, y double")
+    np.testing.assert_allclose(changepoint.cubic_minibatch(df), changepoint.cubic_exact(df), atol=0.4)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +23,74 @@ def standardised(df: DataFrame, values: list[str]) -> DataFrame:
     return both.select(*df.columns, "features")
 
 
+def covariance(df: DataFrame, features: str = "features") -> tuple[np.ndarray, int]:
+    """The covariance of a vector column over all rows and their number: sums of products by task, added up by Spark.
+
+    A row for each pair of attributes reaches the driver, whatever the number of rows.
+    """
+    n, size = df.count(), len((df.select(vector_to_array(features).alias("v")).first() or [[]])[0])
+    if not size or n < 2:
+        return np.zeros((size, size)), n
+    each = df.select(vector_to_array(features).alias("v"))
+    middle = np.array([r["m"] for r in each.select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("m")).orderBy("at").collect()])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((size, size))
+        for batch in batches:
+            x = batch.column("v").flatten().to_numpy().reshape(-1, size) - middle
+            held += x.T @ x
+        i, j = np.indices(held.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(held.ravel())], names=["i", "j", "s"])
+
+    sums = each.mapInArrow(products, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    out = np.zeros((size, size))
+    for r in sums:
+        out[r["i"], r["j"]] = r["s"] / (n - 1)
+    return out, n
+
+
+def symmetric_axes(matrix: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Values and axes (in columns) of a symmetric matrix by turns of two axes at a time, largest value first.
+
+    An axis has its largest weight positive.
+    """
+    a, axes = np.array(matrix, float), np.eye(len(matrix))
+    for _ in range(sweeps):
+        if np.abs(a - np.diag(np.diag(a))).max(initial=0.0) <= 1e-15 * max(np.abs(a).max(initial=0.0), 1e-300):
+            break
+        for p in range(len(a)):
+            for q in range(p + 1, len(a)):
+                if a[p, q]:
+                    angle = 0.5 * np.arctan2(2 * a[p, q], a[q, q] - a[p, p])
+                    c, s = np.cos(angle), np.sin(angle)
+                    turn = np.array([[c, s], [-s, c]])
+                    a[:, [p, q]] = a[:, [p, q]] @ turn
+                    a[[p, q]] = turn.T @ a[[p, q]]
+                    axes[:, [p, q]] = axes[:, [p, q]] @ turn
+    order = np.argsort(-np.diag(a), kind="stable")
+    axes = axes[:, order]
+    signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(len(axes))]) if len(axes) else np.ones(0)
+    return np.diag(a)[order], axes * np.where(signs == 0, 1.0, signs)
+
+
+def principal_axes(df: DataFrame, dimensions: int | None = None, features: str = "features") -> DataFrame:
+    """The axes of most variance: component, variance, share (of all variance), residual, weights.
+
+    ``residual`` is the length of A v - l v for the covariance A, the proof that
+    weights v and variance l belong together.
+    """
+    a, _ = covariance(df, features)
+    values, axes = symmetric_axes(a)
+    total = float(values.sum())
+    rows = [(j, float(values[j]), float(values[j]) / total if total else 0.0, float(np.linalg.norm(a @ axes[:, j] - values[j] * axes[:, j])), axes[:, j].tolist()) for j in range(len(values))]
+    return df.sparkSession.createDataFrame(rows[:dimensions], "component int, variance double, share double, residual double, weights array<double>")
+
+
 def projected(df: DataFrame, dimensions: int = 2) -> DataFrame:
     """Principal components of ``features``, each with its largest weight positive."""
-    model = PCA(k=dimensions, inputCol="features", outputCol="projection").fit(df)
-    weights = model.pc.toArray()
-    signs = [1.0 if weights[abs(weights[:, j]).argmax(), j] > 0 else -1.0 for j in range(dimensions)]
-    turned = F.zip_with(vector_to_array("projection"), F.array(*map(F.lit, signs)), lambda a, b: a * b)
-    return model.transform(df).withColumn("projection", array_to_vector(turned))
+    axes = [r["weights"] for r in principal_axes(df, dimensions).orderBy("component").collect()]  # a row for each component
+    along = [F.aggregate(F.zip_with("__v", F.array(*map(F.lit, axis)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for axis in axes]
+    return df.withColumn("__v", vector_to_array("features")).withColumn("projection", array_to_vector(F.array(*along))).drop("__v")
 
 
 def clustered(df: DataFrame, ks: range = range(2, 10), seed: int = 1, features: str = "projection") -> tuple[DataFrame, list[dict]]:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelab.session import kept
+
 STRETCH = 100_000
 
 
@@ -59,6 +61,25 @@ def framed(df: DataFrame, before: int, after: int, columns: dict[str, callable],
     return out.filter(F.col("__part") == F.col("__own")).drop("__part", "__own")
 
 
+def earlier_sum(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each in the given order, 0 at the first.
+
+    Rows are sorted in ranges; a range adds the sums of those before it, of
+    which there is one row each, so no task puts all rows in order.
+    """
+    ranged = kept(df.withColumn("__v", value).repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("__range").agg(F.sum("__v").alias("__s")).select("__range", F.sum("__s").over(before).alias("__before"))
+    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast(ranged.schema["__v"].dataType)
+    return ranged.join(F.broadcast(totals), "__range").withColumn(name, F.coalesce(F.sum("__v").over(own), none) + F.coalesce("__before", none)).drop("__v", "__range", "__before")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the number of each row from 0 in the given order, by ranges."""
+    return earlier_sum(df, order, F.lit(1).cast("long"), name)
+
+
 def lengths(df: DataFrame, key: str = "trace_id") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"))
 
@@ -138,12 +159,11 @@ def repaired(df: DataFrame, low: float, high: float, key: str = "trace_id", idx:
 def connected(df: DataFrame, tail: int = 20, key: str = "trace_id", idx: str = "idx", value: str = "x") -> DataFrame:
     """Traces put end to end: each starts from the sum of the earlier ones' closing levels.
 
-    The closing level is the mean of the last ``tail`` rows. Only one row for
-    each trace takes part in the running sum.
+    The closing level is the mean of the last ``tail`` rows. One row for each
+    trace takes part in the running sum, which goes by ranges of traces.
     """
     closing = df.join(lengths(df, key), key).filter(F.col(idx) >= F.col("n") - tail).groupBy(key).agg(F.avg(value).alias("level"))
-    shift = F.coalesce(F.sum("level").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    offsets = closing.select(key, shift.alias("shift"))
+    offsets = earlier_sum(closing, [key], F.col("level"), "shift").select(key, "shift")
     return df.join(offsets, key).withColumn(value, F.col(value) + F.col("shift")).drop("shift")
 
 

@@ -119,3 +119,23 @@ def pca_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     best, _ = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])))
     return best.select("vec_id", "label")
 
+
+
+@query(f""", v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings),
+z AS (SELECT vec_id, pos, coalesce((x - avg(x) OVER (PARTITION BY pos)) / nullif(stddev_samp(x) OVER (PARTITION BY pos), 0), 0) AS z FROM v),
+a AS (SELECT list(line ORDER BY i) AS a FROM (SELECT i, list(s ORDER BY j) AS line FROM (
+  SELECT p.pos AS i, q.pos AS j, sum(p.z * q.z) / (SELECT count(*) - 1 FROM embeddings) AS s FROM z p JOIN z q USING (vec_id) GROUP BY 1, 2) GROUP BY i)),
+way1 AS (SELECT 0 AS loop, list_transform(range(64), lambda i: 1 + i / 64.0::DOUBLE) AS v FROM a UNION ALL
+  SELECT loop + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT loop, list_transform(a, lambda line: list_dot_product(line, v)) AS w FROM way1, a WHERE loop < {{AXES_LOOPS}})),
+one AS (SELECT a, v, list_dot_product(v, list_transform(a, lambda line: list_dot_product(line, v))) AS l FROM a, way1 WHERE loop = {{AXES_LOOPS}}),
+b AS (SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: a[i][j] - l * v[i] * v[j])) AS b FROM one),
+way2 AS (SELECT 0 AS loop, list_transform(range(64), lambda i: 1 + i / 64.0::DOUBLE) AS v FROM b UNION ALL
+  SELECT loop + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT loop, list_transform(b, lambda line: list_dot_product(line, v)) AS w FROM way2, b WHERE loop < {{AXES_LOOPS}})),
+two AS (SELECT list_dot_product(v, list_transform(b, lambda line: list_dot_product(line, v))) AS l FROM b, way2 WHERE loop = {{AXES_LOOPS}})
+SELECT component, {sq('l', 6)} AS variance, {sq('l / total', 6)} AS share, 0.0::DOUBLE AS residual FROM (
+  SELECT 0 AS component, l FROM one UNION ALL SELECT 1, l FROM two), (SELECT list_sum(list_transform(range(1, 65), lambda i: a[i][i])) AS total FROM a)""".replace("{AXES_LOOPS}", "3000"))
+def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two axes of most variance of all standardised embeddings, with their residuals."""
+    v = model.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
+    found = clustering.principal_axes(clustering.standardised(v, [f"v{i}" for i in range(64)]), 2)
+    return found.select("component", q("variance", 6).alias("variance"), q("share", 6).alias("share"), q("residual", 6).alias("residual"))

@@ -84,8 +84,7 @@ def step_spectrum(traces: DataFrame, spatial_rate: float = 2.0, draws: int | Non
     """Power spectrum of traces put end to end, bootstrapped if ``draws`` are asked for: freq, psd, smoothed."""
     if draws:
         ids = traces.select("trace_id").distinct()
-        numbered = ids.withColumn("ordinal", (F.row_number().over(Window.orderBy("trace_id")) - 1).cast("long"))
-        traces = reshape.resampled(traces, numbered, draws, seed).select(F.col("draw").alias("trace_id"), "idx", "x")
+        traces = reshape.resampled(traces, windows.numbered(ids, ["trace_id"], "ordinal"), draws, seed).select(F.col("draw").alias("trace_id"), "idx", "x")
     s = spectral.position_spectrum(windows.connected(traces), spatial_rate)
     rows = s.select(F.lit(0).alias("trace_id"), F.col("k").alias("idx"), "freq", "psd")
     return windows.moving_average(rows, smooth, value="psd").select(F.col("idx").alias("k"), "freq", "psd", F.col("ma").alias("smoothed"))

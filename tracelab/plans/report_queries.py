@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelab import model
 from tracelab.functions import projections as P
@@ -250,7 +249,7 @@ joined AS (SELECT trace_id, idx, x + shift AS x FROM drawn JOIN shifted USING (t
 def bootstrap_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces drawn with replacement and put end to end."""
     t = model.traces(spark, sf_dir)
-    numbered = t.select("trace_id").distinct().withColumn("ordinal", (F.row_number().over(Window.orderBy("trace_id")) - 1).cast("long"))
+    numbered = windows.numbered(t.select("trace_id").distinct(), ["trace_id"], "ordinal")
     drawn = reshape.resampled(t, numbered, 20, 1).select(F.col("draw").alias("trace_id"), "idx", "x")
     return windows.connected(drawn).select("trace_id", "idx", q("x", 4).alias("x"))
 
@@ -274,7 +273,7 @@ def bootstrapped_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spectrum_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies by falling power."""
     s = pipelines.step_spectrum(model.traces(spark, sf_dir), 0.02, draws=20, seed=1).select(F.col("k").cast("long").alias("k"), q("psd", 0).alias("psd"))
-    return s.select(F.row_number().over(Window.orderBy(F.desc("psd"), "k")).alias("place"), "k", "psd")
+    return windows.numbered(s.withColumn("least", -F.col("psd")), ["least", "k"], "place").select((F.col("place") + 1).cast("int").alias("place"), "k", "psd")
 
 
 # Tables behind plots

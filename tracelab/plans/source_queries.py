@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tracelab import model
 from tracelab.functions.projections import quantised as q
 from tracelab.functions.projections import sql_quantised as sq
-from tracelab.operators import features, reshape
+from tracelab.operators import features, reshape, windows
 from tracelab.plans.trace_queries import FEATURES_SQL, FPS, W
 from tracelab.session import shared_dir
 from tracelab.sources import frames, sheets, sinks
@@ -31,7 +31,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces numbered 0, 1, ... by their id, as the columns of a sheet are."""
     t = model.traces(spark, sf_dir)
     ids = t.select("trace_id").distinct()
-    return t.join(ids.select("trace_id", (F.row_number().over(Window.orderBy("trace_id")) - 1).alias("place")), "trace_id")
+    return t.join(windows.numbered(ids, ["trace_id"], "place"), "trace_id")
 
 
 RANKED = ", ranked AS (SELECT *, dense_rank() OVER (ORDER BY trace_id) - 1 AS place FROM trace)"

@@ -11,6 +11,7 @@ from tracelab.functions import projections as P
 from tracelab.functions.projections import quantised as q
 from tracelab.functions.projections import sql_quantised as sq
 from tracelab.operators import changepoint, features, reshape, spectral, stats, windows
+from tracelab.plans import pipelines
 
 W = 16  #: rows of a window
 FPS = 10.0
@@ -402,8 +403,8 @@ def changepoint_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("trace_id", "t1", "t2", q("loss", 2).alias("loss"))
 
 
-def descent_sql(first: str, state: dict[str, str], move: str, most: int = 1000, tolerance: float = 1e-2) -> str:
-    """Descent of every trace's scores by forward differences; ``state`` maps what a way to move keeps to its next value.
+def descent_sql(first: str, state: dict[str, str], move: str, most: int = 1000, tolerance: float = 1e-2, rows: str = "trace", group: str = "") -> str:
+    """Descent of the scores of every trace of ``rows`` by forward differences, scores within ``group``; ``state`` maps what a way to move keeps to its next value.
 
     ``{g}`` stands for a gradient, ``{k}`` for the number of its change point.
     """
@@ -419,12 +420,12 @@ def descent_sql(first: str, state: dict[str, str], move: str, most: int = 1000,
     names = ", ".join(f"{n}{k}" for n in state for k in (1, 2))
     new = ", ".join(f"{v.format(g=f'g{k}', k=k)} AS {n}{k}" for n, v in state.items() for k in (1, 2))
     old = ", ".join(f"{n}{k} AS old_{n}{k}" for n in state for k in (1, 2))
-    return f""", score AS (SELECT trace_id, idx, x, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM trace), sums AS (
+    return f""", score AS (SELECT trace_id, idx, x, (x - avg(x) OVER ({group})) / stddev_pop(x) OVER ({group}) AS z FROM {rows}), sums AS (
   SELECT trace_id, idx + 1 AS place, sum(z) OVER w AS sx, sum(z * z) OVER w AS sxx, sum(idx * z) OVER w AS six,
          count(*) OVER a AS n, sum(z) OVER a AS tx, sum(z * z) OVER a AS txx, sum(x) OVER w AS ox, sum(x) OVER a AS otx
   FROM score WINDOW w AS (PARTITION BY trace_id ORDER BY idx ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY trace_id)
 ), way AS (
-  SELECT 0 AS loop, trace_id, count(*) / 3::DOUBLE AS t1, 2 * count(*) / 3::DOUBLE AS t2, {kept} FROM trace GROUP BY trace_id
+  SELECT 0 AS loop, trace_id, count(*) / 3::DOUBLE AS t1, 2 * count(*) / 3::DOUBLE AS t2, {kept} FROM {rows} GROUP BY trace_id
   UNION ALL
   SELECT loop + 1, trace_id, CASE WHEN g1 IS NOT NULL AND g2 IS NOT NULL THEN t1 + {move.format(k=1)} END, CASE WHEN g1 IS NOT NULL AND g2 IS NOT NULL THEN t2 + {move.format(k=2)} END, {names}
   FROM (SELECT loop, trace_id, t1, t2, g1, g2, {new}, {old} FROM (
@@ -472,6 +473,40 @@ def changepoint_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _descended(spark, sf_dir, "Adam", 0.18, True)
 
 
+@query(descent_sql("0.0::DOUBLE", {"m": "0.9 * (CASE WHEN loop = 0 THEN (1 - 0.9::DOUBLE) * {g} ELSE m{k} END) + (1 - 0.9::DOUBLE) * {g}", "s": "0.999 * (CASE WHEN loop = 0 THEN (1 - 0.999::DOUBLE) * {g} * {g} ELSE s{k} END) + (1 - 0.999::DOUBLE) * {g} * {g}"}, "-0.18 * (CASE WHEN loop = 0 THEN (1 - 0.9::DOUBLE) * g{k} ELSE old_m{k} END / (1 - 0.9::DOUBLE)) / (sqrt(CASE WHEN loop = 0 THEN (1 - 0.999::DOUBLE) * g{k} * g{k} ELSE old_s{k} END / (1 - 0.999::DOUBLE)) + 1e-8)"))
+def changepoint_adam_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adam as the library has it by default."""
+    return _descended(spark, sf_dir, "Adam", 0.18)
+
+
+REACTION = {"window": 4, "low": 0.1, "high": 400.0, "quality": {"low": 20.0, "high": 250.0, "drift": 100.0, "seconds": 20.0}}
+REACTION_SQL = """, good AS (
+  SELECT trace_id FROM trace GROUP BY trace_id
+  HAVING avg(x) FILTER (idx < 8) > 20 AND avg(x) FILTER (idx < 8) < 250 AND abs(avg(x) FILTER (idx < 8) - avg(x) FILTER (idx >= 8 AND idx <= 28)) < 100
+), block AS (
+  SELECT trace_id, idx // 4 AS idx, avg(x) FILTER (idx < last) AS mean
+  FROM (SELECT *, max(idx) OVER (PARTITION BY trace_id) AS last FROM trace JOIN good USING (trace_id)) GROUP BY trace_id, idx // 4
+), whole AS (
+  SELECT trace_id, idx, last_value(CASE WHEN mean > 0.1 AND mean < 400 THEN mean END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY idx) AS x FROM block
+)"""
+
+
+@query(REACTION_SQL + descent_sql("0.0::DOUBLE", {"v": "0.9 * v{k} - 0.18 * {g}"}, "v{k}", rows="whole", group="PARTITION BY trace_id"))
+def reaction_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good tethers from quality to velocity; a trace's first eight rows come before time 0."""
+    timed = model.traces(spark, sf_dir).withColumn("t", (F.col("idx") - 8).cast("double"))
+    found = pipelines.reaction_velocities(timed, method="Momentum", rate=0.18, **REACTION)
+    return found.select("trace_id", "cp_1", "cp_2", q("bm_initial", 4).alias("bm_initial"), q("bm_final", 4).alias("bm_final"), q("velocity", 6).alias("velocity"))
+
+
+@query()
+def cubic_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mini-batch descent of price by quantity, beside the exact solution of all rows."""
+    rows = model.table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+    near, exact = changepoint.cubic_minibatch(rows, batch=4096), changepoint.cubic_exact(rows)
+    return spark.createDataFrame([(f"p{i + 1}", float(a), float(b)) for i, (a, b) in enumerate(zip(near, exact, strict=True))], "name string, fitted double, exact double")
+
+
 @query(f"""SELECT {sq('2 * sum((p - l_extendedprice / 1000) * u) / count(*)', 4)} AS g1, {sq('2 * sum((p - l_extendedprice / 1000) * u * u) / count(*)', 4)} AS g2,
   {sq('2 * sum((p - l_extendedprice / 1000) * u * u * u) / count(*)', 4)} AS g3
   FROM (SELECT *, l_quantity / 10 AS u, l_quantity / 10 + 0.5 * pow(l_quantity / 10, 2) + 0.1 * pow(l_quantity / 10, 3) AS p FROM lineitem)""")

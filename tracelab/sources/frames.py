@@ -13,7 +13,8 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tracelab.operators.windows import earlier_sum, numbered
 
 HEADER_ROWS = ("frames", "width", "height", "fps", "pixeldepth")
 
@@ -28,15 +29,14 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, path: str, pattern: str = "*.glimpse") -> DataFrame:
     """path and size of the files that aren't empty, with their number by time of change."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
-    order = Window.orderBy("modificationTime", "path")
-    return files.filter("length > 0").select((F.row_number().over(order) - 1).cast("long").alias("file"), "path", F.col("length").alias("size"))
+    some = numbered(files.filter("length > 0"), ["modificationTime", "path"], "file")
+    return some.select("file", "path", F.col("length").alias("size"))
 
 
 def frame_layout(files: DataFrame, image_bytes: int) -> DataFrame:
     """frame_id, path, offset of every whole image; each file begins at offset 0 and may hold another number."""
     held = files.withColumn("held", F.floor(F.col("size") / image_bytes))
-    before = F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = held.withColumn("before", before).filter("held > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("held") - 1)))
+    each = earlier_sum(held, ["file"], F.col("held"), "before").filter("held > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("held") - 1)))
     return each.select((F.col("before") + F.col("i")).cast("long").alias("frame_id"), "path", (F.col("i") * image_bytes).cast("long").alias("offset"))
 
 
