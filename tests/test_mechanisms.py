@@ -216,3 +216,25 @@ def test_minibatch_nears_the_exact_fit(spark):
     x = rng.uniform(-3, 3, 600)
     df = spark.createDataFrame([(float(a), float(10 * a + 3 * a**2 + a**3 + e)) for a, e in zip(x, rng.normal(0, 1, 600), strict=True)], "x double, y double")
     np.testing.assert_allclose(changepoint.cubic_minibatch(df), changepoint.cubic_exact(df), atol=0.4)
+
+
+# Leaps of mixtures
+
+def test_leaps_save_rounds(spark):
+    rng = np.random.default_rng(21)
+    df = spark.createDataFrame([(float(v),) for v in np.r_[rng.normal(0, 2, 500), rng.normal(5, 2, 500)]], "x double").coalesce(1)
+    plain, fast = (mixture.fit_mixture(df, "gauss", 2, tolerance=1e-5, most=400, least_sigma=0.1, leaps=leaps)[0] for leaps in (False, True))
+    assert plain.converged and fast.converged and fast.rounds * 3 <= plain.rounds
+    for n in ("f", "m", "s"):
+        assert fast.ordered()[n] == pytest.approx(plain.ordered()[n], abs=1e-3)
+    assert fast.ln_likelihood >= plain.ln_likelihood - 1e-6
+
+
+def test_random_starts_repeat(spark):
+    from tracelab.operators.generate import uniform
+
+    df = spark.createDataFrame([(1.0,), (9.0,)], "x double")
+    a, b = (mixture.random_starts(df, "gauss", [2, 3], 2, 5) for _ in range(2))
+    assert [f.params for f in a] == [f.params for f in b] and len({f.params["m"][0] for f in a}) == 4
+    drawn = [spark.range(1).select(uniform(5, "m", F.lit(3), F.lit(1), F.lit(j))).first()[0] * 9.0 for j in range(3)]
+    assert a[3].params["m"] == pytest.approx(sorted(drawn))

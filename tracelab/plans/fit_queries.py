@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return keep
 
 
-def em_sql(kind: str, k: int = 2, pinned: list[float] | None = None, by: str | None = None, rows: str = "dwell", value: str = "x", name: str = "") -> str:
+def em_sql(kind: str, k: int = 2, pinned: list[float] | None = None, by: str | None = None, rows: str = "dwell", value: str = "x", name: str = "", most: int = MOST, tolerance: float = TOLERANCE) -> str:
     """The common table expressions of a fit by the library's rule of when to stop: data, state after every round, final."""
     names = mixture.KINDS[kind]
     t = "t" if kind == "gauss_exp" else "x"
@@ -63,8 +63,8 @@ state{name} AS (
   UNION ALL
   SELECT loop + 1, g, {moved}, {', '.join(columns)} FROM (SELECT loop, g, {', '.join(new)}, {old} FROM (
     SELECT p.loop, d.g, d.x, d.t, {', '.join(f'p.{c}' for c in columns)}, {', '.join(shares)} FROM state{name} p JOIN data{name} d ON d.g = p.g
-    WHERE p.loop < {LEAST} OR p.loop < {MOST} AND p.moved >= {TOLERANCE}) GROUP BY loop, g)
-), final{name} AS (SELECT g, moved < {TOLERANCE} AS converged, {', '.join(columns)} FROM (SELECT *, max(loop) OVER (PARTITION BY g) AS last FROM state{name}) WHERE loop = last)"""
+    WHERE p.loop < {LEAST} OR p.loop < {most} AND p.moved >= {tolerance}) GROUP BY loop, g)
+), final{name} AS (SELECT g, moved < {tolerance} AS converged, {', '.join(columns)} FROM (SELECT *, max(loop) OVER (PARTITION BY g) AS last FROM state{name}) WHERE loop = last)"""
 
 
 def components_sql(kind: str, k: int = 2, scale: int = 4) -> str:
@@ -180,3 +180,12 @@ def kmeans_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of the values of each state, from which Gaussian mixtures can start."""
     found = kmeans.kmeans(model.dwells(spark, sf_dir), 3, ["from_state"])
     return found.select("from_state", "component", q("f").alias("f"), q("m", 4).alias("m"), q("s", 4).alias("s"), "n")
+
+
+@query(fit_sql("gauss", most=5000, tolerance=1e-9) + ungrouped(components_sql("gauss", scale=3)))
+def em_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest of six random starts, with leaps, which ends where long plain rounds end."""
+    d = model.dwells(spark, sf_dir)
+    fits = mixture.fit_mixture(d, "gauss", 2, first=mixture.random_starts(d, "gauss", [2], 6, 3), leaps=True, tolerance=1e-5, most=120)
+    best = max((f for f in fits if f.ln_likelihood is not None), key=lambda f: f.ln_likelihood)
+    return mixture.as_rows([best], d).select("component", "converged", *(q(n, 3).alias(n) for n in mixture.KINDS["gauss"]))
