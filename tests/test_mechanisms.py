@@ -238,3 +238,30 @@ def test_random_starts_repeat(spark):
     assert [f.params for f in a] == [f.params for f in b] and len({f.params["m"][0] for f in a}) == 4
     drawn = [spark.range(1).select(uniform(5, "m", F.lit(3), F.lit(1), F.lit(j))).first()[0] * 9.0 for j in range(3)]
     assert a[3].params["m"] == pytest.approx(sorted(drawn))
+
+
+# Silhouettes
+
+@pytest.mark.parametrize("block", [128, 7])
+def test_silhouettes_equal_plain_loops(spark, monkeypatch, block):
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(clustering, "BLOCK", block)
+    rng = np.random.default_rng(13)
+    x = np.r_[rng.normal(0, 1, (25, 2)), rng.normal(4, 1, (20, 2)), [[9.0, 9.0]], [[0.0, 0.0]] * 2]
+    labels = {"good": np.r_[np.zeros(25), np.ones(20), 5, 0, 0].astype(int), "random": rng.integers(0, 3, 48), "one": np.zeros(48, int)}
+    rows = [(float(a), float(b), *(int(v[i]) for v in labels.values())) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, good int, random int, one int").repartition(3)
+    got = {r["labelling"]: r["silhouette"] for r in clustering.silhouettes(df.withColumn("features", array_to_vector(F.array("a", "b"))), list(labels)).collect()}
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for name in ("good", "random"):
+        each = []
+        for i, own in enumerate(labels[name]):
+            same = (labels[name] == own) & (np.arange(48) != i)
+            if not same.any():
+                each.append(0.0)
+                continue
+            a, b = away[i][same].mean(), min(away[i][labels[name] == k].mean() for k in set(labels[name]) - {own})
+            each.append((b - a) / max(a, b))
+        assert got[name] == pytest.approx(np.mean(each), abs=1e-12)
+    assert got["one"] is None

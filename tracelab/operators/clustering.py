@@ -8,12 +8,16 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelab.operators.windows import numbered
+from tracelab.session import kept
+
+BLOCK = 128  #: rows that meet the rows of another block at once
+
 
 def standardised(df: DataFrame, values: list[str]) -> DataFrame:
     """``features``: scores with the sample deviation, missing ones as 0, as a vector."""
@@ -93,28 +97,95 @@ def projected(df: DataFrame, dimensions: int = 2) -> DataFrame:
     return df.withColumn("__v", vector_to_array("features")).withColumn("projection", array_to_vector(F.array(*along))).drop("__v")
 
 
+def silhouettes(df: DataFrame, labels: list[str], features: str = "features") -> DataFrame:
+    """How well each column of labels parts the rows: labelling, silhouette, by Euclidean distances of all pairs.
+
+    The mean over rows of (b - a) / max(a, b), a the mean distance to the others
+    of the own cluster and b the least mean distance to another; 0 for a row
+    alone in its cluster, null where there is one cluster only. Rows meet in
+    blocks of ``BLOCK``, and the distances of a pair of blocks serve all
+    labellings; the work goes with the square of the rows, as the measure does.
+    """
+    rows = df.select(vector_to_array(features).alias("v"), F.array(*(F.col(c).cast("long") for c in labels)).alias("l"), F.monotonically_increasing_id().alias("row"))
+    placed = kept(numbered(kept(rows, "silhouette-rows"), ["row"], "at").withColumn("block", F.floor(F.col("at") / BLOCK)), "silhouette-blocks")
+    sizes: list[dict[int, int]] = [{} for _ in labels]
+    for r in placed.select(F.posexplode("l").alias("no", "label")).groupBy("no", "label").count().collect():  # a row for each cluster
+        sizes[r["no"]][r["label"]] = r["count"]
+    codes = [{label: j for j, label in enumerate(sorted(s))} for s in sizes]
+    number = [np.array([s[label] for label in sorted(s)], float) for s in sizes]
+    packed = placed.groupBy("block").agg(F.collect_list(F.struct("v", "l")).alias("rows"))
+    last = (sum(sizes[0].values()) - 1) // BLOCK if labels else -1
+    one = packed.select(F.col("block").alias("one"), F.col("rows").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(last, 0)).cast("long"))).alias("block"))
+    pairs = one.join(packed, "block").repartition("one").sortWithinPartitions("one")
+
+    def unpacked(cells: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([c["v"] for c in cells]), np.array([[code[label] for code, label in zip(codes, c["l"], strict=True)] for c in cells])
+
+    def scores(own: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+        total = []
+        for no, n in enumerate(number):
+            at = np.arange(len(own)), own[:, no]
+            size = n[own[:, no]]
+            a = sums[no][at] / np.maximum(size - 1, 1)
+            means = sums[no] / n
+            means[at] = np.inf
+            b = means.min(axis=1)
+            with np.errstate(invalid="ignore"):
+                s = np.where(size > 1, np.nan_to_num((b - a) / np.maximum(np.maximum(a, b), 1e-300)), 0.0)
+            total.append(float(s.sum()) if len(n) > 1 else None)
+        return pa.RecordBatch.from_arrays([pa.array(range(len(number)), pa.int32()), pa.array(total, pa.float64()), pa.array([len(own)] * len(number), pa.int64())], names=["no", "s", "n"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, x, own, sums = None, None, None, []
+        for batch in batches:
+            for name, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("one", "mine", "rows")), strict=True):
+                if name != block:
+                    if block is not None:
+                        yield scores(own, sums)
+                    block, (x, own) = name, unpacked(mine)
+                    sums = [np.zeros((len(x), len(n))) for n in number]
+                y, other = unpacked(theirs)
+                away = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+                for no, n in enumerate(number):
+                    sums[no] += away @ np.eye(len(n))[other[:, no]]
+        if block is not None:
+            yield scores(own, sums)
+
+    summed = pairs.mapInArrow(compare, "no int, s double, n long").groupBy("no").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
+    return summed.select(F.get(F.array(*map(F.lit, labels)), F.col("no")).alias("labelling"), "silhouette")
+
+
 def clustered(df: DataFrame, ks: range = range(2, 10), seed: int = 1, features: str = "projection") -> tuple[DataFrame, list[dict]]:
     """Rows with ``label`` from the mixture of the least BIC, and the scores of all numbers of clusters.
 
-    All numbers are fitted at the same time, as a fit's rounds are short jobs.
+    All numbers are fitted at the same time, as a fit's rounds are short jobs;
+    their silhouettes come from one pass over pairs of blocks.
     """
     df = df.persist()
     try:
         n = df.count()
         d = len(df.select(vector_to_array(features).alias("v")).first()["v"])
 
-        def fit(k: int) -> tuple[dict, DataFrame]:
-            model = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol="label", probabilityCol="__p").fit(df)
+        def fit(k: int) -> tuple[float, GaussianMixtureModel]:
+            model = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol=f"label_{k}", probabilityCol=f"__p_{k}").fit(df)
             free = k - 1 + k * d + k * d * (d + 1) // 2
-            labelled = model.transform(df).drop("__p")
-            sizes = model.summary.clusterSizes
-            several = sum(size > 0 for size in sizes) > 1
-            silhouette = ClusteringEvaluator(featuresCol=features, predictionCol="label").evaluate(labelled) if several else float("nan")
-            return {"k": k, "bic": free * math.log(n) - 2 * model.summary.logLikelihood, "silhouette": silhouette}, labelled
+            return free * math.log(n) - 2 * model.summary.logLikelihood, model
 
         with ThreadPoolExecutor(len(ks)) as pool:
-            fits = list(pool.map(fit, ks))
-        best = min(fits, key=lambda f: f[0]["bic"])[1]
-        return best, [scores for scores, _ in fits]
+            fits = dict(zip(ks, pool.map(fit, ks), strict=True))
+        labelled = df
+        for _, model in fits.values():
+            labelled = model.transform(labelled)
+        labelled = kept(labelled.drop(*(f"__p_{k}" for k in ks)), "labels")
+        shape = {r["labelling"]: r["silhouette"] for r in silhouettes(labelled, [f"label_{k}" for k in ks], features).collect()}
+        scores = [{"k": k, "bic": bic, "silhouette": shape[f"label_{k}"] if shape[f"label_{k}"] is not None else float("nan")} for k, (bic, _) in fits.items()]
+        best = min(scores, key=lambda s: s["bic"])["k"]
+        return labelled.select(*df.columns, F.col(f"label_{best}").alias("label")), scores
     finally:
         df.unpersist()
+
+
+def label_moments(df: DataFrame, label: str = "label", value: str = "x") -> DataFrame:
+    """What labels make of a mixture: label, f (share of the rows), m, s (population deviation), n."""
+    each = df.groupBy(label).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
+    return each.crossJoin(F.broadcast(df.agg(F.count("*").alias("__all")))).select(label, (F.col("n") / F.col("__all")).alias("f"), "m", "s", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +140,30 @@ def principal_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = model.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
     found = clustering.principal_axes(clustering.standardised(v, [f"v{i}" for i in range(64)]), 2)
     return found.select("component", q("variance", 6).alias("variance"), q("share", 6).alias("share"), q("residual", 6).alias("residual"))
+
+
+@query(f""", v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS away FROM v a, v b GROUP BY ALL),
+n AS (SELECT label, count(*) AS n FROM v GROUP BY label),
+s AS (SELECT vec_id, any_value(o.n) AS n, sum(away) FILTER (own = other) / nullif(any_value(o.n) - 1, 0) AS a, min(away / t.n) FILTER (own <> other) AS b
+  FROM d JOIN n o ON o.label = d.own JOIN n t ON t.label = d.other GROUP BY vec_id)
+SELECT 'label' AS labelling, {sq('avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END)', 6)} AS silhouette FROM s""")
+def label_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well their labels part all embeddings."""
+    v = model.table(spark, sf_dir, "embeddings").select("label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    return clustering.silhouettes(v, ["label"]).select("labelling", q("silhouette", 6).alias("silhouette"))
+
+
+@query()
+def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixtures of two to nine clusters of the embeddings' two main axes: k, bic, silhouette."""
+    v = model.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
+    _, scores = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])))
+    return spark.createDataFrame([(s["k"], float(s["bic"]), float(s["silhouette"])) for s in scores], "k int, bic double, silhouette double")
+
+
+@query(f"SELECT from_state, {sq('count(*) / sum(count(*)) OVER ()', 6)} AS f, {sq('avg(x)')} AS m, {sq('stddev_pop(x)')} AS s, count(*) AS n FROM dwell GROUP BY from_state")
+def label_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares, means and deviations that hard labels give, with states as labels."""
+    found = clustering.label_moments(model.dwells(spark, sf_dir), "from_state")
+    return found.select("from_state", q("f", 6).alias("f"), q("m").alias("m"), q("s").alias("s"), "n")
