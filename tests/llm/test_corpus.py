@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -529,6 +531,51 @@ def test_a_bucket_of_lightly_related_texts(spark):
     assert size > near_dup.CHUNK and [got[i] for i in range(len(texts))] == want and len(set(want)) == 1200
 
 
+def plain_weights(texts):
+    """Shingles of each text with their numbers, and the weight of each shingle, from tuples of words."""
+    sets = []
+    for t in texts:
+        w = re.findall("[a-z0-9]+", t.lower())
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
+    df = Counter(s for x in sets for s in x)
+    return sets, lambda s: 1 + 0.5 * min(1.0, math.log(len(texts) / df[s]) / math.log(1000))
+
+
+def plain_similarity(a, b, weight):
+    common = sum(min(n, b[s]) * weight(s) for s, n in a.items())
+    return common / (sum(n * weight(s) for x in (a, b) for s, n in x.items()) - common)
+
+
+def test_weights_from_all_frequencies(spark):
+    """Pairs near the limit are linked by plain sums over tuples of words, whatever frequent shingles others have."""
+    rng = np.random.default_rng(21)
+    phrase = [f"common{i}" for i in range(60)]
+    texts = []
+    for k in range(60):  # a shared passage, own words, and a copy with edits
+        x = phrase[: 20 + k % 40] + [f"own{k}x{i}" for i in range(60)]
+        y = list(x)
+        for at in rng.choice(np.arange(60), 1 + k % 3, replace=False):
+            y[at] = f"edit{k}x{at}"
+        texts += [" ".join(x), " ".join(y)]
+    short = [f"filler {k} of few words" for k in range(200)]
+    long = [" ".join(f"f{k // 2}x{i}" for i in range(3004)) for k in range(200)]  # 300,000 shingles of two documents each
+    got = []
+    for filler in (short, long):
+        rows = near_dup.near_duplicates(docs(spark, texts + filler)).collect()
+        got.append({r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] < 120})
+    assert got[0] == got[1]
+    sets, weight = plain_weights(texts + short)
+    held = near_dup.frequencies(docs(spark, texts + short))
+    hashed = [np.sort(near_dup.shingles([t])[0]) for t in texts]
+    near = 0
+    for i in range(0, 120, 2):
+        want = plain_similarity(sets[i], sets[i + 1], weight)
+        assert near_dup.similarity(hashed[i], hashed[i + 1], held) == pytest.approx(want, abs=1e-9)
+        near += 0.7 < want < 0.9
+        assert (got[0][i + 1] == got[0][i]) == (want >= 0.8) or 0.8 <= want < 0.82  # drawn with a chance of 0.999
+    assert near > 20 and 10 < sum(got[0][i] == got[0][i + 1] for i in range(0, 120, 2)) < 60
+
+
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(8)
     h = rng.integers(0, 2**32, 300, dtype=np.uint32)

@@ -2,7 +2,10 @@
 
 A document is a weighted set of shingles of ``SHINGLE`` words; a shingle weighs
 its number of occurrences times an inverse document frequency. Frequencies are
-counted shingle by shingle over all documents. Improved consistent weighted
+counted shingle by shingle over all documents. A shingle that at most one in
+``COMMON`` documents has weighs the most, so only the others' frequencies are
+needed later, and of these there are at most ``COMMON`` times as many as a
+document has on average, however many documents there are. Improved consistent weighted
 sampling draws ``BANDS`` x ``ROWS`` shingles from each document so that two
 documents draw the same one with the chance of their weighted Jaccard
 similarity; documents that agree on all rows of a band are candidates, and
@@ -41,8 +44,8 @@ from tracelab.llm.words import grouped, mixed, window_hashes, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-KNOWN = 1 << 18  #: shingles, the most frequent, whose frequencies are known; 12 bytes of a broadcast each
-SPAN = 0.5  #: by how much a shingle of one document outweighs one of all; more would tear large groups of near copies
+COMMON = 1000  #: a shingle weighs less than the most if more than one in so many documents have it
+SPAN = 0.5  #: by how much a rare shingle outweighs one of all documents; more would tear large groups of near copies
 TOGETHER = 1 << 21  #: shingles counted together in a task
 TABLE_BITS = 14  #: entries of the tables of random values for each sample
 CHUNK = 512  #: documents of a bucket that are compared with each other in one group
@@ -53,7 +56,7 @@ SEED = 20
 
 
 def shingles(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all shingles of texts, and the text of each; fewer words make one shingle of all."""
+    """64-bit hashes of all shingles of texts, and the text of each, whose shingles stand together; fewer words make one shingle of all."""
     words, begin = word_hashes(texts)
     h, at = window_hashes(words, begin, tuple(range(width)))
     text = np.searchsorted(begin, at, "right") - 1
@@ -65,35 +68,31 @@ def shingles(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray,
             more, places = window_hashes(words, begin, tuple(range(n)))
             own = np.isin(np.searchsorted(begin, places, "right") - 1, of)
             h, text = np.concatenate([h, more[own]]), np.concatenate([text, np.searchsorted(begin, places[own], "right") - 1])
-    return (mixed(h) >> np.uint64(32)).astype(np.uint32), text
+    return mixed(h), text
 
 
 def weighted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles text by text: hash, number of times, text."""
     h, text = shingles(texts)
-    both = np.sort((text.astype(np.uint64) << np.uint64(32)) | h)
-    first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
-    times = np.diff(np.append(first, len(both)))
-    both = both[first]
-    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), times.astype(np.float64), (both >> np.uint64(32)).astype(np.int64)
+    for own in np.split(h, np.flatnonzero(text[1:] != text[:-1]) + 1):
+        own.sort()
+    first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)])
+    return h[first], np.diff(np.append(first, len(h))).astype(np.float64), text[first]
 
 
 class Weights:
-    """Weight of every shingle: 1 where all documents have it, ``1 + SPAN`` where one does.
+    """Weight of every shingle: 1 where all documents have it, ``1 + SPAN`` where at most one in ``COMMON`` does.
 
-    The frequencies of the most frequent shingles are known; all others have
-    fewer documents than any of them and share one weight.
+    Between these it falls with the logarithm of the frequency. ``known`` are
+    the shingles of more documents, ``df`` their numbers of documents.
     """
 
     def __init__(self, documents: int, known: np.ndarray, df: np.ndarray):
-        order = np.argsort(known)
-        self.known, top = known[order], math.log(max(2.0, (documents + 1) / 2))
-        rare = math.sqrt(max(1, int(df.min()) - 1)) if len(df) else 1.0
-
-        def weight(n):
-            return 1 + SPAN * np.log(np.maximum(1, (documents + 1) / (n + 1))) / top
+        def weight(df):  # a shingle that isn't known has one document, or fewer than the limit
+            return 1 - SPAN * np.log(np.clip(df / max(1, documents), 1 / COMMON, 1)) / math.log(COMMON)
 
-        self.weight, self.rest = weight(df[order].astype(np.float64)), float(weight(rare))
+        order = np.argsort(known)
+        self.known, self.weight, self.rest = known[order].astype(np.uint64), weight(df[order].astype(np.float64)), float(weight(1.0))
 
     def of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -102,19 +101,21 @@ class Weights:
         return np.where(self.known[at] == h, self.weight[at], self.rest)
 
 
-def frequencies(docs: DataFrame, text: str = "text", tables: Scratch | None = None, known: int = KNOWN) -> Weights:
+def frequencies(docs: DataFrame, text: str = "text") -> Weights:
     """Weights from the number of documents that have each shingle, counted shingle by shingle over all documents.
 
-    At most ``known`` of them, the most frequent, come to the driver.
+    The shingles that more than one in ``COMMON`` documents have come to the
+    driver, 16 bytes each. As each takes up a place in so many documents, they
+    are at most ``COMMON`` times the mean number of shingles of a document.
     """
-    tables = tables or Scratch(docs.sparkSession, "shingle-frequencies")
+    n_docs = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def summed() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return batch_of("shingle int, n long", [h.view(np.int32), n])
+            return batch_of("shingle long, n long", [h.view(np.int64), n])
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -128,20 +129,9 @@ def frequencies(docs: DataFrame, text: str = "text", tables: Scratch | None = No
             yield summed()
 
     # Counts of a task are added up before they are dealt out; most shingles are rare, so there is no more to gain.
-    dealt = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle int, n long").repartition("shingle")
-    counted = dealt.groupBy("shingle").agg(F.sum("n").alias("n"))
-    several = tables.keep(counted.filter("n > 1").withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "frequencies")
-    kept, least = 0, None
-    for level, n in sorted(((r["level"], r["count"]) for r in several.groupBy("level").count().collect()), reverse=True):  # at most 16 rows for each doubling
-        if kept + n > known:
-            break
-        kept, least = kept + n, level
-    got = several.filter(F.col("level") >= least).select("shingle", "n").toPandas() if kept else None
-    n_docs = docs.count()
-    tables.drop("frequencies")
-    if got is None:
-        return Weights(n_docs, np.zeros(0, np.uint32), np.zeros(0))
-    return Weights(n_docs, got["shingle"].to_numpy(np.int32).view(np.uint32), got["n"].to_numpy(np.int64))
+    dealt = docs.select(F.col(text).alias("text")).mapInArrow(count, "shingle long, n long").repartition("shingle")
+    got = dealt.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") * COMMON > n_docs).filter("n > 1").toPandas()
+    return Weights(n_docs, got["shingle"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64))
 
 
 class Sampler:
@@ -156,7 +146,7 @@ class Sampler:
 
     def draw(self, h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
         """A row for each run of elements that begins at ``first``, with a 64-bit code for each sample."""
-        log_w, wide = np.log(weight).astype(np.float32), mixed(h.astype(np.uint64))
+        log_w, wide = np.log(weight).astype(np.float32), mixed(h)
         size = np.diff(np.append(first, len(h)))
         out = np.empty((len(first), len(self.turn)), np.uint64)
         for k, turn in enumerate(self.turn):
@@ -202,6 +192,11 @@ def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(sign, "doc long, samples array<long>")
 
 
+def _named(h: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """64-bit names of shingles with the number of their repeat."""
+    return mixed(h.astype(np.uint64) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def prefix(h: np.ndarray, weights: Weights, least: float) -> np.ndarray:
     """64-bit names of the first elements of a sorted array of shingle hashes, rare ones first.
 
@@ -211,15 +206,15 @@ def prefix(h: np.ndarray, weights: Weights, least: float) -> np.ndarray:
     """
     run = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
     nth = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
-    w, code = weights.of(h), mixed(h.astype(np.uint64))
+    w, code = weights.of(h), mixed(h)
     order = np.lexsort((nth, code, -w))
     upto = np.cumsum(w[order])
     taken = order[: int(np.searchsorted(upto, (1 - least + 1e-9) * upto[-1], "right")) + 1] if len(h) else order
-    return mixed(code[taken] + nth[taken].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _named(code[taken], nth[taken])
 
 
 def shingled(texts: DataFrame) -> DataFrame:
-    """doc, shingles (sorted 32-bit hashes, repeats included) for each (doc, text)."""
+    """doc, shingles (sorted 64-bit hashes, repeats included) for each (doc, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +229,7 @@ def prefixes(own: DataFrame, weights: Weights, least: float) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [prefix(np.frombuffer(s, np.uint32), sent.value, least).view(np.int64) for s in batch.column("shingles").to_pylist()]
+            tokens = [prefix(np.frombuffer(s, np.uint64), sent.value, least).view(np.int64) for s in batch.column("shingles").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "tokens"])
 
     return own.mapInArrow(cut, "doc long, tokens array<long>")
@@ -256,7 +251,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float,
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            got = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), sent.value) >= least for x, y in both]
+            got = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), sent.value) >= least for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(got))
 
     one = pairs.join(own.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
@@ -296,11 +291,11 @@ def similar_pairs(sets: list[np.ndarray], weights: Weights, least: float, column
     nth = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
     weight = weights.of(h)
     total = np.bincount(own, weight, len(sets))
-    key, count = np.unique((h.astype(np.uint64) << np.uint64(32)) | nth.astype(np.uint64), return_inverse=True, return_counts=True)[1:]
+    place, count = np.unique(_named(h, nth), return_inverse=True, return_counts=True)[1:]
     shared = np.flatnonzero(count > 1)
-    place = np.full(len(count), -1)
-    place[shared] = np.arange(len(shared))
-    at = place[key]
+    column = np.full(len(count), -1)
+    column[shared] = np.arange(len(shared))
+    at = column[place]
     common = np.zeros((len(sets), len(sets)))
     for k in range(0, len(shared), columns):
         here = (at >= k) & (at < k + columns)
@@ -401,7 +396,7 @@ def _open_links(dealt: DataFrame, own: DataFrame, weights: Weights, least: float
         for _, members in groupby(each, key=itemgetter(0, 1, 2, 3)):
             *_, doc, label, side, buckets, sets = zip(*members, strict=True)
             if len(set(label)) > 1:
-                found += links_in(np.array(doc), np.array(label), np.array(side), list(buckets), [np.frombuffer(s, np.uint32) for s in sets], sent.value, least)
+                found += links_in(np.array(doc), np.array(label), np.array(side), list(buckets), [np.frombuffer(s, np.uint64) for s in sets], sent.value, least)
             if len(found) >= TOGETHER:
                 yield batch_of("a long, b long", list(zip(*found, strict=True)))
                 found = []
@@ -431,7 +426,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tables, whole = Scratch(spark, "near-dup"), text_or_empty(text)
     text_hash = F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("copy"), whole).alias("b"))
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("doc"), whole.alias("text"), text_hash.alias("text_hash"))
-    weights = frequencies(named, tables=tables)
+    weights = frequencies(named)
     keys = tables.keep(named.select("doc", "text_hash"), "keys")
     n_docs = keys.count()
     rows = BANDS * n_docs
