@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracelab import model
 from tracelab.functions.projections import quantised as q
 from tracelab.functions.projections import sql_quantised as sq
-from tracelab.operators import clustering, imaging
+from tracelab.operators import clustering, imaging, outlines
 from tracelab.sources.frames import frame_layout
 from tracelab.streaming.blocks import time_blocks
 
@@ -87,6 +87,30 @@ def contour_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.polygon_moments(p).select("contour", *(q(c).alias(c) for c in ("perimeter", "area", "cx", "cy", "radius")))
 
 
+LEVEL = 140  #: grey value above which pixels are bright
+#: Every side of a bright pixel with a dark one beyond it, the side after it, and the walks from each side
+#: until a smaller one comes. Walks that come back to where they began are the outlines.
+OUTLINES_SQL = f""", p AS (SELECT frame_id, i % 8 AS x, i // 8 AS y FROM (SELECT frame_id, unnest(range(64)) AS i, unnest(pixels) AS v FROM image) WHERE v > {LEVEL}),
+step AS (SELECT * FROM (VALUES (0, -1, 0), (1, 0, -1), (2, 1, 0), (3, 0, 1)) s(side, dx, dy)),
+side AS (SELECT p.*, s.side, s.dx, s.dy, t.dx AS nx, t.dy AS ny, (y * 8 + x) * 4 + s.side AS n FROM p CROSS JOIN step s JOIN step t ON t.side = (s.side + 1) % 4
+  WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.frame_id = p.frame_id AND q.x = p.x + s.dx AND q.y = p.y + s.dy)),
+after AS MATERIALIZED (SELECT s.frame_id, s.n, CASE WHEN c.x IS NOT NULL THEN (c.y * 8 + c.x) * 4 + (side + 3) % 4 WHEN a.x IS NOT NULL THEN (a.y * 8 + a.x) * 4 + side ELSE (s.y * 8 + s.x) * 4 + (side + 1) % 4 END AS m
+  FROM side s LEFT JOIN p c ON c.frame_id = s.frame_id AND c.x = s.x + dx + nx AND c.y = s.y + dy + ny LEFT JOIN p a ON a.frame_id = s.frame_id AND a.x = s.x + nx AND a.y = s.y + ny),
+walk AS (SELECT frame_id, n AS head, n, m, 0 AS step FROM after
+  UNION ALL SELECT w.frame_id, head, a.n, a.m, step + 1 FROM walk w JOIN after a ON a.frame_id = w.frame_id AND a.n = w.m WHERE w.m > head),
+cycle AS (SELECT w.*, n // 4 % 8 AS x, n // 32 AS y, n % 4 AS side FROM walk w SEMI JOIN (SELECT frame_id, head FROM walk WHERE m = head) USING (frame_id, head)),
+visit AS (SELECT *, coalesce(lag(n // 4) OVER (PARTITION BY frame_id, head ORDER BY step), last(n // 4) OVER (PARTITION BY frame_id, head ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) <> n // 4 AS new,
+  sum(CASE side WHEN 2 THEN x + 1 WHEN 0 THEN -x ELSE 0 END) OVER (PARTITION BY frame_id, head) AS area, dense_rank() OVER (PARTITION BY frame_id ORDER BY head) - 1 AS outline FROM cycle),
+seen AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY frame_id, head ORDER BY step) AS v, sum(new::INTEGER) OVER (PARTITION BY frame_id, head) AS all_, max(CASE WHEN step = 0 THEN new::INTEGER END) OVER (PARTITION BY frame_id, head) AS v0 FROM visit)
+"""
+
+
+@query(f"{OUTLINES_SQL} SELECT frame_id, outline::INTEGER AS outline, area < 0 AS hole, abs(area)::BIGINT AS area, (CASE WHEN all_ = 0 THEN 0 ELSE (v - v0 + all_) % all_ END)::INTEGER AS i, x::INTEGER AS x, y::INTEGER AS y FROM seen WHERE new OR all_ = 0 AND step = 0")
+def outline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the bright parts of all images, and of the holes in them, point by point."""
+    return outlines.outline_points(model.images(spark, sf_dir), LEVEL)
+
+
 @query(""", f AS (SELECT range AS file, 1000 + 37 * range AS size FROM range(6)),
 h AS (SELECT *, size // 100 AS held, coalesce(sum(size // 100) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
 SELECT CAST(before + i AS BIGINT) AS frame_id, 'file-' || file AS path, i * 100 AS "offset" FROM (SELECT *, unnest(range(held)) AS i FROM h)""")
