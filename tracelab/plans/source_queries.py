@@ -12,7 +12,7 @@ from tracelab.functions.projections import sql_quantised as sq
 from tracelab.operators import features, reshape, windows
 from tracelab.plans.trace_queries import FEATURES_SQL, FPS, W
 from tracelab.session import shared_dir
-from tracelab.sources import frames, sheets, sinks
+from tracelab.sources import containers, frames, sheets, sinks
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -105,6 +105,16 @@ def frame_container(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.read_frames(frames.frame_layout(kept, 64), 8, 8).select("frame_id", F.posexplode("pixels").alias("at", "v"))
 
 
+@query("""SELECT frame_id, 8 AS h, 8 AS w, i::INTEGER AS at, v FROM (
+  SELECT row_number() OVER (ORDER BY frame_id) - 1 AS frame_id, unnest(generate_series(0, 63)) AS i, unnest(pixels) AS v FROM image)""")
+def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 16 bits in containers, read by the data source of containers."""
+    path = shared_dir(spark, "frames")
+    sinks.write_frames(model.images(spark, sf_dir), path, "run", deep=True).collect()  # a row for each container
+    found = containers.read_containers(spark, path, 8, 8, deep="true", order="name")
+    return found.select("frame_id", "h", "w", F.posexplode("pixels").alias("at", "v"))
+
+
 @query("SELECT count(*) * 128 AS bytes, count(*) AS images FROM image")
 def frame_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of 16-bit images found in a folder."""

@@ -36,7 +36,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"tracelab-{os.getpid()}")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{with_scheme(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def with_scheme(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark reads it by, so that tasks open the same place; local paths stay as they are."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at)
+    return path if whole.toUri().getScheme() == "file" else whole.toString()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
