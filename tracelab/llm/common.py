@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tracelab.session import with_scheme
+
 FILE_ROWS, LEAST_FILES = 250_000, 6  #: rows in a file of a narrow table, where their number is known
 BATCH_ROWS = 256  #: rows in an Arrow batch, so that long texts stay bounded
 SPACE = r"\x20\x09-\x0D"
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"tracelab-{os.getpid()}")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{with_scheme(spark, root).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df: DataFrame, name: str, path: str | None = None, rows: int | None = None) -> DataFrame:
@@ -131,7 +133,7 @@ def text_or_empty(column: str = "text"):
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or local path, and the path in it."""
     if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
+        return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a:") else path)
     return pafs.LocalFileSystem(), path
 
 
