@@ -3,8 +3,8 @@
 The driver lists the files of a folder and cuts each into stretches of whole
 images; a task reads the byte range of its stretch, batch by batch. The options
 ``first`` and ``last`` leave out stretches, and parts of them, before anything
-is read. They are options and not filters that are pushed down, as a table that
-is filtered twice was seen to keep the bounds of the first time.
+is read. They are options and not filters that are pushed down, as with those a
+table that had been filtered before lost rows of a later filter in a test.
 """
 
 from __future__ import annotations
