@@ -242,6 +242,28 @@ def test_random_starts_repeat(spark):
 
 # Silhouettes
 
+def test_silhouettes_shuffle_no_pairs(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(0, 1, (300, 8)), rng.normal(3, 1, (300, 8))]
+    x[1] = x[0]  # products alone give copies a distance
+    df = spark.createDataFrame([(v.tolist(), i // 300) for i, v in enumerate(x)], "v array<double>, label int")
+    found = clustering.silhouettes(df.withColumn("features", array_to_vector("v")), ["label"])
+    assert "Join [block" not in found._jdf.queryExecution().optimizedPlan().toString() and "Explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    away, own = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.arange(600) // 300
+    a = np.where(own == 0, away[:, :300].sum(axis=1), away[:, 300:].sum(axis=1)) / 299
+    b = np.where(own == 1, away[:, :300].mean(axis=1), away[:, 300:].mean(axis=1))
+    assert found.first()["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-12)
+
+
+def test_labels_alone_take_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "silhouettes", None)
+    df = spark.createDataFrame([(float(i % 2), float(i % 7)) for i in range(40)], "a double, b double")
+    out, scores = clustering.clustered(clustering.standardised(df, ["a", "b"]), range(2, 3), features="features", shapes=False)
+    assert "label" in out.columns and [sorted(s) for s in scores] == [["bic", "k"]]
+
+
 @pytest.mark.parametrize("block", [128, 7])
 def test_silhouettes_equal_plain_loops(spark, monkeypatch, block):
     from pyspark.ml.functions import array_to_vector

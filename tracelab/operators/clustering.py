@@ -8,15 +8,18 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.operators.windows import numbered
-from tracelab.session import kept
+from tracelab.session import kept, shared_dir, with_scheme
 
-BLOCK = 128  #: rows that meet the rows of another block at once
+BLOCK, TILE = 4096, 512  #: rows that a task compares with all rows, and of them at once
+FEW, NEAR = 4, 1e-6  #: attributes that are compared one by one; squares of distances, as a share of those of the rows, that products give too coarsely
 
 
 def standardised(df: DataFrame, values: list[str]) -> DataFrame:
@@ -97,69 +100,102 @@ def projected(df: DataFrame, dimensions: int = 2) -> DataFrame:
     return df.withColumn("__v", vector_to_array("features")).withColumn("projection", array_to_vector(F.array(*along))).drop("__v")
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` to those of ``y``: by products of matrices, near ones by differences."""
+    if x.shape[1] <= FEW:
+        return np.sqrt(sum((x[:, j, None] - y[None, :, j]) ** 2 for j in range(x.shape[1])))
+    size = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None]
+    squares = size - 2 * (x @ y.T)
+    i, j = np.nonzero(squares <= NEAR * size)
+    squares[i, j] = ((x[i] - y[j]) ** 2).sum(axis=1)
+    return np.sqrt(squares)
+
+
 def silhouettes(df: DataFrame, labels: list[str], features: str = "features") -> DataFrame:
     """How well each column of labels parts the rows: labelling, silhouette, by Euclidean distances of all pairs.
 
     The mean over rows of (b - a) / max(a, b), a the mean distance to the others
     of the own cluster and b the least mean distance to another; 0 for a row
-    alone in its cluster, null where there is one cluster only. Rows meet in
-    blocks of ``BLOCK``, and the distances of a pair of blocks serve all
-    labellings; the work goes with the square of the rows, as the measure does.
+    alone in its cluster, null where there is one cluster only. A task holds
+    ``BLOCK`` rows and reads the files of all rows past them, so no pair is
+    shuffled; the distances serve all labellings. The work goes with the square
+    of the rows, as the measure does, memory and disk do not.
     """
-    rows = df.select(vector_to_array(features).alias("v"), F.array(*(F.col(c).cast("long") for c in labels)).alias("l"), F.monotonically_increasing_id().alias("row"))
-    placed = kept(numbered(kept(rows, "silhouette-rows"), ["row"], "at").withColumn("block", F.floor(F.col("at") / BLOCK)), "silhouette-blocks")
+    spark, path = df.sparkSession, with_scheme(df.sparkSession, shared_dir(df.sparkSession, "silhouette-rows"))
+    df.select(vector_to_array(features).alias("v"), F.array(*(F.col(c).cast("long") for c in labels)).alias("l"), F.monotonically_increasing_id().alias("row")).write.parquet(path)
+    rows = spark.read.parquet(path)
     sizes: list[dict[int, int]] = [{} for _ in labels]
-    for r in placed.select(F.posexplode("l").alias("no", "label")).groupBy("no", "label").count().collect():  # a row for each cluster
+    for r in rows.select(F.posexplode("l").alias("no", "label")).groupBy("no", "label").count().collect():  # a row for each cluster
         sizes[r["no"]][r["label"]] = r["count"]
-    codes = [{label: j for j, label in enumerate(sorted(s))} for s in sizes]
+    known = [np.array(sorted(s), np.int64) for s in sizes]
     number = [np.array([s[label] for label in sorted(s)], float) for s in sizes]
-    packed = placed.groupBy("block").agg(F.collect_list(F.struct("v", "l")).alias("rows"))
-    last = (sum(sizes[0].values()) - 1) // BLOCK if labels else -1
-    one = packed.select(F.col("block").alias("one"), F.col("rows").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(last, 0)).cast("long"))).alias("block"))
-    pairs = one.join(packed, "block").repartition("one").sortWithinPartitions("one")
-
-    def unpacked(cells: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([c["v"] for c in cells]), np.array([[code[label] for code, label in zip(codes, c["l"], strict=True)] for c in cells])
-
-    def scores(own: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, number)])
+    n = sum(sizes[0].values()) if labels else 0
+    placed = numbered(rows, ["row"], "at").withColumn("block", F.floor(F.col("at") / BLOCK)).select("block", "v", "l")
+    dealt = placed.repartitionByRange(max(1, -(-n // BLOCK)), "block").sortWithinPartitions("block")
+
+    def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors, and for each labelling the place of a row's cluster among all."""
+        v, own = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) for c in ("v", "l"))
+        return v, np.stack([np.searchsorted(k, own[:, no]) for no, k in enumerate(known)], axis=1)
+
+    def everyone() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All rows from their files, ``TILE`` at a time."""
+        system, at = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+        for info in system.get_file_info(pafs.FileSelector(at)):
+            if info.path.endswith(".parquet"):
+                with system.open_input_file(info.path) as f:
+                    for batch in pq.ParquetFile(f).iter_batches(TILE, columns=["v", "l"]):
+                        if len(batch):
+                            yield unpacked(batch)
+
+    def scores(x: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        sums = np.zeros((len(x), ends[-1]))
+        for y, other in everyone():
+            member = np.zeros((len(y), ends[-1]))
+            for no in range(len(number)):
+                member[np.arange(len(y)), ends[no] + other[:, no]] = 1.0
+            for a in range(0, len(x), TILE):
+                sums[a : a + TILE] += _distances(x[a : a + TILE], y) @ member
         total = []
-        for no, n in enumerate(number):
+        for no, sized in enumerate(number):
             at = np.arange(len(own)), own[:, no]
-            size = n[own[:, no]]
-            a = sums[no][at] / np.maximum(size - 1, 1)
-            means = sums[no] / n
+            size, away = sized[own[:, no]], sums[:, ends[no] : ends[no + 1]]
+            a = away[at] / np.maximum(size - 1, 1)
+            means = away / sized
             means[at] = np.inf
             b = means.min(axis=1)
             with np.errstate(invalid="ignore"):
                 s = np.where(size > 1, np.nan_to_num((b - a) / np.maximum(np.maximum(a, b), 1e-300)), 0.0)
-            total.append(float(s.sum()) if len(n) > 1 else None)
+            total.append(float(s.sum()) if len(sized) > 1 else None)
         return pa.RecordBatch.from_arrays([pa.array(range(len(number)), pa.int32()), pa.array(total, pa.float64()), pa.array([len(own)] * len(number), pa.int64())], names=["no", "s", "n"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, x, own, sums = None, None, None, []
+        """Block by block, which may begin and end inside a batch."""
+        block, held = None, []
         for batch in batches:
-            for name, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("one", "mine", "rows")), strict=True):
-                if name != block:
-                    if block is not None:
-                        yield scores(own, sums)
-                    block, (x, own) = name, unpacked(mine)
-                    sums = [np.zeros((len(x), len(n))) for n in number]
-                y, other = unpacked(theirs)
-                away = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
-                for no, n in enumerate(number):
-                    sums[no] += away @ np.eye(len(n))[other[:, no]]
-        if block is not None:
-            yield scores(own, sums)
-
-    summed = pairs.mapInArrow(compare, "no int, s double, n long").groupBy("no").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
+            names = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and names[a] != block:
+                    yield scores(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                if b > a:
+                    block = names[a]
+                    held.append(unpacked(batch.slice(a, b - a)))
+        if held:
+            yield scores(*map(np.concatenate, zip(*held, strict=True)))
+
+    summed = dealt.mapInArrow(compare, "no int, s double, n long").groupBy("no").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
     return summed.select(F.get(F.array(*map(F.lit, labels)), F.col("no")).alias("labelling"), "silhouette")
 
 
-def clustered(df: DataFrame, ks: range = range(2, 10), seed: int = 1, features: str = "projection") -> tuple[DataFrame, list[dict]]:
+def clustered(df: DataFrame, ks: range = range(2, 10), seed: int = 1, features: str = "projection", shapes: bool = True) -> tuple[DataFrame, list[dict]]:
     """Rows with ``label`` from the mixture of the least BIC, and the scores of all numbers of clusters.
 
     All numbers are fitted at the same time, as a fit's rounds are short jobs;
-    their silhouettes come from one pass over pairs of blocks.
+    their silhouettes come from one pass over all pairs of rows, which a caller
+    that needs no ``shapes`` is spared.
     """
     df = df.persist()
     try:
@@ -177,8 +213,8 @@ def clustered(df: DataFrame, ks: range = range(2, 10), seed: int = 1, features:
         for _, model in fits.values():
             labelled = model.transform(labelled)
         labelled = kept(labelled.drop(*(f"__p_{k}" for k in ks)), "labels")
-        shape = {r["labelling"]: r["silhouette"] for r in silhouettes(labelled, [f"label_{k}" for k in ks], features).collect()}
-        scores = [{"k": k, "bic": bic, "silhouette": shape[f"label_{k}"] if shape[f"label_{k}"] is not None else float("nan")} for k, (bic, _) in fits.items()]
+        shape = {r["labelling"]: r["silhouette"] for r in silhouettes(labelled, [f"label_{k}" for k in ks], features).collect()} if shapes else {}
+        scores = [{"k": k, "bic": bic} | ({"silhouette": shape[f"label_{k}"] if shape[f"label_{k}"] is not None else float("nan")} if shapes else {}) for k, (bic, _) in fits.items()]
         best = min(scores, key=lambda s: s["bic"])["k"]
         return labelled.select(*df.columns, F.col(f"label_{best}").alias("label")), scores
     finally:

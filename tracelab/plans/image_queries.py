@@ -141,7 +141,7 @@ def track_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings standardised, projected to two components and clustered by the least BIC."""
     v = model.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
-    best, _ = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])))
+    best, _ = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])), shapes=False)
     return best.select("vec_id", "label")
 
 

@@ -92,5 +92,5 @@ def step_spectrum(traces: DataFrame, spatial_rate: float = 2.0, draws: int | Non
 
 def cluster_report(beads: DataFrame, values: list[str], ks: range = range(2, 10)) -> tuple[DataFrame, DataFrame]:
     """Labelled beads, and the number, mean and deviation of each attribute in every cluster."""
-    labelled, _ = clustering.clustered(clustering.projected(clustering.standardised(beads, values)), ks)
+    labelled, _ = clustering.clustered(clustering.projected(clustering.standardised(beads, values)), ks, shapes=False)
     return labelled, stats.group_sizes(labelled, "label", values)
