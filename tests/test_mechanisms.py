@@ -240,6 +240,25 @@ def test_random_starts_repeat(spark):
     assert a[3].params["m"] == pytest.approx(sorted(drawn))
 
 
+# Ranges from sketches
+
+def test_ranges_of_a_sketch_are_taken_once(spark):
+    from tracelab.operators import stats
+
+    rows = spark.range(3000).select((F.col("id") % 997).cast("double").alias("x"))
+    found = stats.survival(rows)
+    assert "percentile_approx" not in found._jdf.queryExecution().optimizedPlan().toString()
+    whole = {float(v): 1 - sum(1 for i in range(3000) if i % 997 <= v) / 3000 for v in (0, 500, 996)}
+    assert {r["value"]: r["survival"] for r in found.filter(F.col("value").isin(*whole)).collect()} == pytest.approx(whole)
+
+
+def test_losses_of_all_pairs(spark):
+    from tracelab.plans import trace_queries
+
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").count().agg(F.sum((F.col("count") - 1) * (F.col("count") - 2) / 2)).first()[0]
+    assert trace_queries.changepoint_loss(spark, "/root/testdata/sf0.001").count() == n
+
+
 # Silhouettes
 
 def test_silhouettes_shuffle_no_pairs(spark):
