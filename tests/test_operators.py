@@ -327,6 +327,13 @@ def test_csv_sheets(spark, tmp_path):
     assert t["label"].unique().tolist() == ["wild"] and t["x"].tolist() == [50, 51, 60, 61]
 
 
+def test_a_sheet_of_more_traces_than_a_pivot_takes(spark, tmp_path):
+    rows = spark.range(10_050).select(F.lit(0.5).alias("t"), F.col("id").alias("place"), (F.col("id") / 4).alias("x")).filter("place % 3 <> 0")
+    sinks.write_trace_sheet(rows, str(tmp_path), "wild")
+    back = sheets.read_trace_folder(spark, str(tmp_path)).toPandas()
+    assert len(back) == 6700 and (back["x"] == back["trace_id"] / 4).all() and set(back["label"]) == {"wild"} and set(back["t"]) == {0.5}
+
+
 def test_workbook_blocks(spark, tmp_path):
     cell = lambda r, c, v: f'<c r="{c}{r}"><v>{v}</v></c>'
     rows = "".join(f'<row r="{r}">{cell(r, "A", (r - 1) / 10)}{cell(r, "B", r * 2)}{cell(r, "E", (r - 1) / 5)}{cell(r, "F", r * 3) if r < 3 else ""}</row>' for r in (1, 2, 3))

@@ -75,6 +75,14 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(read, CELLS)
 
 
+def whole_books(cells: DataFrame) -> DataFrame:
+    """Cells of workbooks whose parts are named book.row.column (``sinks.in_parts``), under the name and at the places of the book."""
+    part = r"\.(\d+)\.(\d+)\.xlsx$"
+    first = [F.regexp_extract("path", part, i).cast("long") for i in (1, 2)]
+    at = {"row": F.col("row") + first[0], "col": (F.col("col") + first[1]).cast("int"), "path": F.regexp_replace("path", part, ".xlsx")}
+    return cells.withColumns(at)
+
+
 def block_traces(cells: DataFrame, size: int = 4) -> DataFrame:
     """Traces of sheets in blocks of columns (time, value, ...): path, sheet, trace_id, idx, t, x, with fs."""
     in_block = cells.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("col") % size < 2))
@@ -154,6 +162,13 @@ def read_mat(spark: SparkSession, path: str, pattern: str = "*.mat") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(read, schema)
 
 
+def whole_mats(values: DataFrame) -> DataFrame:
+    """Values of plain arrays of one row in MAT files whose parts are named file.place (``sinks.mat_parts``), under the name and at the places of the file."""
+    part = r"\.(\d+)\.mat$"
+    first = F.regexp_extract("path", part, 1).cast("long")
+    return values.withColumns({"col": F.col("col") + first, "path": F.regexp_replace("path", part, ".mat")})
+
+
 def step_dwell(values: DataFrame) -> DataFrame:
     """Pairs of the arrays named step and dwell of each file: path, i, step, dwell."""
     rows = values.filter(F.col("name").isin("step", "dwell")).withColumn("i", F.col("row") + F.col("col"))
