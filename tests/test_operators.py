@@ -227,6 +227,13 @@ def test_batches_stream_past_the_driver(spark, monkeypatch):
     np.testing.assert_allclose(changepoint.cubic_minibatch(rows, batch=8, epochs=3), want, rtol=1e-9)
 
 
+def test_epochs_send_no_batches_to_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i % 9), float(i)) for i in range(90)], "x double, y double")
+    monkeypatch.setattr(changepoint, "HELD_BATCHES", 2)
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)
+    assert np.isfinite(changepoint.cubic_minibatch(rows, batch=8, epochs=3)).all()
+
+
 # Spectra
 
 def test_staircase_spectrum_peaks_at_its_step(spark):
@@ -371,6 +378,18 @@ def mat(arrays):
     return out
 
 
+def test_books_and_arrays_in_parts(spark, tmp_path):
+    cells = spark.range(35).select(F.lit(0).alias("book"), F.lit("S").alias("sheet"), F.floor(F.col("id") / 7).alias("row"), (F.col("id") % 7).cast("int").alias("col"), F.col("id").cast("double").alias("value"))
+    made = sinks.write_workbooks(sinks.in_parts(cells, 2, 3), f"{tmp_path}/books", "run").collect()
+    assert len(made) == 9 and max(r["cells"] for r in made) == 6
+    back = sheets.whole_books(sheets.read_workbooks(spark, f"{tmp_path}/books")).toPandas()
+    assert back["path"].nunique() == 1 and (back["value"] == 7 * back["row"] + back["col"]).all() and len(back) == 35
+    pairs = spark.range(10).select(F.lit("a").alias("file"), F.explode(F.array(F.lit("step"), F.lit("dwell"))).alias("name"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("id").alias("at"), F.col("id").cast("double").alias("value"))
+    assert sinks.write_mats(sinks.mat_parts(pairs, 4), f"{tmp_path}/mats", "run").count() == 3
+    t = sheets.step_dwell(sheets.whole_mats(sheets.read_mat(spark, f"{tmp_path}/mats"))).orderBy("i").toPandas()
+    assert t["i"].tolist() == t["step"].tolist() == t["dwell"].tolist() == list(range(10)) and t["path"].nunique() == 1
+
+
 def test_mat_files(spark, tmp_path):
     (tmp_path / "1uM.mat").write_bytes(mat({"step": np.array([[5.0, 6.0, 20.0]]), "dwell": np.array([[0.5, 0.7, 0.9]])}))
     pairs = sheets.step_dwell(sheets.read_mat(spark, str(tmp_path)))
