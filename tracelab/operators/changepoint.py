@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -385,28 +386,39 @@ def cubic_minibatch(df: DataFrame, x: str = "x", y: str = "y", batch: int = 32,
     """Mini-batch Adam in shuffled order, with a rate that falls to 0; the moments of all batches come from one aggregation.
 
     Rows are dealt to batches by a hash of the values and of their place among
-    equal ones. Each epoch takes the batches by another turn of their numbers;
-    their sums stream past the driver, a part at a time.
+    equal ones. Each epoch takes the batches by another turn of their numbers.
+    The steps follow each other; where there are more than ``HELD_BATCHES``, a
+    task takes them all, from nine sums of each batch, and the driver gets
+    their end alone.
     """
     n_batches = max(1, -(-df.count() // batch))
     prime = next(p for p in range(n_batches + 1, 2 * n_batches + 3) if all(p % q for q in range(2, math.isqrt(p) + 1)))
     same = Window.partitionBy(x, y).orderBy(x)
     dealt = df.withColumn("nth", F.row_number().over(same)).withColumn("b", F.pmod(F.xxhash64(F.lit(seed), x, y, "nth"), F.lit(n_batches)))
     p = {f"x{k}": F.sum(F.pow(x, k)) for k in range(2, 7)} | {f"y{k}": F.sum(F.col(y) * F.pow(x, k)) for k in (1, 2, 3)}
-    sums = dealt.groupBy("b").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in p.items())).persist()
-    few = [r.asDict() for r in sums.collect()] if n_batches <= HELD_BATCHES else None
-    at, way, rng = np.array(start), Adam(rate), np.random.default_rng(seed)
-    for epoch in range(epochs):
-        turn, shift = int(rng.integers(1, prime)), int(rng.integers(prime))
-        if few is not None:
-            order = sorted(few, key=lambda m: (m["b"] * turn + shift) % prime)
-        else:
-            order = (r.asDict() for r in sums.orderBy((F.col("b") * turn + shift) % prime).toLocalIterator())
-        for m in order:
+    sums = dealt.groupBy("b").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in p.items()))
+
+    def steps(m: pa.Table) -> np.ndarray:
+        c = {n: m.column(n).to_numpy() for n in m.column_names}
+        a = np.stack([np.stack([c[f"x{i + j}"] for j in (1, 2, 3)], axis=1) for i in (1, 2, 3)], axis=1)
+        right = np.stack([c["y1"], c["y2"], c["y3"]], axis=1)
+        at, way, rng = np.array(start), Adam(rate), np.random.default_rng(seed)
+        for epoch in range(epochs):
+            turn, shift = int(rng.integers(1, prime)), int(rng.integers(prime))
             way.rate = rate * (1 - epoch / epochs)
-            at = at + way.move(cubic_gradient(m, at))
-    sums.unpersist()
-    return at
+            for k in np.argsort((c["b"] * turn + shift) % prime):
+                at = at + way.move(2 * (a[k] @ at - right[k]) / c["n"][k])
+        return at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([steps(pa.Table.from_batches(held)).tolist()], pa.list_(pa.float64()))], names=["at"])
+
+    if n_batches <= HELD_BATCHES:
+        return steps(sums.toArrow())
+    end = sums.repartition(1).mapInArrow(run, "at array<double>").first()
+    return np.array(end["at"] if end else start)
 
 
 def cubic_exact(df: DataFrame, x: str = "x", y: str = "y") -> np.ndarray:
