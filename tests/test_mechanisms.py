@@ -240,6 +240,16 @@ def test_random_starts_repeat(spark):
     assert a[3].params["m"] == pytest.approx(sorted(drawn))
 
 
+def test_rounds_go_over_distinct_rows(spark, monkeypatch):
+    from tracelab.operators import mixture
+
+    seen, plain = [], mixture._sums
+    monkeypatch.setattr(mixture, "_sums", lambda df, *rest: seen.append(df.count()) or plain(df, *rest))
+    df = spark.range(400).select((F.col("id") % 8 + F.when(F.col("id") % 2 == 0, 20).otherwise(0)).cast("double").alias("x"))
+    fit = mixture.fit_mixture(df, "gauss", 2)[0].ordered()
+    assert set(seen) == {8} and fit["f"] == pytest.approx([0.5, 0.5]) and fit["m"] == pytest.approx([4, 23])
+
+
 # Ranges from sketches
 
 def test_ranges_of_a_sketch_are_taken_once(spark):

@@ -162,20 +162,20 @@ def _scored(df: DataFrame, fits: list[Fit], by: list[str], x: str, t: str) -> tu
 
 
 def _sums(df: DataFrame, fits: list[Fit], by: list[str], x: str, t: str) -> list[list[dict[str, float]]]:
-    """Weighted sums of all fits from one aggregation, whose plan is the same every round."""
+    """Weighted sums of all fits from one aggregation, whose plan is the same every round; a row counts ``__times``."""
     rows, ln, top = _scored(df, fits, by, x, t)
     e = rows.withColumns({f"__e{j}": F.coalesce(F.exp(part - top), F.lit(0.0)) for j, part in enumerate(ln)})
     whole = reduce(Column.__add__, (F.col(f"__e{j}") for j in range(len(ln))))
     made = []
     for j in range(len(ln)):
-        r = F.col(f"__e{j}") / F.col("__whole")
+        r = F.col(f"__e{j}") / F.col("__whole") * F.col("__times")
         parts = {"w": r, "x": r * F.col(x)}
         if fits[0].kind != "exp":
             parts["xx"] = r * F.col(x) * F.col(x)
         if fits[0].kind == "gauss_exp":
             parts["t"] = r * F.col(t)
         made += [F.sum(c).alias(f"{n}{j}") for n, c in parts.items()]
-    made.append(F.sum(top + F.log(F.col("__whole"))).alias("__ln"))
+    made.append(F.sum((top + F.log(F.col("__whole"))) * F.col("__times")).alias("__ln"))
     got = {r["__fit"]: r.asDict() for r in e.withColumn("__whole", whole).groupBy("__fit").agg(*made).collect()}  # a row for each fit
     for i, fit in enumerate(fits):
         fit.ln_likelihood = got[i]["__ln"]  # of the parameters before the step
@@ -185,7 +185,7 @@ def _sums(df: DataFrame, fits: list[Fit], by: list[str], x: str, t: str) -> list
 def _likelihoods(df: DataFrame, fits: list[Fit], by: list[str], x: str, t: str) -> list[float | None]:
     rows, ln, top = _scored(df, fits, by, x, t)
     whole = reduce(Column.__add__, (F.coalesce(F.exp(part - top), F.lit(0.0)) for part in ln))
-    got = dict(rows.groupBy("__fit").agg(F.sum(top + F.log(whole))).collect())
+    got = dict(rows.groupBy("__fit").agg(F.sum((top + F.log(whole)) * F.col("__times"))).collect())
     return [got.get(i) for i in range(len(fits))]
 
 
@@ -241,9 +241,11 @@ def fit_mixture(df: DataFrame, kind: str, ks: int | list[int], by: list[str] | N
     moves by ``tolerance`` or more, after ``least`` and before ``most`` rounds.
     With ``leaps`` every second round is followed by a squared extrapolation,
     taken back where the likelihood falls: fewer rounds to the same optimum.
+    Rounds go over the distinct rows with their numbers.
     """
     by, rng = by or [], random.Random(seed)
     df = df.filter(F.col(x).isNotNull() & (F.col(t).isNotNull() if kind == "gauss_exp" else F.lit(True))).select(*by, x, *([t] if kind == "gauss_exp" else [])).cache()
+    equal = df.groupBy(*df.columns).agg(F.count("*").alias("__times")).cache()
     try:
         fits = first or starts(df, kind, [ks] if isinstance(ks, int) else ks, by, x, t)
         for fit in fits:
@@ -253,7 +255,7 @@ def fit_mixture(df: DataFrame, kind: str, ks: int | list[int], by: list[str] | N
             going = [f for f in fits if loop < least or not f.converged]
             if not going:
                 break
-            for fit, sums in zip(going, _sums(df, going, by, x, t), strict=True):
+            for fit, sums in zip(going, _sums(equal, going, by, x, t), strict=True):
                 fit.rounds += 1
                 if fit.behind:
                     (start, reached), fit.behind = fit.behind, None
@@ -267,9 +269,10 @@ def fit_mixture(df: DataFrame, kind: str, ks: int | list[int], by: list[str] | N
                     fit.trail.append(before)
                     if len(fit.trail) == 2:
                         _leap(fit, least_sigma)
-        for fit, ln in zip(fits, _likelihoods(df, fits, by, x, t) if fits else [], strict=True):
+        for fit, ln in zip(fits, _likelihoods(equal, fits, by, x, t) if fits else [], strict=True):
             fit.ln_likelihood = ln
     finally:
+        equal.unpersist()
         df.unpersist()
     return fits
 
