@@ -316,3 +316,50 @@ def test_silhouettes_equal_plain_loops(spark, monkeypatch, block):
             each.append((b - a) / max(a, b))
         assert got[name] == pytest.approx(np.mean(each), abs=1e-12)
     assert got["one"] is None
+
+
+# Mixtures of all numbers of clusters
+
+def test_mixtures_share_their_rounds(spark):
+    def jobs_so_far():
+        spark.sparkContext.setJobGroup("marks", "")
+        try:
+            spark.sparkContext.parallelize([1], 1).count()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup("marks"))
+
+    x = np.random.default_rng(21).normal(0, 1, (300, 2))
+    df = clustering.standardised(spark.createDataFrame(x.tolist(), "a double, b double"), ["a", "b"]).persist()
+    before = jobs_so_far()
+    clustering.clustered(df, range(2, 8), features="features", shapes=False)
+    assert jobs_so_far() - before < 200  # 474 when each number of clusters has rounds of its own
+
+
+def test_mixtures_equal_those_of_spark(spark):
+    from pyspark.ml.clustering import GaussianMixture
+
+    rng = np.random.default_rng(22)
+    x = np.r_[rng.normal(0, 1, (150, 3)), rng.normal(2, 0.5, (100, 3))]
+    df = clustering.standardised(spark.createDataFrame(x.tolist(), "a double, b double, c double"), list("abc")).persist()
+    starts, models = [], []
+    for k in (2, 4):
+        first = GaussianMixture(k=k, seed=1, maxIter=0, featuresCol="features").fit(df)
+        starts.append(clustering.Mixture(np.array(first.weights), *(np.array([getattr(g, c).toArray() for g in first.gaussians]) for c in ("mean", "cov"))))
+        models.append(GaussianMixture(k=k, seed=1, featuresCol="features").fit(df))
+    found = clustering.fitted(df.repartition(3), starts)
+    for model, (mixture, likely, rounds) in zip(models, found, strict=True):
+        assert rounds == model.summary.numIter and likely == pytest.approx(model.summary.logLikelihood, abs=1e-6)
+        assert np.allclose(mixture.weights, model.weights, atol=1e-8) and np.allclose(mixture.means, [g.mean.toArray() for g in model.gaussians], atol=1e-8)
+        assert np.allclose(mixture.covariances, [g.cov.toArray() for g in model.gaussians], atol=1e-8)
+    a = clustering.clustered(df, range(2, 3), features="features", shapes=False)[0].toPandas()
+    again = models[0].transform(spark.createDataFrame([(v,) for v in a["features"]], ["features"])).collect()
+    assert len(a) == 250 and a["label"].tolist() == [r["prediction"] for r in again]
+
+
+def test_rows_are_spread_over_files(spark):
+    from tracelab.session import spread
+
+    one = spark.range(1000).repartition(1)
+    out = spread(one, 300)
+    assert len(out.inputFiles()) == 4 and sorted(r["id"] for r in out.collect()) == list(range(1000))

@@ -3,31 +3,40 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
+from pyspark import StorageLevel
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.operators.windows import numbered
 from tracelab.session import kept, shared_dir, with_scheme
 
 BLOCK, TILE = 4096, 512  #: rows that a task compares with all rows, and of them at once
+SHARE, EPS = 32768, 2.0**-52  #: rows of a task in a round of EM; the least density of GaussianMixture
 FEW, NEAR = 4, 1e-6  #: attributes that are compared one by one; squares of distances, as a share of those of the rows, that products give too coarsely
 
 
 def standardised(df: DataFrame, values: list[str]) -> DataFrame:
-    """``features``: scores with the sample deviation, missing ones as 0, as a vector."""
-    moments = df.agg(*(m for v in values for m in (F.avg(v).alias(f"__m_{v}"), F.stddev_samp(v).alias(f"__s_{v}"))))
-    scores = [F.coalesce(F.try_divide(F.col(v) - F.col(f"__m_{v}"), F.col(f"__s_{v}")), F.lit(0.0)) for v in values]
-    both = df.crossJoin(F.broadcast(moments)).withColumn("features", array_to_vector(F.array(*scores)))
-    return both.select(*df.columns, "features")
+    """``features``: scores with the sample deviation, missing ones as 0, as a vector.
+
+    The moments are taken once, here, and not again by each job that reads the
+    scores; a row for each attribute reaches the driver.
+    """
+    each = F.array(*(F.col(v).cast("double") for v in values))
+    moments = {r["at"]: r for r in df.select(F.posexplode(each).alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()}
+    known = F.array(*(F.struct(*(F.lit(moments[i][c] if moments else None).cast("double").alias(c) for c in "ms")) for i in range(len(values))))
+    scores = F.zip_with(each, known, lambda x, of: F.coalesce(F.try_divide(x - of["m"], of["s"]), F.lit(0.0)))
+    return df.select(*df.columns, array_to_vector(scores).alias("features"))
 
 
 def covariance(df: DataFrame, features: str = "features") -> tuple[np.ndarray, int]:
@@ -35,11 +44,12 @@ def covariance(df: DataFrame, features: str = "features") -> tuple[np.ndarray, i
 
     A row for each pair of attributes reaches the driver, whatever the number of rows.
     """
-    n, size = df.count(), len((df.select(vector_to_array(features).alias("v")).first() or [[]])[0])
+    each = df.select(vector_to_array(features).alias("v"))
+    found = each.select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("m"), F.count("*").alias("n")).orderBy("at").collect()
+    size, n = len(found), found[0]["n"] if found else df.count()
     if not size or n < 2:
         return np.zeros((size, size)), n
-    each = df.select(vector_to_array(features).alias("v"))
-    middle = np.array([r["m"] for r in each.select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("m")).orderBy("at").collect()])
+    middle = np.array([r["m"] for r in found])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((size, size))
@@ -95,7 +105,7 @@ def principal_axes(df: DataFrame, dimensions: int | None = None, features: str =
 
 def projected(df: DataFrame, dimensions: int = 2) -> DataFrame:
     """Principal components of ``features``, each with its largest weight positive."""
-    axes = [r["weights"] for r in principal_axes(df, dimensions).orderBy("component").collect()]  # a row for each component
+    axes = symmetric_axes(covariance(df)[0])[1].T[:dimensions].tolist()
     along = [F.aggregate(F.zip_with("__v", F.array(*map(F.lit, axis)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for axis in axes]
     return df.withColumn("__v", vector_to_array("features")).withColumn("projection", array_to_vector(F.array(*along))).drop("__v")
 
@@ -190,35 +200,130 @@ def silhouettes(df: DataFrame, labels: list[str], features: str = "features") ->
     return summed.select(F.get(F.array(*map(F.lit, labels)), F.col("no")).alias("labelling"), "silhouette")
 
 
+class Mixture(NamedTuple):
+    """Parts of a mixture of Gaussians: shares, means and covariances."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+
+
+def _weighed(x: np.ndarray, parts: list[tuple[float, float, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted densities of rows in each of ``parts``, with the least one that ``GaussianMixture`` adds."""
+    return np.stack([EPS + w * np.exp(scale - 0.5 * (((x - mean) @ root) ** 2).sum(axis=1)) for w, scale, mean, root in parts], axis=1)
+
+
+def _parts(mixture: Mixture) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
+    """Weight, scale of the logarithm, mean and root of the inverse of each part; axes without width are left out of the root."""
+    out = []
+    for w, mean, covariance in zip(*mixture, strict=True):
+        values, axes = np.linalg.eigh(covariance)
+        wide = values > EPS * values.max() * len(values)
+        if not wide.any():
+            raise ValueError("a part of the mixture has no width in any direction")
+        out.append((w, -0.5 * (len(values) * math.log(2 * math.pi) + np.log(values[wide]).sum()), mean, axes[:, wide] / np.sqrt(values[wide])))
+    return out
+
+
+def fitted(df: DataFrame, starts: list[Mixture], features: str = "features", tolerance: float = 0.01, rounds: int = 100) -> list[tuple[Mixture, float, int]]:
+    """Each mixture after its rounds of EM, with its log-likelihood and the number of rounds.
+
+    The rounds and their end are those of ``GaussianMixture``, but a round is one
+    job for all mixtures that go on: each task sums over its rows, the sums are
+    added up by Spark, and so many numbers as the mixtures have come to the
+    driver. Rows are dealt out ``SHARE`` to a task, however their files are cut.
+    """
+    points = df.select(vector_to_array(features).alias("v"))
+    d = starts[0].means.shape[1]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("v").flatten().to_numpy().tobytes()], pa.binary())], names=["x"])
+
+    dealt = points.repartition(max(1, -(-points.count() // SHARE))).mapInArrow(packed, "x binary")
+    blocks = dealt.rdd.map(lambda r: np.frombuffer(r["x"]).reshape(-1, d)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def add_up(going: list[list[tuple]]) -> list[np.ndarray]:
+        def sums(held: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+            total = 0.0
+            for x in held:
+                each = []
+                for parts in going:
+                    p = _weighed(x, parts)
+                    likely = p.sum(axis=1)
+                    p /= likely[:, None]
+                    each += [[np.log(likely).sum()], p.sum(axis=0), (p.T @ x).ravel(), *(((p[:, j, None] * x).T @ x).ravel() for j in range(len(parts)))]
+                total = total + np.concatenate(each)
+            if not np.isscalar(total):
+                yield total
+
+        total = blocks.mapPartitions(sums).treeReduce(np.add)
+        return np.split(total, np.cumsum([1 + len(parts) * (1 + d + d * d) for parts in going])[:-1])
+
+    out = [(m, -np.inf, 0) for m in starts]
+    try:
+        going = list(range(len(starts)))
+        for done in range(1, rounds + 1):
+            found = add_up([_parts(out[i][0]) for i in going])
+            still = []
+            for i, s in zip(going, found, strict=True):
+                k, before = len(out[i][0].weights), out[i][1]
+                w, means, squares = s[1 : 1 + k], s[1 + k : 1 + k + k * d].reshape(k, d), s[1 + k + k * d :].reshape(k, d, d)
+                means = means / w[:, None]
+                out[i] = Mixture(w / w.sum(), means, squares / w[:, None, None] - means[:, :, None] * means[:, None, :]), float(s[0]), done
+                if abs(s[0] - before) > tolerance:
+                    still.append(i)
+            going = still
+            if not going:
+                break
+        return out
+    finally:
+        blocks.unpersist()
+
+
 def clustered(df: DataFrame, ks: range = range(2, 10), seed: int = 1, features: str = "projection", shapes: bool = True) -> tuple[DataFrame, list[dict]]:
     """Rows with ``label`` from the mixture of the least BIC, and the scores of all numbers of clusters.
 
-    All numbers are fitted at the same time, as a fit's rounds are short jobs;
-    their silhouettes come from one pass over all pairs of rows, which a caller
-    that needs no ``shapes`` is spared.
+    All numbers start from the draws of ``GaussianMixture`` and are fitted in
+    the same rounds; their silhouettes come from one pass over all pairs of
+    rows, which a caller that needs no ``shapes`` is spared.
     """
-    df = df.persist()
+    points = df.select(features).persist()
     try:
-        n = df.count()
-        d = len(df.select(vector_to_array(features).alias("v")).first()["v"])
+        n = points.count()
 
-        def fit(k: int) -> tuple[float, GaussianMixtureModel]:
-            model = GaussianMixture(k=k, seed=seed, featuresCol=features, predictionCol=f"label_{k}", probabilityCol=f"__p_{k}").fit(df)
-            free = k - 1 + k * d + k * d * (d + 1) // 2
-            return free * math.log(n) - 2 * model.summary.logLikelihood, model
+        def start(k: int) -> Mixture:
+            model = GaussianMixture(k=k, seed=seed, maxIter=0, featuresCol=features).fit(points)
+            return Mixture(np.array(model.weights), *(np.stack(v) for v in zip(*((g.mean.toArray(), g.cov.toArray()) for g in model.gaussians), strict=True)))
 
         with ThreadPoolExecutor(len(ks)) as pool:
-            fits = dict(zip(ks, pool.map(fit, ks), strict=True))
-        labelled = df
-        for _, model in fits.values():
-            labelled = model.transform(labelled)
-        labelled = kept(labelled.drop(*(f"__p_{k}" for k in ks)), "labels")
-        shape = {r["labelling"]: r["silhouette"] for r in silhouettes(labelled, [f"label_{k}" for k in ks], features).collect()} if shapes else {}
-        scores = [{"k": k, "bic": bic} | ({"silhouette": shape[f"label_{k}"] if shape[f"label_{k}"] is not None else float("nan")} if shapes else {}) for k, (bic, _) in fits.items()]
-        best = min(scores, key=lambda s: s["bic"])["k"]
-        return labelled.select(*df.columns, F.col(f"label_{best}").alias("label")), scores
+            starts = list(pool.map(start, ks))
+        d = starts[0].means.shape[1]
+        fits = fitted(points, starts, features)
+        free = [k - 1 + k * d + k * d * (d + 1) // 2 for k in ks]
+        scores = [{"k": k, "bic": of * math.log(n) - 2 * likely} for k, of, (_, likely, _) in zip(ks, free, fits, strict=True)]
+        if shapes:
+            names = [f"label_{k}" for k in ks]
+            found = _labels([m for m, _, _ in fits])(vector_to_array(features))
+            labelled = points.select(features, found.alias("__l")).select(features, *(F.get("__l", F.lit(i)).alias(c) for i, c in enumerate(names)))
+            shape = {r["labelling"]: r["silhouette"] for r in silhouettes(labelled, names, features).collect()}
+            scores = [s | {"silhouette": shape[c] if shape[c] is not None else float("nan")} for s, c in zip(scores, names, strict=True)]
+        best = min(range(len(scores)), key=lambda i: scores[i]["bic"])
+        return kept(df.select(*df.columns, F.get(_labels([fits[best][0]])(vector_to_array(features)), F.lit(0)).alias("label")), "labels"), scores
     finally:
-        df.unpersist()
+        points.unpersist()
+
+
+def _labels(mixtures: list[Mixture]) -> Callable[[Column], Column]:
+    """The likeliest part of each mixture, for a column of arrays."""
+    every = [_parts(m) for m in mixtures]
+
+    @F.pandas_udf("array<int>")
+    def labels(v: pd.Series) -> pd.Series:
+        x = np.array(v.tolist(), float).reshape(len(v), -1)
+        return pd.Series(np.stack([_weighed(x, parts).argmax(axis=1) for parts in every], axis=1).astype(np.int32).tolist())
+
+    return labels
 
 
 def label_moments(df: DataFrame, label: str = "label", value: str = "x") -> DataFrame:

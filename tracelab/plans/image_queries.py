@@ -10,6 +10,7 @@ from tracelab import model
 from tracelab.functions.projections import quantised as q
 from tracelab.functions.projections import sql_quantised as sq
 from tracelab.operators import clustering, imaging, outlines
+from tracelab.session import kept, spread
 from tracelab.sources.frames import frame_layout
 from tracelab.streaming.blocks import time_blocks
 
@@ -137,11 +138,17 @@ def track_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imaging.track(packed.select("frame_id", F.lit(60).alias("h"), F.lit(60).alias("w"), "pixels"), beads, 20, 10.0)
 
 
+def _main_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and ``projection``, the two main axes of the standardised embeddings, stored."""
+    v = spread(model.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = v.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
+    return kept(clustering.projected(clustering.standardised(each, [f"v{i}" for i in range(64)])).select("vec_id", "projection"), "axes")
+
+
 @query()
 def pca_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings standardised, projected to two components and clustered by the least BIC."""
-    v = model.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
-    best, _ = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])), shapes=False)
+    best, _ = clustering.clustered(_main_axes(spark, sf_dir), shapes=False)
     return best.select("vec_id", "label")
 
 
@@ -181,8 +188,7 @@ def label_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixtures of two to nine clusters of the embeddings' two main axes: k, bic, silhouette."""
-    v = model.table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(64)))
-    _, scores = clustering.clustered(clustering.projected(clustering.standardised(v, [f"v{i}" for i in range(64)])))
+    _, scores = clustering.clustered(_main_axes(spark, sf_dir))
     return spark.createDataFrame([(s["k"], float(s["bic"]), float(s["silhouette"])) for s in scores], "k int, bic double, silhouette double")
 
 

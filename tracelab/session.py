@@ -51,3 +51,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int = 8192) -> DataFrame:
+    """``df`` stored with so many rows to a file, so that the work on it has tasks however the files of a table are cut."""
+    return kept(df.repartition(max(1, -(-df.count() // rows))), "spread")
