@@ -318,6 +318,39 @@ def test_silhouettes_equal_plain_loops(spark, monkeypatch, block):
     assert got["one"] is None
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_far_rows_are_summed_at_places(monkeypatch, copies):
+    rng = np.random.default_rng(31)
+    y = rng.uniform(0, 1, (8000, 2))
+    y[:4000] = y[0] if copies else y[:4000]
+    x = np.r_[y[((y > 0.4) & (y < 0.6)).all(axis=1)], rng.uniform(0.4, 0.6, (1500, 2))]
+    cells = (y[:, 0] * 10).astype(int) * 10 + (y[:, 1] * 10).astype(int)
+    of = np.stack([rng.integers(0, 3, 8000), 3 + (y[:, 0] * 4).astype(int)], axis=1)
+    pairs, real = [], clustering._distances
+    monkeypatch.setattr(clustering, "_distances", lambda a, b: pairs.append(len(a) * len(b)) or real(a, b))
+    got = clustering._away(x, ((y[cells == c], of[cells == c]) for c in np.unique(cells)), 7)
+    member = np.zeros((8000, 7))
+    member[np.arange(8000)[:, None], of] = 1.0
+    away = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)) @ member
+    assert np.abs(got / away - 1).max() < 1e-12 and sum(pairs) < 0.6 * len(x) * len(y)
+
+
+def test_silhouettes_of_a_plane_equal_all_pairs(spark):
+    rng = np.random.default_rng(32)
+    x = np.r_[rng.normal(0, 1, (1500, 2)), rng.normal(3, 0.1, (1200, 2)), [[40.0, -7.0]] * 300]
+    labels = np.r_[np.zeros(1500), np.ones(1200), np.full(300, 5)].astype(int)
+    rows = [([float(a), float(b)], int(k)) for (a, b), k in zip(x, labels, strict=True)]
+    df = spark.createDataFrame(rows, "v array<double>, label int").repartition(5)
+    from pyspark.ml.functions import array_to_vector
+
+    got = clustering.silhouettes(df.withColumn("features", array_to_vector("v")), ["label"]).first()["silhouette"]
+    away, own = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.searchsorted([0, 1, 5], labels)
+    sums, sizes = np.stack([away[:, own == k].sum(axis=1) for k in range(3)], axis=1), np.bincount(own)
+    a, means = sums[np.arange(3000), own] / (sizes[own] - 1), sums / sizes
+    means[np.arange(3000), own] = np.inf
+    assert got == pytest.approx(((means.min(axis=1) - a) / np.maximum(means.min(axis=1), a)).mean(), abs=1e-12)
+
+
 # Mixtures of all numbers of clusters
 
 def test_mixtures_share_their_rounds(spark):
